@@ -1,0 +1,26 @@
+"""Registered queries: name -> callable(spark, sf_dir) -> DataFrame."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from gatemeter.operators.telemetry import telemetry_from_events
+from gatemeter.plans import reports
+from gatemeter.sources.tables import read_table
+
+QueryFn = Callable[[SparkSession, str], DataFrame]
+
+
+def fact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry_from_events(read_table(spark, sf_dir, "events"))
+
+
+QUERIES: dict[str, QueryFn] = {
+    "usage_by_session": lambda s, d: reports.usage_by_session(fact_table(s, d)),
+    "cache_ratio_by_day": lambda s, d: reports.cache_ratio_by_day(fact_table(s, d)),
+    "cost_by_model": lambda s, d: reports.cost_by_model(fact_table(s, d)),
+    "throughput_by_model": lambda s, d: reports.throughput_by_model(fact_table(s, d)),
+    "totals": lambda s, d: reports.totals(fact_table(s, d)),
+}
