@@ -156,3 +156,114 @@ FROM fact WHERE stream AND output_tokens_per_sec IS NOT NULL GROUP BY upstream_m
 ORACLES["totals"] = with_fact("""
 SELECT count(*) AS calls, sum(output_tokens) AS output_tokens FROM fact
 """)
+
+
+def with_raw(body: str) -> str:
+    return f"WITH usage_raw AS ({B1_USAGE_RAW})\n{body}"
+
+
+ORACLES["map_model_name"] = with_raw(f"""
+SELECT request_id, requested_model, {map_model_sql('requested_model')} AS upstream_model
+FROM usage_raw
+""")
+
+
+def _no_opus_sql(col: str) -> str:
+    bare = f"regexp_replace({col}, '\\[[^\\]]*\\]$', '')"
+    st = f"regexp_replace({bare}, '-[0-9]{{8}}$', '')"
+    return (f"CASE WHEN {st} = 'claude-opus' OR starts_with({st}, 'claude-opus-') "
+            f"THEN 'claude-sonnet-4.6' ELSE {map_model_sql(col)} END")
+
+
+ORACLES["map_model_no_opus"] = with_raw(f"""
+SELECT request_id, requested_model, {_no_opus_sql('requested_model')} AS upstream_model,
+  coalesce(starts_with(requested_model, 'claude-opus-'), false) AS downgraded,
+  CASE WHEN starts_with(requested_model, 'claude-opus-') THEN 'claude-sonnet-4.6' END AS downgrade_to
+FROM usage_raw
+""")
+
+_UID = "trim(user_id_raw, ' \t\n\r\x0b\x0c')"
+ORACLES["parse_user_id"] = with_raw(f"""
+SELECT request_id,
+  CASE WHEN starts_with({_UID}, '{{') AND json_valid({_UID})
+       THEN nullif(json_extract_string({_UID}, '$.session_id'), '')
+       WHEN regexp_matches({_UID}, '_account_(.*?)_session_(.+)$')
+       THEN nullif(regexp_extract({_UID}, '_account_(.*?)_session_(.+)$', 2), '') END AS session_id,
+  CASE WHEN starts_with({_UID}, '{{') AND json_valid({_UID})
+       THEN coalesce(nullif(json_extract_string({_UID}, '$.account_uuid'), ''),
+                     nullif(json_extract_string({_UID}, '$.device_id'), ''))
+       WHEN regexp_matches({_UID}, '_account_(.*?)_session_(.+)$')
+       THEN nullif(regexp_extract({_UID}, '_account_(.*?)_session_(.+)$', 1), '') END AS account_id
+FROM usage_raw
+""")
+
+_PARTS = "list_transform(string_split(beta_requested, ','), lambda x: trim(x, ' \t\n\r\x0b\x0c'))"
+_DROP = "(starts_with(x, 'context-') OR starts_with(x, 'advisor-tool-'))"
+ORACLES["beta_split"] = with_raw(f"""
+SELECT request_id,
+  CASE WHEN len(list_filter({_PARTS}, lambda x: {_DROP})) > 0
+       THEN array_to_string(list_filter({_PARTS}, lambda x: {_DROP}), ', ') END AS beta_stripped,
+  CASE WHEN len(list_filter({_PARTS}, lambda x: NOT {_DROP})) > 0
+       THEN array_to_string(list_filter({_PARTS}, lambda x: NOT {_DROP}), ', ') END AS beta_forwarded
+FROM usage_raw
+""")
+
+ORACLES["usage_fold"] = with_fact("""
+SELECT request_id, upstream_model, input_tokens, output_tokens, cache_read_tokens,
+  cache_creation_tokens, total_tokens, cache_hit_ratio, est_cost_micro_usd,
+  est_cost_micro_usd / 1e6 AS est_anthropic_cost_usd, copilot_premium_multiplier, ttft_ms,
+  output_tokens_per_sec, tavily_cost_usd
+FROM fact
+""")
+
+ORACLES["error_features"] = with_fact(f"""
+SELECT request_id, route, status,
+  CASE WHEN status <> 200 THEN concat('http_', CAST(status AS VARCHAR)) END AS error_type,
+  status = 200 AS completed,
+  CASE route WHEN 'tavily' THEN 'api.tavily.com' WHEN 'native' THEN 'api.githubcopilot.com' END
+    AS upstream_host,
+  CASE WHEN route = 'native' AND len(list_filter({_PARTS}, lambda x: {_DROP})) > 0
+       THEN array_to_string(list_filter({_PARTS}, lambda x: {_DROP}), ', ') END AS beta_stripped
+FROM fact
+""")
+
+ORACLES["search_spend_daily"] = with_fact("""
+SELECT CAST(ts AS DATE) AS day, count(*) AS searches, count(*) * 8000 / 1e6 AS spend_usd
+FROM fact WHERE route = 'tavily' AND tavily_cost_usd > 0 GROUP BY 1
+""")
+
+ORACLES["search_spend_running"] = with_fact("""
+SELECT request_id, ts, CAST(ts AS DATE) AS day, 8000 / 1e6 AS cost_usd,
+  (8000 * row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, request_id)) / 1e6
+    AS spend_today_usd
+FROM fact WHERE route = 'tavily' AND tavily_cost_usd > 0
+""")
+
+_CAT = r"'^claude-(opus|sonnet|haiku)-([0-9]+)(?:\.([0-9]+))?(?:-(.+))?$'"
+_RANKED = f"""
+cat AS (SELECT upstream_model AS id, min(ts) AS first_ts FROM fact
+        WHERE upstream_model IS NOT NULL GROUP BY 1),
+parsed AS (
+  SELECT id, first_ts, regexp_extract(id, {_CAT}, 1) AS tier,
+    CAST(regexp_extract(id, {_CAT}, 2) AS INTEGER) AS major,
+    coalesce(CAST(nullif(regexp_extract(id, {_CAT}, 3), '') AS INTEGER), 0) AS minor,
+    CASE WHEN regexp_extract(id, {_CAT}, 4) = '' THEN 1 ELSE 0 END AS bare
+  FROM cat WHERE regexp_matches(id, {_CAT}))
+"""
+ORACLES["latest_model_per_tier"] = with_fact(f"""
+, {_RANKED}
+SELECT tier, id AS model_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY tier ORDER BY major DESC, minor DESC, bare DESC,
+                                first_ts ASC) AS rn FROM parsed) WHERE rn = 1
+""".replace("\n, ", ", ", 1))
+
+ORACLES["family_map"] = with_fact(f"""
+, {_RANKED}
+SELECT concat('claude-', tier, '-', CAST(major AS VARCHAR)) AS alias, id AS model_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY tier, major ORDER BY major DESC, minor DESC, bare DESC,
+                                first_ts ASC) AS rn FROM parsed WHERE tier <> 'opus') WHERE rn = 1
+UNION ALL
+SELECT concat('claude-', tier) AS alias, id AS model_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY tier ORDER BY major DESC, minor DESC, bare DESC,
+                                first_ts ASC) AS rn FROM parsed WHERE tier <> 'opus') WHERE rn = 1
+""".replace("\n, ", ", ", 1))

@@ -1,26 +1,139 @@
-"""Registered queries: name -> callable(spark, sf_dir) -> DataFrame."""
+"""Registered queries: name -> callable(spark, sf_dir) -> DataFrame.
+
+Every query reads the landed tables under ``sf_dir`` (through the bridges in
+:mod:`gatemeter.sources.bridges`) and runs over all of their rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gatemeter.functions.models import ModelPolicy, downgrade_to, downgraded, map_model_name
+from gatemeter.functions.requests import beta_forwarded, beta_stripped, parse_user_id
+from gatemeter.operators import catalog, spend
 from gatemeter.operators.telemetry import telemetry_from_events
 from gatemeter.plans import reports
+from gatemeter.sources import bridges
 from gatemeter.sources.tables import read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, QueryFn] = {}
+
+
+def query(name: str):
+    def reg(fn: QueryFn) -> QueryFn:
+        QUERIES[name] = fn
+        return fn
+    return reg
+
+
+def fact_table(spark: SparkSession, sf_dir: str, policy: ModelPolicy | None = None) -> DataFrame:
+    return telemetry_from_events(read_table(spark, sf_dir, "events"), policy)
+
+
+def usage_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bridges.usage_raw(read_table(spark, sf_dir, "events"))
+
+
+# --- published reports (A-1..A-5) -------------------------------------------
+@query("usage_by_session")
+def q_usage_by_session(spark, d):
+    return reports.usage_by_session(fact_table(spark, d))
+
+
+@query("cache_ratio_by_day")
+def q_cache_ratio_by_day(spark, d):
+    return reports.cache_ratio_by_day(fact_table(spark, d))
+
+
+@query("cost_by_model")
+def q_cost_by_model(spark, d):
+    return reports.cost_by_model(fact_table(spark, d))
+
+
+@query("throughput_by_model")
+def q_throughput_by_model(spark, d):
+    return reports.throughput_by_model(fact_table(spark, d))
+
+
+@query("totals")
+def q_totals(spark, d):
+    return reports.totals(fact_table(spark, d))
+
+
+# --- model names (P-1, P-2, P-13, J-3) -----------------------------------------
+@query("map_model_name")
+def q_map_model_name(spark, d):
+    raw = usage_raw(spark, d)
+    return raw.select("request_id", "requested_model",
+                      map_model_name(F.col("requested_model")).alias("upstream_model"))
+
+
+NO_OPUS_POLICY = ModelPolicy(no_opus=True, no_opus_target="claude-sonnet-4.6")
+
+
+@query("map_model_no_opus")
+def q_map_model_no_opus(spark, d):
+    raw = usage_raw(spark, d)
+    m = F.col("requested_model")
+    return raw.select("request_id", "requested_model",
+                      map_model_name(m, NO_OPUS_POLICY).alias("upstream_model"),
+                      downgraded(m, NO_OPUS_POLICY).alias("downgraded"),
+                      downgrade_to(m, NO_OPUS_POLICY).alias("downgrade_to"))
+
+
+# --- request projections (P-10, P-16, P-19) ----------------------------------
+@query("parse_user_id")
+def q_parse_user_id(spark, d):
+    raw = usage_raw(spark, d)
+    ids = parse_user_id(F.col("user_id_raw"))
+    return raw.select("request_id", ids["session_id"].alias("session_id"),
+                      ids["account_id"].alias("account_id"))
+
+
+@query("beta_split")
+def q_beta_split(spark, d):
+    raw = usage_raw(spark, d)
+    b = F.col("beta_requested")
+    return raw.select("request_id", beta_stripped(b).alias("beta_stripped"),
+                      beta_forwarded(b).alias("beta_forwarded"))
+
+
+@query("usage_fold")
+def q_usage_fold(spark, d):
+    return fact_table(spark, d).select(
+        "request_id", "upstream_model", "input_tokens", "output_tokens", "cache_read_tokens",
+        "cache_creation_tokens", "total_tokens", "cache_hit_ratio", "est_cost_micro_usd",
+        "est_anthropic_cost_usd", "copilot_premium_multiplier", "ttft_ms",
+        "output_tokens_per_sec", "tavily_cost_usd")
+
+
+@query("error_features")
+def q_error_features(spark, d):
+    return fact_table(spark, d).select("request_id", "route", "status", "error_type", "completed",
+                                       "upstream_host", "beta_stripped")
+
+
+# --- search spend (A-18, W-1, J-5) ----------------------------------------------
+@query("search_spend_daily")
+def q_search_spend_daily(spark, d):
+    return spend.daily_search_spend(fact_table(spark, d))
+
+
+@query("search_spend_running")
+def q_search_spend_running(spark, d):
+    return spend.running_search_spend(fact_table(spark, d))
 
 
-def fact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telemetry_from_events(read_table(spark, sf_dir, "events"))
+# --- model catalog (A-9, A-10) ----------------------------------------------------
+@query("latest_model_per_tier")
+def q_latest_model_per_tier(spark, d):
+    return catalog.latest_per_tier(catalog.observed_catalog(fact_table(spark, d)))
 
 
-QUERIES: dict[str, QueryFn] = {
-    "usage_by_session": lambda s, d: reports.usage_by_session(fact_table(s, d)),
-    "cache_ratio_by_day": lambda s, d: reports.cache_ratio_by_day(fact_table(s, d)),
-    "cost_by_model": lambda s, d: reports.cost_by_model(fact_table(s, d)),
-    "throughput_by_model": lambda s, d: reports.throughput_by_model(fact_table(s, d)),
-    "totals": lambda s, d: reports.totals(fact_table(s, d)),
-}
+@query("family_map")
+def q_family_map(spark, d):
+    return catalog.family_map(catalog.observed_catalog(fact_table(spark, d)))
