@@ -267,3 +267,72 @@ SELECT concat('claude-', tier) AS alias, id AS model_id FROM (
   SELECT *, row_number() OVER (PARTITION BY tier ORDER BY major DESC, minor DESC, bare DESC,
                                 first_ts ASC) AS rn FROM parsed WHERE tier <> 'opus') WHERE rn = 1
 """.replace("\n, ", ", ", 1))
+
+# B3: content blocks from conversations.
+B3_BLOCKS = """
+SELECT conv_id, turn, role, 0 AS block_idx, 'text' AS type, text, CAST(NULL AS VARCHAR) AS tool_id, CAST(NULL AS VARCHAR) AS tool_name, CAST(NULL AS VARCHAR) AS file_path FROM conversations
+UNION ALL SELECT conv_id, turn, role, 1, 'tool_use', CAST(NULL AS VARCHAR), concat('tu_', CAST(conv_id AS VARCHAR), '_', CAST(turn AS VARCHAR)),
+  CASE (conv_id + turn) % 3 WHEN 0 THEN 'Read' WHEN 1 THEN 'Bash' ELSE 'Grep' END,
+  CASE WHEN (conv_id + turn) % 3 = 0 THEN concat('/src/f', CAST(conv_id % 7 AS VARCHAR), '.py') END
+FROM conversations WHERE role = 'assistant' AND conv_id % 2 = 0
+UNION ALL SELECT conv_id, turn, role, 2, 'tool_result', text, concat('tu_', CAST(conv_id AS VARCHAR), '_', CAST(turn - 1 AS VARCHAR)), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)
+FROM conversations WHERE role = 'user' AND turn > 0 AND conv_id % 2 = 0
+"""
+
+
+def with_blocks(body: str) -> str:
+    return f"WITH blocks AS ({B3_BLOCKS})\n{body}"
+
+
+ORACLES["role_counts"] = """
+SELECT conv_id, coalesce(role, '?') AS role, count(*) AS n FROM conversations GROUP BY 1, 2
+"""
+
+ORACLES["last_user_message"] = """
+WITH l AS (SELECT conv_id, arg_max(text, turn) AS t FROM conversations WHERE role = 'user' GROUP BY 1)
+SELECT conv_id, substr(t, 1, 500) AS last_user_message,
+  CASE WHEN length(t) > 80 THEN concat(replace(substr(t, 1, 80), chr(10), ' '), '...')
+       ELSE replace(t, chr(10), ' ') END AS preview
+FROM l
+"""
+
+ORACLES["tool_use_counts"] = with_blocks("""
+SELECT conv_id, coalesce(tool_name, '?') AS tool_name, count(*) AS uses
+FROM blocks WHERE type = 'tool_use' GROUP BY 1, 2
+""")
+
+ORACLES["tool_use_summary"] = with_blocks("""
+, c AS (SELECT conv_id, coalesce(tool_name, '?') AS tool_name, count(*) AS uses
+        FROM blocks WHERE type = 'tool_use' GROUP BY 1, 2)
+SELECT conv_id, string_agg(concat(tool_name, '(', CAST(uses AS VARCHAR), ')'), ' ' ORDER BY tool_name)
+  AS tool_uses FROM c GROUP BY 1
+""".replace("\n, ", ", ", 1))
+
+ORACLES["read_paths"] = with_blocks("""
+SELECT conv_id, string_agg(file_path, chr(10) ORDER BY turn, block_idx) AS read_paths
+FROM blocks WHERE type = 'tool_use' AND tool_name = 'Read' AND file_path IS NOT NULL AND file_path <> ''
+GROUP BY 1
+""")
+
+_PAIRS = """
+SELECT u.conv_id, u.tool_id, u.tool_name, u.turn AS use_turn, r.turn AS result_turn
+FROM (SELECT * FROM blocks WHERE type = 'tool_use') u
+LEFT JOIN (SELECT * FROM blocks WHERE type = 'tool_result') r
+  ON u.conv_id = r.conv_id AND u.tool_id = r.tool_id
+"""
+ORACLES["tool_pairing"] = with_blocks(_PAIRS)
+ORACLES["tool_pairing_summary"] = with_blocks(f"""
+SELECT tool_name, count(*) AS uses, count(result_turn) AS results FROM ({_PAIRS}) p GROUP BY 1
+""")
+
+# SSE facts equal the columns the captures were generated from (bridge B4).
+ORACLES["sse_facts"] = """
+SELECT conv_id, turn, coalesce(text, '') AS text, conv_id * 10 + turn AS input_tokens,
+  length(coalesce(text, '')) AS output_tokens, CAST(NULL AS BIGINT) AS cache_read_input_tokens,
+  CASE WHEN conv_id % 2 = 0 THEN 'tool_use' ELSE 'end_turn' END AS stop_reason,
+  concat('msg_', CAST(conv_id AS VARCHAR), '_', CAST(turn AS VARCHAR)) AS message_id,
+  CASE WHEN conv_id % 2 = 0 THEN CASE (conv_id + turn) % 3 WHEN 0 THEN 'Read' WHEN 1 THEN 'Bash'
+       ELSE 'Grep' END ELSE '' END AS tool_names,
+  (conv_id + turn) % 11 <> 0 AS completed
+FROM conversations WHERE role = 'assistant'
+"""

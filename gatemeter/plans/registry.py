@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gatemeter.functions.models import ModelPolicy, downgrade_to, downgraded, map_model_name
 from gatemeter.functions.requests import beta_forwarded, beta_stripped, parse_user_id
-from gatemeter.operators import catalog, spend
+from gatemeter.operators import catalog, messages, spend, sse
 from gatemeter.operators.telemetry import telemetry_from_events
 from gatemeter.plans import reports
 from gatemeter.sources import bridges
@@ -137,3 +137,56 @@ def q_latest_model_per_tier(spark, d):
 @query("family_map")
 def q_family_map(spark, d):
     return catalog.family_map(catalog.observed_catalog(fact_table(spark, d)))
+
+
+# --- conversations and content blocks (A-6, A-7, W-5, P-25, J-6) ---------------
+def conversations(spark, d):
+    return read_table(spark, d, "conversations")
+
+
+def content_blocks(spark, d):
+    return bridges.blocks(conversations(spark, d))
+
+
+@query("role_counts")
+def q_role_counts(spark, d):
+    return messages.role_counts(conversations(spark, d))
+
+
+@query("last_user_message")
+def q_last_user_message(spark, d):
+    return messages.last_user_message(conversations(spark, d))
+
+
+@query("tool_use_counts")
+def q_tool_use_counts(spark, d):
+    return messages.tool_use_counts(content_blocks(spark, d))
+
+
+@query("tool_use_summary")
+def q_tool_use_summary(spark, d):
+    return messages.tool_use_summary(content_blocks(spark, d))
+
+
+@query("read_paths")
+def q_read_paths(spark, d):
+    return messages.read_paths(content_blocks(spark, d))
+
+
+@query("tool_pairing")
+def q_tool_pairing(spark, d):
+    return messages.tool_pairs(content_blocks(spark, d))
+
+
+@query("tool_pairing_summary")
+def q_tool_pairing_summary(spark, d):
+    return messages.tool_pair_summary(content_blocks(spark, d))
+
+
+# --- SSE captures (SRC-4, A-11..A-16) -------------------------------------------
+@query("sse_facts")
+def q_sse_facts(spark, d):
+    f = sse.facts_from_raw(bridges.sse_raw(conversations(spark, d)), ["conv_id", "turn"])
+    return f.select("conv_id", "turn", "text", "input_tokens", "output_tokens",
+                    "cache_read_input_tokens", "stop_reason", "message_id",
+                    F.array_join("tool_names", ",").alias("tool_names"), "completed")

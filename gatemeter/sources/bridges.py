@@ -148,5 +148,73 @@ def title_jsonl_lines(conversations: DataFrame) -> DataFrame:
     return titles.unionByName(msgs)
 
 
+def _tool_name_for(conv: Column, turn: Column) -> Column:
+    return _cycle(TOOL_NAME_CYCLE, (conv + turn) % 3)
+
+
+MALFORMED_DATA_LINE = 'data: {"type": "content_block_delta", "index": 0, "delta": {"type": "text_d\n\n'
+SSE_PIECE_CHARS = 64
+
+
+def sse_raw(conversations: DataFrame) -> DataFrame:
+    """B4: a captured message event stream per assistant turn ``(conv_id, turn, raw)``.
+
+    The text is cut into 64-character ``text_delta`` events; every 13th
+    delta is followed by a malformed data line; a ``tool_use`` block is added
+    for even conversations; ``message_stop`` is missing when
+    ``(conv_id + turn) % 11 = 0`` (a truncated stream).
+    """
+    from gatemeter.functions.sse import format_sse
+
+    c = conversations.where(F.col("role") == "assistant")
+    conv, turn = F.col("conv_id"), F.col("turn")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    n = F.ceil(F.char_length(text) / SSE_PIECE_CHARS).cast("int")
+    idx = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def ev(name: str, payload: Column) -> Column:
+        return format_sse(F.lit(name), F.to_json(payload))
+
+    start = ev("message_start", F.struct(
+        F.lit("message_start").alias("type"),
+        F.struct(F.concat(F.lit("msg_"), _s(conv), F.lit("_"), _s(turn)).alias("id"),
+                 F.lit("message").alias("type"), F.lit("assistant").alias("role"),
+                 F.lit("claude-sonnet-4.6").alias("model"),
+                 F.array().cast("array<string>").alias("content"),
+                 F.struct((conv * 10 + turn).alias("input_tokens"),
+                          F.lit(0).alias("output_tokens")).alias("usage")).alias("message")))
+    block_start = ev("content_block_start", F.struct(
+        F.lit("content_block_start").alias("type"), F.lit(0).alias("index"),
+        F.struct(F.lit("text").alias("type"), F.lit("").alias("text")).alias("content_block")))
+    deltas = F.array_join(F.transform(idx, lambda i: F.concat(
+        ev("content_block_delta", F.struct(
+            F.lit("content_block_delta").alias("type"), F.lit(0).alias("index"),
+            F.struct(F.lit("text_delta").alias("type"),
+                     F.substring(text, i * SSE_PIECE_CHARS + 1, F.lit(SSE_PIECE_CHARS)).alias("text")
+                     ).alias("delta"))),
+        F.when(i % 13 == 12, F.lit(MALFORMED_DATA_LINE)).otherwise(F.lit("")))), "")
+    block_stop = ev("content_block_stop", F.struct(
+        F.lit("content_block_stop").alias("type"), F.lit(0).alias("index")))
+    has_tool = conv % 2 == 0
+    tool = F.when(has_tool, F.concat(
+        ev("content_block_start", F.struct(
+            F.lit("content_block_start").alias("type"), F.lit(1).alias("index"),
+            F.struct(F.lit("tool_use").alias("type"),
+                     F.concat(F.lit("tu_"), _s(conv), F.lit("_"), _s(turn)).alias("id"),
+                     _tool_name_for(conv, turn).alias("name")).alias("content_block"))),
+        ev("content_block_stop", F.struct(
+            F.lit("content_block_stop").alias("type"), F.lit(1).alias("index"))))
+    ).otherwise(F.lit(""))
+    delta = ev("message_delta", F.struct(
+        F.lit("message_delta").alias("type"),
+        F.struct(F.when(has_tool, F.lit("tool_use")).otherwise(F.lit("end_turn")).alias("stop_reason"))
+        .alias("delta"),
+        F.struct(F.char_length(text).alias("output_tokens")).alias("usage")))
+    stop = F.when((conv + turn) % 11 != 0,
+                  ev("message_stop", F.struct(F.lit("message_stop").alias("type")))).otherwise(F.lit(""))
+    raw = F.concat(start, block_start, deltas, block_stop, tool, delta, stop)
+    return c.select("conv_id", "turn", raw.alias("raw"))
+
+
 __all__ = ["usage_raw", "calls_from_usage_raw", "blocks", "title_lines", "title_jsonl_lines",
            "REQUESTED_MODEL_CYCLE", "fixed"]
