@@ -51,13 +51,15 @@ def _map_literal(d: dict) -> Column:
 
 
 def strip_bracket_suffix(model: Column) -> Column:
-    """``claude-opus-4-6[1m]`` -> ``claude-opus-4-6``."""
-    return F.regexp_replace(model, _BRACKET_SUFFIX, "")
+    """``claude-opus-4-6[1m]`` -> ``claude-opus-4-6`` (regex only when it ends in ``]``)."""
+    return F.when(model.endswith("]"), F.regexp_replace(model, _BRACKET_SUFFIX, "")).otherwise(model)
 
 
 def strip_date_suffix(model: Column) -> Column:
-    """``claude-opus-4-6-20260312`` -> ``claude-opus-4-6``."""
-    return F.regexp_replace(model, _DATE_SUFFIX, "")
+    """``claude-opus-4-6-20260312`` -> ``claude-opus-4-6`` (regex only when a
+    ``-`` sits nine characters from the end)."""
+    return F.when(F.substring(model, -9, 1) == "-",
+                  F.regexp_replace(model, _DATE_SUFFIX, "")).otherwise(model)
 
 
 def is_opus_name(stripped: Column) -> Column:
@@ -76,9 +78,16 @@ def map_model_name(model: Column, policy: ModelPolicy | None = None) -> Column:
     map; ``claude-<tier>-<maj>-<min>`` -> ``<maj>.<min>``; family alias;
     otherwise the bracket-stripped (date kept) input.
     """
-    policy = policy or ModelPolicy()
     bare = strip_bracket_suffix(model)
-    stripped = strip_date_suffix(bare)
+    return map_model_from_parts(model, bare, strip_date_suffix(bare), policy)
+
+
+def map_model_from_parts(model: Column, bare: Column, stripped: Column,
+                         policy: ModelPolicy | None = None) -> Column:
+    """P-1 over precomputed ``bare`` (brackets stripped) and ``stripped`` (date
+    stripped too).  Pass columns computed in an earlier ``select`` so the
+    regexes run once per row instead of once per CASE branch."""
+    policy = policy or ModelPolicy()
     static = F.element_at(_map_literal(policy.static_map), stripped)
     family = F.element_at(_map_literal(policy.family_map), stripped)
     dotted = F.regexp_replace(stripped, _TIER_MAJOR_MINOR, "$1.$2")
@@ -92,6 +101,13 @@ def map_model_name(model: Column, policy: ModelPolicy | None = None) -> Column:
     )
 
 
+def with_model_parts(df, model_col: str, prefix: str = "_m"):
+    """Add ``<prefix>_bare`` and ``<prefix>_stripped`` columns (two projections,
+    so each regex is evaluated once per row)."""
+    df = df.withColumn(f"{prefix}_bare", strip_bracket_suffix(F.col(model_col)))
+    return df.withColumn(f"{prefix}_stripped", strip_date_suffix(F.col(f"{prefix}_bare")))
+
+
 def is_claude_model(model: Column) -> Column:
     """P-3."""
     return model.startswith("claude-")

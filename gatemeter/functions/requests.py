@@ -24,15 +24,30 @@ def parse_user_id(user_id: Column) -> Column:
     ``device_id``); anything else, including JSON that does not parse, is
     matched against the legacy underscore form.  Empty values are missing.
     """
-    s = pystrip(user_id)
-    obj = F.from_json(s, "map<string,string>")
-    json_ok = s.startswith("{") & obj.isNotNull()
+    return parse_user_id_stripped(pystrip(user_id))
+
+
+def user_id_object(s: Column) -> Column:
+    """The JSON form of a stripped user id as a map; null unless it looks like
+    an object (only JSON-looking values reach the parser)."""
+    return F.from_json(F.when(s.startswith("{"), s), "map<string,string>")
+
+
+def parse_user_id_stripped(s: Column, obj: Column | None = None) -> Column:
+    """P-10 over an already whitespace-stripped value.  When the result feeds
+    several columns, compute the strip and :func:`user_id_object` in an
+    earlier projection and pass both."""
+    looks_json = s.startswith("{")
+    obj = user_id_object(s) if obj is None else obj
+    json_ok = looks_json & obj.isNotNull()
     sess_json = blank_to_null(F.element_at(obj, F.lit("session_id")))
     acct_json = F.coalesce(blank_to_null(F.element_at(obj, F.lit("account_uuid"))),
                            blank_to_null(F.element_at(obj, F.lit("device_id"))))
-    rx_ok = F.coalesce(s.rlike(USER_ID_PATTERN), F.lit(False))
-    sess_rx = F.when(rx_ok, blank_to_null(F.regexp_extract(s, USER_ID_PATTERN, 2)))
-    acct_rx = F.when(rx_ok, blank_to_null(F.regexp_extract(s, USER_ID_PATTERN, 1)))
+    # group 2 is ``.+``: a match always yields a non-empty session, so an empty
+    # extract means no match (and the account is then missing as well)
+    has_marker = s.contains("_session_")
+    sess_rx = F.when(has_marker, blank_to_null(F.regexp_extract(s, USER_ID_PATTERN, 2)))
+    acct_rx = F.when(sess_rx.isNotNull(), blank_to_null(F.regexp_extract(s, USER_ID_PATTERN, 1)))
     return F.struct(
         F.when(json_ok, sess_json).otherwise(sess_rx).alias("session_id"),
         F.when(json_ok, acct_json).otherwise(acct_rx).alias("account_id"),

@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from gatemeter import fixed
 
-# Whitespace as Python str.strip() sees it (T4); Java regex syntax.
-_WS = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+# Characters Python's str.strip() removes (str.isspace), built from code points.
+_PY_SPACE_CODES = (list(range(0x09, 0x0E)) + list(range(0x1C, 0x21)) + [0x85, 0xA0, 0x1680]
+                   + list(range(0x2000, 0x200B)) + [0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+PY_WHITESPACE = "".join(chr(c) for c in _PY_SPACE_CODES)
 
 
 def pystrip(s: Column) -> Column:
-    """Remove leading/trailing whitespace of every kind, not only spaces."""
-    return F.regexp_replace(s, rf"^{_WS}+|{_WS}+$", "")
+    """Remove leading/trailing whitespace of every kind (T4), not only spaces.
+
+    ``btrim`` with an explicit character set runs as a JVM character loop.
+    """
+    return F.btrim(s, F.lit(PY_WHITESPACE))
 
 
 def blank_to_null(s: Column) -> Column:

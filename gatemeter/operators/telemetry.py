@@ -26,9 +26,12 @@ from pyspark.sql import types as T
 
 from gatemeter import fixed
 from gatemeter.functions import usage as U
-from gatemeter.functions.models import ModelPolicy, downgrade_to, downgraded, map_model_name
-from gatemeter.functions.requests import beta_stripped, http_error_type, parse_user_id
-from gatemeter.sources.prices import price_table, search_price_table
+from gatemeter.functions.models import (ModelPolicy, downgrade_to, downgraded,
+                                       map_model_from_parts, with_model_parts)
+from gatemeter.functions.requests import (beta_stripped, http_error_type,
+                                         parse_user_id_stripped, user_id_object)
+from gatemeter.functions.text import pystrip
+from gatemeter.sources.prices import price_table
 
 TELEMETRY_SCHEMA = T.StructType([
     T.StructField("request_id", T.StringType(), False),
@@ -95,6 +98,13 @@ def _opt(df: DataFrame, name: str, default: Column) -> Column:
     return F.col(name) if name in df.columns else default
 
 
+def _map_lit(d: dict) -> Column:
+    items = []
+    for k, v in d.items():
+        items += [F.lit(k), F.lit(v)]
+    return F.create_map(*items)
+
+
 def _typed_null(t: T.DataType) -> Column:
     return F.lit(None).cast(t)
 
@@ -107,14 +117,20 @@ def build_telemetry(calls: DataFrame, policy: ModelPolicy | None = None,
     spark: SparkSession = calls.sparkSession
     prices = prices if prices is not None else price_table(spark)
 
+    # Stage the per-row string work once: model-name parts and the stripped
+    # user id are separate projections, so no regex runs once per CASE branch.
+    calls = with_model_parts(calls, "requested_model").withColumn(
+        "_uid", pystrip(F.col("user_id_raw")))
+    calls = calls.withColumn("_uobj", user_id_object(F.col("_uid")))
     route = F.col("route")
     req_model = F.col("requested_model")
     # search calls keep the client's model name (T9); others are canonicalised
-    upstream = F.when(route == "tavily", req_model).otherwise(map_model_name(req_model, policy))
+    upstream = F.when(route == "tavily", req_model).otherwise(
+        map_model_from_parts(req_model, F.col("_m_bare"), F.col("_m_stripped"), policy))
     host = (F.when(route == "tavily", F.lit(fixed.SEARCH_UPSTREAM_HOST))
             .when(route == "openai", F.lit(policy.upstream_base_url))
             .otherwise(F.lit(fixed.NATIVE_UPSTREAM_HOST)))
-    ids = parse_user_id(F.col("user_id_raw"))
+    ids = parse_user_id_stripped(F.col("_uid"), F.col("_uobj"))
 
     inp = U.nz(F.col("input_tokens"))
     out = U.nz(F.col("output_tokens"))
@@ -156,18 +172,18 @@ def build_telemetry(calls: DataFrame, policy: ModelPolicy | None = None,
         _opt(calls, "search_depth", F.lit(search_depth)).alias("_depth"),
     )
 
-    # Dimension lookups: both price lists are fixed-size, broadcast explicitly.
-    priced = (staged
-              .join(F.broadcast(prices), staged["upstream_model"] == prices["price_model"], "left")
-              .join(F.broadcast(search_price_table(spark)),
-                    F.col("_depth") == F.col("search_depth"), "left"))
+    # J-1: the price list is a fixed-size dimension (one row per priced model),
+    # broadcast explicitly.  J-5: the per-depth search price is a two-entry map.
+    priced = staged.join(F.broadcast(prices), staged["upstream_model"] == prices["price_model"],
+                         "left")
+    depth_price = F.element_at(_map_lit(fixed.SEARCH_PRICES), F.col("_depth"))
 
     micro = F.when(F.col("price_model").isNotNull(), U.micro_usd(U.cost_e8(
         F.col("_in"), F.col("_out"), F.col("_cr"), F.col("_cw"),
         F.col("in_c"), F.col("out_c"), F.col("cache_read_c"), F.col("cache_write_c"),
     ))).otherwise(F.lit(0).cast("long"))
     search_cost = F.when((F.col("route") == "tavily") & (F.col("status") == 200),
-                         F.coalesce(F.col("search_price_usd"), F.lit(fixed.SEARCH_PRICE_DEFAULT))
+                         F.coalesce(depth_price, F.lit(fixed.SEARCH_PRICE_DEFAULT))
                          ).otherwise(F.lit(0.0))
 
     fact = priced.select(
@@ -225,11 +241,7 @@ def attach_body_features(fact: DataFrame, features: DataFrame) -> DataFrame:
     for name in TELEMETRY_COLUMNS + EXTRA_COLUMNS:
         b = f"_b_{name}"
         if b in feats.columns:
-            if name in ("n_messages", "max_tokens", "temperature", "top_p", "top_k",
-                        "thinking_budget", "req_bytes"):
-                cols.append(F.coalesce(F.col(b), F.col(name)).alias(name))
-            else:
-                cols.append(F.coalesce(F.col(b), F.col(name)).alias(name))
+            cols.append(F.coalesce(F.col(b), F.col(name)).alias(name))
         else:
             cols.append(F.col(name))
     return joined.select(*cols)

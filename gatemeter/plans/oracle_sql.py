@@ -336,3 +336,24 @@ SELECT conv_id, turn, coalesce(text, '') AS text, conv_id * 10 + turn AS input_t
   (conv_id + turn) % 11 <> 0 AS completed
 FROM conversations WHERE role = 'assistant'
 """
+
+B7_TITLES = """
+SELECT concat('c', CAST(conv_id AS VARCHAR)) AS session_id, turn * 2 AS line_no, 'ai-title' AS kind, concat('ai ', CAST(conv_id AS VARCHAR), '.', CAST(turn AS VARCHAR)) AS title FROM conversations WHERE turn % 3 = 1
+UNION ALL SELECT concat('c', CAST(conv_id AS VARCHAR)), turn * 2 + 1, 'custom-title', CASE WHEN conv_id % 10 = 0 THEN '  ' ELSE concat(' custom ', CAST(conv_id AS VARCHAR), '.', CAST(turn AS VARCHAR), ' ') END
+FROM conversations WHERE conv_id % 5 = 0 AND turn >= 2
+"""
+_TITLES = f"""
+b7 AS ({B7_TITLES}),
+v AS (SELECT session_id, line_no, kind, trim(title) AS title FROM b7 WHERE trim(title) <> ''),
+titles AS (
+  SELECT session_id,
+    coalesce(arg_max(title, line_no) FILTER (WHERE kind = 'custom-title'),
+             arg_max(title, line_no) FILTER (WHERE kind = 'ai-title')) AS session_name
+  FROM v GROUP BY 1)
+"""
+ORACLES["session_titles"] = f"WITH {_TITLES} SELECT session_id, session_name FROM titles"
+ORACLES["requests_with_titles"] = f"""WITH {_TITLES}, ev AS (
+  SELECT concat('req_', CAST(event_id AS VARCHAR)) AS request_id,
+         concat('c', CAST(event_id % 100 AS VARCHAR)) AS session_id FROM events)
+SELECT ev.request_id, ev.session_id, t.session_name FROM ev LEFT JOIN titles t USING (session_id)
+"""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gatemeter.functions.models import ModelPolicy, downgrade_to, downgraded, map_model_name
 from gatemeter.functions.requests import beta_forwarded, beta_stripped, parse_user_id
-from gatemeter.operators import catalog, messages, spend, sse
+from gatemeter.operators import catalog, messages, sessions, spend, sse
 from gatemeter.operators.telemetry import telemetry_from_events
 from gatemeter.plans import reports
 from gatemeter.sources import bridges
@@ -190,3 +190,18 @@ def q_sse_facts(spark, d):
     return f.select("conv_id", "turn", "text", "input_tokens", "output_tokens",
                     "cache_read_input_tokens", "stop_reason", "message_id",
                     F.array_join("tool_names", ",").alias("tool_names"), "completed")
+
+
+# --- session titles (SRC-3, A-8, J-2) -------------------------------------------
+@query("session_titles")
+def q_session_titles(spark, d):
+    return sessions.session_titles(bridges.title_jsonl_lines(conversations(spark, d)))
+
+
+@query("requests_with_titles")
+def q_requests_with_titles(spark, d):
+    titles = sessions.session_titles(bridges.title_jsonl_lines(conversations(spark, d)))
+    fact = fact_table(spark, d)
+    calls = fact.select("request_id", bridges.transcript_session_of(F.col("request_id"))
+                        .alias("session_id"), "session_name")
+    return sessions.attach_titles(calls, titles)

@@ -85,6 +85,13 @@ def calls_from_usage_raw(raw: DataFrame) -> DataFrame:
     )
 
 
+def transcript_session_of(request_id: Column) -> Column:
+    """B2's association: call ``req_<n>`` carries conversation ``n % 100``,
+    whose transcript session is ``c<conv_id>``."""
+    eid = F.substring(request_id, 5, 1 << 20).cast("long")
+    return F.concat(F.lit("c"), _s(eid % 100))
+
+
 def blocks(conversations: DataFrame) -> DataFrame:
     """B3: normalised content blocks (text, tool_use, tool_result) per turn."""
     c = conversations

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gatemeter import fixed
@@ -22,11 +23,19 @@ def _c(x: float) -> int:
     return int(round(x * 100))
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A small constant table built from literals on the JVM side (a local
+    relation; no Python worker and no RDD)."""
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, schema.fields)])
+               for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def price_table(spark: SparkSession, prices: dict | None = None) -> DataFrame:
     """One row per priced model.  Its size is the size of the price list."""
     prices = fixed.PRICES if prices is None else prices
     rows = [(m, _c(p[0]), _c(p[1]), _c(p[2]), _c(p[3]), float(p[4])) for m, p in prices.items()]
-    return spark.createDataFrame(rows, PRICE_SCHEMA)
+    return literal_table(spark, rows, PRICE_SCHEMA)
 
 
 SEARCH_PRICE_SCHEMA = T.StructType([
@@ -37,4 +46,4 @@ SEARCH_PRICE_SCHEMA = T.StructType([
 
 def search_price_table(spark: SparkSession, prices: dict | None = None) -> DataFrame:
     prices = fixed.SEARCH_PRICES if prices is None else prices
-    return spark.createDataFrame(list(prices.items()), SEARCH_PRICE_SCHEMA)
+    return literal_table(spark, list(prices.items()), SEARCH_PRICE_SCHEMA)
