@@ -357,3 +357,68 @@ ORACLES["requests_with_titles"] = f"""WITH {_TITLES}, ev AS (
          concat('c', CAST(event_id % 100 AS VARCHAR)) AS session_id FROM events)
 SELECT ev.request_id, ev.session_id, t.session_name FROM ev LEFT JOIN titles t USING (session_id)
 """
+
+# B2 request bodies, restated as the features its rules produce.
+_B2_FEATURES = """
+b2 AS (
+  SELECT concat('req_', CAST(e.event_id AS VARCHAR)) AS request_id, e.event_id AS n,
+    coalesce(m.n_messages, 0) AS n_messages,
+    CAST(CASE WHEN e.event_id % 9 = 0
+              THEN length(concat('[{"type": "text", "text": "sys ', CAST(e.event_id % 1000 AS VARCHAR),
+                                 '", "cache_control": {"type": "ephemeral", "scope": "turn"}}]'))
+              WHEN e.event_id % 2 = 0
+              THEN length(concat('You are agent ', CAST(e.event_id % 1000 AS VARCHAR), '.'))
+              ELSE 0 END AS INTEGER) AS system_bytes,
+    CAST(CASE WHEN e.event_id % 17 = 0 THEN 1 WHEN e.event_id % 3 = 1 THEN 2 ELSE 0 END AS INTEGER)
+      AS tool_count,
+    CASE WHEN e.event_id % 17 = 0 THEN 'web_search' WHEN e.event_id % 3 = 1 THEN 'Read,Bash' ELSE '' END
+      AS tool_names,
+    CAST(1024 * (1 + e.event_id % 8) AS INTEGER) AS max_tokens,
+    CASE WHEN e.event_id % 7 = 0 THEN CAST(0.5 AS DOUBLE) END AS temperature,
+    CASE WHEN e.event_id % 11 = 0 THEN CAST(0.9 AS DOUBLE) END AS top_p,
+    CASE WHEN e.event_id % 13 = 0 THEN CAST(40 AS INTEGER) END AS top_k,
+    e.event_id % 8 = 1 AS thinking_enabled,
+    CASE WHEN e.event_id % 8 = 1 THEN CAST(1024 AS INTEGER) END AS thinking_budget,
+    e.event_id % 4 <> 0 AS stream,
+    e.event_id % 17 = 0 AS search_only,
+    CASE WHEN e.event_id % 6 = 0 THEN 'zz_beta' ELSE '' END AS unknown_fields,
+    lq.last_text AS last_text
+  FROM events e
+  LEFT JOIN (SELECT conv_id, count(*) AS n_messages FROM conversations
+             WHERE conv_id >= 0 AND conv_id < 100 GROUP BY 1) m ON e.event_id % 100 = m.conv_id
+  LEFT JOIN (SELECT conv_id, arg_max(text, turn) AS last_text FROM conversations
+             WHERE conv_id >= 0 AND conv_id < 100 GROUP BY 1) lq ON e.event_id % 100 = lq.conv_id
+  WHERE e.event_id % 251 <> 7)
+"""
+
+ORACLES["request_features"] = f"""WITH {_B2_FEATURES}
+SELECT request_id, n_messages, system_bytes, tool_count, tool_names, max_tokens, temperature,
+  top_p, top_k, thinking_enabled, thinking_budget, stream, search_only FROM b2
+"""
+
+ORACLES["unknown_fields"] = f"WITH {_B2_FEATURES} SELECT request_id, unknown_fields FROM b2"
+
+ORACLES["search_query"] = f"""WITH {_B2_FEATURES}
+SELECT request_id, coalesce(trim(last_text, ' \t\n\r\x0b\x0c'), '') AS search_query
+FROM b2 WHERE search_only
+"""
+
+ORACLES["body_rejects"] = """
+SELECT concat('req_', CAST(event_id AS VARCHAR)) AS request_id, 'invalid_json' AS reject_reason
+FROM events WHERE event_id % 251 = 7
+"""
+
+ORACLES["normalise_bodies"] = with_raw(f"""
+SELECT request_id, requested_model AS original_model,
+  {map_model_sql('requested_model')} AS model,
+  NOT (CAST(substr(request_id, 5) AS BIGINT) % 10 = 8 AND CAST(substr(request_id, 5) AS BIGINT) % 6 <> 0
+       AND CAST(substr(request_id, 5) AS BIGINT) % 9 <> 0) AS modified
+FROM usage_raw WHERE CAST(substr(request_id, 5) AS BIGINT) % 251 <> 7
+""")
+
+ORACLES["shape_by_model"] = with_fact(f""", {_B2_FEATURES}
+SELECT f.upstream_model, count(*) AS calls, sum(b.n_messages) AS messages,
+  sum(coalesce(b.tool_count, 0)) AS tools, sum(coalesce(b.system_bytes, 0)) AS system_bytes,
+  count(*) FILTER (WHERE b.thinking_enabled) AS thinking_calls, sum(b.max_tokens) AS max_tokens
+FROM fact f LEFT JOIN b2 b USING (request_id) GROUP BY 1
+""".replace("\n, ", ", ", 1))

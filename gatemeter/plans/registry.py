@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from gatemeter.functions.models import ModelPolicy, downgrade_to, downgraded, map_model_name
 from gatemeter.functions.requests import beta_forwarded, beta_stripped, parse_user_id
-from gatemeter.operators import catalog, messages, sessions, spend, sse
-from gatemeter.operators.telemetry import telemetry_from_events
+from gatemeter.operators import bodies, catalog, messages, sessions, spend, sse
+from gatemeter.operators.telemetry import build_telemetry, telemetry_from_events
 from gatemeter.plans import reports
 from gatemeter.sources import bridges
 from gatemeter.sources.tables import read_table
@@ -205,3 +205,55 @@ def q_requests_with_titles(spark, d):
     calls = fact.select("request_id", bridges.transcript_session_of(F.col("request_id"))
                         .alias("session_id"), "session_name")
     return sessions.attach_titles(calls, titles)
+
+
+# --- request bodies (SRC-5, SRC-8, P-5..P-8, P-11, P-12, P-20, P-21) -------------
+def request_bodies(spark, d):
+    return bridges.request_bodies(read_table(spark, d, "events"), conversations(spark, d))
+
+
+@query("request_features")
+def q_request_features(spark, d):
+    f = bodies.body_features(request_bodies(spark, d))
+    return f.select("request_id", "n_messages", "system_bytes", "tool_count",
+                    F.array_join("tool_names", ",").alias("tool_names"), "max_tokens",
+                    "temperature", "top_p", "top_k", "thinking_enabled", "thinking_budget",
+                    "stream", "search_only")
+
+
+@query("unknown_fields")
+def q_unknown_fields(spark, d):
+    u = bodies.unknown_body_fields(request_bodies(spark, d))
+    return u.select("request_id", F.array_join("unknown_fields", ",").alias("unknown_fields"))
+
+
+@query("search_query")
+def q_search_query(spark, d):
+    return bodies.search_query(request_bodies(spark, d))
+
+
+@query("body_rejects")
+def q_body_rejects(spark, d):
+    return bodies.body_rejects(request_bodies(spark, d)).select("request_id", "reject_reason")
+
+
+@query("normalise_bodies")
+def q_normalise_bodies(spark, d):
+    n = bodies.normalise_bodies(request_bodies(spark, d))
+    return n.select("request_id", "original_model", "model", "modified")
+
+
+@query("shape_by_model")
+def q_shape_by_model(spark, d):
+    """The fact table with request-shape columns filled from the bodies."""
+    events = read_table(spark, d, "events")
+    feats = bodies.body_features(request_bodies(spark, d))
+    fact = build_telemetry(bridges.calls_from_usage_raw(bridges.usage_raw(events)),
+                           body_features=feats)
+    return (fact.groupBy("upstream_model")
+            .agg(F.count(F.lit(1)).alias("calls"),
+                 F.sum(F.col("n_messages").cast("long")).alias("messages"),
+                 F.sum(F.col("tool_count").cast("long")).alias("tools"),
+                 F.sum(F.col("system_bytes").cast("long")).alias("system_bytes"),
+                 F.count_if(F.col("thinking_enabled")).alias("thinking_calls"),
+                 F.sum(F.col("max_tokens").cast("long")).alias("max_tokens")))

@@ -92,6 +92,78 @@ def transcript_session_of(request_id: Column) -> Column:
     return F.concat(F.lit("c"), _s(eid % 100))
 
 
+BODY_CONVERSATIONS = 100  # B2 associates call req_<n> with conversation n % 100
+
+
+def conversation_messages(conversations: DataFrame) -> DataFrame:
+    """``(conv_id, messages)``: each conversation's turns as ``[{role, content}]``
+    in turn order.  Only conversations a call can reference (conv_id below
+    :data:`BODY_CONVERSATIONS`) are kept, so the result has at most that many
+    rows whatever the table size."""
+    c = conversations.where((F.col("conv_id") >= 0) & (F.col("conv_id") < BODY_CONVERSATIONS))
+    return (c.groupBy("conv_id")
+            .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("_t"))
+            .select("conv_id", F.transform("_t", lambda m: F.struct(
+                m["role"].alias("role"), m["text"].alias("content"))).alias("messages")))
+
+
+def request_bodies(events: DataFrame, conversations: DataFrame) -> DataFrame:
+    """B2: a landed request body per call ``(request_id, ts, body)``.
+
+    Rules on ``n = event_id``: messages of conversation ``n % 100``;
+    ``max_tokens = 1024 * (1 + n % 8)``; system as a block list with a
+    ``cache_control`` carrying an extra ``scope`` key when ``n % 9 = 0``, as a
+    string when ``n % 2 = 0``, else absent; a web-search-only tool list when
+    ``n % 17 = 0``, two client tools when ``n % 3 = 1``; thinking enabled
+    (budget 1024) when ``n % 8 = 1``, disabled when ``n % 8 = 5``;
+    temperature 0.5 when ``n % 7 = 0``; top_p 0.9 when ``n % 11 = 0``;
+    top_k 40 when ``n % 13 = 0``; ``metadata.user_id`` from B1; an unknown
+    field ``zz_beta`` when ``n % 6 = 0``; the body is cut in half (invalid
+    JSON) when ``n % 251 = 7``.
+
+    The conversation side has at most 100 rows (see
+    :func:`conversation_messages`), a bound set by the key rule, so it is
+    broadcast.
+    """
+    raw = usage_raw(events).select("request_id", "ts", "user_id_raw", "requested_model", "stream")
+    eid = F.substring(F.col("request_id"), 5, 1 << 20).cast("long")
+    uid_txt = F.coalesce(F.col("user_id_raw"), F.lit(""))
+    msgs = conversation_messages(conversations)
+    j = (raw.withColumn("_conv", eid % BODY_CONVERSATIONS).withColumn("_n", eid)
+         .join(F.broadcast(msgs), F.col("_conv") == msgs["conv_id"], "left"))
+    n = F.col("_n")
+    sys_list = F.concat(F.lit('[{"type": "text", "text": "sys '), _s(n % 1000),
+                        F.lit('", "cache_control": {"type": "ephemeral", "scope": "turn"}}]'))
+    sys_str = F.to_json(F.array(F.concat(F.lit("You are agent "), _s(n % 1000), F.lit("."))))
+    system = (F.when(n % 9 == 0, F.parse_json(sys_list))
+              .when(n % 2 == 0, F.try_variant_get(F.parse_json(sys_str), "$[0]", "variant")))
+    tools = (F.when(n % 17 == 0, F.parse_json(F.lit(
+        '[{"type": "web_search_20250305", "name": "web_search", "max_uses": 5}]')))
+        .when(n % 3 == 1, F.parse_json(F.lit(
+            '[{"name": "Read", "description": "read a file", "input_schema": {"type": "object"}},'
+            ' {"name": "Bash", "description": "run a command", "input_schema": {"type": "object"}}]'))))
+    thinking = (F.when(n % 8 == 1, F.parse_json(F.lit('{"type": "enabled", "budget_tokens": 1024}')))
+                .when(n % 8 == 5, F.parse_json(F.lit('{"type": "disabled"}'))))
+    body = F.to_json(F.struct(
+        F.col("requested_model").alias("model"),
+        F.coalesce(F.col("messages"), F.array().cast("array<struct<role:string,content:string>>"))
+        .alias("messages"),
+        (F.lit(1024) * (1 + n % 8)).alias("max_tokens"),
+        system.alias("system"),
+        tools.alias("tools"),
+        thinking.alias("thinking"),
+        F.when(n % 7 == 0, F.lit(0.5)).alias("temperature"),
+        F.when(n % 11 == 0, F.lit(0.9)).alias("top_p"),
+        F.when(n % 13 == 0, F.lit(40)).alias("top_k"),
+        F.when(F.col("user_id_raw").isNotNull(), F.struct(uid_txt.alias("user_id"))).alias("metadata"),
+        F.col("stream").alias("stream"),
+        F.when(n % 6 == 0, F.lit("on")).alias("zz_beta"),
+    ))
+    cut_body = F.when(n % 251 == 7, F.substring(body, 1, F.floor(F.char_length(body) / 2).cast("int"))
+                      ).otherwise(body)
+    return j.select("request_id", "ts", cut_body.alias("body"))
+
+
 def blocks(conversations: DataFrame) -> DataFrame:
     """B3: normalised content blocks (text, tool_use, tool_result) per turn."""
     c = conversations
