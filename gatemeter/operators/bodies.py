@@ -117,7 +117,8 @@ def search_query(bodies: DataFrame, key: str = "request_id", body_col: str = "bo
     """P-21: the query of a search-only call: its last message's content
     (string, or text blocks joined by a space), stripped."""
     p = parse_bodies(bodies.select(key, body_col), body_col).where(F.col("reject_reason").isNull())
-    last = F.element_at(_get("$.messages", "array<variant>"), -1)
+    # an empty or missing message list gives an empty query, not an error
+    last = F.try_element_at(_get("$.messages", "array<variant>"), F.lit(-1))
     p = p.select(key, last.alias("_last"),
                  F.transform(_get("$.tools", "array<variant>"),
                              lambda t: F.try_variant_get(t, "$.type", "string")).alias("_types"))
