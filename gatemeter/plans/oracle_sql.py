@@ -422,3 +422,75 @@ SELECT f.upstream_model, count(*) AS calls, sum(b.n_messages) AS messages,
   count(*) FILTER (WHERE b.thinking_enabled) AS thinking_calls, sum(b.max_tokens) AS max_tokens
 FROM fact f LEFT JOIN b2 b USING (request_id) GROUP BY 1
 """.replace("\n, ", ", ", 1))
+
+# C-1 over B2 bodies: system first (block list text or string), then the
+# conversation's turns with their string content; tools by rule.
+ORACLES["chat_requests"] = with_raw(f"""
+, conv AS (SELECT conv_id, count(*) AS n, string_agg(role, ',' ORDER BY turn) AS roles,
+                  sum(length(text)) AS chars, arg_min(role, turn) AS first_role,
+                  arg_min(text, turn) AS first_text
+           FROM conversations WHERE conv_id >= 0 AND conv_id < 100 GROUP BY 1)
+, r AS (SELECT *, CAST(substr(request_id, 5) AS BIGINT) AS n,
+               {map_model_sql('requested_model')} AS model FROM usage_raw)
+, s AS (SELECT r.*, CASE WHEN n % 9 = 0 THEN concat('sys ', CAST(n % 1000 AS VARCHAR))
+                         WHEN n % 2 = 0 THEN concat('You are agent ', CAST(n % 1000 AS VARCHAR), '.')
+                    END AS system_content FROM r)
+SELECT s.request_id, s.model,
+  CAST((CASE WHEN system_content IS NULL THEN 0 ELSE 1 END) + coalesce(c.n, 0) AS BIGINT) AS n_chat_messages,
+  concat_ws(',', CASE WHEN system_content IS NOT NULL THEN 'system' END, c.roles) AS chat_roles,
+  CASE WHEN system_content IS NOT NULL THEN system_content
+       WHEN c.first_role = 'system' THEN c.first_text END AS system_content,
+  CAST(coalesce(length(system_content), 0) + coalesce(c.chars, 0) AS BIGINT) AS content_chars,
+  CAST(1024 * (1 + s.n % 8) AS BIGINT) AS max_tokens,
+  s.stream,
+  CASE WHEN s.n % 7 = 0 THEN CAST(0.5 AS DOUBLE) END AS temperature,
+  CASE WHEN s.n % 11 = 0 THEN CAST(0.9 AS DOUBLE) END AS top_p,
+  CASE WHEN s.n % 17 = 0 THEN 'web_search' WHEN s.n % 3 = 1 THEN 'Read,Bash' ELSE '' END AS chat_tools
+FROM s LEFT JOIN conv c ON s.n % 100 = c.conv_id
+WHERE s.n % 251 <> 7
+""".replace("\n, conv", ", conv", 1))
+
+# C-1 over block bodies (B3): per user turn the tool result comes first.
+ORACLES["chat_from_blocks"] = """
+WITH msgs AS (
+  SELECT conv_id, turn, 1 AS sub, role, CAST(NULL AS VARCHAR) AS tool_call_id FROM conversations
+  UNION ALL
+  SELECT conv_id, turn, 0, 'tool', concat('tu_', CAST(conv_id AS VARCHAR), '_', CAST(turn - 1 AS VARCHAR))
+  FROM conversations WHERE role = 'user' AND turn > 0 AND conv_id % 2 = 0),
+calls AS (
+  SELECT conv_id,
+    string_agg(concat('tu_', CAST(conv_id AS VARCHAR), '_', CAST(turn AS VARCHAR)), ',' ORDER BY turn) AS ids,
+    string_agg(CASE WHEN (conv_id + turn) % 3 = 0
+                    THEN concat('{"file_path":"/src/f', CAST(conv_id % 7 AS VARCHAR), '.py"}')
+                    ELSE '{}' END, '|' ORDER BY turn) AS args,
+    count(*) AS n
+  FROM conversations WHERE role = 'assistant' AND conv_id % 2 = 0 GROUP BY 1),
+agg AS (
+  SELECT conv_id, count(*) AS n_chat_messages,
+    string_agg(role, ',' ORDER BY turn, sub) AS chat_roles,
+    coalesce(string_agg(tool_call_id, ',' ORDER BY turn, sub), '') AS tool_result_ids
+  FROM msgs GROUP BY 1)
+SELECT a.conv_id, CAST(a.n_chat_messages AS BIGINT) AS n_chat_messages, a.chat_roles,
+  a.tool_result_ids, coalesce(c.ids, '') AS tool_call_ids, coalesce(c.args, '') AS tool_call_args,
+  CAST(coalesce(c.n, 0) AS BIGINT) AS n_tool_calls
+FROM agg a LEFT JOIN calls c USING (conv_id)
+"""
+
+# C-2 over chat responses built by rule from assistant turns.
+ORACLES["chat_responses_to_messages"] = """
+SELECT conv_id, turn,
+  CASE WHEN turn % 6 = 5 THEN 'msg_proxy'
+       ELSE concat('chatcmpl-', CAST(conv_id AS VARCHAR), '-', CAST(turn AS VARCHAR)) END AS message_id,
+  nullif(text, '') AS text,
+  CAST((CASE WHEN coalesce(text, '') <> '' THEN 1 ELSE 0 END)
+       + (CASE WHEN conv_id % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_blocks,
+  CASE WHEN conv_id % 2 = 0 THEN CASE (conv_id + turn) % 3 WHEN 0 THEN 'Read' WHEN 1 THEN 'Bash' ELSE 'Grep' END
+       ELSE '' END AS tool_names,
+  CASE WHEN conv_id % 2 <> 0 THEN ''
+       WHEN (conv_id + turn) % 3 = 0 THEN concat('{"file_path":"/src/f', CAST(conv_id % 7 AS VARCHAR), '.py"}')
+       ELSE '{}' END AS tool_inputs,
+  CASE turn % 5 WHEN 1 THEN 'max_tokens' WHEN 2 THEN 'tool_use' ELSE 'end_turn' END AS stop_reason,
+  CAST(CASE WHEN turn % 7 = 3 THEN 0 ELSE conv_id * 10 + turn END AS BIGINT) AS input_tokens,
+  CAST(CASE WHEN turn % 7 = 3 THEN 0 ELSE length(coalesce(text, '')) END AS BIGINT) AS output_tokens
+FROM conversations WHERE role = 'assistant'
+"""

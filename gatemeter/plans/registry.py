@@ -10,10 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gatemeter.functions.models import ModelPolicy, downgrade_to, downgraded, map_model_name
 from gatemeter.functions.requests import beta_forwarded, beta_stripped, parse_user_id
-from gatemeter.operators import bodies, catalog, messages, sessions, spend, sse
+from gatemeter.operators import bodies, catalog, convert, messages, sessions, spend, sse
 from gatemeter.operators.telemetry import build_telemetry, telemetry_from_events
 from gatemeter.plans import reports
 from gatemeter.sources import bridges
@@ -257,3 +258,58 @@ def q_shape_by_model(spark, d):
                  F.sum(F.col("system_bytes").cast("long")).alias("system_bytes"),
                  F.count_if(F.col("thinking_enabled")).alias("thinking_calls"),
                  F.sum(F.col("max_tokens").cast("long")).alias("max_tokens")))
+
+
+# --- chat-format conversion (C-1, C-2) --------------------------------------------
+@query("chat_requests")
+def q_chat_requests(spark, d):
+    """C-1 over the landed request bodies (string content, system, tools)."""
+    c = convert.to_chat_request(request_bodies(spark, d))
+    msgs = F.col("chat_messages")
+    first = F.try_element_at(msgs, F.lit(1))
+    return c.select(
+        "request_id", "model",
+        F.size(msgs).cast("long").alias("n_chat_messages"),
+        F.array_join(F.transform(msgs, lambda m: m["role"]), ",").alias("chat_roles"),
+        F.when(first["role"] == "system", first["content"]).alias("system_content"),
+        F.aggregate(msgs, F.lit(0).cast("long"),
+                    lambda acc, m: acc + F.coalesce(F.char_length(m["content"]), F.lit(0)))
+        .alias("content_chars"),
+        "max_tokens", F.coalesce(F.col("stream"), F.lit(False)).alias("stream"),
+        "temperature", "top_p",
+        F.coalesce(F.array_join(F.transform("tools", lambda t: t["function"]["name"]), ","),
+                   F.lit("")).alias("chat_tools"))
+
+
+@query("chat_from_blocks")
+def q_chat_from_blocks(spark, d):
+    """C-1 over block-content bodies: tool results before user text, tool calls."""
+    c = convert.to_chat_request(bridges.block_bodies(conversations(spark, d)), key="conv_id")
+    msgs = F.col("chat_messages")
+    no_calls = F.array().cast(T.ArrayType(convert.TOOL_CALL))
+    calls = F.flatten(F.transform(msgs, lambda m: F.coalesce(m["tool_calls"], no_calls)))
+    return c.select(
+        "conv_id",
+        F.size(msgs).cast("long").alias("n_chat_messages"),
+        F.array_join(F.transform(msgs, lambda m: m["role"]), ",").alias("chat_roles"),
+        F.array_join(F.transform(msgs, lambda m: m["tool_call_id"]), ",").alias("tool_result_ids"),
+        F.array_join(F.transform(calls, lambda t: t["id"]), ",").alias("tool_call_ids"),
+        F.array_join(F.transform(calls, lambda t: t["function"]["arguments"]), "|").alias("tool_call_args"),
+        F.size(calls).cast("long").alias("n_tool_calls"))
+
+
+@query("chat_responses_to_messages")
+def q_chat_responses_to_messages(spark, d):
+    """C-2 over chat-completions responses of every assistant turn."""
+    m = convert.from_chat_response(bridges.chat_responses(conversations(spark, d)),
+                                   key=["conv_id", "turn"])
+    blocks = F.col("content")
+    tools = F.filter(blocks, lambda b: b["type"] == "tool_use")
+    first = F.try_element_at(blocks, F.lit(1))
+    return m.select(
+        "conv_id", "turn", "message_id",
+        F.when(first["type"] == "text", first["text"]).alias("text"),
+        F.size(blocks).cast("long").alias("n_blocks"),
+        F.array_join(F.transform(tools, lambda b: b["name"]), ",").alias("tool_names"),
+        F.array_join(F.transform(tools, lambda b: F.to_json(b["input"])), "|").alias("tool_inputs"),
+        "stop_reason", "input_tokens", "output_tokens")

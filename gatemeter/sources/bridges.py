@@ -295,5 +295,84 @@ def sse_raw(conversations: DataFrame) -> DataFrame:
     return c.select("conv_id", "turn", raw.alias("raw"))
 
 
-__all__ = ["usage_raw", "calls_from_usage_raw", "blocks", "title_lines", "title_jsonl_lines",
+BLOCK_BODY_MODEL = "claude-sonnet-4-6"
+
+
+def block_bodies(conversations: DataFrame) -> DataFrame:
+    """B3 as request bodies ``(conv_id, body)``: one message-API body per
+    conversation whose messages carry block-list content (text, ``tool_use``
+    with ``input`` ``{"file_path": ..}`` or ``{}``, ``tool_result``).
+
+    One shuffle by ``conv_id``; both groupings below reuse that partitioning.
+    A group is one conversation, bounded by the 10 MiB body cap.
+    """
+    b = blocks(conversations).repartition("conv_id")
+    block = F.struct(
+        F.col("type"), F.col("text"),
+        F.when(F.col("type") == "tool_use", F.col("tool_id")).alias("id"),
+        F.col("tool_name").alias("name"),
+        F.when(F.col("type") == "tool_use", F.struct(F.col("file_path"))).alias("input"),
+        F.when(F.col("type") == "tool_result", F.col("tool_id")).alias("tool_use_id"),
+        F.when(F.col("type") == "tool_result", F.col("text")).alias("content"))
+    block = F.when(F.col("type") == "tool_result", block.withField("text", F.lit(None).cast("string"))
+                   ).otherwise(block)
+    per_msg = (b.groupBy("conv_id", "turn")
+               .agg(F.first("role").alias("role"),
+                    F.array_sort(F.collect_list(F.struct("block_idx", block.alias("b")))).alias("_b"))
+               .select("conv_id", "turn", F.struct(
+                   F.col("role"), F.transform("_b", lambda x: x["b"]).alias("content")).alias("m")))
+    per_conv = (per_msg.groupBy("conv_id")
+                .agg(F.array_sort(F.collect_list(F.struct("turn", "m"))).alias("_m")))
+    body = F.to_json(F.struct(F.lit(BLOCK_BODY_MODEL).alias("model"),
+                              F.transform("_m", lambda x: x["m"]).alias("messages"),
+                              F.lit(2048).alias("max_tokens")))
+    return per_conv.select("conv_id", body.alias("body"))
+
+
+# --- FIXED VALUES: chat finish reasons cycled by turn % 5 --------------------
+FINISH_REASON_CYCLE: tuple = ("stop", "length", "tool_calls", "content_filter", None)
+# ---------------------------------------------------------------------------
+
+
+def chat_responses(conversations: DataFrame) -> DataFrame:
+    """Chat-completions responses ``(conv_id, turn, body)`` for assistant turns.
+
+    Rules on ``(c, t) = (conv_id, turn)``: text in ``content``, except when
+    ``(c + t) % 5 = 0`` where content is ``""`` and the text is in
+    ``reasoning``; one tool call (id ``call_<c>_<t>``, B3's tool name, file
+    arguments for Read) when ``c % 2 = 0``; ``finish_reason`` cycles
+    stop/length/tool_calls/content_filter/absent by ``t % 5``; usage
+    ``prompt_tokens = c*10+t``, ``completion_tokens = length(text)``,
+    absent when ``t % 7 = 3``; no ``id`` when ``t % 6 = 5``.
+    """
+    c = conversations.where(F.col("role") == "assistant")
+    conv, turn = F.col("conv_id"), F.col("turn")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    in_reasoning = (conv + turn) % 5 == 0
+    k = (conv + turn) % 3
+    args = F.when(k == 0, F.to_json(F.struct(
+        F.concat(F.lit("/src/f"), _s(conv % 7), F.lit(".py")).alias("file_path")))).otherwise(F.lit("{}"))
+    call = F.struct(F.concat(F.lit("call_"), _s(conv), F.lit("_"), _s(turn)).alias("id"),
+                    F.lit("function").alias("type"),
+                    F.struct(_tool_name_for(conv, turn).alias("name"),
+                             args.alias("arguments")).alias("function"))
+    finish = F.element_at(F.array(*[F.lit(x).cast("string") for x in FINISH_REASON_CYCLE]),
+                          (turn % 5 + 1).cast("int"))
+    body = F.to_json(F.struct(
+        F.when(turn % 6 != 5, F.concat(F.lit("chatcmpl-"), _s(conv), F.lit("-"), _s(turn))).alias("id"),
+        F.lit("chat.completion").alias("object"),
+        F.lit("gpt-5-mini").alias("model"),
+        F.array(F.struct(
+            F.lit(0).alias("index"),
+            F.struct(F.lit("assistant").alias("role"),
+                     F.when(in_reasoning, F.lit("")).otherwise(text).alias("content"),
+                     F.when(in_reasoning, text).alias("reasoning"),
+                     F.when(conv % 2 == 0, F.array(call)).alias("tool_calls")).alias("message"),
+            finish.alias("finish_reason"))).alias("choices"),
+        F.when(turn % 7 != 3, F.struct((conv * 10 + turn).alias("prompt_tokens"),
+                                       F.char_length(text).alias("completion_tokens"))).alias("usage")))
+    return c.select("conv_id", "turn", body.alias("body"))
+
+
+__all__ = ["usage_raw", "calls_from_usage_raw", "blocks", "block_bodies", "chat_responses", "title_lines", "title_jsonl_lines",
            "REQUESTED_MODEL_CYCLE", "fixed"]
