@@ -43,7 +43,11 @@ def parse_bodies(bodies: DataFrame, body_col: str = "body",
     reason = (F.when(b.isNull(), F.lit("missing"))
               .when(too_large, F.lit("too_large"))
               .when(v.isNull(), F.lit("invalid_json")))
-    return bodies.select("*", v.alias(_V), size.alias("req_bytes"), reason.alias("reject_reason"))
+    # built inside a generator so a filter on ``reject_reason`` is not pushed
+    # below it with a second copy of the parse: each body is parsed once
+    row = F.struct(*[F.col(c) for c in bodies.columns], v.alias(_V), size.alias("req_bytes"),
+                   reason.alias("reject_reason"))
+    return bodies.select(F.inline(F.array(row)))
 
 
 def body_rejects(bodies: DataFrame, key: str = "request_id", body_col: str = "body") -> DataFrame:

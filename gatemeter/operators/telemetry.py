@@ -170,6 +170,11 @@ def build_telemetry(calls: DataFrame, policy: ModelPolicy | None = None,
         http_error_type(status).alias("error_type"),
         _opt(calls, "error_message", _typed_null(T.StringType())).alias("error_message"),
         _opt(calls, "search_depth", F.lit(search_depth)).alias("_depth"),
+        # request shape, when the call record already carries it (log rebuild)
+        _opt(calls, "n_messages", _typed_null(T.IntegerType())).cast("int").alias("n_messages"),
+        _opt(calls, "max_tokens", _typed_null(T.IntegerType())).cast("int").alias("max_tokens"),
+        F.coalesce(_opt(calls, "tool_names", _typed_null(T.ArrayType(T.StringType()))),
+                   F.array().cast("array<string>")).alias("tool_names"),
     )
 
     # J-1: the price list is a fixed-size dimension (one row per priced model),
@@ -193,11 +198,11 @@ def build_telemetry(calls: DataFrame, policy: ModelPolicy | None = None,
         downgraded(F.col("requested_model"), policy).alias("downgraded"),
         downgrade_to(F.col("requested_model"), policy).alias("downgrade_to"),
         "route", "upstream_host", "retry_count", "beta_requested", "beta_stripped",
-        _typed_null(T.IntegerType()).alias("n_messages"),
+        "n_messages",
         F.lit(0).alias("system_bytes"),
-        F.lit(0).alias("tool_count"),
-        F.array().cast("array<string>").alias("tool_names"),
-        _typed_null(T.IntegerType()).alias("max_tokens"),
+        F.size("tool_names").alias("tool_count"),
+        "tool_names",
+        "max_tokens",
         _typed_null(T.DoubleType()).alias("temperature"),
         _typed_null(T.DoubleType()).alias("top_p"),
         _typed_null(T.IntegerType()).alias("top_k"),

@@ -494,3 +494,54 @@ SELECT conv_id, turn,
   CAST(CASE WHEN turn % 7 = 3 THEN 0 ELSE length(coalesce(text, '')) END AS BIGINT) AS output_tokens
 FROM conversations WHERE role = 'assistant'
 """
+
+# SNK-4: the log is written from B1, so the rebuilt rows equal the fact rows
+# for the columns the log carries; passthrough (n % 19 = 0) and malformed
+# (n % 97 = 5) lines drop out.
+ORACLES["rebuild_from_log"] = with_fact("""
+, f AS (SELECT *, CAST(substr(request_id, 5) AS BIGINT) AS n FROM fact)
+SELECT ts, session_id, account_id, upstream_model, route,
+  CAST(1 + n % 5 AS INTEGER) AS n_messages, CAST(1024 * (1 + n % 8) AS INTEGER) AS max_tokens,
+  stream,
+  CAST(CASE WHEN n % 17 = 0 THEN 1 WHEN n % 3 = 1 THEN 2 ELSE 0 END AS INTEGER) AS tool_count,
+  CASE WHEN n % 17 = 0 THEN 'web_search' WHEN n % 3 = 1 THEN 'Read,Bash' ELSE '' END AS tool_names,
+  CAST(500 + (n * 13) % 20000 AS INTEGER) AS req_bytes,
+  CAST(100 + (n * 29) % 50000 AS INTEGER) AS resp_bytes,
+  CAST(status AS INTEGER) AS status, CAST(elapsed_ms AS INTEGER) AS elapsed_ms,
+  -- search lines log no usage, so their tokens come back as 0
+  CAST(CASE WHEN route = 'tavily' THEN 0 ELSE input_tokens END AS INTEGER) AS input_tokens,
+  CAST(CASE WHEN route = 'tavily' THEN 0 ELSE output_tokens END AS INTEGER) AS output_tokens,
+  CAST(CASE WHEN route = 'tavily' THEN 0 ELSE cache_read_tokens END AS INTEGER) AS cache_read_tokens,
+  CAST(CASE WHEN route = 'tavily' THEN 0 ELSE cache_creation_tokens END AS INTEGER) AS cache_creation_tokens,
+  CAST(CASE WHEN route = 'tavily' THEN 0 ELSE total_tokens END AS INTEGER) AS total_tokens,
+  CASE WHEN route = 'tavily' THEN 0 ELSE est_cost_micro_usd END AS est_cost_micro_usd,
+  CASE WHEN route = 'tavily' AND status = 200 THEN (CASE WHEN n % 2 = 0 THEN 0.005 ELSE 0.008 END)
+       ELSE 0.0 END AS tavily_cost_usd,
+  CASE WHEN route <> 'tavily' AND NOT stream
+       THEN CASE n % 3 WHEN 0 THEN 'end_turn' WHEN 1 THEN 'tool_use' ELSE 'max_tokens' END END AS stop_reason
+FROM f WHERE n % 19 <> 0 AND n % 97 <> 5
+""".replace("\n, f AS", ", f AS", 1))
+
+ORACLES["log_line_kinds"] = """
+SELECT kind, count(*) AS lines FROM (
+  SELECT CASE WHEN event_id % 97 = 5 THEN 'corrupt'
+              WHEN event_id % 19 = 0 THEN 'passthrough'
+              WHEN event_id % 17 = 0 THEN 'search'
+              WHEN event_id % 10 = 8 THEN 'translated'
+              ELSE 'native' END AS kind
+  FROM events) GROUP BY 1
+"""
+
+ORACLES["dedupe_append"] = with_fact("""
+SELECT request_id, ts,
+  CASE WHEN CAST(substr(request_id, 5) AS BIGINT) % 3 <> 1 THEN 'A' ELSE 'B' END AS batch,
+  0 AS copy
+FROM fact
+""")
+
+ORACLES["evolve_schema"] = with_fact("""
+SELECT request_id, route, CAST(status AS INTEGER) AS status,
+  CASE WHEN CAST(substr(request_id, 5) AS BIGINT) % 2 = 1 THEN CAST(elapsed_ms AS INTEGER) END AS elapsed_ms,
+  CASE WHEN CAST(substr(request_id, 5) AS BIGINT) % 2 = 1 THEN stream END AS stream
+FROM fact
+""")

@@ -18,6 +18,8 @@ from gatemeter.operators import bodies, catalog, convert, messages, sessions, sp
 from gatemeter.operators.telemetry import build_telemetry, telemetry_from_events
 from gatemeter.plans import reports
 from gatemeter.sources import bridges
+from gatemeter.sources import request_log as request_log_mod
+from gatemeter.sources import sinks
 from gatemeter.sources.tables import read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -313,3 +315,72 @@ def q_chat_responses_to_messages(spark, d):
         F.array_join(F.transform(tools, lambda b: b["name"]), ",").alias("tool_names"),
         F.array_join(F.transform(tools, lambda b: F.to_json(b["input"])), "|").alias("tool_inputs"),
         "stop_reason", "input_tokens", "output_tokens")
+
+
+# --- request log (SRC-1, SNK-4) -----------------------------------------------------
+def request_log(spark, d):
+    return request_log_mod.parse_log_lines(bridges.request_log_lines(read_table(spark, d, "events")))
+
+
+@query("rebuild_from_log")
+def q_rebuild_from_log(spark, d):
+    """SNK-4: the telemetry columns the log can give back, rebuilt from it."""
+    f = request_log_mod.rebuild_telemetry(request_log(spark, d))
+    return f.select("ts", "session_id", "account_id", "upstream_model", "route", "n_messages",
+                    "max_tokens", "stream", "tool_count",
+                    F.array_join("tool_names", ",").alias("tool_names"),
+                    "req_bytes", "resp_bytes", "status", "elapsed_ms", "input_tokens",
+                    "output_tokens", "cache_read_tokens", "cache_creation_tokens", "total_tokens",
+                    "est_cost_micro_usd", "tavily_cost_usd", "stop_reason")
+
+
+@query("log_line_kinds")
+def q_log_line_kinds(spark, d):
+    """SRC-1: lines per shape (malformed, passthrough, search, translated, native)."""
+    p = request_log(spark, d)
+    e = F.col("entry")
+    kind = (F.when(F.col("corrupt"), F.lit("corrupt"))
+            .when(e["request"]["passthrough"].isNotNull(), F.lit("passthrough"))
+            .when(F.coalesce(e["response"]["tavily"], F.lit(False)), F.lit("search"))
+            .when(F.coalesce(e["response"]["translated"], F.lit(False)), F.lit("translated"))
+            .otherwise(F.lit("native")))
+    return p.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+# --- sinks (SNK-1, SNK-2) ---------------------------------------------------------
+def _keyed_fact(spark, d):
+    f = fact_table(spark, d)
+    return f.withColumn("_n", F.substring("request_id", 5, 1 << 20).cast("long")) \
+            .withColumn("day", F.to_date("ts"))
+
+
+@query("dedupe_append")
+def q_dedupe_append(spark, d):
+    """SNK-1: batch A (calls with n % 3 != 1) written twice (a replay), then
+    batch B (every call, calls with n % 5 = 0 twice in the batch).  Each call
+    must be stored once, by the first batch and the first copy that had it."""
+    f = _keyed_fact(spark, d)
+    cols = ["request_id", "ts", "day"]
+    a = f.where(F.col("_n") % 3 != 1).select(*cols, F.lit("A").alias("batch"), F.lit(0).alias("copy"))
+    b = (f.select(*cols, F.lit("B").alias("batch"), F.lit(0).alias("copy"))
+         .unionByName(f.where(F.col("_n") % 5 == 0)
+                      .select(*cols, F.lit("B").alias("batch"), F.lit(1).alias("copy"))))
+    path = sinks.new_table_path(spark, "dedupe_append")
+    for batch in (a, a, b):
+        sinks.dedupe_append(batch, path, "request_id", ["copy"], partition_col="day")
+    return spark.read.parquet(path).select("request_id", "ts", "batch", "copy")
+
+
+@query("evolve_schema")
+def q_evolve_schema(spark, d):
+    """SNK-2: even calls written with four columns, odd calls with two more;
+    read back with the merged schema."""
+    f = _keyed_fact(spark, d)
+    old = f.where(F.col("_n") % 2 == 0).select("request_id", "route", "status", "day")
+    new = f.where(F.col("_n") % 2 == 1).select("request_id", "route", "status", "elapsed_ms",
+                                                "stream", "day")
+    path = sinks.new_table_path(spark, "evolve_schema")
+    sinks.append_evolving(old, path, partition_col="day")
+    sinks.append_evolving(new, path, partition_col="day")
+    return (spark.read.option("mergeSchema", "true").parquet(path)
+            .select("request_id", "route", "status", "elapsed_ms", "stream"))

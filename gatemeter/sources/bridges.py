@@ -374,5 +374,76 @@ def chat_responses(conversations: DataFrame) -> DataFrame:
     return c.select("conv_id", "turn", body.alias("body"))
 
 
+# --- FIXED VALUES: stop reasons of non-streamed log lines, cycled by n % 3 ---
+LOG_STOP_CYCLE: tuple[str, ...] = ("end_turn", "tool_use", "max_tokens")
+# ---------------------------------------------------------------------------
+
+
+def request_log_lines(events: DataFrame) -> DataFrame:
+    """B6: the JSONL request log written from B1, one line per call ``(value)``.
+
+    Rules on ``n = event_id``: ``ts`` is the call end (event time plus
+    ``elapsed_ms``) as float epoch seconds; ``request`` carries the upstream
+    model (search calls: the client's name), stream, ``max_tokens = 1024 *
+    (1 + n % 8)``, ``n_messages = 1 + n % 5``, the raw user id and tool names
+    (``web_search`` for search calls, ``Read, Bash`` when ``n % 3 = 1``);
+    ``req_bytes = 500 + n * 13 % 20000``, ``resp_bytes = 100 + n * 29 % 50000``.
+    Native and translated lines carry the usage (null counts absent) and, when
+    not streamed, a stop reason cycled by ``n % 3``; search lines carry depth
+    (basic when ``n`` is even), result count ``n % 6``, query and cost.  A
+    passthrough line replaces the call when ``n % 19 = 0``; the line is cut in
+    half (malformed) when ``n % 97 = 5``.
+    """
+    from gatemeter.functions.models import map_model_name
+
+    raw = usage_raw(events)
+    n = F.substring(F.col("request_id"), 5, 1 << 20).cast("long")
+    route = F.col("route")
+    is_search = route == "tavily"
+    end_s = (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1_000_000.0)
+             + F.col("elapsed_ms") / F.lit(1000.0))
+    model = F.when(is_search, F.col("requested_model")).otherwise(map_model_name(F.col("requested_model")))
+    tools = (F.when(n % 17 == 0, F.array(F.lit("web_search")))
+             .when(n % 3 == 1, F.array(F.lit("Read"), F.lit("Bash"))))
+    req_bytes = 500 + (n * 13) % 20000
+    resp_bytes = 100 + (n * 29) % 50000
+    request = F.struct(model.alias("model"), F.col("stream").alias("stream"),
+                       (F.lit(1024) * (1 + n % 8)).alias("max_tokens"),
+                       (1 + n % 5).alias("n_messages"),
+                       F.col("user_id_raw").alias("user_id"), tools.alias("tools"))
+    usage = F.struct(F.col("raw_input_tokens").alias("input_tokens"),
+                     F.col("raw_output_tokens").alias("output_tokens"),
+                     F.col("raw_cache_read").alias("cache_read_input_tokens"),
+                     F.col("raw_cache_creation").alias("cache_creation_input_tokens"))
+    depth = F.when(n % 2 == 0, F.lit("basic")).otherwise(F.lit("advanced"))
+    # one struct for every shape: fields that do not apply are null, and
+    # to_json leaves null fields out
+    response = F.struct(
+        F.col("status").alias("status"), F.col("stream").alias("stream"),
+        F.when(route == "openai", F.lit(True)).alias("translated"),
+        F.when(is_search, F.lit(True)).alias("tavily"),
+        F.when(~is_search, usage).alias("usage"),
+        F.when(~is_search & ~F.col("stream"), _cycle(LOG_STOP_CYCLE, n % 3)).alias("stop_reason"),
+        F.when(is_search, depth).alias("search_depth"),
+        F.when(is_search, n % 6).alias("results"),
+        F.when(is_search, F.concat(F.lit("q "), _s(n))).alias("query"),
+        req_bytes.alias("req_bytes"), resp_bytes.alias("resp_bytes"),
+        F.when(is_search, F.when(n % 2 == 0, F.lit(0.005)).otherwise(F.lit(0.008))).alias("cost_usd"))
+    line = F.to_json(F.struct(
+        end_s.alias("ts"), F.lit("/v1/messages").alias("path"), request.alias("request"),
+        response.alias("response"), F.col("elapsed_ms").alias("elapsed_ms")))
+    passthrough = F.to_json(F.struct(
+        end_s.alias("ts"), F.lit("/v1/chat/completions").alias("path"),
+        F.struct(F.col("requested_model").alias("model"), F.col("stream").alias("stream"),
+                 (1 + n % 5).alias("n_messages"), F.lit("chat").alias("passthrough")).alias("request"),
+        F.struct(F.col("status").alias("status"), F.col("stream").alias("stream"),
+                 req_bytes.alias("req_bytes"), resp_bytes.alias("resp_bytes")).alias("response"),
+        F.col("elapsed_ms").alias("elapsed_ms")))
+    full = F.when(n % 19 == 0, passthrough).otherwise(line)
+    cut = F.when(n % 97 == 5, F.substring(full, 1, F.floor(F.char_length(full) / 2).cast("int"))
+                 ).otherwise(full)
+    return raw.select(cut.alias("value"))
+
+
 __all__ = ["usage_raw", "calls_from_usage_raw", "blocks", "block_bodies", "chat_responses", "title_lines", "title_jsonl_lines",
            "REQUESTED_MODEL_CYCLE", "fixed"]
