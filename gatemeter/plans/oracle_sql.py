@@ -545,3 +545,16 @@ SELECT request_id, route, CAST(status AS INTEGER) AS status,
   CASE WHEN CAST(substr(request_id, 5) AS BIGINT) % 2 = 1 THEN stream END AS stream
 FROM fact
 """)
+
+ORACLES["stream_ingest"] = with_fact("""
+SELECT request_id, route, CAST(status AS INTEGER) AS status, upstream_model,
+  CAST(input_tokens AS INTEGER) AS input_tokens, CAST(output_tokens AS INTEGER) AS output_tokens,
+  CAST(total_tokens AS INTEGER) AS total_tokens, est_cost_micro_usd
+FROM fact
+""")
+
+ORACLES["stream_daily_spend"] = with_fact("""
+SELECT CAST(ts AS DATE) AS day, count(*) AS calls,
+  CAST(sum(CAST(round(tavily_cost_usd * 100000) AS BIGINT)) AS DOUBLE) / 100000.0 AS spend_usd
+FROM fact WHERE route = 'tavily' GROUP BY 1
+""")

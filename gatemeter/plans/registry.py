@@ -20,6 +20,7 @@ from gatemeter.plans import reports
 from gatemeter.sources import bridges
 from gatemeter.sources import request_log as request_log_mod
 from gatemeter.sources import sinks
+from gatemeter.streaming import ingest
 from gatemeter.sources.tables import read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -384,3 +385,47 @@ def q_evolve_schema(spark, d):
     sinks.append_evolving(new, path, partition_col="day")
     return (spark.read.option("mergeSchema", "true").parquet(path)
             .select("request_id", "route", "status", "elapsed_ms", "stream"))
+
+
+# --- streaming (ST-1, ST-2, ST-3, ST-5, ST-7) ---------------------------------------
+LANDING_FILES = 7
+
+
+def _land_calls(spark, d, name):
+    """Land B1's call records as ``LANDING_FILES`` files, each holding calls
+    ``n % 7 = k`` from the whole period (so arrival is out of time order)."""
+    raw = bridges.calls_from_usage_raw(usage_raw(spark, d))
+    n = F.substring("request_id", 5, 1 << 20).cast("long")
+    path = sinks.new_table_path(spark, f"{name}-landing")
+    raw.repartition(LANDING_FILES, n % LANDING_FILES).write.parquet(path)
+    return path
+
+
+def _call_stream(spark, landing, files_per_trigger=3):
+    schema = spark.read.parquet(landing).schema
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", str(files_per_trigger))
+            .parquet(landing))
+
+
+@query("stream_ingest")
+def q_stream_ingest(spark, d):
+    """ST-1/2/5: stream the landed calls two files per micro-batch until drained;
+    then replay all of it under a fresh checkpoint: no call may appear twice."""
+    landing = _land_calls(spark, d, "stream_ingest")
+    table = sinks.new_table_path(spark, "stream_ingest")
+    for run in ("first", "replay"):
+        ckpt = sinks.new_table_path(spark, f"stream_ingest-ckpt-{run}")
+        ingest.run_to_end(ingest.ingest_calls(_call_stream(spark, landing), table, ckpt))
+    return spark.read.parquet(table).select(
+        "request_id", "route", "status", "upstream_model", "input_tokens", "output_tokens",
+        "total_tokens", "est_cost_micro_usd")
+
+
+@query("stream_daily_spend")
+def q_stream_daily_spend(spark, d):
+    """ST-7: daily search spend from per-micro-batch partials."""
+    landing = _land_calls(spark, d, "stream_daily_spend")
+    partials = sinks.new_table_path(spark, "stream_daily_spend")
+    ckpt = sinks.new_table_path(spark, "stream_daily_spend-ckpt")
+    ingest.run_to_end(ingest.spend_partials(_call_stream(spark, landing), partials, ckpt))
+    return ingest.daily_spend_from_partials(spark, partials)
