@@ -558,3 +558,27 @@ SELECT CAST(ts AS DATE) AS day, count(*) AS calls,
   CAST(sum(CAST(round(tavily_cost_usd * 100000) AS BIGINT)) AS DOUBLE) / 100000.0 AS spend_usd
 FROM fact WHERE route = 'tavily' GROUP BY 1
 """)
+
+# W-3 over B5: the first text_delta marker ends inside the message_start
+# event, the text block start and the head of the first delta event; all
+# ASCII, so characters = bytes.  Read k holds bytes 7k+1 .. 7k+7 and arrives
+# 100 + 20k ms after the start.
+_MARKER_END = """(
+  length(concat('event: message_start', chr(10), 'data: {"type":"message_start","message":{"id":"msg_',
+    CAST(conv_id AS VARCHAR), '_', CAST(turn AS VARCHAR),
+    '","type":"message","role":"assistant","model":"claude-sonnet-4.6","content":[],"usage":{"input_tokens":',
+    CAST(conv_id * 10 + turn AS VARCHAR), ',"output_tokens":0}}}', chr(10), chr(10)))
+  + length(concat('event: content_block_start', chr(10),
+    'data: {"type":"content_block_start","index":0,"content_block":{"type":"text","text":""}}', chr(10), chr(10)))
+  + length(concat('event: content_block_delta', chr(10),
+    'data: {"type":"content_block_delta","index":0,"delta":{"type":"text_delta')))"""
+
+ORACLES["sse_chunk_facts"] = f"""
+SELECT conv_id, turn, coalesce(text, '') AS text,
+  concat('msg_', CAST(conv_id AS VARCHAR), '_', CAST(turn AS VARCHAR)) AS message_id,
+  CASE WHEN conv_id % 2 = 0 THEN 'tool_use' ELSE 'end_turn' END AS stop_reason,
+  (conv_id + turn) % 11 <> 0 AS completed,
+  CASE WHEN length(coalesce(text, '')) > 0 THEN CAST(100 + 20 * (({_MARKER_END} - 1) // 7) AS BIGINT) END
+    AS ttft_ms
+FROM conversations WHERE role = 'assistant'
+"""

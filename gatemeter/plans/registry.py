@@ -429,3 +429,11 @@ def q_stream_daily_spend(spark, d):
     ckpt = sinks.new_table_path(spark, "stream_daily_spend-ckpt")
     ingest.run_to_end(ingest.spend_partials(_call_stream(spark, landing), partials, ckpt))
     return ingest.daily_spend_from_partials(spark, partials)
+
+
+# --- SSE reads (ST-8 batch, W-3, P-18) -------------------------------------------------
+@query("sse_chunk_facts")
+def q_sse_chunk_facts(spark, d):
+    """Stream facts and TTFT from 7-byte reads of every captured stream."""
+    f = sse.facts_from_chunks(bridges.sse_chunks(conversations(spark, d)), ["conv_id", "turn"])
+    return f.select("conv_id", "turn", "text", "message_id", "stop_reason", "completed", "ttft_ms")

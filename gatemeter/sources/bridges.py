@@ -445,5 +445,27 @@ def request_log_lines(events: DataFrame) -> DataFrame:
     return raw.select(cut.alias("value"))
 
 
+SSE_CHUNK_BYTES = 7
+STREAM_EPOCH_S = 1704067200  # 2024-01-01T00:00:00Z
+
+
+def sse_chunks(conversations: DataFrame, chunk_bytes: int = SSE_CHUNK_BYTES) -> DataFrame:
+    """B5: B4's captures as network reads ``(conv_id, turn, seq, start_ts,
+    arrival_ts, chunk)``: the UTF-8 bytes cut every ``chunk_bytes`` bytes (a
+    multi-byte character may be split), read ``k`` arriving at
+    ``start + 100 ms + k * 20 ms``; a call starts at
+    ``2024-01-01 + conv_id hours + turn minutes``."""
+    raw = sse_raw(conversations).select("conv_id", "turn", F.encode("raw", "UTF-8").alias("_b"))
+    n = F.ceil(F.octet_length("_b") / F.lit(chunk_bytes)).cast("int")
+    start = F.timestamp_seconds(F.lit(STREAM_EPOCH_S) + F.col("conv_id") * 3600 + F.col("turn") * 60)
+    pieces = raw.select("conv_id", "turn", "_b", start.alias("start_ts"),
+                        F.posexplode(F.sequence(F.lit(0), n - 1)).alias("seq", "_k"))
+    return pieces.select(
+        "conv_id", "turn", "seq", "start_ts",
+        F.timestamp_micros(F.unix_micros("start_ts") + (F.lit(100) + F.col("seq") * 20) * 1000)
+        .alias("arrival_ts"),
+        F.substring("_b", F.col("seq") * chunk_bytes + 1, F.lit(chunk_bytes)).alias("chunk"))
+
+
 __all__ = ["usage_raw", "calls_from_usage_raw", "blocks", "block_bodies", "chat_responses", "title_lines", "title_jsonl_lines",
            "REQUESTED_MODEL_CYCLE", "fixed"]
