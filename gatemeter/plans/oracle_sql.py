@@ -582,3 +582,46 @@ SELECT conv_id, turn, coalesce(text, '') AS text,
     AS ttft_ms
 FROM conversations WHERE role = 'assistant'
 """
+
+# Python's str.strip() whitespace, as SQL (a fixed character set).
+_PY_WS_CODES = (list(range(0x09, 0x0E)) + list(range(0x1C, 0x21)) + [0x85, 0xA0, 0x1680]
+                + list(range(0x2000, 0x200B)) + [0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+_PY_WS_SQL = " || ".join(f"chr({c})" for c in _PY_WS_CODES)
+
+_SEARCH_MD = f"""
+p AS (
+  SELECT page_id // 5 AS search_id, page_id, url,
+    nullif(regexp_extract(html, '<title>(.*?)</title>', 1), '') AS title,
+    trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g'),
+         {_PY_WS_SQL}) AS content
+  FROM pages),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY page_id) AS i
+  FROM p WHERE search_id % 7 <> 6),
+e AS (
+  SELECT search_id, count(*) AS n, string_agg(coalesce(url, ''), ' ' ORDER BY i) AS urls,
+    string_agg(concat(chr(10), '## ', CAST(i AS VARCHAR), '. [', coalesce(title, '(no title)'), '](',
+                      coalesce(url, ''), ')', chr(10),
+                      CASE WHEN content <> '' THEN concat(chr(10), content) ELSE '' END),
+               chr(10) ORDER BY i) AS body
+  FROM r GROUP BY 1),
+s AS (SELECT DISTINCT page_id // 5 AS search_id FROM pages),
+md AS (
+  SELECT s.search_id, concat('search ', CAST(s.search_id AS VARCHAR)) AS query,
+    CAST(coalesce(e.n, 0) AS BIGINT) AS n_results, coalesce(e.urls, '') AS result_urls,
+    concat('# Search results for: search ', CAST(s.search_id AS VARCHAR), chr(10), chr(10),
+           CASE WHEN s.search_id % 3 = 0
+                THEN concat('**Answer:** answer ', CAST(s.search_id AS VARCHAR), chr(10), chr(10))
+                ELSE '' END,
+           coalesce(e.body, '_No results._')) AS markdown
+  FROM s LEFT JOIN e USING (search_id))
+"""
+
+ORACLES["search_markdown"] = f"WITH {_SEARCH_MD} SELECT search_id, query, n_results, result_urls, markdown FROM md"
+
+ORACLES["search_events"] = f"""WITH {_SEARCH_MD}
+SELECT search_id, CAST(10 + ceil(length(markdown) / 4096) AS BIGINT) AS n_events, markdown,
+  concat('msg_search_', CAST(search_id AS VARCHAR)) AS message_id, 'end_turn' AS stop_reason,
+  true AS completed, '' AS tool_names
+FROM md
+"""

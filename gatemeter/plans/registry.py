@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from gatemeter.functions.models import ModelPolicy, downgrade_to, downgraded, map_model_name
 from gatemeter.functions.requests import beta_forwarded, beta_stripped, parse_user_id
-from gatemeter.operators import bodies, catalog, convert, messages, sessions, spend, sse
+from gatemeter.operators import bodies, catalog, convert, messages, search, sessions, spend, sse
 from gatemeter.operators.telemetry import build_telemetry, telemetry_from_events
 from gatemeter.plans import reports
 from gatemeter.sources import bridges
@@ -437,3 +437,27 @@ def q_sse_chunk_facts(spark, d):
     """Stream facts and TTFT from 7-byte reads of every captured stream."""
     f = sse.facts_from_chunks(bridges.sse_chunks(conversations(spark, d)), ["conv_id", "turn"])
     return f.select("conv_id", "turn", "text", "message_id", "stop_reason", "completed", "ttft_ms")
+
+
+# --- search results (P-22, P-23, S-4, C-5) ---------------------------------------------
+def rendered_searches(spark, d):
+    return search.render_searches(bridges.search_responses(read_table(spark, d, "pages")))
+
+
+@query("search_markdown")
+def q_search_markdown(spark, d):
+    r = rendered_searches(spark, d)
+    return r.select("search_id", "query", F.col("n_results").cast("long").alias("n_results"),
+                    F.array_join(F.transform("blocks", lambda b: b["url"]), " ").alias("result_urls"),
+                    "markdown")
+
+
+@query("search_events")
+def q_search_events(spark, d):
+    """C-5, read back through the SSE reader: the text deltas restore the
+    Markdown, and the stream has 10 events plus one per 4096 characters."""
+    r = rendered_searches(spark, d).select(
+        "search_id", "sse", (F.size(F.split("sse", "\n\n")) - 1).cast("long").alias("n_events"))
+    f = sse.facts_from_raw(r, ["search_id", "n_events"], raw_col="sse")
+    return f.select("search_id", "n_events", F.col("text").alias("markdown"), "message_id",
+                    "stop_reason", "completed", F.array_join("tool_names", ",").alias("tool_names"))

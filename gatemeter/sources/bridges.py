@@ -467,5 +467,36 @@ def sse_chunks(conversations: DataFrame, chunk_bytes: int = SSE_CHUNK_BYTES) ->
         F.substring("_b", F.col("seq") * chunk_bytes + 1, F.lit(chunk_bytes)).alias("chunk"))
 
 
+PAGES_PER_SEARCH = 5
+
+
+def search_responses(pages: DataFrame) -> DataFrame:
+    """Search-provider responses from ``pages`` ``(search_id, query, answer, results)``.
+
+    Rules: search ``s`` returned pages ``5s .. 5s+4`` in page order; each
+    result's title is the page's ``<title>`` (absent when empty), content the
+    page text with tags replaced by spaces and runs of whitespace collapsed;
+    query ``search <s>``; an answer (with padding to strip) when ``s % 3 = 0``;
+    no results at all when ``s % 7 = 6``.  A group is at most 5 pages.
+    """
+    html = F.col("html")
+    title = F.nullif(F.regexp_extract(html, "<title>(.*?)</title>", 1), F.lit(""))
+    text = F.regexp_replace(F.regexp_replace(html, "<[^>]*>", " "), "[ \t\n\r]+", " ")
+    sid = F.floor(F.col("page_id") / PAGES_PER_SEARCH).cast("long")
+    r = (pages.select(sid.alias("search_id"), "page_id",
+                      F.struct(F.col("url"), title.alias("title"), text.alias("content")).alias("r"))
+         .groupBy("search_id")
+         .agg(F.array_sort(F.collect_list(F.struct("page_id", "r"))).alias("_r")))
+    results = F.when(F.col("search_id") % 7 == 6, F.array().cast(
+        "array<struct<url:string,title:string,content:string>>")).otherwise(
+        F.transform("_r", lambda x: x["r"]))
+    return r.select("search_id",
+                    F.concat(F.lit("search "), _s(F.col("search_id"))).alias("query"),
+                    F.when(F.col("search_id") % 3 == 0,
+                           F.concat(F.lit("  answer "), _s(F.col("search_id")), F.lit(" \n")))
+                    .alias("answer"),
+                    results.alias("results"))
+
+
 __all__ = ["usage_raw", "calls_from_usage_raw", "blocks", "block_bodies", "chat_responses", "title_lines", "title_jsonl_lines",
            "REQUESTED_MODEL_CYCLE", "fixed"]
