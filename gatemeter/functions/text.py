@@ -31,12 +31,26 @@ def utf8_bytes(s: Column) -> Column:
     return F.octet_length(s)
 
 
+def _tenths_half_even(n: Column, unit: int) -> Column:
+    """``n / unit`` to one decimal, half-to-even on the exact value, as text.
+
+    Python formats ``n / 1024`` with ``.1f`` by rounding the exact binary
+    value half-to-even (1280 B is ``1.2KB``); Java's ``%.1f`` rounds half-up
+    (``1.3KB``).  Integer arithmetic reproduces Python exactly.
+    """
+    x = n.cast("long") * 10
+    q = F.floor(x / F.lit(unit)).cast("long")
+    r2 = (x - q * unit) * 2
+    t = q + F.when(r2 > unit, 1).when((r2 == unit) & (q % 2 == 1), 1).otherwise(0)
+    return F.concat((F.floor(t / 10)).cast("long").cast("string"), F.lit("."), (t % 10).cast("string"))
+
+
 def fmt_size(n: Column) -> Column:
     """P-9: ``512B`` / ``1.5KB`` / ``2.0MB``."""
     return (
         F.when(n < 1024, F.concat(n.cast("string"), F.lit("B")))
-        .when(n < 1024 * 1024, F.format_string("%.1fKB", n / F.lit(1024.0)))
-        .otherwise(F.format_string("%.1fMB", n / F.lit(1024.0 * 1024.0)))
+        .when(n < 1024 * 1024, F.concat(_tenths_half_even(n, 1024), F.lit("KB")))
+        .otherwise(F.concat(_tenths_half_even(n, 1024 * 1024), F.lit("MB")))
     )
 
 

@@ -625,3 +625,59 @@ SELECT search_id, CAST(10 + ceil(length(markdown) / 4096) AS BIGINT) AS n_events
   true AS completed, '' AS tool_names
 FROM md
 """
+
+ORACLES["request_summaries"] = with_raw("""
+, conv AS (SELECT conv_id, count(*) AS n_msgs,
+                  arg_max(text, turn) FILTER (WHERE role = 'user') AS last_user
+           FROM conversations WHERE conv_id >= 0 AND conv_id < 100 GROUP BY 1)
+, r AS (SELECT *, CAST(substr(request_id, 5) AS BIGINT) AS n FROM usage_raw)
+, b AS (SELECT r.request_id, r.requested_model, r.stream, r.user_id_raw, r.n,
+               coalesce(c.n_msgs, 0) AS n_msgs, coalesce(c.last_user, '') AS lu,
+               c.last_user IS NOT NULL AS has_user
+        FROM r LEFT JOIN conv c ON r.n % 100 = c.conv_id WHERE r.n % 251 <> 7)
+SELECT request_id,
+  concat(requested_model, ' (', CAST(n_msgs AS VARCHAR), ' msgs',
+         CASE WHEN stream THEN ' [stream]' ELSE '' END, ')', ' "',
+         CASE WHEN length(lu) > 80 THEN concat(replace(substr(lu, 1, 80), chr(10), ' '), '...')
+              ELSE replace(lu, chr(10), ' ') END, '"') AS summary,
+  CASE WHEN n % 17 = 0 THEN 'web_search' WHEN n % 3 = 1 THEN 'Read,Bash' ELSE '' END AS log_tools,
+  nullif(user_id_raw, '') AS log_user_id,
+  CASE WHEN has_user THEN substr(lu, 1, 500) END AS log_last_user,
+  false AS is_responses, CAST(NULL AS INTEGER) AS n_input,
+  CAST(greatest(1, length(lu) // 4) AS BIGINT) AS est_tokens
+FROM b
+""".replace("\n, conv AS", ", conv AS", 1))
+
+
+def _fmt_size_sql(n: str) -> str:
+    """Python's human size: one decimal, half-to-even on the exact value."""
+    def tenths(unit: int) -> str:
+        q = f"(({n}) * 10 // {unit})"
+        r2 = f"((({n}) * 10 - {q} * {unit}) * 2)"
+        t = f"({q} + CASE WHEN {r2} > {unit} THEN 1 WHEN {r2} = {unit} AND {q} % 2 = 1 THEN 1 ELSE 0 END)"
+        return f"concat(CAST({t} // 10 AS VARCHAR), '.', CAST({t} % 10 AS VARCHAR))"
+    return (f"CASE WHEN ({n}) < 1024 THEN concat(CAST({n} AS VARCHAR), 'B') "
+            f"WHEN ({n}) < 1048576 THEN concat({tenths(1024)}, 'KB') "
+            f"ELSE concat({tenths(1048576)}, 'MB') END")
+
+
+ORACLES["call_summaries"] = with_fact(f"""
+, f AS (SELECT *, CAST(substr(request_id, 5) AS BIGINT) AS n FROM fact)
+, g AS (SELECT ts, status, stream, n, route,
+          CASE WHEN route = 'tavily' THEN 0 ELSE input_tokens END AS i,
+          CASE WHEN route = 'tavily' THEN 0 ELSE output_tokens END AS o,
+          CASE WHEN route = 'tavily' THEN 0 ELSE cache_read_tokens END AS c,
+          CASE WHEN route <> 'tavily' AND NOT stream
+               THEN CASE n % 3 WHEN 0 THEN 'end_turn' WHEN 1 THEN 'tool_use' ELSE 'max_tokens' END
+          END AS stop
+        FROM f WHERE n % 19 <> 0 AND n % 97 <> 5)
+SELECT ts,
+  CASE WHEN status <> 200 THEN concat('HTTP ', CAST(status AS VARCHAR), ': ')
+       WHEN stream THEN 'OK [streamed]'
+       ELSE concat('OK in=', CAST(i AS VARCHAR), ' out=', CAST(o AS VARCHAR),
+                   CASE WHEN c <> 0 THEN concat(', cached=', CAST(c AS VARCHAR)) ELSE '' END,
+                   ' stop=', coalesce(stop, '?')) END AS summary,
+  {_fmt_size_sql('500 + (n * 13) % 20000')} AS req_size,
+  {_fmt_size_sql('100 + (n * 29) % 50000')} AS resp_size
+FROM g
+""".replace("\n, f AS", ", f AS", 1))

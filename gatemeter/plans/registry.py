@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 
 from gatemeter.functions.models import ModelPolicy, downgrade_to, downgraded, map_model_name
 from gatemeter.functions.requests import beta_forwarded, beta_stripped, parse_user_id
-from gatemeter.operators import bodies, catalog, convert, messages, search, sessions, spend, sse
+from gatemeter.operators import (bodies, catalog, convert, messages, search, sessions, spend, sse,
+                                 summaries)
 from gatemeter.operators.telemetry import build_telemetry, telemetry_from_events
 from gatemeter.plans import reports
 from gatemeter.sources import bridges
@@ -461,3 +462,20 @@ def q_search_events(spark, d):
     f = sse.facts_from_raw(r, ["search_id", "n_events"], raw_col="sse")
     return f.select("search_id", "n_events", F.col("text").alias("markdown"), "message_id",
                     "stop_reason", "completed", F.array_join("tool_names", ",").alias("tool_names"))
+
+
+# --- summaries (P-9, P-24, P-26, P-27, P-28, P-30, P-31) -------------------------------
+@query("request_summaries")
+def q_request_summaries(spark, d):
+    s = summaries.request_summaries(request_bodies(spark, d), log_content=True)
+    e = F.col("log_entry")
+    return s.select("request_id", "summary",
+                    F.coalesce(F.array_join(e["tools"], ","), F.lit("")).alias("log_tools"),
+                    e["user_id"].alias("log_user_id"), e["last_user_message"].alias("log_last_user"),
+                    "is_responses", "n_input", "est_tokens")
+
+
+@query("call_summaries")
+def q_call_summaries(spark, d):
+    return summaries.call_lines(request_log_mod.rebuild_telemetry(request_log(spark, d))) \
+        .select("ts", "summary", "req_size", "resp_size")
