@@ -681,3 +681,28 @@ SELECT ts,
   {_fmt_size_sql('100 + (n * 29) % 50000')} AS resp_size
 FROM g
 """.replace("\n, f AS", ", f AS", 1))
+
+# C-3: text streams as content unless it went to reasoning; reasoning becomes
+# the text only at a finish with no tool call; the tool block follows the text
+# block when text had started; the finish maps through the stream table.
+ORACLES["chat_sse_to_events"] = """
+WITH a AS (
+  SELECT conv_id, turn, coalesce(text, '') AS t, (conv_id + turn) % 5 = 0 AS in_reasoning,
+         conv_id % 2 = 0 AS has_tool, turn % 5 <> 4 AS has_finish, turn % 7 <> 3 AS has_usage
+  FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn,
+  CASE WHEN NOT in_reasoning THEN t
+       WHEN NOT has_tool AND has_finish THEN t ELSE '' END AS text,
+  CASE WHEN turn % 6 = 5 THEN 'msg_proxy'
+       ELSE concat('chatcmpl-', CAST(conv_id AS VARCHAR), '-', CAST(turn AS VARCHAR)) END AS message_id,
+  CASE turn % 5 WHEN 0 THEN 'end_turn' WHEN 1 THEN 'max_tokens' WHEN 2 THEN 'tool_use'
+                WHEN 3 THEN 'end_turn' END AS stop_reason,
+  CAST(CASE WHEN has_usage THEN conv_id * 10 + turn ELSE 0 END AS BIGINT) AS input_tokens,
+  CAST(CASE WHEN has_finish AND has_usage THEN length(t) ELSE 0 END AS BIGINT) AS output_tokens,
+  CASE WHEN has_tool THEN CASE (conv_id + turn) % 3 WHEN 0 THEN 'Read' WHEN 1 THEN 'Bash' ELSE 'Grep' END
+       ELSE '' END AS tool_names,
+  CASE WHEN has_tool THEN CAST(CASE WHEN NOT in_reasoning AND t <> '' THEN 1 ELSE 0 END AS BIGINT) END
+    AS tool_block_index,
+  true AS completed
+FROM a
+"""

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from gatemeter.functions.models import ModelPolicy, downgrade_to, downgraded, map_model_name
 from gatemeter.functions.requests import beta_forwarded, beta_stripped, parse_user_id
-from gatemeter.operators import (bodies, catalog, convert, messages, search, sessions, spend, sse,
+from gatemeter.operators import (bodies, catalog, chat_stream, convert, messages, search, sessions, spend, sse,
                                  summaries)
 from gatemeter.operators.telemetry import build_telemetry, telemetry_from_events
 from gatemeter.plans import reports
@@ -479,3 +479,18 @@ def q_request_summaries(spark, d):
 def q_call_summaries(spark, d):
     return summaries.call_lines(request_log_mod.rebuild_telemetry(request_log(spark, d))) \
         .select("ts", "summary", "req_size", "resp_size")
+
+
+# --- chat stream conversion (C-3, A-19) ------------------------------------------------
+@query("chat_sse_to_events")
+def q_chat_sse_to_events(spark, d):
+    """C-3 over collected chat streams, read back through the SSE reader."""
+    keys = ["conv_id", "turn"]
+    ev = chat_stream.convert_chat_streams(bridges.chat_sse_raw(conversations(spark, d)), keys)
+    idx = F.regexp_extract("events", r'"index":([0-9]+),"content_block":\{"type":"tool_use"', 1)
+    ev = ev.select(*keys, "events",
+                   F.when(idx != "", idx.cast("long")).alias("tool_block_index"))
+    f = sse.facts_from_raw(ev, [*keys, "tool_block_index"], raw_col="events")
+    return f.select(*keys, "text", "message_id", "stop_reason", "input_tokens", "output_tokens",
+                    F.array_join("tool_names", ",").alias("tool_names"), "tool_block_index",
+                    "completed")

@@ -498,5 +498,63 @@ def search_responses(pages: DataFrame) -> DataFrame:
                     results.alias("results"))
 
 
+def chat_sse_raw(conversations: DataFrame) -> DataFrame:
+    """A collected chat-completions stream per assistant turn ``(conv_id, turn, raw)``.
+
+    Same rules as :func:`chat_responses`, streamed: a role chunk (with the id
+    unless ``turn % 6 = 5``), the text in 64-character ``content`` deltas (in
+    ``reasoning`` deltas when ``(conv_id + turn) % 5 = 0``), for even
+    conversations a tool call opened in one chunk and its arguments in the
+    next, a finish chunk (absent when ``turn % 5 = 4``), a usage chunk (absent
+    when ``turn % 7 = 3``), ``[DONE]`` and a stray line after it.
+    """
+    c = conversations.where(F.col("role") == "assistant")
+    conv, turn = F.col("conv_id"), F.col("turn")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    n = F.ceil(F.char_length(text) / SSE_PIECE_CHARS).cast("int")
+    idx = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    in_reasoning = (conv + turn) % 5 == 0
+    cid = F.when(turn % 6 != 5, F.concat(F.lit("chatcmpl-"), _s(conv), F.lit("-"), _s(turn)))
+
+    def data(payload: Column) -> Column:
+        return F.concat(F.lit("data: "), F.to_json(payload), F.lit("\n\n"))
+
+    def chunk(delta: Column, finish: Column | None = None) -> Column:
+        return data(F.struct(cid.alias("id"), F.lit("chat.completion.chunk").alias("object"),
+                             F.array(F.struct(F.lit(0).alias("index"), delta.alias("delta"),
+                                              (finish if finish is not None else F.lit(None).cast("string"))
+                                              .alias("finish_reason"))).alias("choices")))
+
+    role = chunk(F.struct(F.lit("assistant").alias("role")))
+    pieces = F.array_join(F.transform(idx, lambda i: F.when(
+        in_reasoning, chunk(F.struct(F.substring(text, i * SSE_PIECE_CHARS + 1, F.lit(SSE_PIECE_CHARS))
+                                     .alias("reasoning"))))
+        .otherwise(chunk(F.struct(F.substring(text, i * SSE_PIECE_CHARS + 1, F.lit(SSE_PIECE_CHARS))
+                                  .alias("content"))))), "")
+    k = (conv + turn) % 3
+    args = F.when(k == 0, F.to_json(F.struct(
+        F.concat(F.lit("/src/f"), _s(conv % 7), F.lit(".py")).alias("file_path")))).otherwise(F.lit("{}"))
+    call_id = F.concat(F.lit("call_"), _s(conv), F.lit("_"), _s(turn))
+    tools = F.when(conv % 2 == 0, F.concat(
+        chunk(F.struct(F.array(F.struct(F.lit(0).alias("index"), call_id.alias("id"),
+                                        F.lit("function").alias("type"),
+                                        F.struct(_tool_name_for(conv, turn).alias("name"),
+                                                 F.lit("").alias("arguments")).alias("function")))
+                       .alias("tool_calls"))),
+        chunk(F.struct(F.array(F.struct(F.lit(0).alias("index"),
+                                        F.struct(args.alias("arguments")).alias("function")))
+                       .alias("tool_calls"))))).otherwise(F.lit(""))
+    finish = F.element_at(F.array(*[F.lit(x).cast("string") for x in FINISH_REASON_CYCLE]),
+                          (turn % 5 + 1).cast("int"))
+    fin = F.when(finish.isNotNull(), chunk(F.struct(F.lit(None).cast("string").alias("content")), finish)
+                 ).otherwise(F.lit(""))
+    usage = F.when(turn % 7 != 3, data(F.struct(
+        cid.alias("id"), F.array().cast("array<string>").alias("choices"),
+        F.struct((conv * 10 + turn).alias("prompt_tokens"),
+                 F.char_length(text).alias("completion_tokens")).alias("usage")))).otherwise(F.lit(""))
+    tail = F.lit("data: [DONE]\n\ndata: {\"choices\": [{\"delta\": {\"content\": \"after done\"}}]}\n\n")
+    return c.select("conv_id", "turn", F.concat(role, pieces, tools, fin, usage, tail).alias("raw"))
+
+
 __all__ = ["usage_raw", "calls_from_usage_raw", "blocks", "block_bodies", "chat_responses", "title_lines", "title_jsonl_lines",
            "REQUESTED_MODEL_CYCLE", "fixed"]
