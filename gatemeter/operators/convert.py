@@ -53,6 +53,14 @@ def _keys(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
+def _parsed(df: DataFrame, keys: list[str], body_col: str) -> DataFrame:
+    """``(*keys, _v)`` for rows whose payload is valid JSON.  The parse sits
+    inside a generator so the validity filter is not pushed below it with a
+    second copy of the parse: each payload is parsed once."""
+    row = F.struct(*[F.col(k) for k in keys], F.try_parse_json(F.col(body_col)).alias("_v"))
+    return df.select(F.inline(F.array(row))).where(F.col("_v").isNotNull())
+
+
 def _kind(v: Column) -> Column:
     """JSON type of a variant: STRING, ARRAY<..>, OBJECT<..>, BIGINT, NULL..."""
     return F.schema_of_variant(v)
@@ -165,7 +173,7 @@ def to_chat_request(bodies: DataFrame, key: str | list[str] = "request_id", body
     """
     v = F.col("_v")
     keys = _keys(key)
-    p = bodies.select(*keys, F.try_parse_json(F.col(body_col)).alias("_v")).where(v.isNotNull())
+    p = _parsed(bodies, keys, body_col)
     msgs = F.coalesce(_get(v, "$.messages", "array<variant>"),
                       F.array().cast("array<variant>"))
     chat = F.concat(system_messages_of(_get(v, "$.system", "variant")),
@@ -215,7 +223,7 @@ def from_chat_response(responses: DataFrame, key: str | list[str] = "request_id"
     """
     v = F.col("_v")
     keys = _keys(key)
-    p = responses.select(*keys, F.try_parse_json(F.col(body_col)).alias("_v")).where(v.isNotNull())
+    p = _parsed(responses, keys, body_col)
     choice = _get(v, "$.choices[0]", "variant")
     m = _get(choice, "$.message", "variant")
     content_t = _get(m, "$.content")

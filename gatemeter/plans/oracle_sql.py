@@ -706,3 +706,15 @@ SELECT conv_id, turn,
   true AS completed
 FROM a
 """
+
+ORACLES["route_derivation"] = """
+SELECT concat('req_', CAST(event_id AS VARCHAR)) AS request_id,
+  CASE WHEN event_id % 17 = 0 THEN 'tavily' ELSE 'native' END AS route_default,
+  CASE WHEN event_id % 17 = 0 THEN 'tavily' ELSE 'openai' END AS route_forced_model,
+  'native' AS route_no_search_key
+FROM events WHERE event_id % 251 <> 7
+"""
+
+ORACLES["pending_retention"] = with_fact("""
+SELECT request_id, ts, route FROM fact ORDER BY ts DESC, request_id DESC LIMIT 10000
+""")

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gatemeter.functions.models import ModelPolicy, downgrade_to, downgraded, map_model_name
-from gatemeter.functions.requests import beta_forwarded, beta_stripped, parse_user_id
+from gatemeter import fixed
+from gatemeter.functions.requests import beta_forwarded, beta_stripped, derive_route, parse_user_id
 from gatemeter.operators import (bodies, catalog, chat_stream, convert, messages, search, sessions, spend, sse,
                                  summaries)
 from gatemeter.operators.telemetry import build_telemetry, telemetry_from_events
@@ -494,3 +495,25 @@ def q_chat_sse_to_events(spark, d):
     return f.select(*keys, "text", "message_id", "stop_reason", "input_tokens", "output_tokens",
                     F.array_join("tool_names", ",").alias("tool_names"), "tool_block_index",
                     "completed")
+
+
+# --- routing and retention (P-29, S-3) -------------------------------------------------
+@query("route_derivation")
+def q_route_derivation(spark, d):
+    """P-29 under three policies: search key set; search key set and a forced
+    non-Claude upstream model; no search key."""
+    f = bodies.body_features(request_bodies(spark, d))
+    so = F.col("search_only")
+    forced = ModelPolicy()
+    return f.select(
+        "request_id",
+        derive_route(None, forced, True, so).alias("route_default"),
+        derive_route("gpt-5-mini", forced, True, so).alias("route_forced_model"),
+        derive_route(None, forced, False, so).alias("route_no_search_key"))
+
+
+@query("pending_retention")
+def q_pending_retention(spark, d):
+    """S-3: the 10 000 newest calls (the gateway's backlog bound)."""
+    return sinks.retain_newest(fact_table(spark, d).select("request_id", "ts", "route"),
+                               fixed.MAX_PENDING_ROWS, ["ts", "request_id"])

@@ -60,14 +60,13 @@ def _stored_keys(spark: SparkSession, path: str, batch: DataFrame, keys: list[st
 
 
 def dedupe_append(batch: DataFrame, path: str, key: str | list[str], order: list[str],
-                  partition_col: str | None = None) -> int | None:
+                  partition_col: str | None = None) -> None:
     """SNK-1: append the batch's new keys to the parquet table at ``path``.
 
     Within the batch the first row per key by ``order`` wins; a key already
     stored keeps its stored row.  ``partition_col`` (e.g. the day) both
     partitions the files and prunes the stored table read by the anti-join.
-    ``order`` columns are dropped from the output unless they are table
-    columns.  Returns nothing; the write is one Spark job.
+    Every batch column, the ``order`` columns included, is written.
     """
     spark = batch.sparkSession
     keys = [key] if isinstance(key, str) else list(key)
@@ -78,7 +77,6 @@ def dedupe_append(batch: DataFrame, path: str, key: str | list[str], order: list
     if partition_col:
         w = w.partitionBy(partition_col)
     w.parquet(path)
-    return None
 
 
 def missing_columns(stored: DataFrame, incoming: DataFrame) -> list[str]:
@@ -117,3 +115,11 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     from gatemeter.session import scratch_path
 
     return os.path.join(scratch_path(spark, "tables"), f"{name}-{uuid.uuid4().hex}")
+
+
+def retain_newest(rows: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """S-3: the newest ``n`` rows by ``order`` (descending): the gateway's
+    bounded backlog as a query.  Planned as a top-k (each task keeps its own
+    ``n`` best, one task merges them), so it never sorts the whole table.
+    The streaming ingest itself never drops rows (ST-4)."""
+    return rows.orderBy(*[F.col(c).desc() for c in order]).limit(n)
