@@ -718,3 +718,5 @@ FROM events WHERE event_id % 251 <> 7
 ORACLES["pending_retention"] = with_fact("""
 SELECT request_id, ts, route FROM fact ORDER BY ts DESC, request_id DESC LIMIT 10000
 """)
+
+ORACLES["stream_ingest_titles"] = ORACLES["requests_with_titles"]

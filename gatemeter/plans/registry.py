@@ -517,3 +517,19 @@ def q_pending_retention(spark, d):
     """S-3: the 10 000 newest calls (the gateway's backlog bound)."""
     return sinks.retain_newest(fact_table(spark, d).select("request_id", "ts", "route"),
                                fixed.MAX_PENDING_ROWS, ["ts", "request_id"])
+
+
+@query("stream_ingest_titles")
+def q_stream_ingest_titles(spark, d):
+    """ST-6: the streaming ingest with session titles joined per micro-batch."""
+    landing = _land_calls(spark, d, "stream_ingest_titles")
+    table = sinks.new_table_path(spark, "stream_ingest_titles")
+    ckpt = sinks.new_table_path(spark, "stream_ingest_titles-ckpt")
+    cache = ingest.TitleCache(
+        lambda: sessions.session_titles(bridges.title_jsonl_lines(conversations(spark, d))))
+    q = ingest.ingest_calls(_call_stream(spark, landing, 4), table, ckpt, titles=cache,
+                            title_key=lambda f: bridges.transcript_session_of(f["request_id"]))
+    ingest.run_to_end(q)
+    t = spark.read.parquet(table)
+    return t.select("request_id", bridges.transcript_session_of(F.col("request_id")).alias("session_id"),
+                    "session_name")

@@ -22,8 +22,10 @@ partials.  Late rows count toward their day whenever they arrive.
 from __future__ import annotations
 
 import os
+import time
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -44,19 +46,51 @@ def flush_trigger() -> str:
     return f"{fixed.FLUSH_INTERVAL_S:g} seconds"
 
 
+class TitleCache:
+    """ST-6: session titles, re-read when older than ``ttl_s`` (the gateway's
+    300 s title cache).  ``loader`` returns ``(session_id, session_name)``;
+    at scale it reads a titles table kept by a separate batch job (A-8), so a
+    refresh is a file listing, not a scan of every transcript.  Sessions
+    without a title simply get none (the gateway caches that answer too).
+    """
+
+    def __init__(self, loader: Callable[[], DataFrame], ttl_s: float = fixed.TITLE_CACHE_TTL_S):
+        self.loader = loader
+        self.ttl_s = ttl_s
+        self._df: DataFrame | None = None
+        self._at = 0.0
+
+    def get(self) -> DataFrame:
+        now = time.monotonic()
+        if self._df is None or now - self._at > self.ttl_s:
+            self._df = self.loader()
+            self._at = now
+        return self._df
+
+
 def ingest_calls(calls: DataFrame, table_path: str, checkpoint: str,
                  policy: ModelPolicy | None = None, order: list[str] | None = None,
-                 trigger: str | None = None) -> StreamingQuery:
+                 trigger: str | None = None, titles: TitleCache | None = None,
+                 title_key: Callable[[DataFrame], Column] | None = None) -> StreamingQuery:
     """Stream call records (the :func:`build_telemetry` contract) into the
     telemetry table at ``table_path``, partitioned by day.
 
     ``order`` decides which copy of a call wins inside one micro-batch
-    (default: ``ts``, then ``elapsed_ms``).  Returns the started query.
+    (default: ``ts``, then ``elapsed_ms``).  With ``titles`` (ST-6) each
+    micro-batch is joined to the cached titles on ``title_key(fact)``
+    (default ``session_id``); a row keeps the title it had when written.
+    Returns the started query.
     """
+    from gatemeter.operators.sessions import attach_titles
+
     order = order or ["ts", "elapsed_ms"]
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         fact = build_telemetry(batch, policy).withColumn("day", F.to_date("ts"))
+        if titles is not None:
+            key = title_key(fact) if title_key else F.col("session_id")
+            fact = attach_titles(fact.withColumn("_title_key", key), titles.get(),
+                                 key="_title_key").drop("_title_key")
         sinks.dedupe_append(fact, table_path, "request_id", order, partition_col="day")
 
     w = (calls.writeStream.foreachBatch(write_batch)
