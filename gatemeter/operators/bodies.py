@@ -185,7 +185,9 @@ def normalise_bodies(bodies: DataFrame, policy: ModelPolicy | None = None,
     model_changed = mapped != original
     dropped = F.size(unknown) > 0
     base = F.when(model_changed | dropped, rebuilt).otherwise(F.col(body_col))
-    cleaned = F.when(has_cc, strip_cache_control_json(base)).otherwise(base)
+    # Spark evaluates a Python UDF for every row, even inside a CASE branch,
+    # so bodies without cache_control pass it a null instead of the body
+    cleaned = F.when(has_cc, strip_cache_control_json(F.when(has_cc, base))).otherwise(base)
     cc_changed = has_cc & (F.to_json(F.parse_json(cleaned)) != F.to_json(F.parse_json(base)))
     return p.select(key, original.alias("original_model"), mapped.alias("model"),
                     F.when(model_changed | dropped | cc_changed, cleaned)
