@@ -173,3 +173,154 @@ def convert_chat_streams(streams: DataFrame, keys: list[str], raw_col: str = "ra
                          model: str = "claude-sonnet-4.6") -> DataFrame:
     """C-3 for a table of collected streams: ``(*keys, events)``."""
     return streams.select(*keys, chat_stream_to_events(F.col(raw_col), F.lit(model)).alias("events"))
+
+
+# --- C-4: Responses-API stream -> chat-completions chunks ----------------------------
+
+_DELTA = ("struct<role:string,content:string,"
+          "tool_calls:array<struct<index:int,id:string,type:string,"
+          "function:struct<name:string,arguments:string>>>>")
+
+
+def responses_events(raw: Column) -> Column:
+    """The incremental reader (T11) over one collected Responses stream:
+    events cut at blank lines (a tail without one is still buffered and never
+    read); per event the last ``event:`` name and the ``data:`` lines (space
+    optional) joined by newlines; ``[DONE]`` and malformed data skipped; the
+    type falls back to the data's ``type``.  ``array<struct<type, v>>``."""
+    parts = F.split(raw, "\n\n")
+    complete = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+
+    def one(ev):
+        lines = F.split(ev, "\n")
+        names = F.transform(F.filter(lines, lambda x: x.startswith("event:")),
+                            lambda x: pystrip(F.substring(x, 7, 1 << 30)))
+        datas = F.transform(F.filter(lines, lambda x: x.startswith("data:")),
+                            lambda x: F.ltrim(F.substring(x, 6, 1 << 30)))
+        data = F.array_join(datas, "\n")
+        v = F.when((F.size(datas) > 0) & (data != "[DONE]"), F.try_parse_json(data))
+        name = F.try_element_at(names, F.lit(-1))
+        return F.struct(F.when(F.coalesce(name, F.lit("")) != "", name)
+                        .otherwise(F.coalesce(_g(v, "$.type"), F.lit(""))).alias("type"),
+                        v.alias("v"))
+
+    return F.filter(F.transform(complete, one), lambda e: e["v"].isNotNull())
+
+
+def responses_to_chat_chunks(raw: Column, chat_id: Column, created: Column, model: Column) -> Column:
+    """C-4 over one collected Responses-API stream: the chat-completions SSE
+    text the gateway writes, ending with ``data: [DONE]``.
+
+    Tool-call indices are allocated at the first sight of a key (the
+    ``output_index``, else the item id): the first occurrence order of keys
+    among allocating events, read off ``array_distinct`` of that sequence.
+    """
+    evs = responses_events(raw)
+    t = lambda e: e["type"]
+    v = lambda e: e["v"]
+
+    def key_of(e, id_path: str):
+        oi = _g(v(e), "$.output_index", "bigint")
+        return F.when(oi.isNotNull(), oi.cast("string")).otherwise(F.coalesce(
+            F.nullif(_g(v(e), id_path), F.lit("")), F.lit("")))
+
+    def is_fc_added(e):
+        return (t(e) == "response.output_item.added") & \
+            F.coalesce(_g(v(e), "$.item.type") == "function_call", F.lit(False))
+
+    def item_key(e):
+        oi = _g(v(e), "$.output_index", "bigint")
+        ident = F.coalesce(F.nullif(_g(v(e), "$.item.id"), F.lit("")),
+                           F.nullif(_g(v(e), "$.item.call_id"), F.lit("")), F.lit(""))
+        return F.when(oi.isNotNull(), oi.cast("string")).otherwise(ident)
+
+    def is_args(e):
+        return t(e) == "response.function_call_arguments.delta"
+
+    # allocating events in order: (position, key)
+    alloc = F.filter(F.transform(evs, lambda e, i: F.struct(
+        i.alias("i"),
+        F.when(is_fc_added(e), item_key(e)).when(is_args(e), key_of(e, "$.item_id")).alias("k"),
+        (is_fc_added(e) | is_args(e)).alias("a"))), lambda x: x["a"])
+    order = F.array_distinct(F.transform(alloc, lambda x: x["k"]))
+    first_role = F.array_position(F.transform(evs, lambda e: t(e).isin(
+        "response.created", "response.in_progress")), F.lit(True))
+
+    def chunk(delta: Column, finish: Column | None = None, usage: Column | None = None) -> Column:
+        body = F.to_json(F.struct(
+            chat_id.alias("id"), F.lit("chat.completion.chunk").alias("object"),
+            created.alias("created"), model.alias("model"),
+            F.array(F.struct(F.lit(0).alias("index"), F.parse_json(F.to_json(delta)).alias("delta"),
+                             (finish if finish is not None else F.lit(None).cast("string"))
+                             .alias("finish_reason"))).alias("choices")),
+            {"ignoreNullFields": "false"})
+        if usage is not None:
+            body = F.when(usage.isNotNull(), F.concat(
+                F.substring(body, 1, F.char_length(body) - 1), F.lit(',"usage":'), F.to_json(usage),
+                F.lit("}"))).otherwise(body)
+        return F.concat(F.lit("data: "), body, F.lit("\n\n"))
+
+    def delta(role=None, content=None, tool=None) -> Column:
+        return F.struct(
+            (role if role is not None else F.lit(None).cast("string")).alias("role"),
+            (content if content is not None else F.lit(None).cast("string")).alias("content"),
+            (F.array(tool) if tool is not None else F.lit(None)).cast(
+                "array<struct<index:int,id:string,type:string,"
+                "function:struct<name:string,arguments:string>>>").alias("tool_calls"))
+
+    def tool(idx, ident=None, typ=None, name=None, args=None) -> Column:
+        n = F.lit(None).cast("string")
+        return F.struct(idx.cast("int").alias("index"), (ident if ident is not None else n).alias("id"),
+                        (typ if typ is not None else n).alias("type"),
+                        F.struct((name if name is not None else n).alias("name"),
+                                 (args if args is not None else n).alias("arguments")).alias("function"))
+
+    def idx_of(k):
+        return F.array_position(order, k) - 1
+
+    def first_alloc_at(k, i):
+        return F.try_element_at(F.filter(alloc, lambda x: x["k"] == k), F.lit(1))["i"] == i
+
+    def one(e, i):
+        none = F.lit("")
+        u = _g(v(e), "$.response.usage", "variant")
+        has_u = F.size(F.coalesce(_g(v(e), "$.response.usage", "map<string,string>"),
+                                  F.create_map().cast("map<string,string>"))) > 0
+        it, ot = (F.coalesce(_g(u, "$.input_tokens", "bigint"), F.lit(0)),
+                  F.coalesce(_g(u, "$.output_tokens", "bigint"), F.lit(0)))
+        usage = F.when(has_u, F.struct(it.alias("prompt_tokens"), ot.alias("completion_tokens"),
+                                       F.coalesce(_g(u, "$.total_tokens", "bigint"), it + ot)
+                                       .alias("total_tokens")))
+        saw_tool = F.size(F.filter(alloc, lambda x: x["i"] < i)) > 0
+        reason = F.coalesce(_g(v(e), "$.response.incomplete_details.reason"), F.lit(""))
+        from gatemeter.functions.requests import responses_incomplete_finish
+        text = F.coalesce(_g(v(e), "$.delta"), F.lit(""))
+        ik = item_key(e)
+        ak = key_of(e, "$.item_id")
+        return (
+            F.when(t(e).isin("response.created", "response.in_progress"),
+                   F.when(first_role == i + 1, chunk(delta(F.lit("assistant"), F.lit("")))).otherwise(none))
+            .when(t(e) == "response.output_text.delta",
+                  F.when(text != "", chunk(delta(content=text))).otherwise(none))
+            .when(is_fc_added(e), F.when(first_alloc_at(ik, i), chunk(delta(tool=tool(
+                idx_of(ik),
+                F.coalesce(F.nullif(_g(v(e), "$.item.call_id"), F.lit("")),
+                           F.nullif(_g(v(e), "$.item.id"), F.lit("")), F.lit("")),
+                F.lit("function"), F.coalesce(_g(v(e), "$.item.name"), F.lit("")), F.lit("")))))
+                .otherwise(none))
+            .when(is_args(e), F.when(text != "", chunk(delta(tool=tool(idx_of(ak), args=text))))
+                  .otherwise(none))
+            .when(t(e) == "response.completed", chunk(
+                delta(), F.when(saw_tool, F.lit("tool_calls")).otherwise(F.lit("stop")), usage))
+            .when(t(e) == "response.incomplete", chunk(delta(), responses_incomplete_finish(reason)))
+            .when(t(e).isin("response.failed", "error"), chunk(delta(), F.lit("stop")))
+            .otherwise(none))
+
+    return F.concat(F.array_join(F.transform(evs, one), ""), F.lit("data: [DONE]\n\n"))
+
+
+def convert_responses_streams(streams: DataFrame, keys: list[str], chat_id: Column, created: Column,
+                              raw_col: str = "raw", model: str = "claude-sonnet-4.6") -> DataFrame:
+    """C-4 for a table of collected Responses streams: ``(*keys, chunks)``."""
+    return streams.select(*keys, responses_to_chat_chunks(
+        F.col(raw_col), chat_id, created, F.lit(model)).alias("chunks"))

@@ -720,3 +720,23 @@ SELECT request_id, ts, route FROM fact ORDER BY ts DESC, request_id DESC LIMIT 1
 """)
 
 ORACLES["stream_ingest_titles"] = ORACLES["requests_with_titles"]
+
+# C-4 then C-3: completed -> tool_calls / stop, incomplete (max_output_tokens)
+# -> length, failed -> stop; usage only on completed events.
+ORACLES["responses_to_chat"] = """
+WITH a AS (
+  SELECT conv_id, turn, coalesce(text, '') AS t, conv_id % 2 = 0 AS has_tool,
+         turn % 5 <= 2 AS completed_ev, turn % 7 <> 3 AS has_usage
+  FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, t AS text,
+  concat('chatcmpl-', CAST(conv_id AS VARCHAR), '-', CAST(turn AS VARCHAR)) AS message_id,
+  CASE WHEN completed_ev AND has_tool THEN 'tool_use'
+       WHEN turn % 5 = 3 THEN 'max_tokens' ELSE 'end_turn' END AS stop_reason,
+  CAST(CASE WHEN completed_ev AND has_usage THEN conv_id * 10 + turn ELSE 0 END AS BIGINT) AS input_tokens,
+  CAST(CASE WHEN completed_ev AND has_usage THEN length(t) ELSE 0 END AS BIGINT) AS output_tokens,
+  CASE WHEN has_tool THEN CASE (conv_id + turn) % 3 WHEN 0 THEN 'Read' WHEN 1 THEN 'Bash' ELSE 'Grep' END
+       ELSE '' END AS tool_names,
+  CASE WHEN has_tool THEN CAST(CASE WHEN t <> '' THEN 1 ELSE 0 END AS BIGINT) END AS tool_block_index,
+  true AS completed
+FROM a
+"""

@@ -533,3 +533,23 @@ def q_stream_ingest_titles(spark, d):
     t = spark.read.parquet(table)
     return t.select("request_id", bridges.transcript_session_of(F.col("request_id")).alias("session_id"),
                     "session_name")
+
+
+# --- Responses stream conversion (C-4) ----------------------------------------------------
+@query("responses_to_chat")
+def q_responses_to_chat(spark, d):
+    """C-4 over collected Responses streams, then C-3 and the SSE reader: the
+    chat chunks must carry the text, tool call, finish and usage through."""
+    keys = ["conv_id", "turn"]
+    chat_id = F.concat(F.lit("chatcmpl-"), F.col("conv_id").cast("string"), F.lit("-"),
+                       F.col("turn").cast("string"))
+    created = F.lit(bridges.STREAM_EPOCH_S).cast("long") + F.col("conv_id") * 3600
+    chunks = chat_stream.convert_responses_streams(
+        bridges.responses_sse_raw(conversations(spark, d)), keys, chat_id, created)
+    ev = chat_stream.convert_chat_streams(chunks, keys, raw_col="chunks")
+    idx = F.regexp_extract("events", r'"index":([0-9]+),"content_block":\{"type":"tool_use"', 1)
+    ev = ev.select(*keys, "events", F.when(idx != "", idx.cast("long")).alias("tool_block_index"))
+    f = sse.facts_from_raw(ev, [*keys, "tool_block_index"], raw_col="events")
+    return f.select(*keys, "text", "message_id", "stop_reason", "input_tokens", "output_tokens",
+                    F.array_join("tool_names", ",").alias("tool_names"), "tool_block_index",
+                    "completed")

@@ -556,5 +556,61 @@ def chat_sse_raw(conversations: DataFrame) -> DataFrame:
     return c.select("conv_id", "turn", F.concat(role, pieces, tools, fin, usage, tail).alias("raw"))
 
 
+def responses_sse_raw(conversations: DataFrame) -> DataFrame:
+    """A collected Responses-API stream per assistant turn ``(conv_id, turn, raw)``.
+
+    Rules on ``(c, t)``: ``response.created`` and ``response.in_progress``; the
+    text in 64-character ``response.output_text.delta`` events; for even
+    conversations a function call (output index 1, B3's tool name) and its
+    arguments; then ``response.completed`` (usage ``c*10+t`` in,
+    ``length(text)`` out, absent when ``t % 7 = 3``) when ``t % 5`` is 0, 1
+    or 2, ``response.incomplete`` (``max_output_tokens``) when 3 and
+    ``response.failed`` when 4.  Odd turns write ``data:`` without the space.
+    Every stream ends with an event that has no closing blank line, which a
+    reader must still hold and never emit.
+    """
+    c = conversations.where(F.col("role") == "assistant")
+    conv, turn = F.col("conv_id"), F.col("turn")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    n = F.ceil(F.char_length(text) / SSE_PIECE_CHARS).cast("int")
+    idx = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    sep = F.when(turn % 2 == 1, F.lit("data:")).otherwise(F.lit("data: "))
+
+    def ev(name: str, payload: Column) -> Column:
+        return F.concat(F.lit(f"event: {name}\n"), sep, F.to_json(payload), F.lit("\n\n"))
+
+    head = F.concat(
+        ev("response.created", F.struct(F.lit("response.created").alias("type"))),
+        ev("response.in_progress", F.struct(F.lit("response.in_progress").alias("type"))))
+    pieces = F.array_join(F.transform(idx, lambda i: ev("response.output_text.delta", F.struct(
+        F.lit("response.output_text.delta").alias("type"), F.lit(0).alias("output_index"),
+        F.substring(text, i * SSE_PIECE_CHARS + 1, F.lit(SSE_PIECE_CHARS)).alias("delta")))), "")
+    k = (conv + turn) % 3
+    args = F.when(k == 0, F.to_json(F.struct(
+        F.concat(F.lit("/src/f"), _s(conv % 7), F.lit(".py")).alias("file_path")))).otherwise(F.lit("{}"))
+    tool = F.when(conv % 2 == 0, F.concat(
+        ev("response.output_item.added", F.struct(
+            F.lit("response.output_item.added").alias("type"), F.lit(1).alias("output_index"),
+            F.struct(F.lit("function_call").alias("type"),
+                     F.concat(F.lit("fc_"), _s(conv), F.lit("_"), _s(turn)).alias("id"),
+                     F.concat(F.lit("call_"), _s(conv), F.lit("_"), _s(turn)).alias("call_id"),
+                     _tool_name_for(conv, turn).alias("name")).alias("item"))),
+        ev("response.function_call_arguments.delta", F.struct(
+            F.lit("response.function_call_arguments.delta").alias("type"),
+            F.lit(1).alias("output_index"), args.alias("delta"))))).otherwise(F.lit(""))
+    usage = F.when(turn % 7 != 3, F.struct((conv * 10 + turn).alias("input_tokens"),
+                                           F.char_length(text).alias("output_tokens")))
+    end = (F.when(turn % 5 <= 2, ev("response.completed", F.struct(
+        F.lit("response.completed").alias("type"),
+        F.struct(F.lit("completed").alias("status"), usage.alias("usage")).alias("response"))))
+        .when(turn % 5 == 3, ev("response.incomplete", F.struct(
+            F.lit("response.incomplete").alias("type"),
+            F.struct(F.struct(F.lit("max_output_tokens").alias("reason")).alias("incomplete_details"))
+            .alias("response"))))
+        .otherwise(ev("response.failed", F.struct(F.lit("response.failed").alias("type")))))
+    tail = F.lit('event: response.output_text.delta\ndata: {"delta": "never closed"}')
+    return c.select("conv_id", "turn", F.concat(head, pieces, tool, end, tail).alias("raw"))
+
+
 __all__ = ["usage_raw", "calls_from_usage_raw", "blocks", "block_bodies", "chat_responses", "title_lines", "title_jsonl_lines",
            "REQUESTED_MODEL_CYCLE", "fixed"]

@@ -63,3 +63,43 @@ def test_reasoning_fallback_and_empty(spark):
     assert text == "thinking"
     assert [e["delta"]["stop_reason"] for n, e in evs if n == "message_delta"] == ["max_tokens"]
     assert _events(spark, "data: [DONE]\n\n") == []
+
+
+def _r(name: str, obj, space: bool = True) -> str:
+    return f"event: {name}\ndata:{' ' if space else ''}{json.dumps(obj)}\n\n"
+
+
+def test_responses_to_chat_chunks(spark):
+    from gatemeter.operators.chat_stream import responses_to_chat_chunks
+
+    raw = (_r("response.created", {}) + _r("response.in_progress", {}, space=False)
+           + _r("response.output_text.delta", {"delta": "hel"})
+           + _r("response.function_call_arguments.delta", {"output_index": 3, "delta": "{\"a\""})
+           + _r("response.output_item.added", {"output_index": 3, "item": {
+               "type": "function_call", "id": "fc", "call_id": "c3", "name": "Read"}})
+           + _r("response.output_item.added", {"output_index": 5, "item": {
+               "type": "function_call", "id": "fc5", "name": "Bash"}})
+           + _r("response.function_call_arguments.delta", {"output_index": 5, "delta": "{}"})
+           + "data: [DONE]\n\n"
+           + _r("response.completed", {"response": {"usage": {"input_tokens": 2, "output_tokens": 3}}})
+           + 'event: response.output_text.delta\ndata: {"delta": "tail"}')
+    out = spark.createDataFrame([(raw,)], "raw string").select(responses_to_chat_chunks(
+        F.col("raw"), F.lit("id1"), F.lit(7).cast("long"), F.lit("m")).alias("c")).collect()[0].c
+    blocks = [b for b in out.split("\n\n") if b]
+    assert blocks[-1] == "data: [DONE]"
+    chunks = [json.loads(b[len("data: "):]) for b in blocks[:-1]]
+    deltas = [c["choices"][0]["delta"] for c in chunks]
+    assert deltas[0] == {"role": "assistant", "content": ""}      # role once
+    assert deltas[1] == {"content": "hel"}
+    # arguments before the item allocate index 0; the later item with the same
+    # key emits nothing; the next key gets index 1
+    assert deltas[2] == {"tool_calls": [{"index": 0, "function": {"arguments": "{\"a\""}}]}
+    assert deltas[3]["tool_calls"][0] == {"index": 1, "id": "fc5", "type": "function",
+                                          "function": {"name": "Bash", "arguments": ""}}
+    assert deltas[4] == {"tool_calls": [{"index": 1, "function": {"arguments": "{}"}}]}
+    last = chunks[-1]
+    assert last["choices"][0]["finish_reason"] == "tool_calls"
+    assert last["usage"] == {"prompt_tokens": 2, "completion_tokens": 3, "total_tokens": 5}
+    assert chunks[0]["choices"][0]["finish_reason"] is None and "usage" not in chunks[0]
+    assert all(c["id"] == "id1" and c["created"] == 7 for c in chunks)
+    assert len(chunks) == 6   # the unterminated tail is never emitted
