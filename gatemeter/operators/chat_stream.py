@@ -94,10 +94,15 @@ def _buffers(c: Column) -> Column:
     return ~_nonempty(c["content"]) & _nonempty(c["reasoning"])
 
 
-def chat_stream_to_events(raw: Column, model: Column) -> Column:
-    """C-3 over one collected stream: the message event stream as SSE text
-    (``''`` when the stream has no valid chunk)."""
-    cks = chat_chunks(raw)
+def _stage(df: DataFrame, cols: list[Column]) -> DataFrame:
+    """Project ``cols`` behind a generator.  Later lambdas read the staged
+    arrays as columns; without the barrier Catalyst may inline a staged
+    expression into a lambda, where it would be re-evaluated per element."""
+    return df.select(F.inline(F.array(F.struct(*cols))))
+
+
+def _chat_states(cks: Column) -> Column:
+    """The fold: state before each chunk ``(cs, ti, rs)``."""
     state0 = F.struct(F.lit(False).alias("cs"), F.lit(-1).alias("ti"), F.lit(False).alias("rs"),
                       F.array().cast("array<struct<cs:boolean,ti:int,rs:boolean>>").alias("before"))
 
@@ -111,11 +116,12 @@ def chat_stream_to_events(raw: Column, model: Column) -> Column:
                             acc["cs"].alias("cs"), acc["ti"].alias("ti"), acc["rs"].alias("rs"))))
                         .alias("before"))
 
-    states = F.aggregate(cks, state0, step)["before"]
-    usage_chunks = F.filter(cks, lambda c: c["has_usage"])
-    last_usage = F.try_element_at(usage_chunks, F.lit(-1))
-    in_tok = F.coalesce(last_usage["prompt_tokens"], F.lit(0))
-    out_tok = F.coalesce(last_usage["completion_tokens"], F.lit(0))
+    return F.aggregate(cks, state0, step)["before"]
+
+
+def _chat_events(cks: Column, states: Column, in_tok: Column, out_tok: Column,
+                 first_id: Column, model: Column) -> Column:
+    """Events of every chunk from the staged chunks and states (C-3)."""
 
     def chunk_events(c, i):
         s = F.element_at(states, i + 1)
@@ -157,7 +163,6 @@ def chat_stream_to_events(raw: Column, model: Column) -> Column:
                 F.struct(out_tok.alias("output_tokens")).alias("usage")))))).otherwise(none)
         return F.concat(text_ev, tool_ev, finish_ev)
 
-    first_id = F.coalesce(F.try_element_at(cks, F.lit(1))["id"], F.lit("msg_proxy"))
     start = _ev("message_start", F.struct(
         F.lit("message_start").alias("type"),
         F.struct(first_id.alias("id"), F.lit("message").alias("type"), F.lit("assistant").alias("role"),
@@ -171,8 +176,22 @@ def chat_stream_to_events(raw: Column, model: Column) -> Column:
 
 def convert_chat_streams(streams: DataFrame, keys: list[str], raw_col: str = "raw",
                          model: str = "claude-sonnet-4.6") -> DataFrame:
-    """C-3 for a table of collected streams: ``(*keys, events)``."""
-    return streams.select(*keys, chat_stream_to_events(F.col(raw_col), F.lit(model)).alias("events"))
+    """C-3 for a table of collected streams: ``(*keys, events)``, the message
+    event stream as SSE text (``''`` when a stream has no valid chunk).
+
+    Three narrow stages: parse the chunks once, fold the block state once,
+    then emit every chunk's events from the staged columns.
+    """
+    k = [F.col(c) for c in keys]
+    a = _stage(streams, [*k, chat_chunks(F.col(raw_col)).alias("_cks")])
+    cks = F.col("_cks")
+    last_usage = F.try_element_at(F.filter(cks, lambda c: c["has_usage"]), F.lit(-1))
+    b = _stage(a, [*k, cks, _chat_states(cks).alias("_st"),
+                   F.coalesce(last_usage["prompt_tokens"], F.lit(0)).alias("_in"),
+                   F.coalesce(last_usage["completion_tokens"], F.lit(0)).alias("_out"),
+                   F.coalesce(F.try_element_at(cks, F.lit(1))["id"], F.lit("msg_proxy")).alias("_id")])
+    return b.select(*keys, _chat_events(cks, F.col("_st"), F.col("_in"), F.col("_out"), F.col("_id"),
+                                        F.lit(model)).alias("events"))
 
 
 # --- C-4: Responses-API stream -> chat-completions chunks ----------------------------
@@ -207,44 +226,56 @@ def responses_events(raw: Column) -> Column:
     return F.filter(F.transform(complete, one), lambda e: e["v"].isNotNull())
 
 
-def responses_to_chat_chunks(raw: Column, chat_id: Column, created: Column, model: Column) -> Column:
-    """C-4 over one collected Responses-API stream: the chat-completions SSE
-    text the gateway writes, ending with ``data: [DONE]``.
+def _t(e):
+    return e["type"]
+
+
+def _v(e):
+    return e["v"]
+
+
+def _key_of(e, id_path: str):
+    oi = _g(_v(e), "$.output_index", "bigint")
+    return F.when(oi.isNotNull(), oi.cast("string")).otherwise(F.coalesce(
+        F.nullif(_g(_v(e), id_path), F.lit("")), F.lit("")))
+
+
+def _is_fc_added(e):
+    return (_t(e) == "response.output_item.added") & \
+        F.coalesce(_g(_v(e), "$.item.type") == "function_call", F.lit(False))
+
+
+def _item_key(e):
+    oi = _g(_v(e), "$.output_index", "bigint")
+    ident = F.coalesce(F.nullif(_g(_v(e), "$.item.id"), F.lit("")),
+                       F.nullif(_g(_v(e), "$.item.call_id"), F.lit("")), F.lit(""))
+    return F.when(oi.isNotNull(), oi.cast("string")).otherwise(ident)
+
+
+def _is_args(e):
+    return _t(e) == "response.function_call_arguments.delta"
+
+
+def _allocations(evs: Column) -> Column:
+    """Allocating events in order: ``array<struct<i, k, a>>``."""
+    return F.filter(F.transform(evs, lambda e, i: F.struct(
+        i.alias("i"),
+        F.when(_is_fc_added(e), _item_key(e)).when(_is_args(e), _key_of(e, "$.item_id")).alias("k"),
+        (_is_fc_added(e) | _is_args(e)).alias("a"))), lambda x: x["a"])
+
+
+def responses_to_chat_chunks(evs: Column, alloc: Column, order: Column, first_role: Column,
+                             chat_id: Column, created: Column, model: Column) -> Column:
+    """C-4 from staged columns: parsed events, allocations, key order and the
+    position of the first created/in-progress event.  Returns the
+    chat-completions SSE text the gateway writes, ending with ``data: [DONE]``.
 
     Tool-call indices are allocated at the first sight of a key (the
     ``output_index``, else the item id): the first occurrence order of keys
     among allocating events, read off ``array_distinct`` of that sequence.
     """
-    evs = responses_events(raw)
-    t = lambda e: e["type"]
-    v = lambda e: e["v"]
-
-    def key_of(e, id_path: str):
-        oi = _g(v(e), "$.output_index", "bigint")
-        return F.when(oi.isNotNull(), oi.cast("string")).otherwise(F.coalesce(
-            F.nullif(_g(v(e), id_path), F.lit("")), F.lit("")))
-
-    def is_fc_added(e):
-        return (t(e) == "response.output_item.added") & \
-            F.coalesce(_g(v(e), "$.item.type") == "function_call", F.lit(False))
-
-    def item_key(e):
-        oi = _g(v(e), "$.output_index", "bigint")
-        ident = F.coalesce(F.nullif(_g(v(e), "$.item.id"), F.lit("")),
-                           F.nullif(_g(v(e), "$.item.call_id"), F.lit("")), F.lit(""))
-        return F.when(oi.isNotNull(), oi.cast("string")).otherwise(ident)
-
-    def is_args(e):
-        return t(e) == "response.function_call_arguments.delta"
-
-    # allocating events in order: (position, key)
-    alloc = F.filter(F.transform(evs, lambda e, i: F.struct(
-        i.alias("i"),
-        F.when(is_fc_added(e), item_key(e)).when(is_args(e), key_of(e, "$.item_id")).alias("k"),
-        (is_fc_added(e) | is_args(e)).alias("a"))), lambda x: x["a"])
-    order = F.array_distinct(F.transform(alloc, lambda x: x["k"]))
-    first_role = F.array_position(F.transform(evs, lambda e: t(e).isin(
-        "response.created", "response.in_progress")), F.lit(True))
+    t, v = _t, _v
+    key_of, is_fc_added, item_key, is_args = _key_of, _is_fc_added, _item_key, _is_args
 
     def chunk(delta: Column, finish: Column | None = None, usage: Column | None = None) -> Column:
         body = F.to_json(F.struct(
@@ -321,6 +352,21 @@ def responses_to_chat_chunks(raw: Column, chat_id: Column, created: Column, mode
 
 def convert_responses_streams(streams: DataFrame, keys: list[str], chat_id: Column, created: Column,
                               raw_col: str = "raw", model: str = "claude-sonnet-4.6") -> DataFrame:
-    """C-4 for a table of collected Responses streams: ``(*keys, chunks)``."""
-    return streams.select(*keys, responses_to_chat_chunks(
-        F.col(raw_col), chat_id, created, F.lit(model)).alias("chunks"))
+    """C-4 for a table of collected Responses streams: ``(*keys, chunks)``.
+
+    Staged like C-3: parse the events once, derive the tool-index allocation
+    once, then emit every event's chunk from the staged columns.
+    """
+    k = [F.col(c) for c in keys]
+    a = _stage(streams, [*k, chat_id.alias("_cid"), created.alias("_created"),
+                         responses_events(F.col(raw_col)).alias("_evs")])
+    evs = F.col("_evs")
+    b = _stage(a, [*k, F.col("_cid"), F.col("_created"), evs, _allocations(evs).alias("_alloc")])
+    alloc = F.col("_alloc")
+    c = _stage(b, [*k, F.col("_cid"), F.col("_created"), evs, alloc,
+                   F.array_distinct(F.transform(alloc, lambda x: x["k"])).alias("_order"),
+                   F.array_position(F.transform(evs, lambda e: _t(e).isin(
+                       "response.created", "response.in_progress")), F.lit(True)).alias("_first_role")])
+    return c.select(*keys, responses_to_chat_chunks(
+        evs, alloc, F.col("_order"), F.col("_first_role"), F.col("_cid"), F.col("_created"),
+        F.lit(model)).alias("chunks"))

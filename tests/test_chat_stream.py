@@ -6,12 +6,12 @@ import json
 
 from pyspark.sql import functions as F
 
-from gatemeter.operators.chat_stream import chat_stream_to_events
+from gatemeter.operators.chat_stream import convert_chat_streams, convert_responses_streams
 
 
 def _events(spark, raw: str):
-    out = spark.createDataFrame([(raw,)], "raw string").select(
-        chat_stream_to_events(F.col("raw"), F.lit("m")).alias("e")).collect()[0].e
+    out = convert_chat_streams(spark.createDataFrame([(raw,)], "raw string"), [],
+                               model="m").collect()[0].events
     evs = []
     for block in out.split("\n\n"):
         if not block:
@@ -70,8 +70,6 @@ def _r(name: str, obj, space: bool = True) -> str:
 
 
 def test_responses_to_chat_chunks(spark):
-    from gatemeter.operators.chat_stream import responses_to_chat_chunks
-
     raw = (_r("response.created", {}) + _r("response.in_progress", {}, space=False)
            + _r("response.output_text.delta", {"delta": "hel"})
            + _r("response.function_call_arguments.delta", {"output_index": 3, "delta": "{\"a\""})
@@ -83,8 +81,8 @@ def test_responses_to_chat_chunks(spark):
            + "data: [DONE]\n\n"
            + _r("response.completed", {"response": {"usage": {"input_tokens": 2, "output_tokens": 3}}})
            + 'event: response.output_text.delta\ndata: {"delta": "tail"}')
-    out = spark.createDataFrame([(raw,)], "raw string").select(responses_to_chat_chunks(
-        F.col("raw"), F.lit("id1"), F.lit(7).cast("long"), F.lit("m")).alias("c")).collect()[0].c
+    out = convert_responses_streams(spark.createDataFrame([(raw,)], "raw string"), [], F.lit("id1"),
+                                    F.lit(7).cast("long"), model="m").collect()[0].chunks
     blocks = [b for b in out.split("\n\n") if b]
     assert blocks[-1] == "data: [DONE]"
     chunks = [json.loads(b[len("data: "):]) for b in blocks[:-1]]
