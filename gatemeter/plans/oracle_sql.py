@@ -740,3 +740,22 @@ SELECT conv_id, turn, t AS text,
   true AS completed
 FROM a
 """
+
+# A-20 over B5: sonnet-4.6 prices x100 are 300 (in) and 1500 (out) per 1M tokens.
+ORACLES["stream_fact_rows"] = f"""
+SELECT concat('conv_', CAST(conv_id AS VARCHAR), '_', CAST(turn AS VARCHAR)) AS request_id,
+  'claude-sonnet-4.6' AS upstream_model,
+  CAST(conv_id * 10 + turn AS INTEGER) AS input_tokens,
+  CAST(length(coalesce(text, '')) AS INTEGER) AS output_tokens,
+  CAST(conv_id * 10 + turn + length(coalesce(text, '')) AS INTEGER) AS total_tokens,
+  CAST(((conv_id * 10 + turn) * 300 + length(coalesce(text, '')) * 1500 + 50) // 100 AS BIGINT)
+    AS est_cost_micro_usd,
+  CASE WHEN conv_id % 2 = 0 THEN 'tool_use' ELSE 'end_turn' END AS stop_reason,
+  (conv_id + turn) % 11 <> 0 AS completed,
+  concat('msg_', CAST(conv_id AS VARCHAR), '_', CAST(turn AS VARCHAR)) AS response_message_id,
+  CASE WHEN conv_id % 2 = 0 THEN CASE (conv_id + turn) % 3 WHEN 0 THEN 'Read' WHEN 1 THEN 'Bash'
+       ELSE 'Grep' END ELSE '' END AS response_tool_names,
+  CAST(CASE WHEN length(coalesce(text, '')) > 0 THEN 100 + 20 * (({_MARKER_END} - 1) // 7) END AS INTEGER)
+    AS ttft_ms
+FROM conversations WHERE role = 'assistant'
+"""

@@ -553,3 +553,29 @@ def q_responses_to_chat(spark, d):
     return f.select(*keys, "text", "message_id", "stop_reason", "input_tokens", "output_tokens",
                     F.array_join("tool_names", ",").alias("tool_names"), "tool_block_index",
                     "completed")
+
+
+# --- stream facts folded on the call row (A-20, ST-9 as batch) --------------------------
+@query("stream_fact_rows")
+def q_stream_fact_rows(spark, d):
+    """A-20: one telemetry row per captured native stream, from its reads:
+    usage, stop reason, message id, tools, completion, TTFT and elapsed time
+    folded on the call record, then priced."""
+    keys = ["conv_id", "turn"]
+    f = sse.facts_from_chunks(bridges.sse_chunks(conversations(spark, d)), keys)
+    start = F.timestamp_seconds(F.lit(bridges.STREAM_EPOCH_S) + F.col("conv_id") * 3600
+                                + F.col("turn") * 60)
+    calls = f.select(
+        F.concat(F.lit("conv_"), F.col("conv_id").cast("string"), F.lit("_"),
+                 F.col("turn").cast("string")).alias("request_id"),
+        start.alias("ts"), F.lit(None).cast("string").alias("user_id_raw"),
+        F.lit("claude-sonnet-4-6").alias("requested_model"), F.lit("native").alias("route"),
+        F.lit(None).cast("string").alias("beta_requested"),
+        "input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens",
+        F.lit(True).alias("stream"), F.lit(200).alias("status"), "elapsed_ms", "ttft_ms",
+        "stop_reason", "completed", F.col("message_id").alias("response_message_id"),
+        F.col("tool_names").alias("response_tool_names"))
+    t = build_telemetry(calls)
+    return t.select("request_id", "upstream_model", "input_tokens", "output_tokens", "total_tokens",
+                    "est_cost_micro_usd", "stop_reason", "completed", "response_message_id",
+                    F.array_join("response_tool_names", ",").alias("response_tool_names"), "ttft_ms")
