@@ -354,7 +354,7 @@ titles AS (
 ORACLES["session_titles"] = f"WITH {_TITLES} SELECT session_id, session_name FROM titles"
 ORACLES["requests_with_titles"] = f"""WITH {_TITLES}, ev AS (
   SELECT concat('req_', CAST(event_id AS VARCHAR)) AS request_id,
-         concat('c', CAST(event_id % 100 AS VARCHAR)) AS session_id FROM events)
+         concat('c', CAST(event_id % (SELECT max(conv_id) + 1 FROM conversations) AS VARCHAR)) AS session_id FROM events)
 SELECT ev.request_id, ev.session_id, t.session_name FROM ev LEFT JOIN titles t USING (session_id)
 """
 
@@ -385,9 +385,9 @@ b2 AS (
     lq.last_text AS last_text
   FROM events e
   LEFT JOIN (SELECT conv_id, count(*) AS n_messages FROM conversations
-             WHERE conv_id >= 0 AND conv_id < 100 GROUP BY 1) m ON e.event_id % 100 = m.conv_id
+             GROUP BY 1) m ON e.event_id % (SELECT max(conv_id) + 1 FROM conversations) = m.conv_id
   LEFT JOIN (SELECT conv_id, arg_max(text, turn) AS last_text FROM conversations
-             WHERE conv_id >= 0 AND conv_id < 100 GROUP BY 1) lq ON e.event_id % 100 = lq.conv_id
+             GROUP BY 1) lq ON e.event_id % (SELECT max(conv_id) + 1 FROM conversations) = lq.conv_id
   WHERE e.event_id % 251 <> 7)
 """
 
@@ -429,7 +429,7 @@ ORACLES["chat_requests"] = with_raw(f"""
 , conv AS (SELECT conv_id, count(*) AS n, string_agg(role, ',' ORDER BY turn) AS roles,
                   sum(length(text)) AS chars, arg_min(role, turn) AS first_role,
                   arg_min(text, turn) AS first_text
-           FROM conversations WHERE conv_id >= 0 AND conv_id < 100 GROUP BY 1)
+           FROM conversations GROUP BY 1)
 , r AS (SELECT *, CAST(substr(request_id, 5) AS BIGINT) AS n,
                {map_model_sql('requested_model')} AS model FROM usage_raw)
 , s AS (SELECT r.*, CASE WHEN n % 9 = 0 THEN concat('sys ', CAST(n % 1000 AS VARCHAR))
@@ -446,7 +446,7 @@ SELECT s.request_id, s.model,
   CASE WHEN s.n % 7 = 0 THEN CAST(0.5 AS DOUBLE) END AS temperature,
   CASE WHEN s.n % 11 = 0 THEN CAST(0.9 AS DOUBLE) END AS top_p,
   CASE WHEN s.n % 17 = 0 THEN 'web_search' WHEN s.n % 3 = 1 THEN 'Read,Bash' ELSE '' END AS chat_tools
-FROM s LEFT JOIN conv c ON s.n % 100 = c.conv_id
+FROM s LEFT JOIN conv c ON s.n % (SELECT max(conv_id) + 1 FROM conversations) = c.conv_id
 WHERE s.n % 251 <> 7
 """.replace("\n, conv", ", conv", 1))
 
@@ -629,12 +629,12 @@ FROM md
 ORACLES["request_summaries"] = with_raw("""
 , conv AS (SELECT conv_id, count(*) AS n_msgs,
                   arg_max(text, turn) FILTER (WHERE role = 'user') AS last_user
-           FROM conversations WHERE conv_id >= 0 AND conv_id < 100 GROUP BY 1)
+           FROM conversations GROUP BY 1)
 , r AS (SELECT *, CAST(substr(request_id, 5) AS BIGINT) AS n FROM usage_raw)
 , b AS (SELECT r.request_id, r.requested_model, r.stream, r.user_id_raw, r.n,
                coalesce(c.n_msgs, 0) AS n_msgs, coalesce(c.last_user, '') AS lu,
                c.last_user IS NOT NULL AS has_user
-        FROM r LEFT JOIN conv c ON r.n % 100 = c.conv_id WHERE r.n % 251 <> 7)
+        FROM r LEFT JOIN conv c ON r.n % (SELECT max(conv_id) + 1 FROM conversations) = c.conv_id WHERE r.n % 251 <> 7)
 SELECT request_id,
   concat(requested_model, ' (', CAST(n_msgs AS VARCHAR), ' msgs',
          CASE WHEN stream THEN ' [stream]' ELSE '' END, ')', ' "',

@@ -208,7 +208,7 @@ def q_session_titles(spark, d):
 def q_requests_with_titles(spark, d):
     titles = sessions.session_titles(bridges.title_jsonl_lines(conversations(spark, d)))
     fact = fact_table(spark, d)
-    calls = fact.select("request_id", bridges.transcript_session_of(F.col("request_id"))
+    calls = fact.select("request_id", bridges.transcript_session_of(F.col("request_id"), bridges.conversation_count(conversations(spark, d)))
                         .alias("session_id"), "session_name")
     return sessions.attach_titles(calls, titles)
 
@@ -523,15 +523,16 @@ def q_pending_retention(spark, d):
 def q_stream_ingest_titles(spark, d):
     """ST-6: the streaming ingest with session titles joined per micro-batch."""
     landing = _land_calls(spark, d, "stream_ingest_titles")
+    n_conv = bridges.conversation_count(conversations(spark, d))
     table = sinks.new_table_path(spark, "stream_ingest_titles")
     ckpt = sinks.new_table_path(spark, "stream_ingest_titles-ckpt")
     cache = ingest.TitleCache(
         lambda: sessions.session_titles(bridges.title_jsonl_lines(conversations(spark, d))))
     q = ingest.ingest_calls(_call_stream(spark, landing, 4), table, ckpt, titles=cache,
-                            title_key=lambda f: bridges.transcript_session_of(f["request_id"]))
+                            title_key=lambda f: bridges.transcript_session_of(f["request_id"], n_conv))
     ingest.run_to_end(q)
     t = spark.read.parquet(table)
-    return t.select("request_id", bridges.transcript_session_of(F.col("request_id")).alias("session_id"),
+    return t.select("request_id", bridges.transcript_session_of(F.col("request_id"), n_conv).alias("session_id"),
                     "session_name")
 
 

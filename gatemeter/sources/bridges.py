@@ -85,23 +85,24 @@ def calls_from_usage_raw(raw: DataFrame) -> DataFrame:
     )
 
 
-def transcript_session_of(request_id: Column) -> Column:
-    """B2's association: call ``req_<n>`` carries conversation ``n % 100``,
-    whose transcript session is ``c<conv_id>``."""
-    eid = F.substring(request_id, 5, 1 << 20).cast("long")
-    return F.concat(F.lit("c"), _s(eid % 100))
+def conversation_count(conversations: DataFrame) -> int:
+    """``C = max(conv_id) + 1``: B2 pairs call ``n`` with conversation ``n % C``,
+    so every conversation is used.  One scalar aggregate."""
+    m = conversations.agg(F.max("conv_id")).collect()[0][0]
+    return int(m) + 1 if m is not None else 1
 
 
-BODY_CONVERSATIONS = 100  # B2 associates call req_<n> with conversation n % 100
+def transcript_session_of(request_id: Column, n_conversations: int) -> Column:
+    """B2's association: call ``req_<n>`` carries conversation ``n % C``, whose
+    transcript session is ``c<conv_id>``."""
+    eid = F.substring(request_id, 5, 1 << 20).cast("long")
+    return F.concat(F.lit("c"), _s(eid % n_conversations))
 
 
 def conversation_messages(conversations: DataFrame) -> DataFrame:
     """``(conv_id, messages)``: each conversation's turns as ``[{role, content}]``
-    in turn order.  Only conversations a call can reference (conv_id below
-    :data:`BODY_CONVERSATIONS`) are kept, so the result has at most that many
-    rows whatever the table size."""
-    c = conversations.where((F.col("conv_id") >= 0) & (F.col("conv_id") < BODY_CONVERSATIONS))
-    return (c.groupBy("conv_id")
+    in turn order.  A group is one conversation."""
+    return (conversations.groupBy("conv_id")
             .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("_t"))
             .select("conv_id", F.transform("_t", lambda m: F.struct(
                 m["role"].alias("role"), m["text"].alias("content"))).alias("messages")))
@@ -110,7 +111,8 @@ def conversation_messages(conversations: DataFrame) -> DataFrame:
 def request_bodies(events: DataFrame, conversations: DataFrame) -> DataFrame:
     """B2: a landed request body per call ``(request_id, ts, body)``.
 
-    Rules on ``n = event_id``: messages of conversation ``n % 100``;
+    Rules on ``n = event_id``: messages of conversation ``n % C`` with
+    ``C = max(conv_id) + 1`` (every conversation is used);
     ``max_tokens = 1024 * (1 + n % 8)``; system as a block list with a
     ``cache_control`` carrying an extra ``scope`` key when ``n % 9 = 0``, as a
     string when ``n % 2 = 0``, else absent; a web-search-only tool list when
@@ -121,16 +123,17 @@ def request_bodies(events: DataFrame, conversations: DataFrame) -> DataFrame:
     field ``zz_beta`` when ``n % 6 = 0``; the body is cut in half (invalid
     JSON) when ``n % 251 = 7``.
 
-    The conversation side has at most 100 rows (see
-    :func:`conversation_messages`), a bound set by the key rule, so it is
-    broadcast.
+    The conversation side grows with the table, so the join is left to the
+    planner: AQE broadcasts it only when its measured size is under the
+    broadcast threshold, and otherwise shuffles both sides on the key.
     """
     raw = usage_raw(events).select("request_id", "ts", "user_id_raw", "requested_model", "stream")
     eid = F.substring(F.col("request_id"), 5, 1 << 20).cast("long")
     uid_txt = F.coalesce(F.col("user_id_raw"), F.lit(""))
     msgs = conversation_messages(conversations)
-    j = (raw.withColumn("_conv", eid % BODY_CONVERSATIONS).withColumn("_n", eid)
-         .join(F.broadcast(msgs), F.col("_conv") == msgs["conv_id"], "left"))
+    n_conv = conversation_count(conversations)
+    j = (raw.withColumn("_conv", eid % n_conv).withColumn("_n", eid)
+         .join(msgs, F.col("_conv") == msgs["conv_id"], "left"))
     n = F.col("_n")
     sys_list = F.concat(F.lit('[{"type": "text", "text": "sys '), _s(n % 1000),
                         F.lit('", "cache_control": {"type": "ephemeral", "scope": "turn"}}]'))
