@@ -759,3 +759,5 @@ SELECT concat('conv_', CAST(conv_id AS VARCHAR), '_', CAST(turn AS VARCHAR)) AS
     AS ttft_ms
 FROM conversations WHERE role = 'assistant'
 """
+
+ORACLES["sql_cost_by_model"] = ORACLES["cost_by_model"]

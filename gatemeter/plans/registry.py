@@ -580,3 +580,15 @@ def q_stream_fact_rows(spark, d):
     return t.select("request_id", "upstream_model", "input_tokens", "output_tokens", "total_tokens",
                     "est_cost_micro_usd", "stop_reason", "completed", "response_message_id",
                     F.array_join("response_tool_names", ",").alias("response_tool_names"), "ttft_ms")
+
+
+# --- ad hoc SQL over the fact table (SQL-1) ----------------------------------------------
+@query("sql_cost_by_model")
+def q_sql_cost_by_model(spark, d):
+    """SQL-1: the fact table as the ``requests`` view, queried with SQL text
+    (the published cost-by-model report, with the exact integer cost)."""
+    fact_table(spark, d).createOrReplaceTempView("requests")
+    return spark.sql("""
+        SELECT upstream_model, count(*) AS calls, sum(CAST(total_tokens AS BIGINT)) AS tokens,
+               CAST((sum(est_cost_micro_usd) + 5000) DIV 10000 AS DOUBLE) / 100.0 AS est_usd
+        FROM requests GROUP BY upstream_model""")
