@@ -9,7 +9,7 @@ response size, not by the table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatemeter.functions.sse import parse_events, sse_data_lines
@@ -95,34 +95,38 @@ def assemble_chunks(chunks: DataFrame, keys: list[str], seq: str = "seq", chunk:
     """ST-8 (batch) + W-3: captured reads ``(*keys, seq, chunk, arrival, start)``
     -> ``(*keys, raw, ttft_ms, elapsed_ms, n_chunks)``.
 
-    One shuffle by ``keys``: the running byte offset (a window per stream) and
-    the regrouping both reuse that partitioning.  A group is one response.
-    Bytes are joined before decoding, so a character split across reads is
+    One shuffle: the grouping by ``keys`` (a group is one response).  Bytes
+    are joined before decoding, so a character split across reads is
     restored.  ``ttft_ms`` is the arrival of the read in which the first
     ``text_delta`` marker is complete, minus the call start; it does not
     depend on how the bytes were cut (the gateway tests each 4 KiB read on
-    its own and misses a marker split across two reads).  Streams without a
-    text delta (tool-only turns) have a null ``ttft_ms``.
+    its own and misses a marker split across two reads).  That read is found
+    by one linear fold over the ordered reads, carrying the running byte
+    count, so no window (and no sort of the read rows) is needed.  Streams
+    without a text delta (tool-only turns) have a null ``ttft_ms``.
     """
-    c = chunks.repartition(*keys)
-    upto = (Window.partitionBy(*keys).orderBy(seq)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    c = c.withColumn("_end", F.sum(F.octet_length(chunk)).over(upto))
-    g = c.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col("_end").alias("e"),
-                                             F.col(arrival).alias("a"), F.col(chunk).alias("c"))))
+    g = chunks.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(arrival).alias("a"),
+                                             F.col(chunk).alias("c"))))
         .alias("_c"),
         F.min(start).alias("_start"), F.max(arrival).alias("_last"))
     # hex-join is linear in the stream size (a fold of binary concats is quadratic)
     raw = F.decode(F.unhex(F.array_join(F.transform("_c", lambda x: F.hex(x["c"])), "")), "UTF-8")
-    g = g.select(*keys, "_c", "_start", "_last", raw.alias("raw"))
+    g = g.select(F.inline(F.array(F.struct(*[F.col(k) for k in keys], "_c", "_start", "_last",
+                                           raw.alias("raw")))))
     pos = F.instr(F.col("raw"), TEXT_MARKER)
-    marker_end = F.octet_length(F.substring(F.col("raw"), 1, pos - 1 + len(TEXT_MARKER)))
-    first_read = F.try_element_at(F.filter("_c", lambda x: x["e"] >= marker_end), F.lit(1))
+    g = g.select(*keys, "_c", "_start", "_last", "raw", F.when(pos > 0, F.octet_length(
+        F.substring(F.col("raw"), 1, pos - 1 + len(TEXT_MARKER)))).alias("_mark"))
+    found = F.aggregate(
+        "_c", F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("timestamp").alias("at")),
+        lambda acc, x: F.struct(
+            (acc["n"] + F.octet_length(x["c"])).alias("n"),
+            F.coalesce(acc["at"], F.when(acc["n"] + F.octet_length(x["c"]) >= F.col("_mark"), x["a"]))
+            .alias("at")))["at"]
     since_start = lambda ts: F.floor((F.unix_micros(ts) - F.unix_micros(F.col("_start"))) / 1000)
     return g.select(
         *keys, "raw",
-        F.when(pos > 0, since_start(first_read["a"])).cast("long").alias("ttft_ms"),
+        F.when(F.col("_mark").isNotNull(), since_start(found)).cast("long").alias("ttft_ms"),
         since_start(F.col("_last")).cast("long").alias("elapsed_ms"),
         F.size("_c").alias("n_chunks"))
 
