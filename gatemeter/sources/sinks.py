@@ -49,7 +49,9 @@ def read_if_exists(spark: SparkSession, path: str, merge_schema: bool = True) ->
 
 def _stored_keys(spark: SparkSession, path: str, batch: DataFrame, keys: list[str],
                  partition_col: str | None) -> DataFrame | None:
-    stored = read_if_exists(spark, path)
+    # only the key columns are read, so no schema merge: merging would open
+    # every file footer of the table on every batch
+    stored = read_if_exists(spark, path, merge_schema=False)
     if stored is None:
         return None
     if partition_col and partition_col in stored.columns:
