@@ -45,8 +45,11 @@ def session_titles(lines: DataFrame, file_col: str | None = "file") -> DataFrame
     kind = obj["type"]
     raw = F.when(kind == "custom-title", obj["customTitle"]).when(kind == "ai-title", obj["aiTitle"])
     file_key = F.col(file_col) if file_col and file_col in lines.columns else F.lit("")
-    t = (cand.select("session_id", file_key.alias("_file"), "line_no", kind.alias("kind"),
-                     pystrip(raw).alias("title"))
+    # the parse sits inside a generator so the title filter below does not
+    # get a second copy of it: each candidate line is parsed once
+    t = (cand.select(F.inline(F.array(F.struct(
+            F.col("session_id"), file_key.alias("_file"), F.col("line_no"), kind.alias("kind"),
+            pystrip(raw).alias("title")))))
          .where(F.col("title").isNotNull() & (F.col("title") != "")))
     per_file = (t.groupBy("session_id", "_file")
                 .agg(F.max_by(F.when(F.col("kind") == "custom-title", F.col("title")),
