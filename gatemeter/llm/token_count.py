@@ -57,8 +57,8 @@ class MergeCounter:
         if any(p.type == 4 for p in proto.pieces):
             raise ValueError("user-defined symbols are not supported")
         self.rank = {p.piece: int(-p.score) for p in normal}
-        if len(set(self.rank.values())) != len(self.rank) or any(p.score != int(p.score) for p in normal):
-            raise ValueError("ranks must be distinct whole numbers")
+        if any(p.score != int(p.score) for p in normal):
+            raise ValueError("ranks must be whole numbers")
         self.inside = {p.piece[i:i + 2] for p in normal for i in range(len(p.piece) - 1)}
         self.blank_inside = any(BLANK in p.piece.lstrip(BLANK) for p in normal)
         self.memo_entries = memo_entries
@@ -80,7 +80,7 @@ class MergeCounter:
             r, i = divmod(heappop(heap), n)
             left, j = part[i], after[i]
             if left is None or j >= n or get(both := left + part[j]) != r:
-                continue  # one side has been merged meanwhile
+                continue  # one side has been merged meanwhile; equal rank and place mean the same entry
             merges += 1
             part[i], part[j] = both, None
             k = after[i] = after[j]
