@@ -37,6 +37,30 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, train: Column,
     return out.sort_values("doc_id", kind="stable").reset_index(drop=True)
 
 
+def logistic(x, y, ridge: float = 1e-3, rounds: int = 60, positive: float = 0.5):
+    """Weights and offset (last) of P(y=1) = sigmoid(x w + offset); class 1 has ``positive`` of all weight."""
+    import numpy as np
+
+    x, y = np.asarray(x, dtype=float), np.asarray(y, dtype=float)
+    mid, spread = x.mean(0), x.std(0)
+    spread[spread < 1e-9] = 1.0
+    z = np.column_stack([(x - mid) / spread, np.ones(len(x))])
+    w = np.where(y == 1, positive / max(1.0, y.sum()), (1 - positive) / max(1.0, len(y) - y.sum()))
+    keep = np.full(z.shape[1], ridge)
+    keep[-1] = 1e-6
+    b = np.zeros(z.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
+        step = np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z + np.diag(keep), z.T @ (w * (p - y)) + keep * b)
+        b -= np.clip(step, -3, 3)
+        if abs(step).max() < 1e-9:
+            break
+    out = b.copy()
+    out[:-1] /= spread
+    out[-1] -= out[:-1] @ mid
+    return out
+
+
 def logistic_1d(x, y, ridge: float = 1e-2, rounds: int = 60) -> tuple[float, float]:
     """Slope and offset of P(y=1) = sigmoid(slope * x + offset), classes weighted equally."""
     import numpy as np

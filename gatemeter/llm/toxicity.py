@@ -1,23 +1,23 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
 
 The kernel of two strings sums, over every triple of characters they share in
-order, ``decay`` to the power of the spans the triple takes in each: gaps and
-inserted characters cost a factor, they do not hide a word.  It is normalised
-to 1 for equal strings.
-
-A text is read as units: blank-separated words, lower-cased, accents and usual
-digit spellings folded, punctuation dropped, runs of single letters joined;
-longer ones are read in overlapping windows.  A sentence, and so a text, scores
-as its worst unit.
-
-Fitting (numpy, on a bounded sample of labelled documents): a sentence of a
-toxic document is represented by its witness, the unit most specific to toxic
-documents; sentences of clean documents are negatives, and the clean units
-that score highest are added for a second fit.  Units are mapped by the
-Nystroem method onto landmarks, a squared-hinge linear machine is fitted there,
-and because kernel and machine are linear in triples, the fitted machine folds
-into one weight per triple.  The worst unit's margin is calibrated on whole
-documents by a logistic curve.
+order, ``decay`` to the power of the spans the triple takes in each: gaps,
+inserted characters and endings cost a factor, they do not hide a word.  It is
+normalised to 1 for equal strings.
+
+A text is read as units: blank-separated words, lower-cased, usual digit
+spellings folded, punctuation dropped, a mark put at either end, runs of single
+letters joined; longer ones are read in overlapping windows.
+
+Fitting (numpy, on a bounded sample of labelled documents): sentences of toxic
+documents are represented by their witnesses, the units with the word starts
+most specific to toxic documents; sentences of clean documents are negatives,
+and the clean units that score highest are added for another fit.  Units are
+mapped by the Nystroem method onto landmarks, a squared-hinge linear machine is
+fitted there, and because kernel and machine are linear in triples, the fitted
+machine folds into one weight per triple.  A text is described by its largest
+unit margins and by how many are positive; a logistic curve over these, fitted
+on documents that its machine has not seen, gives the score.
 
 Edge cases: null, empty and blank texts, and texts of units under three letters,
 score as no unit at all (near 0); repeated rows score alike; labels of one class
@@ -26,7 +26,6 @@ only give a constant score; extra columns are ignored.
 
 from __future__ import annotations
 
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,42 +36,43 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatemeter.llm.common import split_words
-from gatemeter.llm.labelled import fold, logistic_1d, training_rows
+from gatemeter.llm.labelled import fold, logistic, training_rows
 
 PER_CLASS = 1500
 DECAY = 0.6
+SPAN = 8  # a triple is looked for in so many neighbouring letters
 WINDOW = 20
 STEP = 10
-SYMBOLS = 32
-FLOOR = -4.0
-MEMO_ENTRIES = 500_000
+SYMBOLS = 64
+START, END = "^", "$"
+FLOOR = -3.0
+MEMO_ENTRIES = 400_000
 SPELLED = str.maketrans("013457@$!", "oieastasi")
-LETTERS = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
+AROUND = "!?.,;:'\"()[]{}<>|*%&#-_…"
+CODES = {c: i + 2 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")} | {START: 0, END: 1}
 
 
 def _code(c: str) -> int:
-    return LETTERS.get(c) or 27 + ord(c) % 5
+    got = CODES.get(c)
+    return 28 + ord(c) % (SYMBOLS - 28) if got is None else got
 
 
 def unit(word: str) -> str:
     """The letters of one word as they are compared; '' when it has none."""
-    w = word.lower()
-    if w.isalpha() and w.isascii():
-        return w
-    w = "".join(c for c in unicodedata.normalize("NFKD", w.translate(SPELLED)) if c.isalnum())
-    return w
+    w = word.lower().strip(AROUND)
+    return w if w.isalpha() else "".join(filter(str.isalnum, w.rstrip("$@").translate(SPELLED)))
 
 
 def units(text: str | None) -> list[str]:
-    """Units of a text; runs of single-letter words are joined into one more unit."""
+    """Words of a text; runs of single-letter words are joined into one more."""
+    words = text.split() if text else []
+    if not any(len(w) == 1 for w in words):
+        return words
     out, run = [], ""
-    for w in split_words(text or ""):
-        if len(w) <= 2:
-            u = unit(w)
-            if len(u) == 1:
-                run += u
-                continue
+    for w in words:
+        if len(w) <= 2 and len(u := unit(w)) == 1:
+            run += u
+            continue
         if len(run) > 2:
             out.append(run)
         run = ""
@@ -83,101 +83,109 @@ def units(text: str | None) -> list[str]:
 
 
 def windows(u: str) -> list[str]:
-    return [u] if len(u) <= WINDOW else [u[i:i + WINDOW] for i in range(0, len(u) - STEP, STEP)]
+    """What is compared for one unit: it with its marks, or overlapping parts of a long one."""
+    if len(u) < 3:
+        return []
+    m = START + u + END
+    return [m] if len(m) <= WINDOW else [m[i:i + WINDOW] for i in range(0, len(m) - STEP, STEP)]
 
 
 _TRIPLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def triples(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index triples of a string of n letters and their decays."""
+    """Index triples of a string of n letters, within ``SPAN``, and their decays."""
     if n not in _TRIPLES:
-        t = np.array(list(combinations(range(n), 3)), dtype=np.int64).reshape(-1, 3)
-        _TRIPLES[n] = t, (DECAY ** (t[:, 2] - t[:, 0] + 1)).astype(np.float32) if len(t) else np.zeros(0, np.float32)
+        t = np.array([x for x in combinations(range(n), 3) if x[2] - x[0] < SPAN], dtype=np.int64).reshape(-1, 3)
+        _TRIPLES[n] = t, (DECAY ** (t[:, 2] - t[:, 0] + 1)).astype(np.float32)
     return _TRIPLES[n]
 
 
 def by_length(strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(places in the list, triple codes, normalised decays) for the strings of each length from 3."""
+    """(places in the list, triple codes, normalised decays) for the strings of each length."""
     lengths = np.array([len(s) for s in strings])
     for n in np.unique(lengths[lengths >= 3]):
         at = np.flatnonzero(lengths == n)
-        for some in np.array_split(at, -(-len(at) * len(triples(int(n))[1]) // 2_000_000)):
-            c = np.array([[_code(x) for x in strings[i]] for i in some], dtype=np.int64)
-            t, decay = triples(int(n))
+        t, decay = triples(int(n))
+        for some in np.array_split(at, -(-len(at) * len(decay) // 1_000_000)):
+            c = np.array([list(map(_code, strings[i])) for i in some], dtype=np.int32)
             codes = (c[:, t[:, 0]] * SYMBOLS + c[:, t[:, 1]]) * SYMBOLS + c[:, t[:, 2]]
             # norm: equal triples of one string add up before they are squared
             order = np.argsort(codes, axis=1, kind="stable")
-            sorted_codes = np.take_along_axis(codes, order, 1)
-            run = np.cumsum(np.concatenate([np.zeros((len(some), 1), bool),
-                                            sorted_codes[:, 1:] != sorted_codes[:, :-1]], 1), 1)
-            sums = np.zeros((len(some), len(decay)), np.float32)
-            np.add.at(sums, (np.arange(len(some))[:, None], run), decay[order])
-            yield some, codes, decay / np.sqrt((sums ** 2).sum(1))[:, None]
-
-
-def features(strings: list[str]) -> list[dict[int, float]]:
-    out: list[dict[int, float]] = [{} for _ in strings]
-    for at, codes, values in by_length(strings):
-        for i, c, v in zip(at, codes, values):
-            f = out[i]
-            for k, x in zip(c.tolist(), v.tolist()):
-                f[k] = f.get(k, 0.0) + x
-    return out
+            runs = np.take_along_axis(codes, order, 1)
+            new = np.ones(runs.shape, bool)
+            new[:, 1:] = runs[:, 1:] != runs[:, :-1]
+            sums = np.add.reduceat(decay[order].ravel(), np.flatnonzero(new.ravel()))
+            row_starts = np.concatenate([[0], np.cumsum(new.sum(1))[:-1]])
+            yield some, codes, decay / np.sqrt(np.add.reduceat(sums * sums, row_starts))[:, None]
 
 
 def kernel(a: list[str], b: list[str]) -> np.ndarray:
     """Normalised subsequence kernel of two lists of strings."""
-    table = np.zeros((SYMBOLS ** 3, len(b)), np.float32)
-    for j, f in enumerate(features(b)):
-        for k, x in f.items():
-            table[k, j] = x
-    out = np.zeros((len(a), len(b)))
-    for i, f in enumerate(features(a)):
-        if f:
-            out[i] = np.array(list(f.values()), np.float32) @ table[list(f)]
-    return out
+    parts = list(by_length(b))
+    if not a or not parts:
+        return np.zeros((len(a), len(b)))
+    seen = np.unique(np.concatenate([codes.ravel() for _, codes, _ in parts]))
+    table = np.zeros((len(seen) + 1, len(b)), np.float32)
+    for at, codes, values in parts:
+        np.add.at(table, (np.searchsorted(seen, codes), at[:, None]), values)
+    out = np.zeros((len(a), len(b)), np.float32)
+    for at, codes, values in by_length(a):
+        place = np.searchsorted(seen, codes)
+        place[seen[np.minimum(place, len(seen) - 1)] != codes] = len(seen)
+        total = np.zeros((len(at), len(b)), np.float32)
+        for k in range(codes.shape[1]):
+            total += values[:, k, None] * table[place[:, k]]
+        out[at] = total
+    return out.astype(float)
 
 
 @dataclass
 class Machine:
-    """Weight per triple, offset, and the calibration of the worst unit's margin."""
+    """Weight per triple and offset; curve over a text's features."""
 
     weights: np.ndarray
     offset: float
-    slope: float
-    level: float
-    words: dict[str, float] | None = None
+    curve: np.ndarray | None = None
+    level: float = -6.0
+    memo: dict[str, float] | None = None
 
     def margins(self, strings: list[str]) -> np.ndarray:
         out = np.full(len(strings), FLOOR)
         for at, codes, values in by_length(strings):
-            out[at] = (self.weights[codes] * values).sum(1) + self.offset
+            out[at] = np.maximum((self.weights[codes] * values).sum(1) + self.offset, FLOOR)
         return out
 
-    def worst(self, texts: list[str | None]) -> np.ndarray:
-        """Largest unit margin of each text; units are scored once per worker."""
-        if self.words is None:
-            self.words = {}
-        memo = self.words
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        """Per text: the largest, second and third margin of its distinct units, positive ones, and their share."""
+        if self.memo is None:
+            self.memo = {}
+        memo = self.memo
         split = [units(t) for t in texts]
         new = list({w for ws in split for w in ws if w not in memo})
+        if len(memo) + len(new) > MEMO_ENTRIES:
+            memo.clear()
+            new = list({w for ws in split for w in ws})
         parts = [windows(unit(w)) for w in new]
-        flat = [p for ps in parts for p in ps]
-        got = self.margins(flat) if flat else np.zeros(0)
-        fresh, i = {}, 0
+        got = self.margins([p for ps in parts for p in ps])
+        i = 0
         for w, ps in zip(new, parts):
-            fresh[w] = float(got[i:i + len(ps)].max())
+            memo[w] = float(got[i:i + len(ps)].max()) if ps else FLOOR
             i += len(ps)
-        if len(memo) + len(fresh) > MEMO_ENTRIES:
-            known = {w: memo[w] for ws in split for w in ws if w in memo}
-            memo.clear()
-            memo.update(known)
-        memo.update(fresh)
-        return np.array([max(map(memo.__getitem__, ws), default=FLOOR) for ws in split])
+        out = np.empty((len(split), 5))
+        for k, ws in enumerate(map(set, split)):
+            m = np.array([FLOOR] * 3 + list(map(memo.__getitem__, ws)))
+            top = np.partition(m, len(m) - 3)[-3:]
+            top.sort()
+            hits = float((m > 0).sum())
+            out[k] = (*top[::-1], np.log1p(hits), np.log1p(100 * hits / (len(ws) + 20)))
+        return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.worst(texts) + self.level, -30, 30)))
+        if self.curve is None:
+            return np.full(len(texts), 1 / (1 + np.exp(-self.level)))
+        x = self.features(texts) @ self.curve[:-1] + self.curve[-1]
+        return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 20.0) -> np.ndarray:
@@ -198,50 +206,89 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 2
     return b
 
 
-def fit(texts: list[str], labels: np.ndarray, landmarks: int = 64, negatives: int = 3000, seed: int = 5) -> Machine:
-    """The machine from whole documents and their labels (1: toxic)."""
-    nothing = np.zeros(SYMBOLS ** 3, np.float32)
-    labels = np.asarray(labels)
-    if not (labels == 1).any() or not (labels == 0).any():
-        return Machine(nothing, 0.0, *logistic_1d(np.zeros(len(labels)), labels))
-    sets = [{p for w in units(t) for p in windows(unit(w)) if len(p) >= 3} for t in texts]
-    seen = [Counter(u for s, y in zip(sets, labels) if y == k for u in s) for k in (0, 1)]
-    n = [max(1, int((labels == k).sum())) for k in (0, 1)]
-    # a rate that few toxic documents show is discounted against those that many show
-    specific = {u: np.log((c + 0.5) / (n[1] + 1)) - np.log((seen[0].get(u, 0) + 0.5) / (n[0] + 1))
-                for u, c in seen[1].items()}
-    witness = Counter(max(s, key=lambda u: (specific[u], u)) for s, y in zip(sets, labels) if y == 1 and s)
-    positive = [u for u, k in witness.most_common() if k >= min(2, max(witness.values()))][:200]
+def starts(u: str) -> set[str]:
+    """Word starts of four to eight letters, and the whole word."""
+    return {u[:k] for k in range(4, 9) if len(u) > k} | {u + END}
+
+
+def witnesses(sets: list[set[str]], labels: np.ndarray) -> Counter:
+    """Units of toxic documents whose word starts speak for toxicity, with their documents.
+
+    A start weighs its toxic documents times its log rate ratio, so that starts
+    of many documents stand out from chance ones; a unit counts where it has at
+    least half of the weight of its document's best.
+    """
+    of = {u: starts(u) for s in sets for u in s}
+    seen = [Counter(), Counter()]
+    for s, y in zip(sets, labels):
+        seen[int(y)].update(set().union(*(of[u] for u in s)) if s else ())
+    n0, n1 = max(1, int((labels == 0).sum())), max(1, int((labels == 1).sum()))
+    ratio = {p: np.log((k + 0.5) / (n1 + 1) * (n0 + 1) / (seen[0].get(p, 0) + 0.5)) for p, k in seen[1].items()}
+    weight = {p: seen[1][p] * r if r > 1.4 else 0.0 for p, r in ratio.items()}
+    out: Counter = Counter()
+    for s, y in zip(sets, labels):
+        if y == 1 and s:
+            own = {u: max(weight[p] for p in of[u]) for u in s}
+            best = max(own.values())
+            out.update(u for u, w in own.items() if w >= max(best / 2, 8.0))
+    return out
+
+
+def fit_machine(sets: list[set[str]], labels: np.ndarray, landmarks: int, negatives: int, seed: int) -> Machine | None:
+    found = witnesses(sets, labels)
+    common = Counter(u for s, y in zip(sets, labels) if y == 0 for u in s if u not in found)
+    clean = [u for u, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))]
+    if not found or not clean:
+        return None
+    positive = [u for u, _ in found.most_common(2000)]
     rng = np.random.default_rng(seed)
-    clean = sorted(u for u in seen[0] if u not in set(positive))
-    if not positive or not clean:
-        return Machine(nothing, 0.0, *logistic_1d(np.zeros(len(labels)), labels))
-    negative = [clean[i] for i in rng.permutation(len(clean))[:negatives]]
-    marks = list(dict.fromkeys(positive[:landmarks // 2] + negative[:landmarks - min(len(positive), landmarks // 2)]))
-    for round_ in range(3):
-        km = kernel(marks, marks)
-        values, vectors = np.linalg.eigh(km)
+    # half the negatives are the most frequent clean units, half any
+    negative = clean[:negatives // 2]
+    rest = [clean[i] for i in rng.permutation(len(clean)) if i >= len(negative)]
+    negative += rest[:negatives // 2]
+    some = clean[:negatives // 2] + rest[:40_000]
+    marks = positive[:landmarks] + negative[:landmarks // 2] + negative[-(landmarks // 2):]
+    share = np.sqrt([float(found[u]) for u in positive])
+    cut = lambda us: [windows(u)[0] for u in us]
+    for round_ in range(2):
+        values, vectors = np.linalg.eigh(kernel(cut(marks), cut(marks)))
         good = values > 1e-6
         root = vectors[:, good] / np.sqrt(values[good])
-        sample = positive + negative
-        x = kernel(sample, marks) @ root
+        x = kernel(cut(positive + negative), cut(marks)) @ root
         y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-        share = np.array([float(witness[u]) for u in positive])
-        w = np.concatenate([share / share.sum(), np.full(len(negative), 1.0 / len(negative))])
-        b = squared_hinge(x, y, w * len(sample) / 2)
-        alpha = root @ b[:-1]
+        held = np.sqrt([float(common[u]) for u in negative])
+        w = np.concatenate([share / share.sum(), held / held.sum()])
+        b = squared_hinge(x, y, w * len(y) / 2)
         folded = np.zeros(SYMBOLS ** 3)
-        for a, f in zip(alpha, features(marks)):
-            for k, v in f.items():
-                folded[k] += a * v
-        machine = Machine(folded.astype(np.float32), float(b[-1]), 1.0, 0.0)
-        if round_ < 2:
-            hard = machine.margins(clean)
-            worst = [clean[i] for i in np.argsort(-hard, kind="stable")[:300]]
+        alpha = root @ b[:-1]
+        for at, codes, decays in by_length(cut(marks)):
+            np.add.at(folded, codes, alpha[at, None] * decays)
+        machine = Machine(folded.astype(np.float32), float(b[-1]))
+        if round_ == 0:
+            hard = machine.margins(cut(some))
+            worst = [some[i] for i in np.argsort(-hard, kind="stable")[:600]]
             negative = list(dict.fromkeys(negative + worst))
-            marks = list(dict.fromkeys(marks + worst[:16]))
-    machine.slope, machine.level = logistic_1d(machine.worst(list(texts)), labels)
-    machine.words = None
+            marks = list(dict.fromkeys(marks + worst[:landmarks // 2]))
+    return machine
+
+
+def fit(texts: list[str], labels: np.ndarray, landmarks: int = 64, negatives: int = 3000, seed: int = 5) -> Machine:
+    """The machine from whole documents and their labels (1: toxic)."""
+    labels = np.asarray(labels)
+    constant = Machine(np.zeros(SYMBOLS ** 3, np.float32), 0.0,
+                       level=6.0 if len(labels) and labels.min() == 1 else -6.0)
+    if not (labels == 1).any() or not (labels == 0).any():
+        return constant
+    sets = [{u for w in units(t) if len(u := unit(w)) >= 3} for t in texts]
+    part = np.random.default_rng(seed).permutation(len(texts)) % 2
+    x = np.zeros((len(texts), 5))
+    for k in (0, 1):
+        half = fit_machine([s for s, p in zip(sets, part) if p != k], labels[part != k], landmarks, negatives, seed)
+        if half is None:
+            return constant
+        x[part == k] = half.features([t for t, p in zip(texts, part) if p == k])
+    machine = fit_machine(sets, labels, landmarks, negatives, seed)
+    machine.curve = logistic(x, labels, positive=0.25)
     return machine
 
 
