@@ -166,7 +166,7 @@ def filter_rows(classes: DataFrame, code: Code) -> DataFrame:
 def linked(dealt: DataFrame, cosine: float) -> DataFrame:
     """(node, links, root) from groups (dim, filter, i, j) of at most two blocks."""
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         _, filter_, i, j = (k.as_py() for k in key)
         table = table.sort_by("node")
         node, weight = table.column("node").to_numpy(), table.column("weight").to_numpy()

@@ -197,7 +197,7 @@ def block_links(split: DataFrame, percent: int) -> DataFrame:
                          F.inline(pairs).alias("i", "j"))
     least = least_agreement(percent)
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         band, _, i, j = (k.as_py() for k in key)
         table = table.sort_by("node")
         node = table.column("node").to_numpy()
