@@ -83,7 +83,17 @@ def http_error_type(status: Column) -> Column:
     return F.when(status != 200, F.concat(F.lit("http_"), status.cast("string")))
 
 
+def error_type(route: Column, status: Column) -> Column:
+    """P-19: a search call fails as an empty query (400) or at the provider; any
+    other call as ``http_<status>``."""
+    return (F.when(status == 200, F.lit(None).cast("string"))
+            .when((route == "tavily") & (status == 400), F.lit(fixed.ERROR_EMPTY_SEARCH_QUERY))
+            .when((route == "tavily") & status.isNotNull(), F.lit(fixed.ERROR_SEARCH_FAILED))
+            .otherwise(http_error_type(status)))
+
+
 def error_message(text: Column) -> Column:
+    """P-19: the message kept of an error (its first ``ERROR_MESSAGE_MAX_CHARS`` characters)."""
     return F.substring(text, 1, fixed.ERROR_MESSAGE_MAX_CHARS)
 
 
@@ -145,7 +155,7 @@ def unknown_fields(keys: Column, allowed=fixed.ALLOWED_BODY_FIELDS) -> Column:
 
 
 __all__ = [
-    "parse_user_id", "beta_stripped", "beta_forwarded", "http_error_type",
+    "parse_user_id", "beta_stripped", "beta_forwarded", "http_error_type", "error_type",
     "error_message", "chat_stop_reason", "chat_stream_stop_reason",
     "responses_incomplete_finish", "search_only", "thinking_enabled",
     "derive_route", "is_responses_body", "unknown_fields", "is_claude_model",

@@ -37,30 +37,17 @@ def format_sse(event: Column, data_json: Column) -> Column:
     return F.concat(F.lit("event: "), event, F.lit("\ndata: "), data_json, F.lit("\n\n"))
 
 
-def sse_data_lines(raw: DataFrame, keys: list[str], raw_col: str = "raw") -> DataFrame:
-    """SRC-4 (post-hoc reader): ``data: `` lines of each capture, in order.
-
-    Splits on ``\\n`` and keeps lines starting with ``data: `` (with the
-    space), like the gateway's post-hoc extractors.  Returns
-    ``(*keys, pos, data)``.
-    """
-    lines = raw.select(*keys, F.posexplode(F.split(F.col(raw_col), "\n")).alias("pos", "line"))
-    return (lines.where(F.col("line").startswith("data: "))
-            .select(*keys, "pos", F.substring(F.col("line"), 7, 1 << 30).alias("data")))
+# The gateway's post-hoc extractors keep the lines that start so (with the blank).
+DATA_PREFIX = "data: "
 
 
-def parse_events(data_lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Parse each data payload once into VARIANT and project the event fields.
-
-    Malformed JSON (and ``[DONE]``) is dropped, as the gateway skips it.
-    Returns ``(*keys, pos, ev)`` with ``ev`` shaped like :data:`EVENT_SCHEMA`.
-    """
-    v = F.col("_v")
+def event_struct(v: Column) -> Column:
+    """The fields of one parsed event, shaped like :data:`EVENT_SCHEMA`."""
 
     def g(path: str, t: str = "string") -> Column:
         return F.try_variant_get(v, path, t)
 
-    ev = F.struct(
+    return F.struct(
         g("$.type").alias("type"),
         g("$.index", "bigint").alias("index"),
         F.struct(g("$.message.id").alias("id"), g("$.message.model").alias("model"),
@@ -72,5 +59,15 @@ def parse_events(data_lines: DataFrame, keys: list[str]) -> DataFrame:
         F.struct(g("$.content_block.type").alias("type"), g("$.content_block.id").alias("id"),
                  g("$.content_block.name").alias("name")).alias("content_block"),
     )
-    parsed = data_lines.select(*keys, "pos", F.try_parse_json(F.col("data")).alias("_v"))
-    return parsed.where(v.isNotNull()).select(*keys, "pos", ev.alias("ev"))
+
+
+def parse_events(raw: DataFrame, keys: list[str], raw_col: str = "raw") -> DataFrame:
+    """SRC-4 as rows: ``(*keys, pos, ev)`` for every valid ``data: `` line, in order.
+
+    Malformed JSON (and ``[DONE]``) is dropped, as the gateway skips it.
+    """
+    lines = raw.select(*keys, F.posexplode(F.split(F.col(raw_col), "\n")).alias("pos", "line"))
+    v = F.try_parse_json(F.substring(F.col("line"), len(DATA_PREFIX) + 1, 1 << 30))
+    parsed = lines.where(F.col("line").startswith(DATA_PREFIX)).select(
+        F.inline(F.array(F.struct(*[F.col(k) for k in keys], "pos", v.alias("_v")))))
+    return parsed.where(F.col("_v").isNotNull()).select(*keys, "pos", event_struct(F.col("_v")).alias("ev"))

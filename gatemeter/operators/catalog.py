@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatemeter import fixed
 from gatemeter.functions.models import ModelPolicy, parse_model_id
 
 
@@ -28,7 +27,9 @@ def catalog_from_json(raw: DataFrame, col: str = "value") -> DataFrame:
 def _ranked(catalog: DataFrame, id_col: str, pos_col: str | None) -> DataFrame:
     p = parse_model_id(F.col(id_col))
     pos = F.col(pos_col) if pos_col else F.lit(0)
-    return (catalog.select(F.col(id_col).alias("id"), pos.alias("_pos"), p.alias("_p"))
+    parsed = F.struct(F.col(id_col).alias("id"), pos.alias("_pos"), p.alias("_p"))
+    # behind a generator the parse is not copied into every use of its parts
+    return (catalog.select(F.inline(F.array(parsed)))
             .where(F.col("_p").isNotNull())
             .select("id", F.col("_p.tier").alias("tier"), F.col("_p.major").alias("major"),
                     # newest first; among equal versions the earliest catalog entry wins
@@ -47,12 +48,11 @@ def family_map(catalog: DataFrame, id_col: str = "id", pos_col: str | None = "po
     """A-10: ``(alias, model_id)``: ``claude-<tier>-<major>`` -> newest of that
     major for sonnet/haiku, plus bare ``claude-<tier>`` -> newest of the tier."""
     r = _ranked(catalog, id_col, pos_col).where(F.col("tier") != "opus")
-    per_major = (r.groupBy("tier", "major").agg(F.max_by("id", "_key").alias("model_id"))
-                 .select(F.concat(F.lit("claude-"), F.col("tier"), F.lit("-"),
-                                  F.col("major").cast("string")).alias("alias"), "model_id"))
-    per_tier = (r.groupBy("tier").agg(F.max_by("id", "_key").alias("model_id"))
-                .select(F.concat(F.lit("claude-"), F.col("tier")).alias("alias"), "model_id"))
-    return per_major.unionByName(per_tier)
+    # one pass: every model counts for its major and for its whole tier
+    scopes = F.array(F.concat(F.lit("claude-"), F.col("tier"), F.lit("-"), F.col("major").cast("string")),
+                     F.concat(F.lit("claude-"), F.col("tier")))
+    return (r.select("id", "_key", F.explode(scopes).alias("alias"))
+            .groupBy("alias").agg(F.max_by("id", "_key").alias("model_id")))
 
 
 def policy_from_catalog(catalog: DataFrame, base: ModelPolicy | None = None,
@@ -85,6 +85,3 @@ def observed_catalog(requests: DataFrame) -> DataFrame:
             .groupBy(F.col("upstream_model").alias("id"))
             .agg(F.min("ts").alias("_first"))
             .select("id", F.unix_micros(F.col("_first").cast("timestamp")).alias("pos")))
-
-
-TIERS = fixed.MODEL_TIERS

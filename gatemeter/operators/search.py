@@ -1,10 +1,12 @@
-"""Search results rendered for the client (P-22, P-23, S-4, C-5).
+"""Search results rendered for the client (P-22, P-23, C-5).
+
+How many results a search returns (S-4) is a parameter of the request to the
+provider; landed results are all rendered.
 
 Input is a table of search responses ``(search_id, query, answer, results)``
 where ``results`` is the provider's ordered list of
 ``struct(url, title, content)``.  Everything here is a per-row projection
-with ``transform``/``array_join``: a row is one response (at most
-``max_results`` entries), so nothing shuffles.
+with ``transform``/``array_join``: a row is one response, so nothing shuffles.
 """
 
 from __future__ import annotations
@@ -17,11 +19,6 @@ from gatemeter.functions.sse import format_sse
 from gatemeter.functions.text import pystrip
 
 
-def limit_results(results: Column, n: int = fixed.SEARCH_MAX_RESULTS_DEFAULT) -> Column:
-    """S-4: the first ``n`` results the provider returned (the feature's own cap)."""
-    return F.slice(results, 1, n)
-
-
 def result_blocks(results: Column) -> Column:
     """P-22: provider results -> ``web_search_result`` blocks (url, title,
     stripped content in ``encrypted_content``, null ``page_age``)."""
@@ -61,13 +58,23 @@ def _ev(name: str, payload: Column) -> Column:
     return format_sse(F.lit(name), F.to_json(payload))
 
 
+def search_usage(text: Column, n_results: Column) -> Column:
+    """P-24: usage of a search answer: a quarter of its characters, at least one,
+    and one web search when there were results."""
+    return F.struct(
+        F.lit(0).alias("input_tokens"),
+        F.greatest(F.lit(1), F.floor(F.char_length(F.coalesce(text, F.lit(""))) / 4).cast("int")).alias("output_tokens"),
+        F.struct(F.when(n_results > 0, 1).otherwise(0).alias("web_search_requests")).alias("server_tool_use"))
+
+
 def search_turn_events(msg_id: Column, tool_use_id: Column, query: Column, blocks: Column,
-                       text: Column, model: Column,
+                       text: Column, model: Column, n_results: Column,
                        chunk_chars: int = fixed.SSE_TEXT_CHUNK_CHARS) -> Column:
     """C-5: a search call replayed as a message event stream: a
     ``server_tool_use`` block with the query, a ``web_search_tool_result``
     block with the results, and the Markdown as text deltas of at most
     ``chunk_chars`` characters each.  Returns the SSE text."""
+    usage = search_usage(text, n_results)
     text = F.when(F.coalesce(text, F.lit("")) == "", F.lit("_(no results)_")).otherwise(text)
     n = F.ceil(F.char_length(text) / F.lit(chunk_chars)).cast("int")
     idx = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -114,17 +121,15 @@ def search_turn_events(msg_id: Column, tool_use_id: Column, query: Column, block
         _ev("message_delta", F.struct(
             F.lit("message_delta").alias("type"),
             F.struct(F.lit("end_turn").alias("stop_reason"), null_s.alias("stop_sequence")).alias("delta"),
-            F.struct(F.lit(0).alias("input_tokens"), F.lit(0).alias("output_tokens")).alias("usage"))),
+            usage.alias("usage"))),
         _ev("message_stop", F.struct(F.lit("message_stop").alias("type"))))
     return F.concat(start, tool, result, text_block, end)
 
 
-def render_searches(responses: DataFrame, max_results: int = fixed.SEARCH_MAX_RESULTS_DEFAULT,
-                    model: str = "claude-sonnet-4.6") -> DataFrame:
+def render_searches(responses: DataFrame, model: str = "claude-sonnet-4.6") -> DataFrame:
     """P-22 + P-23 + C-5 for every response: ``(search_id, query, n_results,
     blocks, markdown, sse)``."""
-    res = limit_results(F.col("results"), max_results)
-    r = responses.select("search_id", "query", "answer", res.alias("_res"))
+    r = responses.select("search_id", "query", "answer", F.col("results").alias("_res"))
     sid = F.col("search_id").cast("string")
     return r.select(
         "search_id", "query", F.size("_res").alias("n_results"),
@@ -132,4 +137,4 @@ def render_searches(responses: DataFrame, max_results: int = fixed.SEARCH_MAX_RE
         results_markdown(F.col("query"), F.col("answer"), F.col("_res")).alias("markdown"),
     ).withColumn("sse", search_turn_events(
         F.concat(F.lit("msg_search_"), sid), F.concat(F.lit("srvtoolu_"), sid), F.col("query"),
-        F.col("blocks"), F.col("markdown"), F.lit(model)))
+        F.col("blocks"), F.col("markdown"), F.lit(model), F.col("n_results")))

@@ -64,7 +64,11 @@ def session_titles(lines: DataFrame, file_col: str | None = "file") -> DataFrame
 def attach_titles(requests: DataFrame, titles: DataFrame, key: str = "session_id") -> DataFrame:
     """J-2: fill ``session_name`` from the titles (left join on the session key)."""
     t = titles.select(F.col("session_id").alias("_tsid"), F.col("session_name").alias("_tname"))
-    joined = requests.join(t, requests[key] == t["_tsid"], "left")
+    # rows without a session find no title: spread them instead of joining them as one key
+    salt = F.concat(F.lit("\x00"), F.xxhash64(*[F.col(c) for c in requests.columns
+                                               if c in ("request_id", "ts", "elapsed_ms")] or [F.lit(0)])
+                    .cast("string"))
+    joined = requests.join(t, F.coalesce(requests[key], salt) == t["_tsid"], "left")
     cols = [F.coalesce(F.col("session_name"), F.col("_tname")).alias("session_name")
             if c == "session_name" else F.col(c) for c in requests.columns]
     return joined.select(*cols)

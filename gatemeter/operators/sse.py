@@ -1,10 +1,8 @@
-"""Facts of a message event stream, all in one grouped pass (A-11..A-16).
+"""Facts of a message event stream, per row (A-11..A-16).
 
-The gateway re-parses a collected stream once per fact; here one scan of
-the parsed events feeds every aggregate of one ``groupBy`` per stream.
-Ordered results use ``array_sort`` over ``(pos, value)`` structs inside the
-group, never a global sort.  A group is one response, bounded by the
-response size, not by the table.
+A captured stream is one row; its lines, parsed events and facts are arrays of
+that row, each staged once behind a generator.  Nothing is exploded, so facts
+need one scan and no shuffle, and the work is linear in the stream's events.
 """
 
 from __future__ import annotations
@@ -12,79 +10,76 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatemeter.functions.sse import parse_events, sse_data_lines
+from gatemeter.functions.sse import DATA_PREFIX, event_struct
 
 USAGE_KEYS = ("input_tokens", "output_tokens", "cache_read_input_tokens",
               "cache_creation_input_tokens")
 
 
-def merge_usage(entries: Column) -> Column:
-    """A-12: shallow last-wins merge of an array of ``struct(pos, m: map)``.
+def merge_usage(usages: Column) -> Column:
+    """A-12: shallow last-wins merge of an ordered array of maps.
 
     A key present with a JSON null overwrites an earlier value, exactly like
     ``dict.update``.
     """
-    by_pos = F.array_sort(entries, lambda a, b: F.when(a["p"] < b["p"], -1)
-                          .when(a["p"] > b["p"], 1).otherwise(0))
     flat = F.flatten(F.transform(
-        by_pos,
-        lambda x: F.transform(F.map_entries(x["m"]),
-                              lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))))
+        usages, lambda m: F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))))
     keys = F.array_distinct(F.transform(flat, lambda e: e["k"]))
     return F.map_from_arrays(
         keys, F.transform(keys, lambda k: F.element_at(F.filter(flat, lambda e: e["k"] == k), -1)["v"]))
 
 
-def stream_facts(events: DataFrame, keys: list[str]) -> DataFrame:
+def _staged(df: DataFrame, *cols: Column | str) -> DataFrame:
+    """A projection that later ones read from and are not merged into."""
+    return df.select(F.inline(F.array(F.struct(*cols))))
+
+
+def stream_facts(raw: DataFrame, keys: list[str], raw_col: str = "raw") -> DataFrame:
     """``(*keys, text, usage, input_tokens.., stop_reason, message_id,
-    tool_names, completed)`` from parsed events ``(*keys, pos, ev)``."""
-    ev = F.col("ev")
-    t = ev["type"]
-    pos = F.col("pos")
-    is_text = (t == "content_block_delta") & (ev["delta"]["type"] == "text_delta")
-    usage_m = (F.when(t == "message_start", ev["message"]["usage"])
-               .when(t == "message_delta", ev["usage"]))
-    stop = ev["delta"]["stop_reason"]
-    has_stop = (t == "message_delta") & stop.isNotNull() & (stop != "")
-    is_start = t == "message_start"
-    is_tool = (t == "content_block_start") & (ev["content_block"]["type"] == "tool_use")
-
-    agg = events.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.when(is_text, F.struct(
-            pos.alias("p"), F.coalesce(ev["delta"]["text"], F.lit("")).alias("t"))))).alias("_txt"),
-        F.collect_list(F.when(usage_m.isNotNull() & (F.size(usage_m) > 0),
-                              F.struct(pos.alias("p"), usage_m.alias("m")))).alias("_u"),
-        F.min_by(F.when(has_stop, stop), F.when(has_stop, pos)).alias("stop_reason"),
-        F.min_by(F.when(is_start, F.struct(ev["message"]["id"].alias("id"))),
-                 F.when(is_start, pos)).alias("_mid"),
-        F.array_sort(F.collect_list(F.when(is_tool, F.struct(
-            pos.alias("p"), F.coalesce(ev["content_block"]["name"], F.lit("")).alias("n"))))
-        ).alias("_tools"),
-        F.coalesce(F.bool_or(t == "message_stop"), F.lit(False)).alias("completed"),
-    )
-    usage = merge_usage(F.col("_u"))
-    return agg.select(
-        *keys,
-        F.array_join(F.transform("_txt", lambda x: x["t"]), "").alias("text"),
-        usage.alias("usage"),
+    tool_names, completed)`` of every stream, also of one without a valid event."""
+    lines = F.filter(F.split(F.col(raw_col), "\n"), lambda x: x.startswith(DATA_PREFIX))
+    parsed = F.filter(F.transform(lines, lambda x: F.try_parse_json(
+        F.substring(x, len(DATA_PREFIX) + 1, 1 << 30))), lambda v: v.isNotNull())
+    d = _staged(raw, *keys, parsed.alias("_v"))
+    d = _staged(d, *keys, F.coalesce(F.transform("_v", event_struct), F.array()).alias("_ev"))
+
+    def some(test, value) -> Column:
+        return F.transform(F.filter("_ev", test), value)
+
+    def usage_of(e: Column) -> Column:
+        return F.when(e["type"] == "message_start", e["message"]["usage"]).when(
+            e["type"] == "message_delta", e["usage"])
+
+    d = _staged(
+        d, *keys,
+        F.array_join(some(lambda e: (e["type"] == "content_block_delta") & (e["delta"]["type"] == "text_delta"),
+                          lambda e: F.coalesce(e["delta"]["text"], F.lit(""))), "").alias("text"),
+        some(lambda e: F.coalesce(F.size(usage_of(e)) > 0, F.lit(False)), usage_of).alias("_usages"),
+        F.get(some(lambda e: (e["type"] == "message_delta") & (e["delta"]["stop_reason"] != ""),
+                   lambda e: e["delta"]["stop_reason"]), F.lit(0)).alias("stop_reason"),
+        F.get(some(lambda e: e["type"] == "message_start", lambda e: e["message"]["id"]), F.lit(0)).alias("message_id"),
+        some(lambda e: (e["type"] == "content_block_start") & (e["content_block"]["type"] == "tool_use"),
+             lambda e: F.coalesce(e["content_block"]["name"], F.lit(""))).alias("tool_names"),
+        F.coalesce(F.exists("_ev", lambda e: e["type"] == "message_stop"), F.lit(False)).alias("completed"))
+    d = _staged(d, *keys, "text", merge_usage(F.col("_usages")).alias("usage"), "stop_reason", "message_id",
+                "tool_names", "completed")
+    usage = F.col("usage")
+
+    def nested(key: str, path: str) -> Column:
+        return F.try_variant_get(F.try_parse_json(F.element_at(usage, F.lit(key))), path, "bigint")
+
+    return d.select(
+        *keys, "text", "usage",
         *[F.element_at(usage, F.lit(k)).cast("long").alias(k) for k in USAGE_KEYS],
-        "stop_reason",
-        F.col("_mid")["id"].alias("message_id"),
-        F.transform("_tools", lambda x: x["n"]).alias("tool_names"),
-        "completed",
-    )
+        nested("cache_creation", "$.ephemeral_5m_input_tokens").alias("cache_creation_5m"),
+        nested("cache_creation", "$.ephemeral_1h_input_tokens").alias("cache_creation_1h"),
+        nested("server_tool_use", "$.web_search_requests").alias("web_search_requests"),
+        "stop_reason", "message_id", "tool_names", "completed")
 
 
 def facts_from_raw(raw: DataFrame, keys: list[str], raw_col: str = "raw") -> DataFrame:
-    """SRC-4 + A-11..A-16 from whole captured streams ``(*keys, raw)``.
-
-    Every stream yields a row, even one without a single valid event: a
-    null-event sentinel per stream is unioned in (narrow, no join).
-    """
-    events = parse_events(sse_data_lines(raw, keys, raw_col), keys)
-    sentinel = raw.select(*keys, F.lit(-1).cast("int").alias("pos"),
-                          F.lit(None).cast(events.schema["ev"].dataType).alias("ev"))
-    return stream_facts(events.unionByName(sentinel), keys)
+    """SRC-4 + A-11..A-16 from whole captured streams ``(*keys, raw)``."""
+    return stream_facts(raw, keys, raw_col)
 
 
 TEXT_MARKER = "text_delta"
@@ -135,8 +130,7 @@ def facts_from_chunks(chunks: DataFrame, keys: list[str], **cols) -> DataFrame:
     """A-11..A-16 and W-3/P-18 from captured reads: text, usage, stop reason,
     message id, tools, completion, TTFT, elapsed time and output rate.
 
-    ``ttft_ms``/``elapsed_ms`` depend only on the stream, so they ride along
-    as grouping keys of the fact aggregation instead of needing a join back.
+    ``ttft_ms``/``elapsed_ms`` depend only on the stream and ride along with its keys.
     """
     from gatemeter.functions.usage import tokens_per_sec
 

@@ -7,20 +7,21 @@ Input is a *call record* DataFrame (what the gateway knows when a call ends):
   cache_creation_input_tokens, [cache_creation_5m, cache_creation_1h,
   web_search_requests], stream, status, elapsed_ms, ttft_ms,
   [stop_reason, completed, response_message_id, response_tool_names,
-   resp_bytes, req_bytes, error_message, search_depth, retry_count]
+   resp_bytes, req_bytes, error_message, search_depth, retry_count,
+   upstream_model (when known, else mapped from requested_model)]
 
 Optional request-body features (see :mod:`gatemeter.operators.bodies`) are
 joined on ``request_id``.  The output has the gateway's 49 columns in order,
 plus ``est_cost_micro_usd``, the exact integer twin of the cost column.
 
-Plan shape: one narrow projection over the call records plus a broadcast
-join to the price list (8 rows, bounded by the list itself).  No shuffle
+Plan shape: one narrow projection over the call records; the price list is a
+map literal, so a report that reads no cost prunes the lookup away.  No shuffle
 unless body features are joined, which is a single equi-join on the key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,10 +29,10 @@ from gatemeter import fixed
 from gatemeter.functions import usage as U
 from gatemeter.functions.models import (ModelPolicy, downgrade_to, downgraded,
                                        map_model_from_parts, with_model_parts)
-from gatemeter.functions.requests import (beta_stripped, http_error_type,
+from gatemeter.functions.requests import (beta_stripped, error_message, error_type,
                                          parse_user_id_stripped, user_id_object)
 from gatemeter.functions.text import pystrip
-from gatemeter.sources.prices import price_table
+from gatemeter.sources.prices import price_map
 
 TELEMETRY_SCHEMA = T.StructType([
     T.StructField("request_id", T.StringType(), False),
@@ -110,12 +111,10 @@ def _typed_null(t: T.DataType) -> Column:
 
 
 def build_telemetry(calls: DataFrame, policy: ModelPolicy | None = None,
-                    prices: DataFrame | None = None, body_features: DataFrame | None = None,
+                    prices: dict | None = None, body_features: DataFrame | None = None,
                     search_depth: str = fixed.SEARCH_DEPTH_DEFAULT) -> DataFrame:
     """Derive the fact table from call records (see module doc)."""
     policy = policy or ModelPolicy()
-    spark: SparkSession = calls.sparkSession
-    prices = prices if prices is not None else price_table(spark)
 
     # Stage the per-row string work once: model-name parts and the stripped
     # user id are separate projections, so no regex runs once per CASE branch.
@@ -125,10 +124,11 @@ def build_telemetry(calls: DataFrame, policy: ModelPolicy | None = None,
     route = F.col("route")
     req_model = F.col("requested_model")
     # search calls keep the client's model name (T9); others are canonicalised
-    upstream = F.when(route == "tavily", req_model).otherwise(
-        map_model_from_parts(req_model, F.col("_m_bare"), F.col("_m_stripped"), policy))
+    upstream = F.coalesce(_opt(calls, "upstream_model", _typed_null(T.StringType())),
+                          F.when(route == "tavily", req_model).otherwise(
+        map_model_from_parts(req_model, F.col("_m_bare"), F.col("_m_stripped"), policy)))
     host = (F.when(route == "tavily", F.lit(fixed.SEARCH_UPSTREAM_HOST))
-            .when(route == "openai", F.lit(policy.upstream_base_url))
+            .when((route == "openai") & F.lit(bool(policy.upstream_base_url)), F.lit(policy.upstream_base_url))
             .otherwise(F.lit(fixed.NATIVE_UPSTREAM_HOST)))
     ids = parse_user_id_stripped(F.col("_uid"), F.col("_uobj"))
 
@@ -167,8 +167,8 @@ def build_telemetry(calls: DataFrame, policy: ModelPolicy | None = None,
         _opt(calls, "resp_bytes", _typed_null(T.IntegerType())).cast("int").alias("resp_bytes"),
         _opt(calls, "response_message_id", _typed_null(T.StringType())).alias("response_message_id"),
         _opt(calls, "response_tool_names", F.array().cast("array<string>")).alias("response_tool_names"),
-        http_error_type(status).alias("error_type"),
-        _opt(calls, "error_message", _typed_null(T.StringType())).alias("error_message"),
+        error_type(route, status).alias("error_type"),
+        error_message(_opt(calls, "error_message", _typed_null(T.StringType()))).alias("error_message"),
         _opt(calls, "search_depth", F.lit(search_depth)).alias("_depth"),
         # request shape, when the call record already carries it (log rebuild)
         _opt(calls, "n_messages", _typed_null(T.IntegerType())).cast("int").alias("n_messages"),
@@ -177,15 +177,14 @@ def build_telemetry(calls: DataFrame, policy: ModelPolicy | None = None,
                    F.array().cast("array<string>")).alias("tool_names"),
     )
 
-    # J-1: the price list is a fixed-size dimension (one row per priced model),
-    # broadcast explicitly.  J-5: the per-depth search price is a two-entry map.
-    priced = staged.join(F.broadcast(prices), staged["upstream_model"] == prices["price_model"],
-                         "left")
+    # J-1 and J-5: the price list and the per-depth search price are map literals
+    priced = staged.withColumn("_price", F.element_at(price_map(prices), F.col("upstream_model")))
+    price = F.col("_price")
     depth_price = F.element_at(_map_lit(fixed.SEARCH_PRICES), F.col("_depth"))
 
-    micro = F.when(F.col("price_model").isNotNull(), U.micro_usd(U.cost_e8(
+    micro = F.when(price.isNotNull(), U.micro_usd(U.cost_e8(
         F.col("_in"), F.col("_out"), F.col("_cr"), F.col("_cw"),
-        F.col("in_c"), F.col("out_c"), F.col("cache_read_c"), F.col("cache_write_c"),
+        price["in_c"], price["out_c"], price["cache_read_c"], price["cache_write_c"],
     ))).otherwise(F.lit(0).cast("long"))
     search_cost = F.when((F.col("route") == "tavily") & (F.col("status") == 200),
                          F.coalesce(depth_price, F.lit(fixed.SEARCH_PRICE_DEFAULT))
@@ -221,7 +220,7 @@ def build_telemetry(calls: DataFrame, policy: ModelPolicy | None = None,
         "status", "stop_reason", "completed", "elapsed_ms", "ttft_ms", "output_tokens_per_sec",
         "resp_bytes", "response_tool_names", "error_type", "error_message",
         U.usd_from_micro(micro).alias("est_anthropic_cost_usd"),
-        F.coalesce(F.col("premium"), F.lit(0.0)).alias("copilot_premium_multiplier"),
+        F.coalesce(price["premium"], F.lit(0.0)).alias("copilot_premium_multiplier"),
         search_cost.alias("tavily_cost_usd"),
         micro.alias("est_cost_micro_usd"),
     )

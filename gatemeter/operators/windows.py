@@ -12,8 +12,8 @@ same column as a parallel prefix sum:
    partition size);
 3. the total of every ``(key, partition)`` slice: at most
    ``partitions + keys`` rows, then prefix-summed over partitions;
-4. add the offset back with a join on ``(key, partition)``; the offset table
-   is broadcast only after its row count is checked against a limit.
+4. add the offset back with a join on ``(key, partition)``, which AQE turns
+   into a broadcast when the offsets it measured are small.
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROW_LIMIT = 2_000_000
-
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
                 num_partitions: int | None = None) -> DataFrame:
@@ -45,8 +43,6 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, ou
                             F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
     offsets = offsets.select(*keys, "_slice", F.col("_off").cast(local.schema["_local"].dataType)
                              .alias("_off"))
-    if offsets.count() <= BROADCAST_ROW_LIMIT:
-        offsets = F.broadcast(offsets)
     joined = local.join(offsets, [*keys, "_slice"], "left")
     return joined.withColumn(out, F.col("_local") + F.coalesce(F.col("_off"), F.lit(0))) \
                  .drop("_local", "_off", "_slice")

@@ -218,10 +218,10 @@ FROM fact
 
 ORACLES["error_features"] = with_fact(f"""
 SELECT request_id, route, status,
-  CASE WHEN status <> 200 THEN concat('http_', CAST(status AS VARCHAR)) END AS error_type,
+  CASE WHEN status = 200 THEN NULL WHEN route = 'tavily' AND status = 400 THEN 'empty_search_query'
+       WHEN route = 'tavily' THEN 'tavily_error' ELSE concat('http_', CAST(status AS VARCHAR)) END AS error_type,
   status = 200 AS completed,
-  CASE route WHEN 'tavily' THEN 'api.tavily.com' WHEN 'native' THEN 'api.githubcopilot.com' END
-    AS upstream_host,
+  CASE route WHEN 'tavily' THEN 'api.tavily.com' ELSE 'api.githubcopilot.com' END AS upstream_host,
   CASE WHEN route = 'native' AND len(list_filter({_PARTS}, lambda x: {_DROP})) > 0
        THEN array_to_string(list_filter({_PARTS}, lambda x: {_DROP}), ', ') END AS beta_stripped
 FROM fact
@@ -597,7 +597,7 @@ p AS (
   FROM pages),
 r AS (
   SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY page_id) AS i
-  FROM p WHERE search_id % 7 <> 6),
+  FROM p),
 e AS (
   SELECT search_id, count(*) AS n, string_agg(coalesce(url, ''), ' ' ORDER BY i) AS urls,
     string_agg(concat(chr(10), '## ', CAST(i AS VARCHAR), '. [', coalesce(title, '(no title)'), '](',
@@ -605,7 +605,8 @@ e AS (
                       CASE WHEN content <> '' THEN concat(chr(10), content) ELSE '' END),
                chr(10) ORDER BY i) AS body
   FROM r GROUP BY 1),
-s AS (SELECT DISTINCT page_id // 5 AS search_id FROM pages),
+f AS (SELECT DISTINCT page_id // 5 AS search_id FROM pages),
+s AS (SELECT search_id FROM f UNION ALL SELECT -search_id - 1 FROM f WHERE search_id % 7 = 6),
 md AS (
   SELECT s.search_id, concat('search ', CAST(s.search_id AS VARCHAR)) AS query,
     CAST(coalesce(e.n, 0) AS BIGINT) AS n_results, coalesce(e.urls, '') AS result_urls,
@@ -715,10 +716,6 @@ SELECT concat('req_', CAST(event_id AS VARCHAR)) AS request_id,
 FROM events WHERE event_id % 251 <> 7
 """
 
-ORACLES["pending_retention"] = with_fact("""
-SELECT request_id, ts, route FROM fact ORDER BY ts DESC, request_id DESC LIMIT 10000
-""")
-
 ORACLES["stream_ingest_titles"] = ORACLES["requests_with_titles"]
 
 # C-4 then C-3: completed -> tool_calls / stop, incomplete (max_output_tokens)
@@ -756,7 +753,9 @@ SELECT concat('conv_', CAST(conv_id AS VARCHAR), '_', CAST(turn AS VARCHAR)) AS
   CASE WHEN conv_id % 2 = 0 THEN CASE (conv_id + turn) % 3 WHEN 0 THEN 'Read' WHEN 1 THEN 'Bash'
        ELSE 'Grep' END ELSE '' END AS response_tool_names,
   CAST(CASE WHEN length(coalesce(text, '')) > 0 THEN 100 + 20 * (({_MARKER_END} - 1) // 7) END AS INTEGER)
-    AS ttft_ms
+    AS ttft_ms,
+  CAST(conv_id % 5 AS INTEGER) AS cache_creation_5m, CAST(turn AS INTEGER) AS cache_creation_1h,
+  CAST(turn % 3 AS INTEGER) AS web_search_requests
 FROM conversations WHERE role = 'assistant'
 """
 

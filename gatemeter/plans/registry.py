@@ -361,15 +361,19 @@ def _keyed_fact(spark, d):
 def q_dedupe_append(spark, d):
     """SNK-1: batch A (calls with n % 3 != 1) written twice (a replay), then
     batch B (every call, calls with n % 5 = 0 twice in the batch).  Each call
-    must be stored once, by the first batch and the first copy that had it."""
+    must be stored once, by the first batch and the first copy that had it, also
+    when batch B dates it a day later (n % 4 = 0) or not at all (n % 7 = 0)."""
     f = _keyed_fact(spark, d)
     cols = ["request_id", "ts", "day"]
     a = f.where(F.col("_n") % 3 != 1).select(*cols, F.lit("A").alias("batch"), F.lit(0).alias("copy"))
     b = (f.select(*cols, F.lit("B").alias("batch"), F.lit(0).alias("copy"))
          .unionByName(f.where(F.col("_n") % 5 == 0)
                       .select(*cols, F.lit("B").alias("batch"), F.lit(1).alias("copy"))))
+    n = F.substring("request_id", 5, 1 << 20).cast("long")
+    b = b.withColumn("day", F.when(n % 7 == 0, F.lit(None).cast("date"))
+                     .when(n % 4 == 0, F.date_add("day", 1)).otherwise(F.col("day")))
     path = sinks.new_table_path(spark, "dedupe_append")
-    for batch in (a, a, b):
+    for batch in (a, a, b, b):
         sinks.dedupe_append(batch, path, "request_id", ["copy"], partition_col="day")
     return spark.read.parquet(path).select("request_id", "ts", "batch", "copy")
 
@@ -390,28 +394,29 @@ def q_evolve_schema(spark, d):
 
 
 # --- streaming (ST-1, ST-2, ST-3, ST-5, ST-7) ---------------------------------------
-LANDING_FILES = 7
+MICRO_BATCHES = 3
 
 
 def _land_calls(spark, d, name):
-    """Land B1's call records as ``LANDING_FILES`` files, each holding calls
-    ``n % 7 = k`` from the whole period (so arrival is out of time order)."""
+    """Land B1's call records as one file per shuffle partition, dealt by a hash of the
+    call, so each file holds calls of the whole period (arrival out of time order)."""
     raw = bridges.calls_from_usage_raw(usage_raw(spark, d))
-    n = F.substring("request_id", 5, 1 << 20).cast("long")
     path = sinks.new_table_path(spark, f"{name}-landing")
-    raw.repartition(LANDING_FILES, n % LANDING_FILES).write.parquet(path)
+    raw.repartition(F.xxhash64("request_id")).write.parquet(path)
     return path
 
 
-def _call_stream(spark, landing, files_per_trigger=3):
-    schema = spark.read.parquet(landing).schema
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", str(files_per_trigger))
+def _call_stream(spark, landing):
+    """The landed files in ``MICRO_BATCHES`` micro-batches, however many files there are."""
+    files = spark.read.parquet(landing)
+    n = files.select("_metadata.file_path").distinct().count()
+    return (spark.readStream.schema(files.schema).option("maxFilesPerTrigger", str(max(1, -(-n // MICRO_BATCHES))))
             .parquet(landing))
 
 
 @query("stream_ingest")
 def q_stream_ingest(spark, d):
-    """ST-1/2/5: stream the landed calls two files per micro-batch until drained;
+    """ST-1/2/5: stream the landed calls in three micro-batches until drained;
     then replay all of it under a fresh checkpoint: no call may appear twice."""
     landing = _land_calls(spark, d, "stream_ingest")
     table = sinks.new_table_path(spark, "stream_ingest")
@@ -425,12 +430,13 @@ def q_stream_ingest(spark, d):
 
 @query("stream_daily_spend")
 def q_stream_daily_spend(spark, d):
-    """ST-7: daily search spend from per-micro-batch partials."""
+    """ST-7: daily search spend of the ingested table, after a replay of everything."""
     landing = _land_calls(spark, d, "stream_daily_spend")
-    partials = sinks.new_table_path(spark, "stream_daily_spend")
-    ckpt = sinks.new_table_path(spark, "stream_daily_spend-ckpt")
-    ingest.run_to_end(ingest.spend_partials(_call_stream(spark, landing), partials, ckpt))
-    return ingest.daily_spend_from_partials(spark, partials)
+    table = sinks.new_table_path(spark, "stream_daily_spend")
+    for run in ("first", "replay"):
+        ckpt = sinks.new_table_path(spark, f"stream_daily_spend-ckpt-{run}")
+        ingest.run_to_end(ingest.ingest_calls(_call_stream(spark, landing), table, ckpt))
+    return ingest.daily_spend(spark, table)
 
 
 # --- SSE reads (ST-8 batch, W-3, P-18) -------------------------------------------------
@@ -497,7 +503,7 @@ def q_chat_sse_to_events(spark, d):
                     "completed")
 
 
-# --- routing and retention (P-29, S-3) -------------------------------------------------
+# --- routing (P-29) -------------------------------------------------
 @query("route_derivation")
 def q_route_derivation(spark, d):
     """P-29 under three policies: search key set; search key set and a forced
@@ -512,13 +518,6 @@ def q_route_derivation(spark, d):
         derive_route(None, forced, False, so).alias("route_no_search_key"))
 
 
-@query("pending_retention")
-def q_pending_retention(spark, d):
-    """S-3: the 10 000 newest calls (the gateway's backlog bound)."""
-    return sinks.retain_newest(fact_table(spark, d).select("request_id", "ts", "route"),
-                               fixed.MAX_PENDING_ROWS, ["ts", "request_id"])
-
-
 @query("stream_ingest_titles")
 def q_stream_ingest_titles(spark, d):
     """ST-6: the streaming ingest with session titles joined per micro-batch."""
@@ -527,8 +526,9 @@ def q_stream_ingest_titles(spark, d):
     table = sinks.new_table_path(spark, "stream_ingest_titles")
     ckpt = sinks.new_table_path(spark, "stream_ingest_titles-ckpt")
     cache = ingest.TitleCache(
-        lambda: sessions.session_titles(bridges.title_jsonl_lines(conversations(spark, d))))
-    q = ingest.ingest_calls(_call_stream(spark, landing, 4), table, ckpt, titles=cache,
+        lambda: sessions.session_titles(bridges.title_jsonl_lines(conversations(spark, d))),
+        sinks.new_table_path(spark, "titles"))
+    q = ingest.ingest_calls(_call_stream(spark, landing), table, ckpt, titles=cache,
                             title_key=lambda f: bridges.transcript_session_of(f["request_id"], n_conv))
     ingest.run_to_end(q)
     t = spark.read.parquet(table)
@@ -573,13 +573,15 @@ def q_stream_fact_rows(spark, d):
         F.lit("claude-sonnet-4-6").alias("requested_model"), F.lit("native").alias("route"),
         F.lit(None).cast("string").alias("beta_requested"),
         "input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens",
+        "cache_creation_5m", "cache_creation_1h", "web_search_requests",
         F.lit(True).alias("stream"), F.lit(200).alias("status"), "elapsed_ms", "ttft_ms",
         "stop_reason", "completed", F.col("message_id").alias("response_message_id"),
         F.col("tool_names").alias("response_tool_names"))
     t = build_telemetry(calls)
     return t.select("request_id", "upstream_model", "input_tokens", "output_tokens", "total_tokens",
                     "est_cost_micro_usd", "stop_reason", "completed", "response_message_id",
-                    F.array_join("response_tool_names", ",").alias("response_tool_names"), "ttft_ms")
+                    F.array_join("response_tool_names", ",").alias("response_tool_names"), "ttft_ms",
+                    "cache_creation_5m", "cache_creation_1h", "web_search_requests")
 
 
 # --- ad hoc SQL over the fact table (SQL-1) ----------------------------------------------

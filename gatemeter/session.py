@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,21 +46,53 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (unit tests on one machine) is a private
-    folder created and registered.
+    Where the setting is absent, a session on one machine (``local[...]``, as in
+    tests) gets a private folder; on a cluster that is an error, because
+    executors and driver would not see each other's files.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="gatemeter-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = _LOCAL_DIRS.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="gatemeter-ckpt-")
+        _LOCAL_DIRS[context.applicationId] = path
     return path
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Functions that run in Python workers are pickled by module name, so the
+    workers must be able to import the package wherever it is installed.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED or re.fullmatch(r"local(\[.*\])?", context.master) and _importable():
+        return
+    folder = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="gatemeter-zip-"), "gatemeter"), "zip",
+                                  os.path.dirname(folder), os.path.basename(folder))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
+def _importable() -> bool:
+    """Local workers inherit PYTHONPATH and the working directory, not sys.path."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    seen = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    return root in map(os.path.abspath, filter(None, seen))
+
+
+_SHIPPED: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediates."""
     return os.path.join(checkpoint_dir(spark), name)
@@ -66,5 +100,5 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (written to the shared folder, survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
+    df.sparkSession.sparkContext.setCheckpointDir(checkpoint_dir(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -291,7 +291,10 @@ def sse_raw(conversations: DataFrame) -> DataFrame:
         F.lit("message_delta").alias("type"),
         F.struct(F.when(has_tool, F.lit("tool_use")).otherwise(F.lit("end_turn")).alias("stop_reason"))
         .alias("delta"),
-        F.struct(F.char_length(text).alias("output_tokens")).alias("usage")))
+        F.struct(F.char_length(text).alias("output_tokens"),
+                 F.struct((conv % 5).alias("ephemeral_5m_input_tokens"),
+                          turn.alias("ephemeral_1h_input_tokens")).alias("cache_creation"),
+                 F.struct((turn % 3).alias("web_search_requests")).alias("server_tool_use")).alias("usage")))
     stop = F.when((conv + turn) % 11 != 0,
                   ev("message_stop", F.struct(F.lit("message_stop").alias("type")))).otherwise(F.lit(""))
     raw = F.concat(start, block_start, deltas, block_stop, tool, delta, stop)
@@ -480,7 +483,8 @@ def search_responses(pages: DataFrame) -> DataFrame:
     result's title is the page's ``<title>`` (absent when empty), content the
     page text with tags replaced by spaces and runs of whitespace collapsed;
     query ``search <s>``; an answer (with padding to strip) when ``s % 3 = 0``;
-    no results at all when ``s % 7 = 6``.  A group is at most 5 pages.
+    when ``s % 7 = 6`` there is one more search, ``-s - 1``, without any
+    result.  A group is at most 5 pages.
     """
     html = F.col("html")
     title = F.nullif(F.regexp_extract(html, "<title>(.*?)</title>", 1), F.lit(""))
@@ -490,15 +494,16 @@ def search_responses(pages: DataFrame) -> DataFrame:
                       F.struct(F.col("url"), title.alias("title"), text.alias("content")).alias("r"))
          .groupBy("search_id")
          .agg(F.array_sort(F.collect_list(F.struct("page_id", "r"))).alias("_r")))
-    results = F.when(F.col("search_id") % 7 == 6, F.array().cast(
-        "array<struct<url:string,title:string,content:string>>")).otherwise(
-        F.transform("_r", lambda x: x["r"]))
+    some = F.struct(F.col("search_id"), F.transform("_r", lambda x: x["r"]).alias("results"))
+    none = F.struct((-F.col("search_id") - 1).alias("search_id"), F.array().cast(
+        "array<struct<url:string,title:string,content:string>>").alias("results"))
+    r = r.select(F.inline(F.when(F.col("search_id") % 7 == 6, F.array(some, none)).otherwise(F.array(some))))
     return r.select("search_id",
                     F.concat(F.lit("search "), _s(F.col("search_id"))).alias("query"),
                     F.when(F.col("search_id") % 3 == 0,
                            F.concat(F.lit("  answer "), _s(F.col("search_id")), F.lit(" \n")))
                     .alias("answer"),
-                    results.alias("results"))
+                    "results")
 
 
 def chat_sse_raw(conversations: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,12 +38,12 @@ def price_table(spark: SparkSession, prices: dict | None = None) -> DataFrame:
     return literal_table(spark, rows, PRICE_SCHEMA)
 
 
-SEARCH_PRICE_SCHEMA = T.StructType([
-    T.StructField("search_depth", T.StringType(), False),
-    T.StructField("search_price_usd", T.DoubleType(), False),
-])
-
-
-def search_price_table(spark: SparkSession, prices: dict | None = None) -> DataFrame:
-    prices = fixed.SEARCH_PRICES if prices is None else prices
-    return literal_table(spark, list(prices.items()), SEARCH_PRICE_SCHEMA)
+def price_map(prices: dict | None = None) -> Column:
+    """model -> struct of prices, as one literal map (as many entries as the price list)."""
+    prices = fixed.PRICES if prices is None else prices
+    items = []
+    for model, p in prices.items():
+        values = (_c(p[0]), _c(p[1]), _c(p[2]), _c(p[3]), float(p[4]))
+        items += [F.lit(model), F.struct(*[F.lit(v).cast(f.dataType).alias(f.name)
+                                           for v, f in zip(values, PRICE_SCHEMA.fields[1:])])]
+    return F.create_map(*items)

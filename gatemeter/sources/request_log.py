@@ -132,7 +132,9 @@ def log_to_calls(parsed: DataFrame) -> DataFrame:
                 start.alias("ts"),
                 F.timestamp_micros(end_micros(e)).alias("ts_end"),
                 req["user_id"].alias("user_id_raw"),
-                req["model"].alias("requested_model"),
+                # the log holds the upstream name; the client's name is not in it
+                F.lit(None).cast("string").alias("requested_model"),
+                req["model"].alias("upstream_model"),
                 route.alias("route"),
                 F.lit(None).cast("string").alias("beta_requested"),
                 usage["input_tokens"].alias("input_tokens"),
@@ -147,6 +149,8 @@ def log_to_calls(parsed: DataFrame) -> DataFrame:
                 e["elapsed_ms"].alias("elapsed_ms"),
                 F.lit(None).cast("int").alias("ttft_ms"),
                 F.when(~stream, resp["stop_reason"]).alias("stop_reason"),
+                # a stream's line does not say whether it ended
+                F.when(~stream, resp["status"] == 200).alias("completed"),
                 resp["req_bytes"].alias("req_bytes"),
                 resp["resp_bytes"].alias("resp_bytes"),
                 resp["search_depth"].alias("search_depth"),
@@ -159,8 +163,7 @@ def log_to_calls(parsed: DataFrame) -> DataFrame:
 def rebuild_telemetry(parsed: DataFrame, policy: ModelPolicy | None = None) -> DataFrame:
     """SNK-4: the telemetry table rebuilt from parsed log lines.
 
-    A narrow projection plus the broadcast price lookup: no shuffle.  The
-    model in the log is already the upstream name; mapping it again is a
-    no-op for every name the mapping produces.
+    A narrow projection with the price lookup: no shuffle.  The model in the
+    log is already the upstream name and is taken as it is.
     """
     return build_telemetry(log_to_calls(parsed), policy)

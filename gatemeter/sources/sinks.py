@@ -8,24 +8,25 @@ Parquet has no primary key and this install has no table format with
    It aggregates partially before the shuffle, so a key that holds a third
    of the batch is reduced on every map task instead of landing whole in one
    reducer (a ``row_number`` window would sort all of it in one task);
-2. a ``left_anti`` join against the keys already stored, read only from the
-   partitions (days) the batch touches.
+2. a ``left_anti`` join against the keys already stored.  The key alone
+   decides, whatever day a row carries, and null keys count as equal.
 
-Replaying a batch after a failure appends nothing the first run already
-committed, so the sink is safe under micro-batch retries and lost executors.
+The table is partitioned by a hash bucket of the key, so the join reads the
+key column of the batch's buckets only, and one table holds rows and keys:
+there is no second file to fall out of step with it after a crash.  Replaying
+a batch after a failure appends nothing the first run already committed.
 """
 
 from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-# A batch's distinct partition values are collected to prune the stored
-# table; beyond this many values the anti-join reads the whole table instead.
-MAX_PRUNE_VALUES = 10_000
+KEY_BUCKET = "key_bucket"
+KEY_BUCKETS = 8
 
 
 def first_per_key(batch: DataFrame, key: str | list[str], order: list[str]) -> DataFrame:
@@ -47,38 +48,36 @@ def read_if_exists(spark: SparkSession, path: str, merge_schema: bool = True) ->
         return None
 
 
-def _stored_keys(spark: SparkSession, path: str, batch: DataFrame, keys: list[str],
-                 partition_col: str | None) -> DataFrame | None:
-    # only the key columns are read, so no schema merge: merging would open
-    # every file footer of the table on every batch
-    stored = read_if_exists(spark, path, merge_schema=False)
-    if stored is None:
-        return None
-    if partition_col and partition_col in stored.columns:
-        values = batch.select(partition_col).distinct().limit(MAX_PRUNE_VALUES + 1).collect()
-        if len(values) <= MAX_PRUNE_VALUES:
-            stored = stored.where(F.col(partition_col).isin([r[0] for r in values]))
-    return stored.select(*keys)
-
-
 def dedupe_append(batch: DataFrame, path: str, key: str | list[str], order: list[str],
-                  partition_col: str | None = None) -> None:
+                  partition_col: str | None = None, buckets: int = KEY_BUCKETS) -> None:
     """SNK-1: append the batch's new keys to the parquet table at ``path``.
 
     Within the batch the first row per key by ``order`` wins; a key already
-    stored keeps its stored row.  ``partition_col`` (e.g. the day) both
-    partitions the files and prunes the stored table read by the anti-join.
-    Every batch column, the ``order`` columns included, is written.
+    stored keeps its stored row.  The table's folders are ``key_bucket`` and
+    then ``partition_col`` (e.g. the day); ``buckets`` must stay the same for
+    the life of a table.  Every batch column, the ``order`` columns included,
+    is written.  The batch is evaluated once.
     """
     spark = batch.sparkSession
     keys = [key] if isinstance(key, str) else list(key)
-    firsts = first_per_key(batch, keys, order)
-    stored = _stored_keys(spark, path, firsts, keys, partition_col)
-    new = firsts if stored is None else firsts.join(stored, keys, "left_anti")
-    w = new.write.mode("append")
-    if partition_col:
-        w = w.partitionBy(partition_col)
-    w.parquet(path)
+    bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).cast("int")
+    firsts = first_per_key(batch, keys, order).withColumn(KEY_BUCKET, bucket).persist()
+    try:
+        new = firsts
+        # only the key columns are read, so no schema merge: merging would open
+        # every file footer of the table on every batch
+        stored = read_if_exists(spark, path, merge_schema=False)
+        if stored is not None:
+            present = [r[0] for r in firsts.select(KEY_BUCKET).distinct().collect()]  # at most `buckets` values
+            have = stored.where(F.col(KEY_BUCKET).isin(present)).select(
+                *[F.col(k).alias(f"_stored_{k}") for k in keys])
+            same = [F.col(k).eqNullSafe(F.col(f"_stored_{k}")) for k in keys]
+            new = firsts.join(have, same, "left_anti")
+        folders = [KEY_BUCKET, *([partition_col] if partition_col else [])]
+        # one task writes a folder, so a batch adds one file to each folder it touches
+        new.repartition(*folders).write.mode("append").partitionBy(*folders).parquet(path)
+    finally:
+        firsts.unpersist()
 
 
 def missing_columns(stored: DataFrame, incoming: DataFrame) -> list[str]:
@@ -117,11 +116,3 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     from gatemeter.session import scratch_path
 
     return os.path.join(scratch_path(spark, "tables"), f"{name}-{uuid.uuid4().hex}")
-
-
-def retain_newest(rows: DataFrame, n: int, order: list[str]) -> DataFrame:
-    """S-3: the newest ``n`` rows by ``order`` (descending): the gateway's
-    bounded backlog as a query.  Planned as a top-k (each task keeps its own
-    ``n`` best, one task merges them), so it never sorts the whole table.
-    The streaming ingest itself never drops rows (ST-4)."""
-    return rows.orderBy(*[F.col(c).desc() for c in order]).limit(n)

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES: tuple[str, ...] = (
@@ -13,28 +12,21 @@ TABLES: tuple[str, ...] = (
 )
 
 
-def read_table(spark: SparkSession, base_dir: str, name: str, spread: bool = True) -> DataFrame:
-    """Read one table; a ``<name>.parquet`` file or folder under ``base_dir``.
-
-    With ``spread``, a scan that yields fewer splits than the cluster's
-    default parallelism (a small file with one row group) is round-robin
-    repartitioned so the per-row work downstream uses every core.  A large
-    table already has more splits than cores and is left untouched.
-    """
-    df = spark.read.parquet(os.path.join(base_dir, f"{name}.parquet"))
-    return spread_small(df) if spread else df
+def read_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
+    """Read one table; a ``<name>.parquet`` file or folder under ``base_dir``."""
+    return spark.read.parquet(f"{base_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+def register_views(spark: SparkSession, base_dir: str, names=TABLES) -> list[str]:
+    """Expose the landed tables to ``spark.sql`` under their own names; the names found.
 
-
-def register_views(spark: SparkSession, base_dir: str, names=TABLES) -> None:
-    """Expose the landed tables to ``spark.sql`` under their own names."""
+    Existence is asked of Spark's reader, so tables in any store it can open count.
+    """
+    found = []
     for name in names:
-        path = os.path.join(base_dir, f"{name}.parquet")
-        if os.path.exists(path):
+        try:
             read_table(spark, base_dir, name).createOrReplaceTempView(name)
+        except AnalysisException:
+            continue
+        found.append(name)
+    return found

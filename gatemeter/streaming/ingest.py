@@ -11,12 +11,12 @@ unavailable.  Here the same contract is a file stream:
   (:func:`gatemeter.sources.sinks.dedupe_append`), so a replayed batch, or a
   whole re-read after a lost checkpoint, adds no second row for a call;
 * ST-3: progress lives in the checkpoint folder (under the cluster's shared
-  ``spark.checkpoint.dir``); a failed batch is retried, nothing is dropped.
+  ``spark.checkpoint.dir``); a failed batch is retried, nothing is dropped.  Records
+  without a key or a time cannot be stored; they go to a reject table with the
+  reason instead of failing the stream.
 
-ST-7 is kept exact without watermark state: each micro-batch writes its own
-per-day partial sums into a folder named by the batch id (a retried batch
-overwrites its own folder, never adds a second copy), and readers sum the
-partials.  Late rows count toward their day whenever they arrive.
+ST-7 is kept exact without watermark state: daily spend is read from the
+ingested table, where a call stands once however often it arrived.
 """
 
 from __future__ import annotations
@@ -48,30 +48,37 @@ def flush_trigger() -> str:
 
 class TitleCache:
     """ST-6: session titles, re-read when older than ``ttl_s`` (the gateway's
-    300 s title cache).  ``loader`` returns ``(session_id, session_name)``;
-    at scale it reads a titles table kept by a separate batch job (A-8), so a
-    refresh is a file listing, not a scan of every transcript.  Sessions
-    without a title simply get none (the gateway caches that answer too).
+    300 s title cache).  ``loader`` returns ``(session_id, session_name)``.
+    Each refresh writes its result as a table under ``path`` and micro-batches
+    read that table, so titles are computed once per refresh, not once per
+    micro-batch.  Sessions without a title simply get none (the gateway caches
+    that answer too).
     """
 
-    def __init__(self, loader: Callable[[], DataFrame], ttl_s: float = fixed.TITLE_CACHE_TTL_S):
+    def __init__(self, loader: Callable[[], DataFrame], path: str, ttl_s: float = fixed.TITLE_CACHE_TTL_S):
         self.loader = loader
+        self.path = path
         self.ttl_s = ttl_s
-        self._df: DataFrame | None = None
-        self._at = 0.0
+        self.refreshes = 0
+        self._at: float | None = None
 
     def get(self) -> DataFrame:
         now = time.monotonic()
-        if self._df is None or now - self._at > self.ttl_s:
-            self._df = self.loader()
+        if self._at is None or now - self._at > self.ttl_s:
+            self.refreshes += 1
+            self.loader().write.mode("overwrite").parquet(self._table())
             self._at = now
-        return self._df
+        return SparkSession.active().read.parquet(self._table())
+
+    def _table(self) -> str:
+        return os.path.join(self.path, f"titles-{self.refreshes}")
 
 
 def ingest_calls(calls: DataFrame, table_path: str, checkpoint: str,
                  policy: ModelPolicy | None = None, order: list[str] | None = None,
                  trigger: str | None = None, titles: TitleCache | None = None,
-                 title_key: Callable[[DataFrame], Column] | None = None) -> StreamingQuery:
+                 title_key: Callable[[DataFrame], Column] | None = None,
+                 rejects_path: str | None = None) -> StreamingQuery:
     """Stream call records (the :func:`build_telemetry` contract) into the
     telemetry table at ``table_path``, partitioned by day.
 
@@ -79,14 +86,21 @@ def ingest_calls(calls: DataFrame, table_path: str, checkpoint: str,
     (default: ``ts``, then ``elapsed_ms``).  With ``titles`` (ST-6) each
     micro-batch is joined to the cached titles on ``title_key(fact)``
     (default ``session_id``); a row keeps the title it had when written.
-    Returns the started query.
+    Records without ``request_id`` or ``ts`` are never stored; with
+    ``rejects_path`` they are appended there, in a folder per micro-batch that a
+    retry overwrites, with a ``reject_reason`` (ST-3).  Returns the started query.
     """
     from gatemeter.operators.sessions import attach_titles
 
     order = order or ["ts", "elapsed_ms"]
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        fact = build_telemetry(batch, policy).withColumn("day", F.to_date("ts"))
+        reason = (F.when(F.col("request_id").isNull(), F.lit("no_request_id"))
+                  .when(F.col("ts").isNull(), F.lit("no_ts")))
+        if rejects_path:
+            (batch.withColumn("reject_reason", reason).where(F.col("reject_reason").isNotNull())
+             .write.mode("overwrite").parquet(os.path.join(rejects_path, f"batch={batch_id}")))
+        fact = build_telemetry(batch.where(reason.isNull()), policy).withColumn("day", F.to_date("ts"))
         if titles is not None:
             key = title_key(fact) if title_key else F.col("session_id")
             fact = attach_titles(fact.withColumn("_title_key", key), titles.get(),
@@ -98,30 +112,17 @@ def ingest_calls(calls: DataFrame, table_path: str, checkpoint: str,
     return _trigger(w, trigger).start()
 
 
-def spend_partials(calls: DataFrame, partials_path: str, checkpoint: str,
-                   policy: ModelPolicy | None = None, trigger: str | None = None) -> StreamingQuery:
-    """ST-7: per-day search spend, written as one partial per micro-batch."""
-
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        fact = build_telemetry(batch, policy)
-        part = (fact.where(F.col("route") == "tavily")
-                .groupBy(F.to_date("ts").alias("day"))
-                .agg(F.count(F.lit(1)).alias("calls"),
-                     # exact: whole 1e-3 cents, summed as integers
-                     F.sum(F.round(F.col("tavily_cost_usd") * 100000).cast("long")).alias("spend_e5")))
-        # a retried batch id replaces its own folder
-        part.write.mode("overwrite").parquet(os.path.join(partials_path, f"batch={batch_id}"))
+def daily_spend(spark: SparkSession, table_path: str) -> DataFrame:
+    """ST-7: ``(day, calls, spend_usd)`` of search calls from the ingested table.
 
-    w = (calls.writeStream.foreachBatch(write_batch)
-         .option("checkpointLocation", checkpoint))
-    return _trigger(w, trigger).start()
-
-
-def daily_spend_from_partials(spark: SparkSession, partials_path: str) -> DataFrame:
-    """Read ST-7's partials: ``(day, calls, spend_usd)``."""
-    p = spark.read.parquet(partials_path)
-    return (p.groupBy("day")
-            .agg(F.sum("calls").alias("calls"), F.sum("spend_e5").alias("_e5"))
+    The table holds every call once, so replays, late rows and lost checkpoints
+    cannot count a call twice; partial sums are combined before the shuffle.
+    """
+    t = spark.read.parquet(table_path).where(F.col("route") == "tavily")
+    return (t.groupBy("day")
+            # exact: whole 1e-3 cents, summed as integers
+            .agg(F.count(F.lit(1)).alias("calls"),
+                 F.sum(F.round(F.col("tavily_cost_usd") * 100000).cast("long")).alias("_e5"))
             .select("day", "calls", (F.col("_e5") / F.lit(100000.0)).alias("spend_usd")))
 
 
