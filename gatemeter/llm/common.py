@@ -68,29 +68,28 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     are ignored; no edges give no rows.  A node of very high degree is one
     aggregation key with map-side partial minima, never one collected group.
     """
-    cur = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-                  .where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v")))
-                  .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    first = cur
-    while True:
+    def deduplicated(pairs: DataFrame) -> tuple[DataFrame, tuple]:
+        out = written(pairs.where("u != v").distinct())
+        return out, tuple(out.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    first, mark = deduplicated(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+                               .where(F.col(a).isNotNull() & F.col(b).isNotNull()))
+    cur = first
+    while mark[0]:
         both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: larger neighbours of u point at the smallest neighbour of u
-        large = (both.join(low, "u").where(F.col("v") > F.col("u"))
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
+        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: u and its smaller neighbours point at the smallest of them
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low2, "u")
                  .select(F.inline(F.array(F.struct(F.col("u"), F.col("m").alias("v")),
-                                          F.struct(F.col("v").alias("u"), F.col("m").alias("v")))))
-                 .where("u != v").distinct())
-        nxt = written(small)
-        moved = (nxt.join(cur.select("u", "v"), ["u", "v"], "left_anti").limit(1).count()
-                 + cur.select("u", "v").join(nxt, ["u", "v"], "left_anti").limit(1).count())
+                                          F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))))
+        nxt, new_mark = deduplicated(small)
         if cur is not first:
             discard(cur)
-        cur = nxt
-        if not moved:
+        cur, done, mark = nxt, new_mark == mark, new_mark
+        if done:
             break
     nodes = first.select(F.col("u").alias("node")).unionByName(first.select(F.col("v").alias("node"))).distinct()
     return (nodes.join(cur.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")), "node", "left")

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatemeter.llm.common import components, written
+from gatemeter.llm.common import components, discard, written
 
 SHINGLE = 4
 PERCENT = 80
@@ -165,11 +165,13 @@ def similar_size(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def star_links(members: DataFrame, classes: DataFrame, sets: DataFrame, order: Column, percent: int) -> DataFrame:
-    """Confirmed links between every class and the first class, in ``order``, of each of its buckets."""
-    pivots = members.groupBy("band", "key").agg(F.min(F.struct(order.alias("o"), F.col("node"))).alias("p"))
-    pairs = (members.join(pivots.select("band", "key", F.col("p.node").alias("pivot")), ["band", "key"])
-             .where("node != pivot").select("node", "pivot").distinct())
+def star_links(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links between every class and two pivots of each of its buckets, in an id and in a hash order."""
+    pivots = members.groupBy("band", "key").agg(
+        F.min("node").alias("p"), F.min(F.struct(F.xxhash64("node").alias("o"), F.col("node"))).alias("q"))
+    pairs = (members.join(pivots, ["band", "key"])
+             .select("node", F.explode(F.array("p", "q.node")).alias("pivot"))
+             .where("node != pivot").distinct())
     own = classes.select("node", F.col("n_shingles").alias("n"), F.col("sketch").alias("s"))
     other = classes.select(F.col("node").alias("pivot"), F.col("n_shingles").alias("pn"), F.col("sketch").alias("ps"))
     agree = F.size(F.filter(F.zip_with("s", "ps", lambda x, y: x == y), lambda x: x))
@@ -185,7 +187,7 @@ def star_links(members: DataFrame, classes: DataFrame, sets: DataFrame, order: C
 
 
 def block_links(split: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links across components inside buckets.
+    """Confirmed links across components inside buckets, as pairs of components.
 
     ``split``: band, key, node, component, block, blocks, sketch, hashes.  Every
     pair of blocks of a bucket is one group of at most two blocks.
@@ -225,8 +227,8 @@ def block_links(split: DataFrame, percent: int) -> DataFrame:
                     continue
                 both = len(np.intersect1d(hashes[x], hashes[y], assume_unique=True))
                 if 100 * both >= percent * (size[x] + size[y] - both):
-                    out_a.append(node[x])
-                    out_b.append(node[y])
+                    out_a.append(comp[x])
+                    out_b.append(comp[y])
                     comp[comp == comp[y]] = comp[x]
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
@@ -237,19 +239,19 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
            shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = written(sketch_rows(d, shingle))
-    classes = written(rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest")
+    sketched = written(sketch_rows(d, shingle))
+    classes = written(sketched.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest")
                       .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"),
                            F.first("sketch").alias("sketch"))
                       .withColumn("node", F.monotonically_increasing_id()))
+    rows = written(sketched.drop("sketch"))
+    discard(sketched)
     keyed = classes.select("node", F.inline(band_keys(F.col("sketch"))))
     counts = keyed.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1")
     members = written(keyed.join(counts, ["band", "key"]).select("band", "key", "node", "m"))
     near = members.select("node").distinct().join(classes.select("node", "digest", "rep"), "node")
     sets = written(set_rows(d.join(near, F.col("doc_id") == F.col("rep")), shingle).dropDuplicates(["node"]))
-    links = written(star_links(members, classes, sets, F.col("node"), percent)
-                    .unionByName(star_links(members, classes, sets, F.xxhash64("node"), percent)))
-    comp = components(links)
+    comp = written(components(written(star_links(members, classes, sets, percent))))
     known = members.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # buckets of two have been compared whole by the star step
     mixed = (known.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("component").alias("lo"),
@@ -259,9 +261,13 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
              .withColumn("block", F.pmod(F.xxhash64("node", "band"), F.col("blocks")).cast("int"))
              .join(classes.select("node", "sketch"), "node").join(sets, "node"))
     more = written(block_links(split, percent))
-    comp = components(links.unionByName(more))
-    named = classes.select("digest", "rep", "node").join(comp, "node", "left") \
-        .withColumn("component", F.coalesce("component", "node"))
+    discard(members)
+    discard(sets)
+    # links across components join these; the smallest node of a component stands for it
+    joined = components(more).select(F.col("node").alias("component"), F.col("component").alias("lower"))
+    named = (classes.select("digest", "rep", "node").join(comp, "node", "left")
+             .withColumn("component", F.coalesce("component", "node")).join(joined, "component", "left")
+             .select("digest", "rep", F.coalesce("lower", "component").alias("component")))
     lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_digest = named.join(lowest, "component").select("digest", "component_id")
     out = rows.select("doc_id", "n_shingles", "digest").join(by_digest, "digest", "left")
