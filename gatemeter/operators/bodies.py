@@ -63,15 +63,16 @@ def python_json_size(js: pd.Series) -> pd.Series:
     return js.map(lambda s: None if s is None else len(json.dumps(json.loads(s)).encode()))
 
 
-def content_size(value: Column) -> Column:
+def content_size(value: Column, text: Column) -> Column:
     """P-8: bytes of a string value, or of the re-serialised JSON of a list/object;
-    0 when the value is missing or empty (falsy)."""
+    0 when the value is missing or empty (falsy).  ``text`` is the value's own
+    JSON text: numbers keep the spelling that the parsed value has lost."""
     as_list = F.try_variant_get(value, "$", "array<variant>")
     as_obj = F.try_variant_get(value, "$", "map<string,variant>")
     as_str = F.try_variant_get(value, "$", "string")
     structured = (as_list.isNotNull() & (F.size(as_list) > 0)) | (as_obj.isNotNull() & (F.size(as_obj) > 0))
     return (F.when(value.isNull(), F.lit(0).cast("long"))
-            .when(structured, python_json_size(F.to_json(value)))
+            .when(structured, python_json_size(F.when(structured, text)))
             .when(as_list.isNotNull() | as_obj.isNotNull(), F.lit(0).cast("long"))
             .when(as_str.isNotNull() & (as_str != ""), F.octet_length(as_str).cast("long"))
             .otherwise(F.lit(0).cast("long")))
@@ -83,6 +84,8 @@ def body_features(bodies: DataFrame, key: str = "request_id", body_col: str = "b
     p = parse_bodies(bodies.select(key, body_col), body_col).where(F.col("reject_reason").isNull())
     # stage the arrays used several times in their own projection
     p = p.select(key, _V, "req_bytes",
+                 F.get_json_object(body_col, "$.system").alias("_sys_text"),
+                 F.array_contains(F.json_object_keys(body_col), "input").alias("_has_input"),
                  _get("$.messages", "array<variant>").alias("_msgs"),
                  _get("$.tools", "array<variant>").alias("_tools"),
                  _get("$.system", "variant").alias("_sys"))
@@ -93,7 +96,7 @@ def body_features(bodies: DataFrame, key: str = "request_id", body_col: str = "b
         key,
         _get("$.model").alias("model"),
         F.coalesce(F.size(F.col("_msgs")), F.lit(0)).cast("int").alias("n_messages"),
-        content_size(F.col("_sys")).cast("int").alias("system_bytes"),
+        content_size(F.col("_sys"), F.col("_sys_text")).cast("int").alias("system_bytes"),
         F.size(tools).cast("int").alias("tool_count"),
         F.transform(tool_objs, lambda t: F.coalesce(F.try_variant_get(t, "$.name", "string"),
                                                    F.lit(""))).alias("tool_names"),
@@ -106,7 +109,9 @@ def body_features(bodies: DataFrame, key: str = "request_id", body_col: str = "b
         F.coalesce(_get("$.stream", "boolean"), F.lit(False)).alias("stream"),
         _get("$.metadata.user_id").alias("user_id"),
         search_only(tool_types).alias("search_only"),
-        (F.col("_msgs").isNull() & _get("$.input", "variant").isNotNull()).alias("is_responses_body"),
+        # P-28: no message, but an input
+        ((F.coalesce(F.size("_msgs"), F.lit(0)) <= 0) & F.coalesce(F.col("_has_input"), F.lit(False)))
+        .alias("is_responses_body"),
         F.col("req_bytes").cast("int").alias("req_bytes"),
     )
 
@@ -141,21 +146,17 @@ def search_query(bodies: DataFrame, key: str = "request_id", body_col: str = "bo
 
 # --- P-6 / P-7: payload normalisation -------------------------------------------
 
-def _reduce_cache_control(d: dict) -> dict:
-    """``object_hook``: called for every decoded object, innermost first."""
-    cc = d.get("cache_control")
-    if isinstance(cc, dict) and "type" in cc and len(cc) > 1:
-        d["cache_control"] = {"type": cc["type"]}
-    return d
-
-
 @F.pandas_udf(T.StringType())
 def strip_cache_control_json(js: pd.Series) -> pd.Series:
     """P-6: every ``cache_control`` object reduced to its ``type`` (recursive)."""
+    def reduce(d: dict) -> dict:  # called for every decoded object, innermost first
+        cc = d.get("cache_control")
+        if isinstance(cc, dict) and "type" in cc and len(cc) > 1:
+            d["cache_control"] = {"type": cc["type"]}
+        return d
+
     def one(s):
-        if s is None:
-            return None
-        return json.dumps(json.loads(s, object_hook=_reduce_cache_control))
+        return None if s is None else json.dumps(json.loads(s, object_hook=reduce))
     return js.map(one)
 
 

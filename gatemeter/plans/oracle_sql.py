@@ -759,4 +759,42 @@ SELECT concat('conv_', CAST(conv_id AS VARCHAR), '_', CAST(turn AS VARCHAR)) AS
 FROM conversations WHERE role = 'assistant'
 """
 
+_TOOL = "CASE WHEN conv_id % 2 = 0 THEN CASE (conv_id + turn) % 3 WHEN 0 THEN 'Read' WHEN 1 THEN 'Bash' ELSE 'Grep' END ELSE '' END"
+ORACLES["response_fact_rows"] = f"""
+WITH {_SEARCH_MD},
+a AS (SELECT conv_id, turn, concat(CAST(conv_id AS VARCHAR), '_', CAST(turn AS VARCHAR)) AS id,
+        conv_id * 10 + turn AS i, length(coalesce(text, '')) AS o, turn % 8 = 7 AS down,
+        (conv_id + turn) % 11 = 0 AS cut
+      FROM conversations WHERE role = 'assistant'),
+u AS (
+  SELECT concat('n_', id) AS request_id, 'native' AS route, false AS stream, CASE WHEN down THEN 529 ELSE 200 END AS status,
+    CASE WHEN down THEN 0 ELSE i END AS i, CASE WHEN down THEN 0 ELSE o END AS o,
+    CASE WHEN down THEN 0 ELSE conv_id % 5 END AS c5, CASE WHEN down THEN 0 ELSE turn END AS c1,
+    CASE WHEN down THEN 0 ELSE turn % 3 END AS ws,
+    CASE WHEN NOT down THEN CASE WHEN conv_id % 2 = 0 THEN 'tool_use' ELSE 'end_turn' END END AS stop_reason,
+    CASE WHEN NOT down THEN concat('msg_', id) END AS mid, CASE WHEN down THEN '' ELSE {_TOOL} END AS tools,
+    CASE WHEN down THEN concat('{{"type": "overloaded_error", "message": "busy ', CAST(conv_id AS VARCHAR), '"}}') END AS msg, false AS cut
+  FROM a
+  UNION ALL SELECT concat('s_', id), 'native', true, 200, i, o, conv_id % 5, turn, turn % 3,
+    CASE WHEN conv_id % 2 = 0 THEN 'tool_use' ELSE 'end_turn' END, concat('msg_', id), {_TOOL}, NULL, cut FROM a
+  UNION ALL SELECT concat('t_', id), 'openai', false, 200, CASE WHEN turn % 7 = 3 THEN 0 ELSE i END,
+    CASE WHEN turn % 7 = 3 THEN 0 ELSE o END, 0, 0, 0,
+    CASE turn % 5 WHEN 1 THEN 'max_tokens' WHEN 2 THEN 'tool_use' ELSE 'end_turn' END,
+    CASE WHEN turn % 6 = 5 THEN 'msg_proxy' ELSE concat('chatcmpl-', CAST(conv_id AS VARCHAR), '-', CAST(turn AS VARCHAR)) END,
+    {_TOOL}, NULL, false FROM a
+  UNION ALL SELECT concat('q_', CAST(search_id AS VARCHAR)), 'tavily', false, CASE WHEN search_id % 5 = 4 THEN 502 ELSE 200 END,
+    0, CASE WHEN search_id % 5 = 4 THEN 0 ELSE greatest(1, length(markdown) // 4) END, 0, 0,
+    CASE WHEN search_id % 5 <> 4 AND n_results > 0 THEN 1 ELSE 0 END,
+    CASE WHEN search_id % 5 <> 4 THEN 'end_turn' END,
+    CASE WHEN search_id % 5 <> 4 THEN concat('msg_search_', CAST(search_id AS VARCHAR)) END, '', NULL, false FROM md)
+SELECT request_id, route, stream, CAST(status AS INTEGER) AS status, CAST(i AS INTEGER) AS input_tokens,
+  CAST(o AS INTEGER) AS output_tokens, CAST(i + o AS INTEGER) AS total_tokens, CAST(c5 AS INTEGER) AS cache_creation_5m,
+  CAST(c1 AS INTEGER) AS cache_creation_1h, CAST(ws AS INTEGER) AS web_search_requests, stop_reason,
+  status = 200 AND NOT cut AS completed, mid AS response_message_id, tools AS response_tool_names,
+  CASE WHEN status <> 200 THEN CASE WHEN route = 'tavily' THEN 'tavily_error' ELSE concat('http_', CAST(status AS VARCHAR)) END
+  END AS error_type, msg AS error_message,
+  CASE WHEN route = 'tavily' AND status = 200 THEN 0.008 ELSE 0.0 END AS tavily_cost_usd
+FROM u
+"""
+
 ORACLES["sql_cost_by_model"] = ORACLES["cost_by_model"]

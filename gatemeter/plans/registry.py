@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 from gatemeter.functions.models import ModelPolicy, downgrade_to, downgraded, map_model_name
 from gatemeter import fixed
 from gatemeter.functions.requests import beta_forwarded, beta_stripped, derive_route, parse_user_id
-from gatemeter.operators import (bodies, catalog, chat_stream, convert, messages, search, sessions, spend, sse,
-                                 summaries)
+from gatemeter.operators import (bodies, catalog, chat_stream, convert, messages, responses, search, sessions, spend,
+                                 sse, summaries)
 from gatemeter.operators.telemetry import build_telemetry, telemetry_from_events
 from gatemeter.plans import reports
 from gatemeter.sources import bridges
@@ -584,6 +584,37 @@ def q_stream_fact_rows(spark, d):
                     "cache_creation_5m", "cache_creation_1h", "web_search_requests")
 
 
+# --- fact rows of every route (A-17, A-20, U-2, P-14, P-19, P-24) -----------------------
+@query("response_fact_rows")
+def q_response_fact_rows(spark, d):
+    """Native responses, native streams, translated responses and search answers as one fact table."""
+    conv = conversations(spark, d)
+    ident = F.concat(F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string"))
+    keyed = lambda df, kind: df.withColumn("request_id", F.concat(F.lit(kind), ident))
+    chat = bridges.chat_responses(conv)
+    native = keyed(bridges.message_responses(conv), "n_")
+    streams, translated = keyed(bridges.sse_raw(conv), "s_"), keyed(chat, "t_")
+    found = rendered_searches(spark, d).withColumn("request_id", F.concat(F.lit("q_"), F.col("search_id").cast("string")))
+    found = found.withColumn("status", F.when(F.col("search_id") % 5 == 4, 502).otherwise(200))
+    calls = [df.select("request_id", F.lit(route).alias("route"), F.lit(stream).alias("stream"),
+                       (F.col("status") if "status" in df.columns else F.lit(200)).alias("status"))
+             for df, route, stream in ((native, "native", False), (streams, "native", True),
+                                       (translated, "openai", False), (found, "tavily", False))]
+    calls = responses.unite(*calls).select(
+        "*", F.timestamp_seconds(F.lit(bridges.STREAM_EPOCH_S)).alias("ts"), F.lit(None).cast("string").alias("user_id_raw"),
+        F.lit("claude-sonnet-4-6").alias("requested_model"), F.lit(None).cast("string").alias("beta_requested"),
+        F.lit(1000).alias("elapsed_ms"), F.lit(None).cast("int").alias("ttft_ms"))
+    facts = responses.unite(
+        responses.message_response_facts(native), responses.stream_response_facts(streams),
+        responses.translated_response_facts(translated),
+        responses.search_response_facts(found.where(F.col("status") == 200)))
+    t = responses.fact_rows(calls, facts)
+    return t.select("request_id", "route", "stream", "status", "input_tokens", "output_tokens", "total_tokens",
+                    "cache_creation_5m", "cache_creation_1h", "web_search_requests", "stop_reason", "completed",
+                    "response_message_id", F.array_join("response_tool_names", ",").alias("response_tool_names"),
+                    "error_type", "error_message", "tavily_cost_usd")
+
+
 # --- ad hoc SQL over the fact table (SQL-1) ----------------------------------------------
 @query("sql_cost_by_model")
 def q_sql_cost_by_model(spark, d):

@@ -380,6 +380,35 @@ def chat_responses(conversations: DataFrame) -> DataFrame:
     return c.select("conv_id", "turn", body.alias("body"))
 
 
+def message_responses(conversations: DataFrame) -> DataFrame:
+    """Message-API responses ``(conv_id, turn, body, status)`` for assistant turns.
+
+    Text block, then a tool call for even conversations; usage with a 5m/1h
+    split and web searches; status 529 with an error body when ``turn % 8 = 7``.
+    """
+    c = conversations.where(F.col("role") == "assistant")
+    conv, turn = F.col("conv_id"), F.col("turn")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    null_s = F.lit(None).cast("string")
+    block = F.struct(F.lit("text").alias("type"), text.alias("text"), null_s.alias("id"), null_s.alias("name"))
+    call = F.struct(F.lit("tool_use").alias("type"), null_s.alias("text"),
+                    F.concat(F.lit("tu_"), _s(conv), F.lit("_"), _s(turn)).alias("id"),
+                    _tool_name_for(conv, turn).alias("name"))
+    usage = F.struct((conv * 10 + turn).alias("input_tokens"), F.char_length(text).alias("output_tokens"),
+                     F.struct((conv % 5).alias("ephemeral_5m_input_tokens"), turn.alias("ephemeral_1h_input_tokens"))
+                     .alias("cache_creation"),
+                     F.struct((turn % 3).alias("web_search_requests")).alias("server_tool_use"))
+    ok = F.to_json(F.struct(
+        F.concat(F.lit("msg_"), _s(conv), F.lit("_"), _s(turn)).alias("id"), F.lit("message").alias("type"),
+        F.lit("assistant").alias("role"),
+        F.when(conv % 2 == 0, F.array(block, call)).otherwise(F.array(block)).alias("content"),
+        F.when(conv % 2 == 0, "tool_use").otherwise("end_turn").alias("stop_reason"), usage.alias("usage")))
+    failed = F.concat(F.lit('{"type":"error","error":{"type":"overloaded_error","message":"busy '), _s(conv), F.lit('"}}'))
+    down = turn % 8 == 7
+    return c.select("conv_id", "turn", F.when(down, failed).otherwise(ok).alias("body"),
+                    F.when(down, 529).otherwise(200).alias("status"))
+
+
 # --- FIXED VALUES: stop reasons of non-streamed log lines, cycled by n % 3 ---
 LOG_STOP_CYCLE: tuple[str, ...] = ("end_turn", "tool_use", "max_tokens")
 # ---------------------------------------------------------------------------
