@@ -44,7 +44,7 @@ RULES: tuple[Rule, ...] = (
     Rule("symbols", "10 * n_symbols > n_words"),
     Rule("short_words", "10 * word_chars < 22 * n_words"),
     Rule("long_words", "word_chars > 15 * n_words"),
-    Rule("repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("repeated_lines", "2 * n_dup_lines > n_lines"),
     Rule("shouting", "2 * regexp_count(text, '[\\\\p{Lu}]') > regexp_count(text, '[\\\\p{L}]')"),
     Rule("exclamations", "5 * regexp_count(text, '!') > n_words"),
     Rule("few_letters", "5 * size(filter(words, w -> w rlike '[\\\\p{L}]')) < 4 * n_words"),
@@ -164,7 +164,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     OR 10 * n_symbols > n_words
     OR 10 * word_chars < 22 * n_words
     OR word_chars > 15 * n_words
-    OR 10 * n_dup_lines > 3 * n_lines
+    OR 2 * n_dup_lines > n_lines
     OR 2 * len(regexp_extract_all(coalesce(text, ''), '\p{Lu}')) > len(regexp_extract_all(coalesce(text, ''), '\p{L}'))
     OR 5 * len(regexp_extract_all(coalesce(text, ''), '!')) > n_words
     OR 5 * len(list_filter(ws, lambda w: regexp_matches(w, '\p{L}'))) < 4 * n_words
