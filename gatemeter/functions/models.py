@@ -13,13 +13,6 @@ from pyspark.sql import functions as F
 
 from gatemeter import fixed
 
-# Java regex \d also matches only ASCII digits by default; [0-9] says so.
-_BRACKET_SUFFIX = r"\[[^\]]*\]$"
-_DATE_SUFFIX = r"-[0-9]{8}$"
-_TIER_MAJOR_MINOR = r"^(claude-(?:sonnet|haiku)-[0-9]+)-([0-9]+)$"
-# claude-<tier>-<major>[.<minor>][-<suffix>]
-MODEL_ID_PATTERN = r"^claude-(opus|sonnet|haiku)-([0-9]+)(?:\.([0-9]+))?(?:-(.+))?$"
-
 
 @dataclass(frozen=True)
 class ModelPolicy:
@@ -52,14 +45,14 @@ def _map_literal(d: dict) -> Column:
 
 def strip_bracket_suffix(model: Column) -> Column:
     """``claude-opus-4-6[1m]`` -> ``claude-opus-4-6`` (regex only when it ends in ``]``)."""
-    return F.when(model.endswith("]"), F.regexp_replace(model, _BRACKET_SUFFIX, "")).otherwise(model)
+    return F.when(model.endswith("]"), F.regexp_replace(model, fixed.BRACKET_SUFFIX, "")).otherwise(model)
 
 
 def strip_date_suffix(model: Column) -> Column:
     """``claude-opus-4-6-20260312`` -> ``claude-opus-4-6`` (regex only when a
     ``-`` sits nine characters from the end)."""
     return F.when(F.substring(model, -9, 1) == "-",
-                  F.regexp_replace(model, _DATE_SUFFIX, "")).otherwise(model)
+                  F.regexp_replace(model, fixed.DATE_SUFFIX, "")).otherwise(model)
 
 
 def is_opus_name(stripped: Column) -> Column:
@@ -90,12 +83,12 @@ def map_model_from_parts(model: Column, bare: Column, stripped: Column,
     policy = policy or ModelPolicy()
     static = F.element_at(_map_literal(policy.static_map), stripped)
     family = F.element_at(_map_literal(policy.family_map), stripped)
-    dotted = F.regexp_replace(stripped, _TIER_MAJOR_MINOR, "$1.$2")
+    dotted = F.regexp_replace(stripped, fixed.TIER_MAJOR_MINOR, "$1.$2")
     return (
         F.when(model.isNull(), F.lit(None).cast("string"))
         .when(is_opus_name(stripped), resolve_opus(policy))
         .when(static.isNotNull(), static)
-        .when(stripped.rlike(_TIER_MAJOR_MINOR), dotted)
+        .when(stripped.rlike(fixed.TIER_MAJOR_MINOR), dotted)
         .when(family.isNotNull(), family)
         .otherwise(bare)
     )
@@ -131,11 +124,11 @@ def parse_model_id(model_id: Column) -> Column:
     ``sort_key`` orders newer first when compared descending:
     (major, minor or 0, 1 if no suffix else 0).
     """
-    ok = model_id.rlike(MODEL_ID_PATTERN)
-    tier = F.regexp_extract(model_id, MODEL_ID_PATTERN, 1)
-    major = F.regexp_extract(model_id, MODEL_ID_PATTERN, 2).cast("int")
-    minor_s = F.regexp_extract(model_id, MODEL_ID_PATTERN, 3)
-    suffix_s = F.regexp_extract(model_id, MODEL_ID_PATTERN, 4)
+    ok = model_id.rlike(fixed.MODEL_ID_PATTERN)
+    tier = F.regexp_extract(model_id, fixed.MODEL_ID_PATTERN, 1)
+    major = F.regexp_extract(model_id, fixed.MODEL_ID_PATTERN, 2).cast("int")
+    minor_s = F.regexp_extract(model_id, fixed.MODEL_ID_PATTERN, 3)
+    suffix_s = F.regexp_extract(model_id, fixed.MODEL_ID_PATTERN, 4)
     # regexp_extract returns '' for an absent group (T14)
     minor = F.when(minor_s == "", F.lit(None).cast("int")).otherwise(minor_s.cast("int"))
     suffix = F.when(suffix_s == "", F.lit(None).cast("string")).otherwise(suffix_s)

@@ -9,9 +9,6 @@ from gatemeter import fixed
 from gatemeter.functions.models import ModelPolicy, is_claude_model
 from gatemeter.functions.text import blank_to_null, pystrip
 
-# Legacy user-id form: user_<hash>_account_<account>_session_<session>
-USER_ID_PATTERN = r"_account_(.*?)_session_(.+)$"
-
 
 def _null_str() -> Column:
     return F.lit(None).cast("string")
@@ -46,8 +43,8 @@ def parse_user_id_stripped(s: Column, obj: Column | None = None) -> Column:
     # group 2 is ``.+``: a match always yields a non-empty session, so an empty
     # extract means no match (and the account is then missing as well)
     has_marker = s.contains("_session_")
-    sess_rx = F.when(has_marker, blank_to_null(F.regexp_extract(s, USER_ID_PATTERN, 2)))
-    acct_rx = F.when(sess_rx.isNotNull(), blank_to_null(F.regexp_extract(s, USER_ID_PATTERN, 1)))
+    sess_rx = F.when(has_marker, blank_to_null(F.regexp_extract(s, fixed.USER_ID_PATTERN, 2)))
+    acct_rx = F.when(sess_rx.isNotNull(), blank_to_null(F.regexp_extract(s, fixed.USER_ID_PATTERN, 1)))
     return F.struct(
         F.when(json_ok, sess_json).otherwise(sess_rx).alias("session_id"),
         F.when(json_ok, acct_json).otherwise(acct_rx).alias("account_id"),
@@ -127,11 +124,6 @@ def search_only(tool_types: Column) -> Column:
     return F.coalesce((F.size(tool_types) > 0) & ok, F.lit(False))
 
 
-def thinking_enabled(thinking_type: Column) -> Column:
-    """P-12."""
-    return F.coalesce(thinking_type == "enabled", F.lit(False))
-
-
 def derive_route(upstream_model_override: str | None, policy: ModelPolicy,
                  search_key_set: bool, is_search_only: Column) -> Column:
     """P-29: ``tavily`` / ``openai`` / ``native`` from the policy and the body."""
@@ -143,9 +135,9 @@ def derive_route(upstream_model_override: str | None, policy: ModelPolicy,
     return base
 
 
-def is_responses_body(has_messages: Column, has_input: Column) -> Column:
-    """P-28: a Responses-API body has no ``messages`` but has ``input``."""
-    return (~F.coalesce(has_messages, F.lit(False))) & F.coalesce(has_input, F.lit(False))
+def is_responses_body(n_messages: Column, has_input: Column) -> Column:
+    """P-28: a Responses-API body has no message but an ``input``."""
+    return (F.coalesce(n_messages, F.lit(0)) <= 0) & F.coalesce(has_input, F.lit(False))
 
 
 def unknown_fields(keys: Column, allowed=fixed.ALLOWED_BODY_FIELDS) -> Column:
@@ -157,6 +149,6 @@ def unknown_fields(keys: Column, allowed=fixed.ALLOWED_BODY_FIELDS) -> Column:
 __all__ = [
     "parse_user_id", "beta_stripped", "beta_forwarded", "http_error_type", "error_type",
     "error_message", "chat_stop_reason", "chat_stream_stop_reason",
-    "responses_incomplete_finish", "search_only", "thinking_enabled",
+    "responses_incomplete_finish", "search_only",
     "derive_route", "is_responses_body", "unknown_fields", "is_claude_model",
 ]

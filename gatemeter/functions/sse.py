@@ -4,33 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# The fields of a message-stream event that any extraction reads.  Usage
-# objects stay MAP<STRING,STRING> so a key present with JSON null is kept
-# distinct from an absent key (the merge is last-wins per key).
-EVENT_SCHEMA = T.StructType([
-    T.StructField("type", T.StringType()),
-    T.StructField("index", T.LongType()),
-    T.StructField("message", T.StructType([
-        T.StructField("id", T.StringType()),
-        T.StructField("model", T.StringType()),
-        T.StructField("usage", T.MapType(T.StringType(), T.StringType())),
-    ])),
-    T.StructField("delta", T.StructType([
-        T.StructField("type", T.StringType()),
-        T.StructField("text", T.StringType()),
-        T.StructField("partial_json", T.StringType()),
-        T.StructField("stop_reason", T.StringType()),
-    ])),
-    T.StructField("usage", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("content_block", T.StructType([
-        T.StructField("type", T.StringType()),
-        T.StructField("id", T.StringType()),
-        T.StructField("name", T.StringType()),
-    ])),
-])
-
 
 def format_sse(event: Column, data_json: Column) -> Column:
     """C-6: ``event: <name>\\ndata: <json>\\n\\n``."""
@@ -42,7 +15,11 @@ DATA_PREFIX = "data: "
 
 
 def event_struct(v: Column) -> Column:
-    """The fields of one parsed event, shaped like :data:`EVENT_SCHEMA`."""
+    """The fields of one parsed event that any extraction reads.
+
+    Usage objects stay ``map<string,string>`` so a key present with JSON null is
+    kept distinct from an absent key (the merge is last-wins per key).
+    """
 
     def g(path: str, t: str = "string") -> Column:
         return F.try_variant_get(v, path, t)

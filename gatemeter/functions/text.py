@@ -26,11 +26,6 @@ def blank_to_null(s: Column) -> Column:
     return F.when(s == "", F.lit(None).cast("string")).otherwise(s)
 
 
-def utf8_bytes(s: Column) -> Column:
-    """P-8 for string content: size in UTF-8 bytes."""
-    return F.octet_length(s)
-
-
 def _tenths_half_even(n: Column, unit: int) -> Column:
     """``n / unit`` to one decimal, half-to-even on the exact value, as text.
 

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from gatemeter import fixed
 from gatemeter.functions.models import ModelPolicy, map_model_name
-from gatemeter.functions.requests import search_only, unknown_fields
+from gatemeter.functions.requests import is_responses_body, search_only, unknown_fields
 from gatemeter.functions.text import pystrip
 
 _V = "_v"
@@ -109,9 +109,7 @@ def body_features(bodies: DataFrame, key: str = "request_id", body_col: str = "b
         F.coalesce(_get("$.stream", "boolean"), F.lit(False)).alias("stream"),
         _get("$.metadata.user_id").alias("user_id"),
         search_only(tool_types).alias("search_only"),
-        # P-28: no message, but an input
-        ((F.coalesce(F.size("_msgs"), F.lit(0)) <= 0) & F.coalesce(F.col("_has_input"), F.lit(False)))
-        .alias("is_responses_body"),
+        is_responses_body(F.size("_msgs"), F.col("_has_input")).alias("is_responses_body"),
         F.col("req_bytes").cast("int").alias("req_bytes"),
     )
 

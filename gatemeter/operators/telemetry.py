@@ -34,58 +34,7 @@ from gatemeter.functions.requests import (beta_stripped, error_message, error_ty
 from gatemeter.functions.text import pystrip
 from gatemeter.sources.prices import price_map
 
-TELEMETRY_SCHEMA = T.StructType([
-    T.StructField("request_id", T.StringType(), False),
-    T.StructField("ts", T.TimestampNTZType()),
-    T.StructField("session_id", T.StringType()),
-    T.StructField("session_name", T.StringType()),
-    T.StructField("account_id", T.StringType()),
-    T.StructField("response_message_id", T.StringType()),
-    T.StructField("requested_model", T.StringType()),
-    T.StructField("upstream_model", T.StringType()),
-    T.StructField("downgraded", T.BooleanType()),
-    T.StructField("downgrade_to", T.StringType()),
-    T.StructField("route", T.StringType()),
-    T.StructField("upstream_host", T.StringType()),
-    T.StructField("retry_count", T.IntegerType()),
-    T.StructField("beta_requested", T.StringType()),
-    T.StructField("beta_stripped", T.StringType()),
-    T.StructField("n_messages", T.IntegerType()),
-    T.StructField("system_bytes", T.IntegerType()),
-    T.StructField("tool_count", T.IntegerType()),
-    T.StructField("tool_names", T.ArrayType(T.StringType())),
-    T.StructField("max_tokens", T.IntegerType()),
-    T.StructField("temperature", T.DoubleType()),
-    T.StructField("top_p", T.DoubleType()),
-    T.StructField("top_k", T.IntegerType()),
-    T.StructField("thinking_enabled", T.BooleanType()),
-    T.StructField("thinking_budget", T.IntegerType()),
-    T.StructField("stream", T.BooleanType()),
-    T.StructField("req_bytes", T.IntegerType()),
-    T.StructField("input_tokens", T.IntegerType()),
-    T.StructField("output_tokens", T.IntegerType()),
-    T.StructField("cache_read_tokens", T.IntegerType()),
-    T.StructField("cache_creation_tokens", T.IntegerType()),
-    T.StructField("cache_creation_5m", T.IntegerType()),
-    T.StructField("cache_creation_1h", T.IntegerType()),
-    T.StructField("total_tokens", T.IntegerType()),
-    T.StructField("cache_hit_ratio", T.DoubleType()),
-    T.StructField("web_search_requests", T.IntegerType()),
-    T.StructField("status", T.IntegerType()),
-    T.StructField("stop_reason", T.StringType()),
-    T.StructField("completed", T.BooleanType()),
-    T.StructField("elapsed_ms", T.IntegerType()),
-    T.StructField("ttft_ms", T.IntegerType()),
-    T.StructField("output_tokens_per_sec", T.DoubleType()),
-    T.StructField("resp_bytes", T.IntegerType()),
-    T.StructField("response_tool_names", T.ArrayType(T.StringType())),
-    T.StructField("error_type", T.StringType()),
-    T.StructField("error_message", T.StringType()),
-    T.StructField("est_anthropic_cost_usd", T.DoubleType()),
-    T.StructField("copilot_premium_multiplier", T.DoubleType()),
-    T.StructField("tavily_cost_usd", T.DoubleType()),
-])
-TELEMETRY_COLUMNS: tuple[str, ...] = tuple(f.name for f in TELEMETRY_SCHEMA.fields)
+TELEMETRY_COLUMNS: tuple[str, ...] = tuple(f.name for f in fixed.TELEMETRY_SCHEMA.fields)
 EXTRA_COLUMNS: tuple[str, ...] = ("est_cost_micro_usd",)
 
 # Request-body feature columns (filled by a join when bodies are available).

@@ -35,6 +35,7 @@ FROM events
 """
 
 # Price list, USD per 1M tokens x 100 (fixed values).
+# --- FIXED VALUES: the gateway's price list, in cents per 1M tokens ---
 PRICES_VALUES = """
 SELECT * FROM (VALUES
   ('claude-opus-4.6', 1500, 7500, 150, 1875, 10.0),

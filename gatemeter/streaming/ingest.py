@@ -38,14 +38,11 @@ from gatemeter.sources import sinks
 def _trigger(writer, trigger: str | None):
     if trigger is None or trigger == "availableNow":
         return writer.trigger(availableNow=True)
+    if trigger == "flush":  # ST-1: the gateway's flush interval
+        trigger = f"{fixed.FLUSH_INTERVAL_S:g} seconds"
     return writer.trigger(processingTime=trigger)
 
 
-def flush_trigger() -> str:
-    """ST-1: the gateway's flush interval as a processing-time trigger."""
-    return f"{fixed.FLUSH_INTERVAL_S:g} seconds"
-
-
 class TitleCache:
     """ST-6: session titles, re-read when older than ``ttl_s`` (the gateway's
     300 s title cache).  ``loader`` returns ``(session_id, session_name)``.
