@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade ordered by rejection per cost (native).
 
 The whole path is DataFrame functions.  :func:`text_statistics` computes the
-exact base counts per row, without a shuffle: three-word windows are hashed,
-sorted with their positions inside the row, and equal neighbours mark repeated
-windows, so a text of n words costs O(n log n) whatever it repeats.
+exact base counts per row, without a shuffle: three-word windows are hashed
+and, where some are equal, sorted with their positions inside the row; equal
+neighbours mark repeated windows, so a text of n words costs O(n log n)
+whatever it repeats.
 
 :func:`order_rules` times each rule on a sample and measures the share it
 rejects; :func:`cascade` evaluates rules in falling order of rejection per
@@ -45,9 +46,10 @@ RULES: tuple[Rule, ...] = (
     Rule("short_words", "10 * word_chars < 22 * n_words"),
     Rule("long_words", "word_chars > 15 * n_words"),
     Rule("repeated_lines", "2 * n_dup_lines > n_lines"),
-    Rule("shouting", "2 * regexp_count(text, '[\\\\p{Lu}]') > regexp_count(text, '[\\\\p{L}]')"),
+    Rule("shouting", "2 * length(regexp_replace(text, '[^\\\\p{Lu}]+', ''))"
+                     " > length(regexp_replace(text, '[^\\\\p{L}]+', ''))"),
     Rule("exclamations", "5 * regexp_count(text, '!') > n_words"),
-    Rule("few_letters", "5 * size(filter(words, w -> w rlike '[\\\\p{L}]')) < 4 * n_words"),
+    Rule("few_letters", r"5 * regexp_count(text, '[^\\x20\\x09-\\x0D]*\\p{L}[^\\x20\\x09-\\x0D]*') < 4 * n_words"),
     Rule("stutter", "5 * size(filter(words, (w, i) -> i > 0 and get(words, i - 1) = w)) > n_words"),
     Rule("cut_lines", "10 * size(filter(lines, l -> l rlike '([.][.][.]|…)$')) > 5 * n_lines"),
     Rule("bullets", "10 * size(filter(lines, l -> l rlike '^[\\\\x20\\\\x09]*[-•‣]')) > 9 * n_lines"),
@@ -62,9 +64,12 @@ def text_statistics(docs: DataFrame, text: str = "text", keep: Sequence[str] = (
     w = F.col("words")
     n = F.size("words")
     windows = F.when(n >= 3, F.transform(
-        F.sequence(F.lit(0), n - 3),
-        lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))))
-    d = staged(d, *keep, "text", "words", "lines", F.sort_array(windows).alias("sorted"))
+        F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
+    d = staged(d, *keep, "text", "words", "lines", windows.alias("windows"))
+    # most texts repeat no window: only the others are sorted
+    some = F.size(F.array_distinct("windows")) < F.size("windows")
+    d = staged(d, *keep, "text", "words", "lines", F.when(some, F.sort_array(F.transform(
+        "windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("sorted"))
     s = F.col("sorted")
     repeated = F.filter(F.transform(s, lambda x, k: F.when(
         F.get(s, k + 1)["h"].eqNullSafe(x["h"]) | F.get(s, k - 1)["h"].eqNullSafe(x["h"]), x["i"])),
