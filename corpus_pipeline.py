@@ -32,7 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix draws them, whole."""
+    """Documents as often as the mix draws them; the last of a source ends at its target."""
     return mixing.draw(docs).select(*docs.columns)
 
 

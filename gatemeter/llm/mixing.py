@@ -16,7 +16,8 @@ seeds, so no task or driver holds the whole tree.
 Edge cases: a null source is a source of its own, last in order; null and
 empty texts have size 0 and are never taken; rows of one doc_id are mixed one
 by one; a corpus without words takes nothing; an empty table gives an empty
-result; extra columns are kept by :func:`draw` and ignored by :func:`plan_rows`.
+result; extra columns are kept by :func:`draw` and ignored by :func:`taken_rows`,
+which counts what :func:`draw` deals.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatemeter.llm.common import WORD_RE, written
+from gatemeter.llm.common import SPACE_CLASS, WORD_RE, discard, written
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -118,38 +119,6 @@ def block_table(blocked: DataFrame, seed: int) -> DataFrame:
                            F.col("rest") - F.col("before")).alias("needs"))
 
 
-def rest_rows(blocked: DataFrame, blocks: DataFrame, seed: int) -> DataFrame:
-    """Documents of the one block per source that the rest cuts through, with the words before them there."""
-    edge = blocks.where("needs IS NOT NULL").select("source_index", "block", "needs")
-    w = (Window.partitionBy("source_index", "block").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "size")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    return (blocked.join(edge, ["source_index", "block"])
-            .withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0))))
-
-
-def plan_rows(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = MAX_REPEATS,
-              block_words: int = BLOCK_WORDS, seed: int = 11) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row.
-
-    Whole documents are taken for whole passes and whole blocks; the last
-    document of a source's rest is taken up to the word that meets its target.
-    """
-    sized = written(docs.select("doc_id", "source", text_size(F.col("text")).alias("size")))
-    plans = plan_sources(sized, weights, repeats, block_words)
-    blocked = with_block(sized, source_table(docs.sparkSession, plans), seed)
-    blocks = written(block_table(blocked, seed))
-    parts = ["doc_id", "size", "source_size", "target"]
-    whole = F.col("size") * (F.col("passes") + F.when(F.col("whole"), 1).otherwise(0))
-    inner = (blocked.drop("passes").join(blocks.where("needs IS NULL").select("source_index", "block", "passes", "whole"),
-                                         ["source_index", "block"]).select(*parts, whole.cast("long").alias("taken")))
-    part = F.least(F.col("size"), F.greatest(F.col("needs") - F.col("before"), F.lit(0)))
-    edge = rest_rows(blocked, blocks, seed).select(*parts, (F.col("size") * F.col("passes") + part).cast("long")
-                                                   .alias("taken"))
-    none = (blocked.join(blocks.select("source_index", "block"), ["source_index", "block"], "left_anti")
-            .select(*parts, F.lit(0).cast("long").alias("taken")))
-    return inner.unionByName(edge).unionByName(none)
-
-
 def leaf_quotas(quotas: Sequence[int], shards: int, shard: int, seed: int) -> np.ndarray:
     """Blocks of every source that one shard receives: the walk from the root to its leaf.
 
@@ -191,19 +160,18 @@ def deal(draws: DataFrame, quotas: Sequence[int], shards: int, seed: int) -> Dat
     return draws.join(places, ["source_index", "rank"])
 
 
-def draw(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = MAX_REPEATS,
-         block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = 11) -> DataFrame:
-    """The mixed corpus itself: every row as often as it is drawn, all columns kept, plus ``_shard``.
+def deal_corpus(sized: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = MAX_REPEATS,
+                block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS,
+                seed: int = 11) -> tuple[DataFrame, DataFrame, int]:
+    """(source table, dealt blocks, number of shards) of a written table of doc_id, source, size.
 
-    Documents stay whole here: of the one block per source that the rest cuts
-    through, a document is taken when more than half of it lies before the cut.
+    A dealt block has its ``shards``, one per whole copy, and for the one block
+    per source that the rest cuts through ``last``, the shard of the cut copy,
+    and ``needs``, the words it takes.
     """
-    spark = docs.sparkSession
-    sized = written(docs.select("doc_id", "source", text_size(F.col("text")).alias("size")))
     plans = plan_sources(sized, weights, repeats, block_words)
-    sources = source_table(spark, plans)
-    blocked = with_block(sized, sources, seed)
-    blocks = written(block_table(blocked, seed))
+    sources = source_table(sized.sparkSession, plans)
+    blocks = written(block_table(with_block(sized, sources, seed), seed))
     # every drawn block once per pass, ranked in that pass's permutation
     passes = F.col("passes") + F.when(F.col("whole") | F.col("needs").isNotNull(), 1).otherwise(0)
     drawn = (blocks.withColumn("copies", passes).where("copies > 0")
@@ -216,27 +184,68 @@ def draw(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = MAX
                   drawn.groupBy("source_index").agg(F.count("*").alias("n")).collect()}  # a row per source
     quotas = [per_source.get(p.index, 0) for p in plans]
     shards = max(1, -(-sum(quotas) // shard_blocks))
-    dealt = deal(drawn, quotas, shards, seed)
-    last = F.col("needs").isNotNull() & (F.col("copy") > F.col("passes"))
-    copies = dealt.groupBy("source_index", "block").agg(
-        F.collect_list(F.when(~last, F.col("shard"))).alias("_shards"),
-        F.max(F.when(last, F.col("shard"))).alias("_last"))
-    taken = (rest_rows(blocked, blocks, seed).where((F.col("size") > 0) & (2 * (F.col("needs") - F.col("before")) > F.col("size")))
-             .select("source_index", "block", F.col("doc_id").alias("_id"), F.lit(True).alias("_in")).distinct())
+    cut = F.col("needs").isNotNull() & (F.col("copy") > F.col("passes"))
+    dealt = written(deal(drawn, quotas, shards, seed).groupBy("source_index", "block").agg(
+        F.collect_list(F.when(~cut, F.col("shard"))).alias("shards"),
+        F.max(F.when(cut, F.col("shard"))).alias("last"), F.max(F.when(cut, F.col("needs"))).alias("needs")))
+    discard(blocks)
+    return sources, dealt, shards
+
+
+def cut_rows(rows: DataFrame, *ties: Column | str) -> DataFrame:
+    """Rows of cut blocks with ``part``, the words that the cut copy takes of each."""
+    w = (Window.partitionBy("source_index", "block").orderBy("order", "doc_id", "size", *ties)
+         .rowsBetween(Window.unboundedPreceding, -1))
+    before = F.coalesce(F.sum("size").over(w), F.lit(0))
+    return rows.withColumn("part", F.least(F.col("size"), F.greatest(F.col("needs") - before, F.lit(0))))
+
+
+def sizes(docs: DataFrame) -> DataFrame:
+    return written(docs.select("doc_id", "source", text_size(F.col("text")).alias("size")))
+
+
+def taken_rows(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = MAX_REPEATS,
+               block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = 11) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every row: the words of it that :func:`draw` deals to all shards."""
+    sized = sizes(docs)
+    sources, dealt, _ = deal_corpus(sized, weights, repeats, block_words, shard_blocks, seed)
+    rows = (with_block(sized, sources, seed).join(dealt, ["source_index", "block"], "left")
+            .withColumn("whole", F.col("size") * F.coalesce(F.size("shards"), F.lit(0))))
+    parts = ["doc_id", "size", "source_size", "target"]
+    whole = rows.where("last IS NULL").select(*parts, F.col("whole").cast("long").alias("taken"))
+    cut = cut_rows(rows.where("last IS NOT NULL").withColumn("order", F.xxhash64(F.lit(seed), "doc_id")))
+    return whole.unionByName(cut.select(*parts, (F.col("whole") + F.col("part")).cast("long").alias("taken")))
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """A text up to the end of its n-th word."""
+    ends = F.split(text, f"(?<={WORD_RE[:-1]})(?=[{SPACE_CLASS}])")
+    return F.array_join(F.slice(ends, F.lit(1), n.cast("int")), "")
+
+
+def draw(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = MAX_REPEATS,
+         block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = 11) -> DataFrame:
+    """The mixed corpus itself: every row as often as it is drawn, all columns kept, plus ``_shard``.
+
+    The last document of a source's rest ends at the word that meets the
+    source's target (its other columns stay as they are); all others are whole.
+    """
+    sources, dealt, shards = deal_corpus(sizes(docs), weights, repeats, block_words, shard_blocks, seed)
     d = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source")
     d = (with_block(d, sources.select("source_index", "_source", "n_blocks"), seed)
-         .join(copies, ["source_index", "block"]))
-    t = taken.select(F.col("source_index").alias("_s"), F.col("block").alias("_b"), "_id", "_in")
-    d = d.join(t, (F.col("_s") == F.col("source_index")) & (F.col("_b") == F.col("block"))
-               & F.col("_id").eqNullSafe(F.col("doc_id")), "left")
-    d = d.select("_row", F.explode(F.concat("_shards", F.when(F.col("_in"), F.array("_last"))
-                                            .otherwise(F.array().cast("array<bigint>")))).alias("_shard"))
-    # a source's block with words may hold empty texts too: they are never taken
-    d = d.where(text_size(F.col("_row.text")) > 0)
+         .join(dealt, ["source_index", "block"]).withColumn("size", text_size(F.col("_row.text")))
+         # a source's block with words may hold empty texts too: they are never taken
+         .where("size > 0"))
+    whole = d.select("_row", F.explode("shards").alias("_shard"))
+    cut = (cut_rows(d.where("last IS NOT NULL").withColumn("order", F.xxhash64(F.lit(seed), "doc_id")),
+                    F.xxhash64("_row.text")).where("part > 0"))
+    text = F.when(F.col("part") < F.col("size"), first_words(F.col("_row.text"), F.col("part"))).otherwise(F.col("_row.text"))
+    cut = cut.select(F.struct(*[text.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
+                     .alias("_row"), F.col("last").alias("_shard"))
     local = F.xxhash64(F.lit(seed), F.lit("local"), "_shard", "_row.doc_id")
-    return (d.repartition(shards, "_shard").sortWithinPartitions("_shard", local)
+    return (whole.unionByName(cut).repartition(shards, "_shard").sortWithinPartitions("_shard", local)
             .select("_row.*", "_shard"))
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return plan_rows(docs.select("doc_id", "source", "text"))
+    return taken_rows(docs.select("doc_id", "source", "text"))

@@ -231,3 +231,41 @@ def test_draw_takes_whole_documents_as_planned(spark):
     assert max(got.values()) <= 3
     assert mixing.draw(edge_docs(spark, [])).count() == 0
     assert mixing.draw(edge_docs(spark)).count() > 0
+
+
+def planned(rows, block_words, seed=11):
+    """Words taken per document of a plain prefix of each source's permuted blocks, without tree and shards."""
+    t = rows.select("doc_id", "source", mixing.text_size(F.col("text")).alias("size"))
+    plans = mixing.plan_sources(t, block_words=block_words)
+    blocked = mixing.with_block(t, mixing.source_table(t.sparkSession, plans), seed)
+    blocks = {(b.source_index, b.block): b for b in mixing.block_table(blocked, seed).collect()}
+    out, used = Counter(), Counter()
+    order = F.xxhash64(F.lit(seed), "doc_id").alias("o")
+    for r in sorted(blocked.select("*", order).collect(), key=lambda r: (r.o, r.doc_id)):
+        b = blocks[r.source_index, r.block]
+        part = min(r["size"], max(0, (b.needs or 0) - used[r.source_index, r.block]))
+        used[r.source_index, r.block] += r["size"]
+        out[r.doc_id] += r["size"] * (b.passes + b.whole) + part
+    return out
+
+
+def test_query_counts_the_words_that_draw_deals(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [doc(i, " \n".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 40))) + "  ", source=f"s{i % 4}")
+            for i in range(400)]
+    docs = edge_docs(spark, rows)
+    dealt = []
+    real = mixing.deal
+    monkeypatch.setattr(mixing, "deal", lambda *a: dealt.append(a[1:3]) or real(*a))
+    taken = {r.doc_id: r.taken for r in mixing.taken_rows(docs, block_words=100, shard_blocks=4).collect()}
+    assert len(dealt) == 1 and dealt[0][1] > 1
+    drawn, whole = Counter(), {r[0]: r[1] for r in rows}
+    cut = 0
+    for r in mixing.draw(docs, block_words=100, shard_blocks=4).collect():
+        drawn[r.doc_id] += len(WORDS.findall(r.text))
+        assert whole[r.doc_id].startswith(r.text)
+        cut += r.text != whole[r.doc_id]
+    assert cut <= 4 and {d: n for d, n in taken.items() if n} == dict(drawn)
+    want = planned(docs, 100)
+    assert taken == {d: want[d] for d in taken}
+    assert mixing.query(docs).count() == 400 and len(dealt) == 3
