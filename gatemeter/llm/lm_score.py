@@ -5,16 +5,23 @@ the sum of the log-probabilities is the document's pseudo-log-likelihood.
 
 Tokens are lower-cased (A-Z) words: the most frequent words of the corpus have
 an id of their own, all others share hashed ids.  The network adds one embedding
-per neighbouring place, applies a rectifier and predicts the token in two steps,
+per neighbouring place, applies a rectifier and predicts the id in two steps,
 its class and its place in the class, so a prediction costs two small softmaxes.
+A word of a hashed id is predicted in a third step, by its share of the id's
+tokens in the corpus.  That table holds every word and grows with the corpus; a
+word it lacks counts ``UNSEEN`` times, and each id is assumed to have one unseen
+word more than it has seen ones.
 
 Corpus work (all documents, growing with them):
-1. word counts, pre-aggregated in the workers, then by word;
-2. one training pass per round: each partition trains its own replica from the
-   same start on all of its documents and returns its parameters weighted by
-   its tokens; a grouped sum averages them.  Only word and parameter tables of
-   fixed size reach the driver.
-Scoring is a column over the texts.
+1. word counts, pre-aggregated in the workers, then by word, kept as a table;
+2. training in rounds: rows are dealt by a hash of their columns to the replicas
+   of a round, about ``REPLICA_TOKENS`` tokens each however the input is split.
+   Every replica trains from the round's start and returns its parameters
+   weighted by its tokens; a grouped sum averages them for the next round.  All
+   rows are trained on once.  Only word and parameter tables of fixed size reach
+   the driver.
+Scoring takes the rows in chunks: the words without an id of their own are looked
+up once per chunk by a join, and meet its texts in a cogroup.
 
 Edge cases: null, empty and blank texts have 0 tokens, log_prob 0 and a null
 mean; a text of one word is predicted from the edges alone; repeated rows score
@@ -24,16 +31,19 @@ alike; an empty table gives an empty result; extra columns are kept by
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+from gatemeter.llm.common import discard, written
 
 CLASSES = 32
 PER_CLASS = 32
@@ -46,6 +56,10 @@ BATCH = 8192
 RATE = 0.05
 MEMO_ENTRIES = 300_000
 COUNTER_ENTRIES = 200_000
+ROUNDS = 4
+REPLICA_TOKENS = 500_000
+UNSEEN = 0.5
+CHUNK_ROWS = 4096
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -53,12 +67,21 @@ def split_bytes(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
 
 
+@dataclass
+class Tail:
+    """All words of the hashed ids (word, n), what their counts are divided by per hashed id, and the corpus's tokens."""
+
+    table: DataFrame
+    whole: np.ndarray
+    tokens: int
+
+
 class Vocabulary(dict):
-    """word -> id; words outside the table are hashed on first sight (bounded memo)."""
+    """word -> id; words outside the table are hashed on first sight (bounded memo).  Workers get no ``tail``."""
 
-    def __init__(self, words: list[bytes]) -> None:
+    def __init__(self, words: list[bytes], tail: Tail | None = None) -> None:
         super().__init__({w: i for i, w in enumerate(words)})
-        self.words, self.known = words, len(words)
+        self.words, self.known, self.tail = words, len(words), tail
 
     def __missing__(self, w: bytes) -> int:
         if len(self) >= self.known + MEMO_ENTRIES:
@@ -72,14 +95,31 @@ class Vocabulary(dict):
         return Vocabulary, (self.words,)
 
 
+class Shares(dict):
+    """word -> log of its share of its hashed id, from one chunk's counts; 0 for words with an id of their own."""
+
+    def __init__(self, words: list[bytes], counts: np.ndarray, vocabulary: Vocabulary, whole: np.ndarray) -> None:
+        at = np.array([zlib.crc32(w) % HASHED for w in words], dtype=np.int64)
+        super().__init__(zip(words, np.log(counts / whole[at]).tolist()))
+        self.update(dict.fromkeys(vocabulary.words, 0.0))
+        self.unseen = np.log(UNSEEN / whole)
+
+    def __missing__(self, w: bytes) -> float:
+        return float(self.unseen[zlib.crc32(w) % HASHED])
+
+
 def encode(texts: list[str | None], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """All ids in a row, two edges between texts and around all, and the tokens of each text."""
+    return encode_words([split_bytes(t) for t in texts], vocabulary)
+
+
+def encode_words(split: list[list[bytes]], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     ids: list[int] = [EDGE, EDGE]
-    sizes = np.zeros(len(texts), np.int64)
+    sizes = np.zeros(len(split), np.int64)
     get = vocabulary.__getitem__
-    for i, t in enumerate(texts):
+    for i, ws in enumerate(split):
         before = len(ids)
-        ids.extend(map(get, split_bytes(t)))
+        ids.extend(map(get, ws))
         sizes[i] = len(ids) - before
         ids += (EDGE, EDGE)
     return np.array(ids, dtype=np.int64), sizes
@@ -243,43 +283,84 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             .groupBy("word").agg(F.sum("n").alias("n")))
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of finished jobs go when the driver collects its garbage, which it seldom does by itself."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def vocabulary(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, np.ndarray]:
-    """The most frequent words (ties by bytes) and the corpus counts of every id."""
-    counts = word_counts(docs, text).persist()
-    try:
-        top = counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()  # at most WORDS rows
-        total = counts.agg(F.sum("n")).first()[0] or 0
-    finally:
-        counts.unpersist()
+    """The most frequent words (ties by bytes) with the table of all others, and the corpus counts of every id."""
+    spark = docs.sparkSession
+    counts = written(word_counts(docs, text))
+    top = counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()  # at most WORDS rows
+    words = [bytes(r["word"]) for r in top]
+    known = spark.createDataFrame([(w,) for w in words], "word binary")
+    rest = (counts.join(F.broadcast(known), "word", "left_anti")
+            .withColumn("bucket", (F.crc32("word") % HASHED).cast("int")))
+    seen, kinds = np.zeros(HASHED), np.zeros(HASHED)
+    for r in rest.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():  # HASHED rows
+        seen[r["bucket"]], kinds[r["bucket"]] = r["n"], r["kinds"]
+    whole = seen + UNSEEN * (kinds + 1)
+    table = written(rest.select("word", "n"))
+    discard(counts)
+    drop_shuffles(spark)
     ids = np.zeros(CLASSES * PER_CLASS)
     ids[:len(top)] = [r["n"] for r in top]
-    ids[WORDS:EDGE] = (total - ids.sum()) / HASHED
-    return Vocabulary([bytes(r["word"]) for r in top]), ids
+    ids[WORDS:EDGE] = seen
+    return Vocabulary(words, Tail(table, whole, int(ids.sum()))), ids
+
+
+def by_replica(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str | None]]:
+    """The texts of one replica after another from rows (replica, text) in order of replicas."""
+    held: list[str | None] = []
+    last = None
+    for batch in batches:
+        for replica, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if replica != last and held:
+                yield held
+                held = []
+            last = replica
+            held.append(t)
+    if held:
+        yield held
 
 
-def train(docs: DataFrame, text: str = "text", rounds: int = 1) -> tuple[Vocabulary, WindowNetwork]:
-    """Replicas trained on whole partitions and averaged by their tokens."""
+def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS,
+          replica_tokens: int = REPLICA_TOKENS) -> tuple[Vocabulary, WindowNetwork]:
+    """Replicas of ``replica_tokens`` tokens, averaged by their tokens after each round."""
     words, counts = vocabulary(docs, text)
     net = WindowNetwork.start(counts)
-    for _ in range(rounds):
+    replicas = max(1, -(-words.tail.tokens // (rounds * replica_tokens)))
+    mark = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    dealt = (docs.select(F.col(text).alias("text"), mark.alias("mark"))
+             .withColumn("slot", F.pmod("mark", F.lit(rounds * replicas)))
+             .select("text", "mark", (F.col("slot") % rounds).alias("round"),
+                     F.floor(F.col("slot") / rounds).alias("replica")))
+    for round_ in range(rounds):
         begin = docs.sparkSession.sparkContext.broadcast((words, net.flat()))  # about 0.4 MB
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known, flat = begin.value
-            own, tokens = WindowNetwork.of_flat(flat), 0
-            for batch in batches:
-                for some in chunks(batch.column(0).to_pylist()):
+            total, tokens = np.zeros(len(flat)), 0
+            for texts in by_replica(batches):
+                own, n = WindowNetwork.of_flat(flat), 0
+                for some in chunks(texts):
                     ids, sizes = encode(some, known)
                     own.train(ids, places(sizes)[0])
-                    tokens += int(sizes.sum())
+                    n += int(sizes.sum())
+                total += own.flat().astype(np.float64) * n
+                tokens += n
             if tokens:
-                v = own.flat().astype(np.float64) * tokens
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(v)), pa.int32()), pa.array(v), pa.array(np.full(len(v), tokens), pa.int64())],
-                    names=["i", "v", "n"])
+                    [pa.array(np.arange(len(total)), pa.int32()), pa.array(total),
+                     pa.array(np.full(len(total), tokens), pa.int64())], names=["i", "v", "n"])
 
-        sums = (docs.select(text).mapInArrow(run, "i int, v double, n long").groupBy("i")
+        sums = (dealt.where(F.col("round") == round_).repartition("replica")
+                .sortWithinPartitions("replica", "mark", "text").select("replica", "text")
+                .mapInArrow(run, "i int, v double, n long").groupBy("i")
                 .agg((F.sum("v") / F.sum("n")).alias("v")).toPandas())  # one row per parameter
+        drop_shuffles(docs.sparkSession)
         if len(sums):
             flat = np.zeros(len(sums))
             flat[sums["i"].to_numpy()] = sums["v"].to_numpy()
@@ -287,35 +368,68 @@ def train(docs: DataFrame, text: str = "text", rounds: int = 1) -> tuple[Vocabul
     return words, net
 
 
-def pseudo_log_likelihood(text: Column, words: Vocabulary, net: WindowNetwork) -> Column:
-    """struct(n_tokens, log_prob)."""
-    flat = net.flat()
+def log_probs(texts: list[str | None], words: Vocabulary, net: WindowNetwork, shares: Shares) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and sum of log-probabilities of every text."""
+    tokens, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for some in chunks(texts):
+        split = [split_bytes(t) for t in some]
+        ids, sizes = encode_words(split, words)
+        at, first = places(sizes)
+        lp = np.concatenate([net.token_log_probs(ids, at).astype(np.float64), [0.0]])
+        within = np.array([sum(map(shares.__getitem__, ws)) for ws in split], dtype=float)
+        tokens.append(sizes)
+        sums.append(np.where(sizes > 0, np.add.reduceat(lp, np.minimum(first, len(at))) + within, 0.0))
+    return np.concatenate(tokens), np.concatenate(sums)
+
+
+def tail_words(rows: DataFrame, words: Vocabulary) -> DataFrame:
+    """(chunk, word): the words of each chunk (chunk, text) that have no id of their own."""
+    top = words.words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = frozenset(top)
+
+        def out() -> pa.RecordBatch:
+            found = list(held - known)
+            return pa.RecordBatch.from_arrays([pa.array([last] * len(found), pa.int64()), pa.array(found, pa.binary())],
+                                              names=["chunk", "word"])
 
-    @F.pandas_udf("n_tokens long, log_prob double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = WindowNetwork.of_flat(flat)
-        for s in batches:
-            tokens, sums = [], []
-            for some in chunks(s.tolist()):
-                ids, sizes = encode(some, words)
-                at, first = places(sizes)
-                lp = np.concatenate([own.token_log_probs(ids, at).astype(np.float64), [0.0]])
-                tokens.append(sizes)
-                sums.append(np.where(sizes > 0, np.add.reduceat(lp, np.minimum(first, len(at))), 0.0))
-            yield pd.DataFrame({"n_tokens": np.concatenate(tokens) if tokens else np.zeros(0, np.int64),
-                                "log_prob": np.concatenate(sums) if sums else np.zeros(0)})
+        held: set[bytes] = set()
+        last = None
+        for batch in batches:
+            for chunk, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held and (chunk != last or len(held) >= COUNTER_ENTRIES):
+                    yield out()
+                    held.clear()
+                last = chunk
+                held.update(split_bytes(t))
+        if held:
+            yield out()
 
-    return run(text)
+    return rows.mapInArrow(run, "chunk long, word binary")
 
 
 def score(docs: DataFrame, words: Vocabulary, net: WindowNetwork, text: str = "text") -> DataFrame:
     """``docs`` with n_tokens, log_prob and mean_log_prob, replacing columns of these names."""
-    d = docs.drop("n_tokens", "log_prob", "mean_log_prob").withColumn(
-        "_pll", pseudo_log_likelihood(F.col(text), words, net))
-    return d.select(*[c for c in d.columns if c != "_pll"], F.col("_pll.n_tokens").alias("n_tokens"),
-                    F.col("_pll.log_prob").alias("log_prob"),
-                    F.when(F.col("_pll.n_tokens") > 0, F.col("_pll.log_prob") / F.col("_pll.n_tokens"))
-                    .alias("mean_log_prob"))
+    d = docs.drop("n_tokens", "log_prob", "mean_log_prob")
+    chunked = written(d.select(F.shiftright(F.monotonically_increasing_id(), CHUNK_ROWS.bit_length() - 1).alias("chunk"),
+                               F.struct(*d.columns).alias("row")))
+    looked_up = (tail_words(chunked.select("chunk", F.col("row")[text].alias("text")), words)
+                 .join(words.tail.table, "word"))
+    begin = docs.sparkSession.sparkContext.broadcast((words, net.flat(), words.tail.whole))
+
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        known, flat, bucket_sizes = begin.value
+        whole = rows.column("row").combine_chunks()
+        shares = Shares(found.column("word").to_pylist(), found.column("n").to_numpy(), known, bucket_sizes)
+        n, lp = log_probs(whole.field(text).to_pylist(), known, WindowNetwork.of_flat(flat), shares)
+        mean = pa.array(lp / np.maximum(n, 1), pa.float64(), mask=n == 0)
+        return pa.Table.from_arrays([*whole.flatten(), pa.array(n, pa.int64()), pa.array(lp, pa.float64()), mean],
+                                    names=[*(f.name for f in whole.type), "n_tokens", "log_prob", "mean_log_prob"])
+
+    schema = StructType([*d.schema.fields, StructField("n_tokens", LongType()), StructField("log_prob", DoubleType()),
+                         StructField("mean_log_prob", DoubleType())])
+    return chunked.groupBy("chunk").cogroup(looked_up.groupBy("chunk")).applyInArrow(run, schema)
 
 
 def query(docs: DataFrame) -> DataFrame:

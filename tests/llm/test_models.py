@@ -174,6 +174,38 @@ def test_scores_of_awkward_documents(spark):
     assert lm_score.query(edge_docs(spark, [])).count() == 0
 
 
+def test_unseen_words_score_below_rare_ones_and_the_tail_sums_to_one(spark):
+    common = [f"c{i:04d}" for i in range(lm_score.WORDS)]
+    rare = [f"r{i:04d}" for i in range(1500)]
+    rows = [(i, " ".join(common)) for i in range(40)] + [(100 + i, " ".join(rare)) for i in range(30)] + [(200, "once")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words, net = lm_score.train(docs)
+    assert words.tail.table.count() == len(rare) + 1 and set(words.words) == {w.encode() for w in common}
+    shares = lm_score.Shares(*zip(*[(bytes(r.word), r.n) for r in words.tail.table.collect()]), words, words.tail.whole)
+    total, kinds = np.zeros(lm_score.HASHED), np.zeros(lm_score.HASHED)
+    for w in [*(w.encode() for w in rare), b"once"]:
+        k = lm_score.zlib.crc32(w) % lm_score.HASHED
+        total[k] += np.exp(shares[w])
+        kinds[k] += 1
+    assert np.allclose(total + (kinds + 1) * lm_score.UNSEEN / words.tail.whole, 1)
+    # a made-up word of the same hashed id
+    same = next(w for i in range(10**6) if lm_score.zlib.crc32((w := f"zz{i}").encode()) % lm_score.HASHED
+                == lm_score.zlib.crc32(b"r0007") % lm_score.HASHED)
+    got = {r.doc_id: r for r in lm_score.score(spark.createDataFrame(
+        [(1, "r0007"), (2, same), (3, "c0007"), (None, None)], "doc_id long, text string"), words, net).collect()}
+    own = lm_score.encode(["r0007"], words)[0]
+    assert np.isclose(got[1].log_prob, net.token_log_probs(own, np.array([2]))[0] + shares[b"r0007"], atol=1e-4)
+    assert np.isclose(got[1].log_prob - got[2].log_prob, np.log(30 / lm_score.UNSEEN), atol=1e-4)
+    assert (got[None].n_tokens, got[None].log_prob, got[None].mean_log_prob) == (0, 0.0, None)
+
+
+def test_training_does_not_depend_on_the_split(tables):
+    docs = tables[0].select("doc_id", "text").limit(300).persist()
+    _, one = lm_score.train(docs.repartition(2), rounds=2, replica_tokens=20_000)
+    _, two = lm_score.train(docs.repartition(7, "doc_id"), rounds=2, replica_tokens=20_000)
+    assert np.allclose(one.flat(), two.flat(), atol=1e-5)
+
+
 # --- URL filter -------------------------------------------------------------------
 URLS = ["http://A.Example.NET/en/1", "https://x.net/y", "http://net/", "http://net", "https://example.com/de/x?y#z",
         "https://sub.example.com/de", "ftp://q.org/fr/a", "http://org/fr/", "http://xorg/fr/", "nohost", None, "",
