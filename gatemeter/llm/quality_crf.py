@@ -33,7 +33,7 @@ from gatemeter.llm.common import SPACES, split_words
 from gatemeter.llm.labelled import fold, logistic_1d, training_rows
 
 PER_CLASS = 1500
-TRAIN_LINES = 80
+CELLS = 1 << 18  # lines of a padded group of chains, unless one chain alone has more
 FOLDS, HELD_OUT = 3, 1
 UPPER = bytes([*range(65, 91), *range(192, 223)])
 LOWER = bytes([*range(97, 123), *range(223, 256)])
@@ -72,8 +72,13 @@ def chains(emissions: list[np.ndarray], width: int = 256) -> Iterator[tuple[np.n
     sizes = np.array([len(e) for e in emissions])
     order = np.argsort(sizes, kind="stable")
     order = order[sizes[order] > 0]
-    for i in range(0, len(order), width):
-        at = order[i:i + width]
+    i = 0
+    while i < len(order):
+        n = min(width, len(order) - i)
+        while n > 1 and n * sizes[order[i + n - 1]] > CELLS:
+            n = (n + 1) // 2
+        at = order[i:i + n]
+        i += n
         padded = np.zeros((len(at), int(sizes[at].max())))
         for k, j in enumerate(at):
             padded[k, :sizes[j]] = emissions[j]
@@ -156,7 +161,7 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 150) -> LineField:
     labels = np.asarray(labels)
     d = OWN + 2 * NEAR
     rows = [document_lines(t) for t in texts]
-    use = [i for i, (x, _) in enumerate(rows) if 0 < len(x) <= TRAIN_LINES]
+    use = [i for i, (x, _) in enumerate(rows) if len(x)]
     if not use or labels[use].min() == labels[use].max():
         return LineField(np.zeros(d), np.ones(d), np.zeros(d + 1), np.zeros((2, 2)),
                          *logistic_1d(np.zeros(len(labels)), labels))

@@ -90,6 +90,24 @@ def test_classifiers_on_awkward_documents(spark, query, rows):
     assert query(edge_docs(spark, []), labels(spark, rows)).count() == 0
 
 
+def test_quality_field_is_fitted_on_long_documents():
+    good = ["\n".join(f"the plain line {i} of text {k} runs on quietly." for i in range(90)) for k in range(20)]
+    bad = ["\n".join(f"BUY!!! ### NOW!!! $$$ {k}" for _ in range(90)) for k in range(20)]
+    field = quality_crf.fit(good + bad, np.array([1] * 20 + [0] * 20), rounds=20)
+    assert np.abs(field.weights).sum() > 0
+    assert (field.scores(good) > 0.9).all() and (field.scores(bad) < 0.1).all()
+
+
+def test_chains_hold_every_line_once(monkeypatch):
+    monkeypatch.setattr(quality_crf, "CELLS", 40)
+    rows = [np.arange(n, dtype=float) + 1 for n in (3, 0, 90, 7, 7, 12, 1)]
+    seen = {}
+    for at, padded, sizes in quality_crf.chains(rows):
+        assert len(at) == 1 or padded.size <= 40
+        seen |= {int(j): padded[k, :sizes[k]].tolist() for k, j in enumerate(at)}
+    assert seen == {j: r.tolist() for j, r in enumerate(rows) if len(r)}
+
+
 # --- conditional random field -----------------------------------------------------
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(1)
