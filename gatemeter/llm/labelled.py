@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatemeter.llm.common import discard, written
+
 MAX_TRAIN_CHARS = 60_000
 
 
@@ -19,21 +21,23 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, train: Column,
     """At most ``per_class`` labelled texts of each class: columns text, label.
 
     A fixed pseudo-random choice by id over the rows that ``train`` (a condition
-    on ``doc_id``) allows.  Texts above ``max_chars`` are left out of the fit so
+    on ``doc_id``) allows and that ``docs`` holds.  Texts above ``max_chars`` are left out of the fit so
     that the sample's size is bounded; they are scored like any other.  Rows of
     an id with two labels count with the larger one; null labels are ignored.
     """
     ids = (labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & train)
            .groupBy("doc_id").agg(F.max(label).alias("label")))
+    texts = docs.select("doc_id", "text").where(F.length("text").between(1, max_chars))
+    there = written(texts.select("doc_id").join(ids, "doc_id").distinct())
     picked = None
     for value in (0, 1):
-        one = (ids.where(F.col("label") == value)
+        one = (there.where(F.col("label") == value)
                .orderBy(F.xxhash64(F.lit(label), "doc_id"), "doc_id").limit(per_class))
         picked = one if picked is None else picked.unionByName(one)
     # at most 2 * per_class ids of 16 bytes
-    rows = (docs.select("doc_id", "text").where(F.length("text").between(1, max_chars))
-            .join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.max("text").alias("text")))
+    rows = (texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.max("text").alias("text")))
     out = rows.select("doc_id", "text", "label").toPandas()
+    discard(there)
     return out.sort_values("doc_id", kind="stable").reset_index(drop=True)
 
 

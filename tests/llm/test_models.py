@@ -108,6 +108,16 @@ def test_chains_hold_every_line_once(monkeypatch):
     assert seen == {j: r.tolist() for j, r in enumerate(rows) if len(r)}
 
 
+def test_labelled_sample_is_taken_from_the_rows_that_are_there(spark):
+    from gatemeter.llm.labelled import training_rows
+
+    lab = labels(spark, [(i, 0, i % 2) for i in range(400)])
+    docs = spark.createDataFrame([(i, "x" * (i % 3 * 10)) for i in range(300, 400)], "doc_id long, text string")
+    rows = training_rows(docs, lab, "toxic", F.col("doc_id") >= 0, 8, max_chars=10)
+    assert rows["label"].value_counts().to_dict() == {0: 8, 1: 8}
+    assert set(rows["doc_id"]) <= {i for i in range(300, 400) if i % 3 == 1} and set(rows["text"]) == {"x" * 10}
+
+
 # --- conditional random field -----------------------------------------------------
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(1)
