@@ -74,8 +74,8 @@ def dedupe_append(batch: DataFrame, path: str, key: str | list[str], order: list
             same = [F.col(k).eqNullSafe(F.col(f"_stored_{k}")) for k in keys]
             new = firsts.join(have, same, "left_anti")
         folders = [KEY_BUCKET, *([partition_col] if partition_col else [])]
-        # one task writes a folder, so a batch adds one file to each folder it touches
-        new.repartition(*folders).write.mode("append").partitionBy(*folders).parquet(path)
+        # small folders share a task and get one file a batch; a folder with much of the batch is split over several tasks
+        new.hint("rebalance", *[F.col(c) for c in folders]).write.mode("append").partitionBy(*folders).parquet(path)
     finally:
         firsts.unpersist()
 

@@ -73,3 +73,18 @@ def test_stream_equals_batch(spark, tmp_dir):
     streamed = spark.read.parquet(table).select("request_id", "total_tokens", "est_cost_micro_usd")
     assert streamed.count() == batch.count()
     assert streamed.exceptAll(batch).count() == 0
+
+
+def test_a_hot_folder_is_written_by_several_tasks(spark, tmp_dir):
+    import glob
+
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "64k")
+    try:
+        batch = spark.range(60_000).selectExpr("uuid() AS id", "id AS at", "'2026-01-01' AS day")
+        sinks.dedupe_append(batch, f"{tmp_dir}/hot", "id", ["at"], partition_col="day", buckets=1)
+    finally:
+        spark.conf.set(size, before)
+    assert len(glob.glob(f"{tmp_dir}/hot/key_bucket=0/day=2026-01-01/*.parquet")) > 1
+    assert spark.read.parquet(f"{tmp_dir}/hot").select("id").distinct().count() == 60_000
