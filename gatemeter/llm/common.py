@@ -40,6 +40,15 @@ def words(text: Column) -> Column:
                       F.array().cast("array<string>"))
 
 
+def integer_vectors(vectors: DataFrame, scale: int, column: str = "embedding") -> DataFrame:
+    """Rows whose vector is whole (not null, no null or non-finite component), with ``v``: floor(scale * x) of each."""
+    x = F.col(column)
+    fits = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    # floor() of a double ends at the range of a long
+    return vectors.where(x.isNotNull() & fits).withColumn(
+        "v", F.transform(x, lambda c: F.floor(scale * c.cast("double")).cast("long")))
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession

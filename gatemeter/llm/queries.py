@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from gatemeter.llm import (embedding_dedup, lm_score, minhash, mixing, packing, quality_crf, quality_rules, token_count,
-                           toxicity, url_filter)
+from gatemeter.llm import (cover_codes, embedding_dedup, lm_score, minhash, mixing, packing, quality_crf, quality_rules,
+                           token_count, topk_search, toxicity, url_filter, word_runs)
 from gatemeter.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -54,12 +54,27 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.query(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_codes.query(table(spark, sf_dir, "embeddings"))
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.query(table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.query(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
     op1_embedding_near_dedup, op2_quality_rules, op3_mix_sources, op4_token_counts, op5_best_fit_packing,
-    op6_url_filter, op7_toxicity, op8_quality_classifier, op9_lm_scoring, op10_minhash_near_dedup, pipeline)}
+    op6_url_filter, op7_toxicity, op8_quality_classifier, op9_lm_scoring, op10_minhash_near_dedup, op11_vector_codes,
+    op12_exact_top_k, op13_periodic_runs, pipeline)}
 
-ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": quality_rules.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL,
+    "op11_vector_codes": cover_codes.ORACLE_SQL, "op12_exact_top_k": topk_search.ORACLE_SQL}
