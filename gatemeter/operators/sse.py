@@ -34,9 +34,12 @@ def _staged(df: DataFrame, *cols: Column | str) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*cols))))
 
 
-def stream_facts(raw: DataFrame, keys: list[str], raw_col: str = "raw") -> DataFrame:
-    """``(*keys, text, usage, input_tokens.., stop_reason, message_id,
-    tool_names, completed)`` of every stream, also of one without a valid event."""
+def event_facts(raw: DataFrame, keys: list[str], raw_col: str = "raw") -> DataFrame:
+    """``(*keys, text, usage, stop_reason, started, message_id, tool_names, completed)`` of every text of whole lines.
+
+    ``started`` tells whether a ``message_start`` was seen, whatever its id; the
+    facts of a stream read in parts merge part by part.
+    """
     lines = F.filter(F.split(F.col(raw_col), "\n"), lambda x: x.startswith(DATA_PREFIX))
     parsed = F.filter(F.transform(lines, lambda x: F.try_parse_json(
         F.substring(x, len(DATA_PREFIX) + 1, 1 << 30))), lambda v: v.isNotNull())
@@ -57,18 +60,23 @@ def stream_facts(raw: DataFrame, keys: list[str], raw_col: str = "raw") -> DataF
         some(lambda e: F.coalesce(F.size(usage_of(e)) > 0, F.lit(False)), usage_of).alias("_usages"),
         F.get(some(lambda e: (e["type"] == "message_delta") & (e["delta"]["stop_reason"] != ""),
                    lambda e: e["delta"]["stop_reason"]), F.lit(0)).alias("stop_reason"),
+        F.coalesce(F.exists("_ev", lambda e: e["type"] == "message_start"), F.lit(False)).alias("started"),
         F.get(some(lambda e: e["type"] == "message_start", lambda e: e["message"]["id"]), F.lit(0)).alias("message_id"),
         some(lambda e: (e["type"] == "content_block_start") & (e["content_block"]["type"] == "tool_use"),
              lambda e: F.coalesce(e["content_block"]["name"], F.lit(""))).alias("tool_names"),
         F.coalesce(F.exists("_ev", lambda e: e["type"] == "message_stop"), F.lit(False)).alias("completed"))
-    d = _staged(d, *keys, "text", merge_usage(F.col("_usages")).alias("usage"), "stop_reason", "message_id",
-                "tool_names", "completed")
+    return _staged(d, *keys, "text", merge_usage(F.col("_usages")).alias("usage"), "stop_reason", "started",
+                   "message_id", "tool_names", "completed")
+
+
+def with_usage_columns(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """The merged usage object of :func:`event_facts` as typed columns next to it."""
     usage = F.col("usage")
 
     def nested(key: str, path: str) -> Column:
         return F.try_variant_get(F.try_parse_json(F.element_at(usage, F.lit(key))), path, "bigint")
 
-    return d.select(
+    return facts.select(
         *keys, "text", "usage",
         *[F.element_at(usage, F.lit(k)).cast("long").alias(k) for k in USAGE_KEYS],
         nested("cache_creation", "$.ephemeral_5m_input_tokens").alias("cache_creation_5m"),
@@ -77,6 +85,12 @@ def stream_facts(raw: DataFrame, keys: list[str], raw_col: str = "raw") -> DataF
         "stop_reason", "message_id", "tool_names", "completed")
 
 
+def stream_facts(raw: DataFrame, keys: list[str], raw_col: str = "raw") -> DataFrame:
+    """``(*keys, text, usage, input_tokens.., stop_reason, message_id,
+    tool_names, completed)`` of every stream, also of one without a valid event."""
+    return with_usage_columns(event_facts(raw, keys, raw_col), keys)
+
+
 def facts_from_raw(raw: DataFrame, keys: list[str], raw_col: str = "raw") -> DataFrame:
     """SRC-4 + A-11..A-16 from whole captured streams ``(*keys, raw)``."""
     return stream_facts(raw, keys, raw_col)
@@ -85,6 +99,16 @@ def facts_from_raw(raw: DataFrame, keys: list[str], raw_col: str = "raw") -> Dat
 TEXT_MARKER = "text_delta"
 
 
+def joined_bytes(chunks: Column) -> Column:
+    """One binary from an array of them; the hex join is linear, a fold of binary concats is quadratic."""
+    return F.unhex(F.array_join(F.transform(chunks, F.hex), ""))
+
+
+def utf8_text(data: Column) -> Column:
+    """Bytes as text, malformed ones replaced like Python's ``errors="replace"``."""
+    return F.make_valid_utf8(data.cast("string"))
+
+
 def assemble_chunks(chunks: DataFrame, keys: list[str], seq: str = "seq", chunk: str = "chunk",
                     arrival: str = "arrival_ts", start: str = "start_ts") -> DataFrame:
     """ST-8 (batch) + W-3: captured reads ``(*keys, seq, chunk, arrival, start)``
@@ -106,7 +130,7 @@ def assemble_chunks(chunks: DataFrame, keys: list[str], seq: str = "seq", chunk:
         .alias("_c"),
         F.min(start).alias("_start"), F.max(arrival).alias("_last"))
     # hex-join is linear in the stream size (a fold of binary concats is quadratic)
-    raw = F.decode(F.unhex(F.array_join(F.transform("_c", lambda x: F.hex(x["c"])), "")), "UTF-8")
+    raw = utf8_text(joined_bytes(F.transform("_c", lambda x: x["c"])))
     g = g.select(F.inline(F.array(F.struct(*[F.col(k) for k in keys], "_c", "_start", "_last",
                                            raw.alias("raw")))))
     pos = F.instr(F.col("raw"), TEXT_MARKER)

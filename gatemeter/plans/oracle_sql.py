@@ -584,6 +584,9 @@ SELECT conv_id, turn, coalesce(text, '') AS text,
 FROM conversations WHERE role = 'assistant'
 """
 
+# live reads are 64 bytes long
+ORACLES["stream_assembly"] = ORACLES["sse_chunk_facts"].replace("// 7", "// 64")
+
 # Python's str.strip() whitespace, as SQL (a fixed character set).
 _PY_WS_CODES = (list(range(0x09, 0x0E)) + list(range(0x1C, 0x21)) + [0x85, 0xA0, 0x1680]
                 + list(range(0x2000, 0x200B)) + [0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
@@ -760,6 +763,8 @@ SELECT concat('conv_', CAST(conv_id AS VARCHAR), '_', CAST(turn AS VARCHAR)) AS
 FROM conversations WHERE role = 'assistant'
 """
 
+ORACLES["live_fact_rows"] = ORACLES["stream_fact_rows"].replace("- 1) // 7)", "- 1) // 64)")
+
 _TOOL = "CASE WHEN conv_id % 2 = 0 THEN CASE (conv_id + turn) % 3 WHEN 0 THEN 'Read' WHEN 1 THEN 'Bash' ELSE 'Grep' END ELSE '' END"
 ORACLES["response_fact_rows"] = f"""
 WITH {_SEARCH_MD},

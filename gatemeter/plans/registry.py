@@ -22,7 +22,7 @@ from gatemeter.plans import reports
 from gatemeter.sources import bridges
 from gatemeter.sources import request_log as request_log_mod
 from gatemeter.sources import sinks
-from gatemeter.streaming import ingest
+from gatemeter.streaming import assembly, ingest
 from gatemeter.sources.tables import read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -556,6 +556,89 @@ def q_responses_to_chat(spark, d):
                     "completed")
 
 
+# --- streams assembled while they arrive (ST-8, ST-9) ------------------------------------
+STREAM_KEYS = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType())])
+LIVE_SLICES = 4
+LIVE_IDLE_S = 60.0
+
+
+def _land_live_reads(spark, d, name):
+    """Land live reads in slices of arrival time, two files each; every slice repeats a fifth of the one before."""
+    reads = bridges.live_reads(conversations(spark, d)).persist()
+    path = sinks.new_table_path(spark, f"{name}-reads")
+    first, last = reads.agg(F.unix_micros(F.min("arrival_ts")), F.unix_micros(F.max("arrival_ts"))).first()
+    width = ((last or 0) - (first or 0)) // LIVE_SLICES + 1
+    part = F.floor((F.unix_micros("arrival_ts") - F.lit(first or 0)) / width)
+    for i in range(LIVE_SLICES):
+        again = (part == i - 1) & (F.col("seq") % 5 == 0)
+        (reads.where((part == i) | again).repartition(2, F.xxhash64("conv_id", "turn", "seq"))
+         .write.mode("append").parquet(path))
+    reads.unpersist()
+    return path
+
+
+def _read_stream(spark, path):
+    return (spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", "3").parquet(path))
+
+
+@query("stream_assembly")
+def q_stream_assembly(spark, d):
+    """ST-8: facts of streams whose reads arrive over several micro-batches, out of order and repeated."""
+    reads = _land_live_reads(spark, d, "stream_assembly")
+    place = sinks.new_table_path(spark, "stream_assembly")
+    store = assembly.StreamStore(spark, f"{place}/store", STREAM_KEYS)
+    facts = f"{place}/facts"
+    ingest.run_to_end(assembly.assemble_stream(_read_stream(spark, reads), store, facts, f"{place}/ckpt", LIVE_IDLE_S))
+    assembly.close_open_streams(store, assembly.facts_folder(facts, "batch=closing"))
+    return spark.read.parquet(facts).select(
+        "conv_id", "turn", "text", "message_id", "stop_reason", "completed", "ttft_ms")
+
+
+def _stream_calls(facts):
+    """Call records of streams: the call row of the gateway with the stream's facts on it."""
+    return facts.select(
+        F.concat(F.lit("conv_"), F.col("conv_id").cast("string"), F.lit("_"),
+                 F.col("turn").cast("string")).alias("request_id"),
+        F.col("start").alias("ts"), F.lit(None).cast("string").alias("user_id_raw"),
+        F.lit("claude-sonnet-4-6").alias("requested_model"), F.lit("native").alias("route"),
+        F.lit(None).cast("string").alias("beta_requested"),
+        "input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens",
+        "cache_creation_5m", "cache_creation_1h", "web_search_requests",
+        F.lit(True).alias("stream"), F.lit(200).alias("status"), "elapsed_ms", "ttft_ms",
+        "stop_reason", "completed", F.col("message_id").alias("response_message_id"),
+        F.col("tool_names").alias("response_tool_names"))
+
+
+def _stream_fact_columns(fact):
+    return fact.select("request_id", "upstream_model", "input_tokens", "output_tokens", "total_tokens",
+                       "est_cost_micro_usd", "stop_reason", "completed", "response_message_id",
+                       F.array_join("response_tool_names", ",").alias("response_tool_names"), "ttft_ms",
+                       "cache_creation_5m", "cache_creation_1h", "web_search_requests")
+
+
+@query("live_fact_rows")
+def q_live_fact_rows(spark, d):
+    """ST-9: one fact row per stream as it ends; streams that never end are closed when idle, with
+    ``completed`` false, and their stragglers add no second row."""
+    reads = _land_live_reads(spark, d, "live_fact_rows")
+    place = sinks.new_table_path(spark, "live_fact_rows")
+    store = assembly.StreamStore(spark, f"{place}/store", STREAM_KEYS)
+    to_rows = lambda facts: build_telemetry(_stream_calls(facts)).withColumn("day", F.to_date("ts"))
+    run = lambda: ingest.run_to_end(assembly.live_facts(
+        _read_stream(spark, reads), store, f"{place}/facts", f"{place}/ckpt", to_rows, LIVE_IDLE_S))
+    run()
+    assembly.close_open_streams(store, assembly.fact_table(f"{place}/facts", to_rows))
+    # stragglers of the streams that never ended: one more read of each, after it was closed
+    landed = spark.read.parquet(reads)
+    late = (landed.where((F.col("conv_id") + F.col("turn")) % 11 == 0).groupBy("conv_id", "turn", "start_ts")
+            .agg((F.max("seq") + 1).alias("seq"), (F.max("arrival_ts") + F.expr("interval 1 hour")).alias("arrival_ts"))
+            .withColumn("chunk", F.lit(b'data: {"type": "message_stop"}\n')))
+    late.select(*landed.columns).coalesce(1).write.mode("append").parquet(reads)
+    run()
+    assembly.close_open_streams(store, assembly.fact_table(f"{place}/facts", to_rows))
+    return _stream_fact_columns(spark.read.parquet(f"{place}/facts"))
+
+
 # --- stream facts folded on the call row (A-20, ST-9 as batch) --------------------------
 @query("stream_fact_rows")
 def q_stream_fact_rows(spark, d):
@@ -566,22 +649,7 @@ def q_stream_fact_rows(spark, d):
     f = sse.facts_from_chunks(bridges.sse_chunks(conversations(spark, d)), keys)
     start = F.timestamp_seconds(F.lit(bridges.STREAM_EPOCH_S) + F.col("conv_id") * 3600
                                 + F.col("turn") * 60)
-    calls = f.select(
-        F.concat(F.lit("conv_"), F.col("conv_id").cast("string"), F.lit("_"),
-                 F.col("turn").cast("string")).alias("request_id"),
-        start.alias("ts"), F.lit(None).cast("string").alias("user_id_raw"),
-        F.lit("claude-sonnet-4-6").alias("requested_model"), F.lit("native").alias("route"),
-        F.lit(None).cast("string").alias("beta_requested"),
-        "input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens",
-        "cache_creation_5m", "cache_creation_1h", "web_search_requests",
-        F.lit(True).alias("stream"), F.lit(200).alias("status"), "elapsed_ms", "ttft_ms",
-        "stop_reason", "completed", F.col("message_id").alias("response_message_id"),
-        F.col("tool_names").alias("response_tool_names"))
-    t = build_telemetry(calls)
-    return t.select("request_id", "upstream_model", "input_tokens", "output_tokens", "total_tokens",
-                    "est_cost_micro_usd", "stop_reason", "completed", "response_message_id",
-                    F.array_join("response_tool_names", ",").alias("response_tool_names"), "ttft_ms",
-                    "cache_creation_5m", "cache_creation_1h", "web_search_requests")
+    return _stream_fact_columns(build_telemetry(_stream_calls(f.withColumn("start", start))))
 
 
 # --- fact rows of every route (A-17, A-20, U-2, P-14, P-19, P-24) -----------------------

@@ -502,6 +502,26 @@ def sse_chunks(conversations: DataFrame, chunk_bytes: int = SSE_CHUNK_BYTES) ->
         F.substring("_b", F.col("seq") * chunk_bytes + 1, F.lit(chunk_bytes)).alias("chunk"))
 
 
+LIVE_CHUNK_BYTES = 64
+
+
+def live_reads(conversations: DataFrame, chunk_bytes: int = LIVE_CHUNK_BYTES) -> DataFrame:
+    """B5 as live traffic: the same reads, ``chunk_bytes`` long, of streams that
+    all start within a minute (second ``(7 conv_id + 3 turn) % 60``).  A whole
+    stream ends with an empty read, 20 ms after its last; those without
+    ``message_stop`` never end."""
+    reads = sse_chunks(conversations, chunk_bytes)
+    start = F.timestamp_seconds(F.lit(STREAM_EPOCH_S) + (7 * F.col("conv_id") + 3 * F.col("turn")) % 60)
+    at = lambda seq: F.timestamp_micros(F.unix_micros(start) + (F.lit(100) + seq * 20) * 1000)
+    data = reads.select("conv_id", "turn", F.col("seq").cast("long").alias("seq"), start.alias("start_ts"),
+                        at(F.col("seq")).alias("arrival_ts"), "chunk")
+    ends = (reads.where((F.col("conv_id") + F.col("turn")) % 11 != 0).groupBy("conv_id", "turn")
+            .agg((F.max("seq") + 1).cast("long").alias("seq"))
+            .select("conv_id", "turn", "seq", start.alias("start_ts"), at(F.col("seq")).alias("arrival_ts"),
+                    F.lit(b"").alias("chunk")))
+    return data.unionByName(ends)
+
+
 PAGES_PER_SEARCH = 5
 
 

@@ -8,13 +8,14 @@ Parquet has no primary key and this install has no table format with
    It aggregates partially before the shuffle, so a key that holds a third
    of the batch is reduced on every map task instead of landing whole in one
    reducer (a ``row_number`` window would sort all of it in one task);
-2. a ``left_anti`` join against the keys already stored.  The key alone
-   decides, whatever day a row carries, and null keys count as equal.
-
-The table is partitioned by a hash bucket of the key, so the join reads the
-key column of the batch's buckets only, and one table holds rows and keys:
-there is no second file to fall out of step with it after a crash.  Replaying
-a batch after a failure appends nothing the first run already committed.
+2. a ``left_anti`` join against the stored keys that the batch's could equal,
+   which :class:`gatemeter.sources.key_index.KeyIndex` finds without reading
+   those of the whole table.  The key alone decides, whatever day a row carries,
+   and null keys count as equal.
+
+The table's files hold rows and keys, and the index is derived from them: there
+is no second file to fall out of step with it after a crash.  Replaying a batch
+after a failure appends nothing the first run already committed.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ import os
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-KEY_BUCKET = "key_bucket"
-KEY_BUCKETS = 8
+from gatemeter.sources.key_index import KeyIndex
 
 
 def first_per_key(batch: DataFrame, key: str | list[str], order: list[str]) -> DataFrame:
@@ -49,35 +50,33 @@ def read_if_exists(spark: SparkSession, path: str, merge_schema: bool = True) ->
 
 
 def dedupe_append(batch: DataFrame, path: str, key: str | list[str], order: list[str],
-                  partition_col: str | None = None, buckets: int = KEY_BUCKETS) -> None:
+                  partition_col: str | None = None, index: KeyIndex | None = None) -> None:
     """SNK-1: append the batch's new keys to the parquet table at ``path``.
 
     Within the batch the first row per key by ``order`` wins; a key already
-    stored keeps its stored row.  The table's folders are ``key_bucket`` and
-    then ``partition_col`` (e.g. the day); ``buckets`` must stay the same for
-    the life of a table.  Every batch column, the ``order`` columns included,
-    is written.  The batch is evaluated once.
+    stored keeps its stored row.  ``partition_col`` (e.g. the day) names the
+    table's folders.  Every batch column, the ``order`` columns included, is
+    written.  The batch is evaluated once.  ``index`` sets other limits than the
+    default ones for the table's key index.
     """
-    spark = batch.sparkSession
     keys = [key] if isinstance(key, str) else list(key)
-    bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).cast("int")
-    firsts = first_per_key(batch, keys, order).withColumn(KEY_BUCKET, bucket).persist()
+    index = index or KeyIndex(batch.sparkSession, path, T.StructType([batch.schema[k] for k in keys]))
+    firsts = first_per_key(batch, keys, order).persist()
     try:
         new = firsts
-        # only the key columns are read, so no schema merge: merging would open
-        # every file footer of the table on every batch
-        stored = read_if_exists(spark, path, merge_schema=False)
-        if stored is not None:
-            present = [r[0] for r in firsts.select(KEY_BUCKET).distinct().collect()]  # at most `buckets` values
-            have = stored.where(F.col(KEY_BUCKET).isin(present)).select(
-                *[F.col(k).alias(f"_stored_{k}") for k in keys])
-            same = [F.col(k).eqNullSafe(F.col(f"_stored_{k}")) for k in keys]
-            new = firsts.join(have, same, "left_anti")
-        folders = [KEY_BUCKET, *([partition_col] if partition_col else [])]
-        # small folders share a task and get one file a batch; a folder with much of the batch is split over several tasks
-        new.hint("rebalance", *[F.col(c) for c in folders]).write.mode("append").partitionBy(*folders).parquet(path)
+        have = index.stored(firsts)
+        if have is not None:
+            have = have.select(*[F.col(k).alias(f"_stored_{k}") for k in keys])
+            new = firsts.join(have, [F.col(k).eqNullSafe(F.col(f"_stored_{k}")) for k in keys], "left_anti")
+        if partition_col:
+            # small folders share a task and get one file a batch; a folder with much of the batch is split over several
+            new.hint("rebalance", F.col(partition_col)).write.mode("append").partitionBy(partition_col).parquet(path)
+        else:
+            new.hint("rebalance").write.mode("append").parquet(path)
     finally:
         firsts.unpersist()
+    if index.due():
+        index.compact()
 
 
 def missing_columns(stored: DataFrame, incoming: DataFrame) -> list[str]:

@@ -35,12 +35,13 @@ from gatemeter.operators.telemetry import build_telemetry
 from gatemeter.sources import sinks
 
 
-def _trigger(writer, trigger: str | None):
+def start(writer, trigger: str | None) -> StreamingQuery:
+    """Start a stream writer: ``availableNow`` (default), ``flush`` (the gateway's interval, ST-1) or an interval."""
     if trigger is None or trigger == "availableNow":
-        return writer.trigger(availableNow=True)
-    if trigger == "flush":  # ST-1: the gateway's flush interval
+        return writer.trigger(availableNow=True).start()
+    if trigger == "flush":
         trigger = f"{fixed.FLUSH_INTERVAL_S:g} seconds"
-    return writer.trigger(processingTime=trigger)
+    return writer.trigger(processingTime=trigger).start()
 
 
 class TitleCache:
@@ -106,7 +107,7 @@ def ingest_calls(calls: DataFrame, table_path: str, checkpoint: str,
 
     w = (calls.writeStream.foreachBatch(write_batch)
          .option("checkpointLocation", checkpoint))
-    return _trigger(w, trigger).start()
+    return start(w, trigger)
 
 
 def daily_spend(spark: SparkSession, table_path: str) -> DataFrame:

@@ -32,6 +32,43 @@ def test_dedupe_append_is_replay_safe(spark, tmp_dir):
     assert got == {"r1": "A", "r2": "A", "r3": "B2"}
 
 
+def test_key_lookup_reads_buckets_not_the_table(spark, tmp_dir):
+    """The bytes a batch reads for its lookup stay flat while the table grows."""
+    from pyspark.sql import types as T
+
+    from gatemeter.sources.key_index import KeyIndex
+
+    path = os.path.join(tmp_dir, "t")
+    keys = T.StructType([T.StructField("id", T.LongType())])
+    index = KeyIndex(spark, path, keys, bucket_keys=500, max_files=3)
+    read = []
+    for i in range(8):
+        ids = spark.range(i * 2000, (i + 1) * 2000)
+        if i:  # every batch repeats keys of all earlier ones, and one key twice
+            ids = ids.unionByName(spark.range(0, i * 2000, 997)).unionByName(spark.range(i * 2000, i * 2000 + 1))
+        batch = ids.selectExpr("id", "id AS at", f"'b{i}' AS batch", "concat('d', id % 2) AS day").coalesce(1)
+        few = batch.where("id % 997 = 0")
+        have = index.stored(few)
+        if have is not None:
+            read.append(have.count())
+            want = {r.id for r in few.collect() if r.id < i * 2000}
+            assert want <= {r.id for r in have.collect()}
+        sinks.dedupe_append(batch, path, "id", ["at"], partition_col="day", index=index)
+        assert len(index.files()) - len(index._state()[2]) >= 0 and len(index._state()[2]) < 3
+    stored = spark.read.parquet(path)
+    assert stored.count() == stored.select("id").distinct().count() == 16_000
+    assert {r.n for r in stored.groupBy("batch").agg(F.count("*").alias("n")).collect()} == {2000}
+    assert index._state()[1] >= 16 and len(index.generations()) <= 2
+    # a few keys touch a few buckets of about 500 keys and the young files, however many keys are stored
+    one = spark.range(5, 6).selectExpr("id")
+    assert index.stored(one).count() <= 2 * 2000 + 1500
+    # an index that was lost is built again from the table
+    other = KeyIndex(spark, path, keys, bucket_keys=100, max_files=1)
+    fs, root = other._fs()
+    fs.delete(root, True)
+    assert index.stored(one).where("id = 5").count() == 1 and index.due()
+
+
 def test_append_evolving_adds_columns(spark, tmp_dir):
     path = os.path.join(tmp_dir, "t")
     sinks.append_evolving(spark.createDataFrame([("r1", 1)], "request_id string, a int"), path)
@@ -83,8 +120,8 @@ def test_a_hot_folder_is_written_by_several_tasks(spark, tmp_dir):
     spark.conf.set(size, "64k")
     try:
         batch = spark.range(60_000).selectExpr("uuid() AS id", "id AS at", "'2026-01-01' AS day")
-        sinks.dedupe_append(batch, f"{tmp_dir}/hot", "id", ["at"], partition_col="day", buckets=1)
+        sinks.dedupe_append(batch, f"{tmp_dir}/hot", "id", ["at"], partition_col="day")
     finally:
         spark.conf.set(size, before)
-    assert len(glob.glob(f"{tmp_dir}/hot/key_bucket=0/day=2026-01-01/*.parquet")) > 1
+    assert len(glob.glob(f"{tmp_dir}/hot/day=2026-01-01/*.parquet")) > 1
     assert spark.read.parquet(f"{tmp_dir}/hot").select("id").distinct().count() == 60_000
