@@ -7,12 +7,15 @@ normalised to 1 for equal strings.
 
 A text is read as units: blank-separated words, lower-cased, usual digit
 spellings folded, punctuation dropped, a mark put at either end, runs of single
-letters joined; longer ones are read in overlapping windows.
+letters, and of words of at most two letters, joined across their blanks within
+a sentence; longer ones are read in overlapping windows, all of them.
 
 Fitting (numpy, on a bounded sample of labelled documents): sentences of toxic
 documents are represented by their witnesses, the units with the word starts
 most specific to toxic documents; sentences of clean documents are negatives,
-and the clean units that score highest are added for another fit.  Units are
+and the clean units that score highest are added for another fit.  A long
+witness counts with all its windows at first, then with its best one; a clean
+unit always counts with all.  Units are
 mapped by the Nystroem method onto landmarks, a squared-hinge linear machine is
 fitted there, and because kernel and machine are linear in triples, the fitted
 machine folds into one weight per triple.  A text is described by its largest
@@ -20,12 +23,15 @@ unit margins and by how many are positive; a logistic curve over these, fitted
 on documents that its machine has not seen, gives the score.
 
 Edge cases: null, empty and blank texts, and texts of units under three letters,
-score as no unit at all (near 0); repeated rows score alike; labels of one class
-only give a constant score; extra columns are ignored.
+score as no unit at all (near 0); very long texts are read whole, in chunks with
+their neighbours of at most about ``CHUNK_CHARS`` characters; repeated rows score
+alike; labels of one class only, and no labels, give a constant score; an empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,7 +52,9 @@ STEP = 10
 SYMBOLS = 64
 START, END = "^", "$"
 FLOOR = -3.0
-MEMO_ENTRIES = 400_000
+MEMO_CHARS = 3_000_000
+CHUNK_CHARS = 1_000_000
+ENDS = tuple(".!?;:")
 SPELLED = str.maketrans("013457@$!", "oieastasi")
 AROUND = "!?.,;:'\"()[]{}<>|*%&#-_…"
 CODES = {c: i + 2 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")} | {START: 0, END: 1}
@@ -64,21 +72,34 @@ def unit(word: str) -> str:
 
 
 def units(text: str | None) -> list[str]:
-    """Words of a text; runs of single-letter words are joined into one more."""
+    """Words of a text; runs of single letters, and of words of one or two, are joined into one more each."""
     words = text.split() if text else []
-    if not any(len(w) == 1 for w in words):
+    if not any(len(w) <= 2 for w in words):
         return words
-    out, run = [], ""
+    out, letters, pieces = [], [], []
+
+    def close(run: list[str], least: int) -> None:
+        joined = "".join(run)
+        if len(run) >= 2 and len(joined) >= least:
+            out.append(joined)
+        run.clear()
+
     for w in words:
-        if len(w) <= 2 and len(u := unit(w)) == 1:
-            run += u
-            continue
-        if len(run) > 2:
-            out.append(run)
-        run = ""
-        out.append(w)
-    if len(run) > 2:
-        out.append(run)
+        short = unit(w) if len(w) <= 3 else ""
+        single = len(w) <= 2 and len(short) == 1
+        if single:
+            letters.append(short)
+        else:
+            close(letters, 3)
+            out.append(w)
+        if 1 <= len(short) <= 2:
+            # a run of single letters only is the other kind
+            pieces.append(short)
+        if not 1 <= len(short) <= 2 or w.endswith(ENDS):
+            close(pieces if any(len(x) > 1 for x in pieces) else [], 4)
+            pieces.clear()
+    close(letters, 3)
+    close(pieces if any(len(x) > 1 for x in pieces) else [], 4)
     return out
 
 
@@ -140,6 +161,46 @@ def kernel(a: list[str], b: list[str]) -> np.ndarray:
     return out.astype(float)
 
 
+class Memo(dict):
+    """Margins of words seen, emptied before their letters pass ``MEMO_CHARS``."""
+
+    chars = 0
+
+    def lacking(self, words: set[str]) -> list[str]:
+        """Those of the words without an entry; all of them when the memo had to be emptied."""
+        new = list(words.difference(self))
+        if self.chars + sum(map(len, new)) > MEMO_CHARS:
+            self.clear()
+            self.chars = 0
+            new = list(words)
+        self.chars += sum(map(len, new))
+        return new
+
+
+# one memo per worker, for the machine it serves
+_MEMOS: dict[bytes, Memo] = {}
+
+
+def _memo(machine: "Machine") -> Memo:
+    key = hashlib.blake2b(machine.weights.tobytes() + np.float64(machine.offset).tobytes()).digest()
+    if key not in _MEMOS:
+        _MEMOS.clear()
+        _MEMOS[key] = Memo()
+    return _MEMOS[key]
+
+
+def chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of together about ``CHUNK_CHARS`` characters."""
+    begin = total = 0
+    for i, t in enumerate(texts):
+        total += len(t or "")
+        if total >= CHUNK_CHARS:
+            yield begin, i + 1
+            begin, total = i + 1, 0
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
 @dataclass
 class Machine:
     """Weight per triple and offset; curve over a text's features."""
@@ -148,7 +209,6 @@ class Machine:
     offset: float
     curve: np.ndarray | None = None
     level: float = -6.0
-    memo: dict[str, float] | None = None
 
     def margins(self, strings: list[str]) -> np.ndarray:
         out = np.full(len(strings), FLOOR)
@@ -156,29 +216,27 @@ class Machine:
             out[at] = np.maximum((self.weights[codes] * values).sum(1) + self.offset, FLOOR)
         return out
 
+    def best_margins(self, words: list[str]) -> list[float]:
+        """The largest margin of each word's windows."""
+        parts = [windows(unit(w)) for w in words]
+        got = self.margins([p for ps in parts for p in ps])
+        ends = np.cumsum([len(ps) for ps in parts])
+        return [float(got[e - len(ps):e].max()) if ps else FLOOR for e, ps in zip(ends, parts)]
+
     def features(self, texts: list[str | None]) -> np.ndarray:
         """Per text: the largest, second and third margin of its distinct units, positive ones, and their share."""
-        if self.memo is None:
-            self.memo = {}
-        memo = self.memo
-        split = [units(t) for t in texts]
-        new = list({w for ws in split for w in ws if w not in memo})
-        if len(memo) + len(new) > MEMO_ENTRIES:
-            memo.clear()
-            new = list({w for ws in split for w in ws})
-        parts = [windows(unit(w)) for w in new]
-        got = self.margins([p for ps in parts for p in ps])
-        i = 0
-        for w, ps in zip(new, parts):
-            memo[w] = float(got[i:i + len(ps)].max()) if ps else FLOOR
-            i += len(ps)
-        out = np.empty((len(split), 5))
-        for k, ws in enumerate(map(set, split)):
-            m = np.array([FLOOR] * 3 + list(map(memo.__getitem__, ws)))
-            top = np.partition(m, len(m) - 3)[-3:]
-            top.sort()
-            hits = float((m > 0).sum())
-            out[k] = (*top[::-1], np.log1p(hits), np.log1p(100 * hits / (len(ws) + 20)))
+        memo = _memo(self)
+        out = np.empty((len(texts), 5))
+        for begin, end in chunks(texts):
+            split = [set(units(t)) for t in texts[begin:end]]
+            new = memo.lacking(set().union(*split))
+            memo.update(zip(new, self.best_margins(new)))
+            for k, ws in enumerate(split, begin):
+                m = np.array([FLOOR] * 3 + list(map(memo.__getitem__, ws)))
+                top = np.partition(m, len(m) - 3)[-3:]
+                top.sort()
+                hits = float((m > 0).sum())
+                out[k] = (*top[::-1], np.log1p(hits), np.log1p(100 * hits / (len(ws) + 20)))
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -240,35 +298,41 @@ def fit_machine(sets: list[set[str]], labels: np.ndarray, landmarks: int, negati
     clean = [u for u, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))]
     if not found or not clean:
         return None
-    positive = [u for u, _ in found.most_common(2000)]
+    witness = [u for u, _ in found.most_common(2000)]
     rng = np.random.default_rng(seed)
     # half the negatives are the most frequent clean units, half any
     negative = clean[:negatives // 2]
     rest = [clean[i] for i in rng.permutation(len(clean)) if i >= len(negative)]
     negative += rest[:negatives // 2]
     some = clean[:negatives // 2] + rest[:40_000]
-    marks = positive[:landmarks] + negative[:landmarks // 2] + negative[-(landmarks // 2):]
-    share = np.sqrt([float(found[u]) for u in positive])
-    cut = lambda us: [windows(u)[0] for u in us]
-    for round_ in range(2):
-        values, vectors = np.linalg.eigh(kernel(cut(marks), cut(marks)))
+    chosen = negative[:landmarks // 2] + negative[-(landmarks // 2):]
+    positive = {u: windows(u) for u in witness}
+    machine = None
+    for _ in range(2):
+        if machine is not None:
+            # every witness by its best window, and the clean units that score highest
+            for u, ps in positive.items():
+                positive[u] = [ps[int(np.argmax(machine.margins(ps)))]]
+            hard = np.array(machine.best_margins(some))
+            worst = [some[i] for i in np.argsort(-hard, kind="stable")[:600]]
+            negative = list(dict.fromkeys(negative + worst))
+            chosen = list(dict.fromkeys(chosen + worst[:landmarks // 2]))
+        marks = [p for u in witness[:landmarks] for p in positive[u]] + [p for u in chosen for p in windows(u)]
+        marks = list(dict.fromkeys(marks))
+        good_parts = [(p, found[u] / len(ps)) for u, ps in positive.items() for p in ps]
+        bad_parts = [(p, common[u]) for u in negative for p in windows(u)]
+        values, vectors = np.linalg.eigh(kernel(marks, marks))
         good = values > 1e-6
         root = vectors[:, good] / np.sqrt(values[good])
-        x = kernel(cut(positive + negative), cut(marks)) @ root
-        y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-        held = np.sqrt([float(common[u]) for u in negative])
-        w = np.concatenate([share / share.sum(), held / held.sum()])
-        b = squared_hinge(x, y, w * len(y) / 2)
+        x = kernel([p for p, _ in good_parts + bad_parts], marks) @ root
+        y = np.array([1.0] * len(good_parts) + [-1.0] * len(bad_parts))
+        share, held = (np.sqrt([float(n) for _, n in parts]) for parts in (good_parts, bad_parts))
+        b = squared_hinge(x, y, np.concatenate([share / share.sum(), held / held.sum()]) * len(y) / 2)
         folded = np.zeros(SYMBOLS ** 3)
         alpha = root @ b[:-1]
-        for at, codes, decays in by_length(cut(marks)):
+        for at, codes, decays in by_length(marks):
             np.add.at(folded, codes, alpha[at, None] * decays)
         machine = Machine(folded.astype(np.float32), float(b[-1]))
-        if round_ == 0:
-            hard = machine.margins(cut(some))
-            worst = [some[i] for i in np.argsort(-hard, kind="stable")[:600]]
-            negative = list(dict.fromkeys(negative + worst))
-            marks = list(dict.fromkeys(marks + worst[:landmarks // 2]))
     return machine
 
 
