@@ -23,7 +23,8 @@ With 24 bands of 4 a pair at similarity 0.8 shares no bucket with probability
 Edge cases: null, empty and blank texts have no shingle and link with nothing;
 a text of fewer words than a shingle is one shingle; repeated rows are one
 class; a row without doc_id takes its class's component (null when no row of
-the component has an id), and is kept only in that last case; an empty table
+the component has an id), and is kept only in that last case; texts that only
+occur without an id link like others; very long texts are read whole; an empty table
 gives an empty result; extra columns are ignored by :func:`groups` and kept by
 :func:`keep_one`.
 """
@@ -34,6 +35,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,7 +124,7 @@ def sketch_rows(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([
                         ids.slice(start, len(held)),
                         pa.array([len(s) for s in held], pa.int64()),
-                        pa.array([hashlib.blake2b(s, digest_size=16).hexdigest() if k else None
+                        pa.array([_digest(s) if k else None
                                   for s, k in zip(held, some)], pa.string()),
                         pa.array([r if k else None for r, k in zip(sig, some)], pa.list_(pa.int32())),
                     ], names=["doc_id", "n_shingles", "digest", "sketch"])
@@ -141,7 +143,7 @@ def set_rows(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             for node, digest, t in zip(batch.column("node").to_pylist(), batch.column("digest").to_pylist(),
                                        batch.column("text").to_pylist()):
                 s = shingle_set(t, shingle)
-                if hashlib.blake2b(s, digest_size=16).hexdigest() == digest:
+                if _digest(s) == digest:
                     nodes.append(node)
                     sets.append(s.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
@@ -150,6 +152,27 @@ def set_rows(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return texts.select("node", "digest", "text").mapInArrow(run, "node long, hashes array<bigint>")
 
 
+def nameless_sets(texts: DataFrame, near: DataFrame, shingle: int) -> DataFrame:
+    """(node, hashes) of the classes ``near`` (node, digest) whose texts only occur without an id."""
+    found = texts.select("text", digest_column(F.col("text"), shingle).alias("digest"))
+    return set_rows(found.join(near.select("node", "digest"), "digest"), shingle)
+
+
+def digest_column(text: Column, shingle: int) -> Column:
+    """Digest of a text's shingle set, as in :func:`sketch_rows`."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        sets = (shingle_set(t, shingle) for t in texts)
+        return pd.Series([_digest(s) if len(s) else None for s in sets], dtype=object)
+
+    return run(text)
+
+
+def _digest(hashes: np.ndarray) -> str:
+    return hashlib.blake2b(hashes, digest_size=16).hexdigest()
+
+
 def band_keys(sketch: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)),
                        lambda b: F.struct(b.cast("byte").alias("band"),
@@ -235,12 +258,10 @@ def block_links(split: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("band", "key", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT,
-           shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sketched = written(sketch_rows(d, shingle))
-    classes = written(sketched.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest")
+def linked(docs: DataFrame, percent: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n_shingles, digest) of ``docs`` (doc_id, text), and classes (digest, rep: smallest id, component)."""
+    sketched = written(sketch_rows(docs, shingle))
+    classes = written(sketched.where("digest IS NOT NULL").groupBy("digest")
                       .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"),
                            F.first("sketch").alias("sketch"))
                       .withColumn("node", F.monotonically_increasing_id()))
@@ -250,7 +271,9 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     counts = keyed.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1")
     members = written(keyed.join(counts, ["band", "key"]).select("band", "key", "node", "m"))
     near = members.select("node").distinct().join(classes.select("node", "digest", "rep"), "node")
-    sets = written(set_rows(d.join(near, F.col("doc_id") == F.col("rep")), shingle).dropDuplicates(["node"]))
+    sets = written(set_rows(docs.join(near.where("rep IS NOT NULL"), F.col("doc_id") == F.col("rep")), shingle)
+                   .unionByName(nameless_sets(docs.where("doc_id IS NULL"), near.where("rep IS NULL"), shingle))
+                   .dropDuplicates(["node"]))
     comp = written(components(written(star_links(members, classes, sets, percent))))
     known = members.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # buckets of two have been compared whole by the star step
@@ -268,20 +291,44 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     named = (classes.select("digest", "rep", "node").join(comp, "node", "left")
              .withColumn("component", F.coalesce("component", "node")).join(joined, "component", "left")
              .select("digest", "rep", F.coalesce("lower", "component").alias("component")))
+    return rows, named
+
+
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT,
+           shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row."""
+    rows, named = linked(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), percent, shingle)
     lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_digest = named.join(lowest, "component").select("digest", "component_id")
-    out = rows.select("doc_id", "n_shingles", "digest").join(by_digest, "digest", "left")
+    out = rows.join(by_digest, "digest", "left")
     cid = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", cid.alias("component_id"),
                       F.coalesce(F.col("doc_id") == cid, cid.isNull()).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one row of each group (of rows that share the kept id, one); rows without id all stay."""
-    kept = groups(docs, percent=percent, shingle=shingle).where("kept AND doc_id IS NOT NULL") \
-        .select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    """``docs`` with one row of each group: the smallest doc_id (null last), then the smallest digest.
+
+    Rows without words are groups of their own.  Rows decide, not ids: another
+    text under the kept id goes or stays with its own group.
+    """
+    d = docs.select("doc_id", "text")
+    rows, named = linked(d, percent, shingle)
+    first = (named.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "digest")).alias("f"))
+             .select("f.rep", "f.digest"))
+    copies = (rows.alias("r").join(first.alias("f"), (F.col("r.digest") == F.col("f.digest"))
+                                   & F.col("r.doc_id").eqNullSafe(F.col("f.rep")))
+              .groupBy("r.doc_id", "r.digest").agg(F.count("*").alias("n")))
+    chosen = written(copies.select(F.col("doc_id").alias("id"), F.col("digest").alias("of"), "n"))
+    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"),
+                         digest_column(F.col("text"), shingle).alias("of"))
+    met = (marked.alias("m").join(chosen.alias("c"), F.col("m.id").eqNullSafe(F.col("c.id"))
+                                  & (F.col("m.of") == F.col("c.of")), "left").select("m.*", "n"))
+    one = met.where("n = 1 OR of IS NULL").select("row")
+    # rows of one id and one shingle set, in a group of which they are the first
+    if not chosen.where("n > 1").isEmpty():
+        one = one.unionByName(met.where("n > 1").dropDuplicates(["id", "of"]).select("row"))
+    return one.select("row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -122,6 +122,25 @@ def test_keep_one_keeps_columns_and_one_of_each_group(spark):
     assert ids.count(6) == 1 and 7 not in ids and 14 not in ids and {1, 2, 3, 9, 10} <= set(ids)
 
 
+def test_keep_one_decides_by_row(spark):
+    rng = random.Random(8)
+    a, b, c, e = (" ".join(f"{x}{rng.randrange(900)}" for _ in range(60)) for x in "abce")
+    near = c.rsplit(" ", 1)[0] + " other"
+    rows = [(1, a), (1, b), (2, b), (None, a), (None, c), (None, c), (None, near), (3, e), (3, e), (3, e + " more"), (4, ""),
+            (4, ""), (None, None), (5, None)]
+    schema = "doc_id long, text string, _kept string, id string, row string, n string, of string"
+    docs = spark.createDataFrame([(i, t, *["clash"] * 5) for i, t in rows], schema)
+    kept = minhash.keep_one(docs, shingle=5)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(t for _, t in got if t in (a, b)) == sorted([a, b]) and (1, a) in got and (1, b) in got
+    assert sum(t in (c, near) for _, t in got) == 1
+    assert sum((t or "").startswith(e) for _, t in got) == 1
+    assert sorted(((i, t) for i, t in got if not t), key=repr) == sorted([(4, ""), (4, ""), (None, None), (5, None)], key=repr)
+    component = {(r.doc_id, r.n_shingles): r.component_id for r in minhash.query(docs).collect() if r.doc_id is None}
+    assert component[(None, 57)] == 1 or component[(None, 57)] is None
+
+
 # --- embeddings -------------------------------------------------------------------
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, node string, weight string")

@@ -54,6 +54,32 @@ def test_folded_machine_equals_landmark_machine_and_tolerates_gaps():
     assert s[0] < 0.5 and (s[1:5] >= 0.5).all() and (s[5:] < 0.5).all()
 
 
+def test_whole_long_units_and_insults_across_blanks(monkeypatch):
+    rng = random.Random(4)
+    syllables = ["ta", "re", "mi", "non", "ver", "qua", "ple", "sto", "ora", "en"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 3)))
+    # the insult stands after the first window of a harmless beginning that clean texts hold too
+    start = "averyharmlessbeginningof"
+    texts, y = [], []
+    for i in range(400):
+        ws = [word() for _ in range(40)]
+        ws[3] = start + (rng.choice(["gribblers", "snozzards"]) if i % 4 == 0 else rng.choice(["meadows", "gardens"]))
+        texts.append(" ".join(ws))
+        y.append(int(i % 4 == 0))
+    m = toxicity.fit(texts, np.array(y), landmarks=16, negatives=400)
+    clean = " ".join(word() for _ in range(40))
+    cases = [clean, clean + f" {start}meadows", clean + f" {start}gribblers", clean + " xyloph" + start + "snozzards",
+             clean + " gr ib bl er s", clean + " gr ib. " + word() + " bl er s"]
+    s = m.scores(cases)
+    assert (s[[0, 1]] < 0.5).all() and (s[2:5] >= 0.5).all() and s[5] < s[4]
+    # chunks and an emptied memo change nothing
+    monkeypatch.setattr(toxicity, "CHUNK_CHARS", 300)
+    monkeypatch.setattr(toxicity, "MEMO_CHARS", 500)
+    toxicity._MEMOS.clear()
+    assert np.allclose(m.scores(cases + texts), np.concatenate([s, m.scores(texts)]))
+    assert toxicity.units("go to it. id io t") == ["go", "to", "it.", "gotoit", "id", "io", "idiot"]
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     return table(spark, SF_ORACLE, "documents"), table(spark, SF_ORACLE, "labels")

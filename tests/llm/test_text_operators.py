@@ -52,10 +52,23 @@ def test_rule_order_does_not_change_verdicts(spark):
     a = stats.select("doc_id", quality_rules.cascade(quality_rules.RULES).alias("k")).toPandas()
     b = stats.select("doc_id", quality_rules.cascade(quality_rules.RULES[::-1]).alias("k")).toPandas()
     assert a.equals(b)
-    ranked = quality_rules.order_rules(stats, fraction=1.0)
+    ranked = quality_rules.order_rules(edge_docs(spark))
     assert {r.name for r, _, _ in ranked} == {r.name for r in quality_rules.RULES}
     gain = [share / cost for _, cost, share in ranked]
     assert gain == sorted(gain, reverse=True)
+    assert len(quality_rules.order_rules(edge_docs(spark, []))) == len(quality_rules.RULES)
+    # shares hold for rows that the base rule passes: the short exclamations never enter the cascade
+    loud = [doc(i, " ".join(["Wow!"] * 10)) for i in range(6)]
+    calm = [doc(10 + i, " ".join(f"word{j} number{j * i} here" for j in range(40))) for i in range(6)]
+    share = {r.name: s for r, _, s in quality_rules.order_rules(edge_docs(spark, loud + calm))}
+    assert share["exclamations"] == 0
+
+
+def test_rules_sample_before_their_statistics(spark):
+    docs = edge_docs(spark)
+    drawn = docs.select("text").sample(0.5, 7)
+    plan = quality_rules.text_statistics(drawn, keep=())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Sample") > plan.rindex("Generate")
 
 
 def test_quality_rules_are_native(spark):
