@@ -144,18 +144,37 @@ def search_query(bodies: DataFrame, key: str = "request_id", body_col: str = "bo
 
 # --- P-6 / P-7: payload normalisation -------------------------------------------
 
-@F.pandas_udf(T.StringType())
-def strip_cache_control_json(js: pd.Series) -> pd.Series:
-    """P-6: every ``cache_control`` object reduced to its ``type`` (recursive)."""
-    def reduce(d: dict) -> dict:  # called for every decoded object, innermost first
-        cc = d.get("cache_control")
-        if isinstance(cc, dict) and "type" in cc and len(cc) > 1:
-            d["cache_control"] = {"type": cc["type"]}
-        return d
+def _reduced(value):
+    """P-6: every ``cache_control`` object reduced to its ``type``, at any depth."""
+    if isinstance(value, dict):
+        return {k: ({"type": v["type"]} if "type" in v else v) if k == "cache_control" and isinstance(v, dict) else _reduced(v)
+                for k, v in value.items()}
+    return [_reduced(v) for v in value] if isinstance(value, list) else value
 
-    def one(s):
-        return None if s is None else json.dumps(json.loads(s, object_hook=reduce))
-    return js.map(one)
+
+SENT = T.StructType([T.StructField("body", T.StringType()), T.StructField("modified", T.BooleanType())])
+
+
+@F.pandas_udf(SENT)
+def forwarded_body(js: pd.Series, model: pd.Series) -> pd.DataFrame:
+    """P-7: the body as it is sent on, or null where nothing had to change.
+
+    Key order is the client's; a rewritten body has the gateway's serialisation.
+    """
+    allowed = set(fixed.ALLOWED_BODY_FIELDS)
+
+    def one(text: str | None, name: str | None) -> tuple[str | None, bool]:
+        if text is None:
+            return None, False
+        body = json.loads(text)
+        sent = {k: v for k, v in body.items() if k in allowed}
+        if name is not None and name != body.get("model", ""):
+            sent["model"] = name
+        sent = _reduced(sent)
+        return (json.dumps(sent), True) if sent != body else (None, False)
+
+    rows = [one(t, m) for t, m in zip(js, model)]
+    return pd.DataFrame(rows, columns=["body", "modified"]).astype({"body": object, "modified": bool})
 
 
 def normalise_bodies(bodies: DataFrame, policy: ModelPolicy | None = None,
@@ -164,31 +183,21 @@ def normalise_bodies(bodies: DataFrame, policy: ModelPolicy | None = None,
 
     ``(key, original_model, model, body, modified)``: the model name mapped
     (P-1), fields outside the allowlist dropped (P-5), and ``cache_control``
-    extras removed (P-6).  Unmodified bodies are passed through byte for
-    byte; the Python normaliser runs only on bodies that mention
-    ``cache_control``.
+    extras removed (P-6).  Unmodified bodies are passed through byte for byte.
+    Only bodies that may change reach the Python rewriter: another model name,
+    an unknown field, or the text ``cache_control``.
     """
     policy = policy or ModelPolicy()
     p = parse_bodies(bodies.select(key, body_col), body_col).where(F.col("reject_reason").isNull())
     original = F.coalesce(_get("$.model"), F.lit(""))
-    mapped = map_model_name(original, policy)
-    keys = F.json_object_keys(F.col(body_col))
-    unknown = unknown_fields(keys)
-    allowed_map = F.map_filter(_get("$", "map<string,variant>"),
-                               lambda k, _: F.array_contains(
-                                   F.array(*[F.lit(a) for a in fixed.ALLOWED_BODY_FIELDS]), k))
-    with_model = F.map_concat(F.map_filter(allowed_map, lambda k, _: k != "model"),
-                              F.create_map(F.lit("model"), mapped.cast("variant")))
-    rebuilt = F.to_json(with_model)
-    has_cc = F.col(body_col).contains('"cache_control"')
-    model_changed = mapped != original
-    dropped = F.size(unknown) > 0
-    base = F.when(model_changed | dropped, rebuilt).otherwise(F.col(body_col))
-    # Spark evaluates a Python UDF for every row, even inside a CASE branch,
-    # so bodies without cache_control pass it a null instead of the body
-    cleaned = F.when(has_cc, strip_cache_control_json(F.when(has_cc, base))).otherwise(base)
-    cc_changed = has_cc & (F.to_json(F.parse_json(cleaned)) != F.to_json(F.parse_json(base)))
-    return p.select(key, original.alias("original_model"), mapped.alias("model"),
-                    F.when(model_changed | dropped | cc_changed, cleaned)
-                    .otherwise(F.col(body_col)).alias("body"),
-                    (model_changed | dropped | cc_changed).alias("modified"))
+    p = p.select(F.inline(F.array(F.struct(
+        F.col(key), F.col(body_col).alias("_body"), original.alias("original_model"),
+        map_model_name(original, policy).alias("model"),
+        F.size(unknown_fields(F.json_object_keys(F.col(body_col)))).alias("_unknown")))))
+    may_change = ((F.col("model") != F.col("original_model")) | (F.col("_unknown") > 0)
+                  | F.col("_body").contains("cache_control"))
+    # Spark evaluates a Python UDF for every row, even inside a CASE branch: the others pass it a null
+    sent = forwarded_body(F.when(may_change, F.col("_body")), F.col("model"))
+    return (p.withColumn("_sent", sent)
+            .select(key, "original_model", "model", F.coalesce(F.col("_sent.body"), F.col("_body")).alias("body"),
+                    F.col("_sent.modified").alias("modified")))

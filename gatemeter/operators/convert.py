@@ -7,8 +7,9 @@ into VARIANT and rebuilt with higher-order functions (``transform``,
 leaves the executor that read the row.  A row is one payload, bounded by the
 10 MiB body cap (SRC-8), never by the table.
 
-Serialisation note: rebuilt JSON is compact (``{"a":1}``); the gateway's
-Python serialiser writes ``{"a": 1}``.  Keys, values and order are the same.
+Rebuilt JSON is the gateway's: keys in the client's order, its serialiser's
+spacing, escapes and number spellings (:mod:`gatemeter.functions.pyjson`).
+Bodies over the size limit are never parsed (SRC-8).
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 
 from gatemeter import fixed
 from gatemeter.functions.models import ModelPolicy, map_model_name
+from gatemeter.functions.pyjson import json_list, json_object, json_text, python_json, python_json_lists
 from gatemeter.functions.requests import chat_stop_reason
 
 TOOL_CALL = T.StructType([
@@ -53,14 +55,32 @@ def _keys(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def _parsed(df: DataFrame, keys: list[str], body_col: str) -> DataFrame:
-    """``(*keys, _v)`` for rows whose payload is valid JSON.  The parse sits
-    inside a generator so the validity filter is not pushed below it with a
-    second copy of the parse: each payload is parsed once."""
-    row = F.struct(*[F.col(k) for k in keys], F.try_parse_json(F.col(body_col)).alias("_v"))
+def _parsed(df: DataFrame, keys: list[str], body_col: str, max_bytes: int = fixed.MAX_BODY_BYTES) -> DataFrame:
+    """``(*keys, _body, _v)`` for rows whose payload is valid JSON and within the
+    size limit.  The parse sits inside a generator so the validity filter is not
+    pushed below it with a second copy of the parse: each payload is parsed once."""
+    body = F.when(F.octet_length(body_col) <= max_bytes, F.col(body_col))
+    row = F.struct(*[F.col(k) for k in keys], body.alias("_body"), F.try_parse_json(body).alias("_v"))
     return df.select(F.inline(F.array(row))).where(F.col("_v").isNotNull())
 
 
+def _staged(df: DataFrame) -> DataFrame:
+    """The same rows behind a projection that later ones are not merged into."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
+# string-typed fields keep the raw JSON text of what stands there
+RAW_REQUEST = "struct<messages:array<struct<content:string>>,tools:array<struct<input_schema:string>>>"
+RAW_BLOCKS = "array<struct<type:string,input:string>>"
+
+
+def tool_arguments(body: Column) -> Column:
+    """Per message the raw ``input`` of its ``tool_use`` blocks, in order, as Python writes it."""
+    raw = F.from_json(F.when(body.contains('"tool_use"'), body), RAW_REQUEST)["messages"]
+    return python_json_lists(F.transform(raw, lambda m: F.transform(
+        F.filter(F.from_json(m["content"], RAW_BLOCKS), lambda b: b["type"] == "tool_use"), lambda b: b["input"])))
+
+
 def _kind(v: Column) -> Column:
     """JSON type of a variant: STRING, ARRAY<..>, OBJECT<..>, BIGINT, NULL..."""
     return F.schema_of_variant(v)
@@ -84,8 +104,9 @@ def _msg(role: Column, content: Column, tool_call_id: Column | None = None,
                      else F.lit(None).cast(T.ArrayType(TOOL_CALL))).alias("tool_calls"))
 
 
-def chat_messages_of(message: Column) -> Column:
-    """One client message (VARIANT) -> ``array<CHAT_MESSAGE>`` (0..n entries).
+def chat_messages_of(message: Column, arguments: Column) -> Column:
+    """One client message (VARIANT) -> ``array<CHAT_MESSAGE>`` (0..n entries);
+    ``arguments`` are those of its ``tool_use`` blocks (:func:`tool_arguments`).
 
     * string content: the message as is;
     * block list: text blocks joined by a newline; ``tool_use`` blocks become
@@ -102,10 +123,9 @@ def chat_messages_of(message: Column) -> Column:
                         lambda b: F.coalesce(_get(b, "$.text"), F.lit("")))
     has_text = F.size(texts) > 0
     joined = F.array_join(texts, "\n")
-    calls = F.transform(_blocks_of_type(blocks, "tool_use"), lambda b: F.struct(
+    calls = F.transform(_blocks_of_type(blocks, "tool_use"), lambda b, i: F.struct(
         _get(b, "$.id").alias("id"), F.lit("function").alias("type"),
-        F.struct(_get(b, "$.name").alias("name"),
-                 F.to_json(_get(b, "$.input", "variant")).alias("arguments")).alias("function")))
+        F.struct(_get(b, "$.name").alias("name"), F.get(arguments, i).alias("arguments")).alias("function")))
 
     def result_text(b: Column) -> Column:
         rc = _get(b, "$.content", "variant")
@@ -173,18 +193,19 @@ def to_chat_request(bodies: DataFrame, key: str | list[str] = "request_id", body
     """
     v = F.col("_v")
     keys = _keys(key)
-    p = _parsed(bodies, keys, body_col)
+    # the arguments come from Python workers and are read inside lambdas: both sides are staged
+    p = _staged(_parsed(bodies, keys, body_col).withColumn("_args", tool_arguments(F.col("_body"))))
     msgs = F.coalesce(_get(v, "$.messages", "array<variant>"),
                       F.array().cast("array<variant>"))
     chat = F.concat(system_messages_of(_get(v, "$.system", "variant")),
-                    F.flatten(F.transform(msgs, chat_messages_of)))
+                    F.flatten(F.transform(msgs, lambda m, i: chat_messages_of(m, F.get(F.col("_args"), i)))))
     model = map_model_name(_get(v, "$.model"), policy)
     max_tokens = F.when(_kind(_get(v, "$.max_tokens", "variant")).isNull(),
                         F.lit(fixed.DEFAULT_MAX_TOKENS)).otherwise(_get(v, "$.max_tokens", "bigint"))
     stop = _get(v, "$.stop_sequences", "variant")
     stream = _truthy_bool(_get(v, "$.stream", "variant"))
     tools = _get(v, "$.tools", "array<variant>")
-    out = p.select(*keys, model.alias("model"), chat.alias("chat_messages"),
+    out = p.select(*keys, "_body", "_v", model.alias("model"), chat.alias("chat_messages"),
                    max_tokens.alias("max_tokens"),
                    _get(v, "$.temperature", "double").alias("temperature"),
                    _get(v, "$.top_p", "double").alias("top_p"),
@@ -192,11 +213,31 @@ def to_chat_request(bodies: DataFrame, key: str | list[str] = "request_id", body
                    F.when(stream, F.lit(True)).alias("stream"),
                    F.when(stream, F.struct(F.lit(True).alias("include_usage"))).alias("stream_options"),
                    F.when(F.size(tools) > 0, chat_tools_of(tools)).alias("tools"))
-    body = F.to_json(F.struct(
-        "model", F.col("chat_messages").alias("messages"), "max_tokens", "temperature", "top_p",
-        "stop", "stream", "stream_options", "tools"))
+    out = _staged(out)
+
+    # the body is composed of raw texts: schemas and numbers stay as the client wrote them
+    def set_field(path: str) -> Column:
+        text = F.get_json_object(F.col("_body"), path)
+        return F.when(text.isNotNull() & _get(F.col("_v"), path, "double").isNotNull(), text)
+
+    raw_tools = F.from_json(F.when(F.size("tools") > 0, F.col("_body")), RAW_REQUEST)["tools"]
+    tool = lambda t, i: json_object(type=F.lit('"function"'), function=json_object(
+        name=json_text(t["function"]["name"]), description=json_text(t["function"]["description"]),
+        parameters=F.coalesce(F.get(raw_tools, i)["input_schema"], F.lit("{}"))))
+    content = lambda m: F.when(m["content"].isNotNull(), json_text(m["content"]))
+    message = lambda m: F.when(m["role"] == "tool", json_object(
+        role=json_text(m["role"]), tool_call_id=json_text(m["tool_call_id"]), content=content(m))).otherwise(json_object(
+            role=json_text(m["role"]), content=content(m),
+            tool_calls=F.when(m["tool_calls"].isNotNull(), F.to_json(m["tool_calls"]))))
+    body = json_object(
+        model=json_text(F.col("model")), messages=json_list(F.transform("chat_messages", message)),
+        max_tokens=F.coalesce(set_field("$.max_tokens"), json_text(F.col("max_tokens"))),
+        temperature=set_field("$.temperature"), top_p=set_field("$.top_p"),
+        stop=F.when(F.col("stop").isNotNull(), F.to_json("stop")), stream=F.when(F.col("stream"), F.lit("true")),
+        stream_options=F.when(F.col("stream"), F.lit('{"include_usage":true}')),
+        tools=F.when(F.size("tools") > 0, json_list(F.transform("tools", tool))))
     return out.select(*keys, "model", "chat_messages", "tools", "max_tokens", "temperature",
-                      "top_p", "stream", body.alias("chat_body"))
+                      "top_p", "stream", python_json(body).alias("chat_body"))
 
 
 MESSAGE_BLOCK = T.StructType([
@@ -247,12 +288,20 @@ def from_chat_response(responses: DataFrame, key: str | list[str] = "request_id"
         F.coalesce(_get(v, "$.id"), F.lit("msg_proxy")).alias("message_id"),
         (model if model is not None else _get(v, "$.model")).alias("model"),
         content.alias("content"),
+        F.transform(calls, lambda tc: _get(tc, "$.function.arguments")).alias("_arguments"),
         chat_stop_reason(F.coalesce(_get(choice, "$.finish_reason"), F.lit(""))).alias("stop_reason"),
         F.coalesce(_get(usage, "$.prompt_tokens", "bigint"), F.lit(0)).alias("input_tokens"),
         F.coalesce(_get(usage, "$.completion_tokens", "bigint"), F.lit(0)).alias("output_tokens"))
-    message = F.to_json(F.struct(
-        F.col("message_id").alias("id"), F.lit("message").alias("type"),
-        F.lit("assistant").alias("role"), "model", "content", "stop_reason",
-        F.struct("input_tokens", "output_tokens").alias("usage")))
+    text_part = lambda b: json_object(type=F.lit('"text"'), text=json_text(b["text"]))
+    tool_part = lambda b, raw: json_object(
+        type=F.lit('"tool_use"'), id=json_text(b["id"]), name=json_text(b["name"]),
+        input=F.when(b["input"].isNotNull(), raw).otherwise(F.lit("null")))
+    first = F.size(F.filter("content", lambda b: b["type"] == "text"))
+    parts = F.transform("content", lambda b, i: F.when(b["type"] == "text", text_part(b)).otherwise(
+        tool_part(b, F.get(F.col("_arguments"), i - first))))
+    message = json_object(
+        id=json_text(F.col("message_id")), type=F.lit('"message"'), role=F.lit('"assistant"'),
+        model=json_text(F.col("model")), content=json_list(parts), stop_reason=json_text(F.col("stop_reason")),
+        stop_sequence=F.lit("null"), usage=json_text(F.struct("input_tokens", "output_tokens")))
     return out.select(*keys, "message_id", "content", "stop_reason", "input_tokens",
-                      "output_tokens", message.alias("message"))
+                      "output_tokens", python_json(message).alias("message"))

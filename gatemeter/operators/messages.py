@@ -1,5 +1,7 @@
 """Message- and block-level summaries (A-6, A-7, W-5, P-25, J-6).
 
+:func:`message_rows` and :func:`block_rows` make these tables from request bodies.
+
 Inputs are long tables: messages ``(conv_id, turn, role, text)`` and content
 blocks ``(conv_id, turn, role, block_idx, type, text, tool_id, tool_name,
 file_path)``.  Group keys are conversations; an array built per conversation
@@ -13,6 +15,42 @@ from pyspark.sql import functions as F
 
 from gatemeter import fixed
 from gatemeter.functions.text import cut, preview
+from gatemeter.operators.bodies import parse_bodies
+
+
+def message_rows(bodies: DataFrame, key: str = "request_id", body_col: str = "body") -> DataFrame:
+    """``(key, turn, role, content)`` of every message of the accepted bodies; ``content`` is its VARIANT."""
+    parsed = parse_bodies(bodies.select(key, body_col), body_col).where(F.col("reject_reason").isNull())
+    # a generator of its own: later filters must not be pushed below with a copy of the lookup
+    found = parsed.select(key, F.posexplode(F.try_variant_get("_v", "$.messages", "array<variant>")).alias("turn", "m"))
+    return found.select(F.inline(F.array(F.struct(
+        F.col(key), F.col("turn").cast("long").alias("turn"), F.try_variant_get("m", "$.role", "string").alias("role"),
+        F.try_variant_get("m", "$.content", "variant").alias("content")))))
+
+
+def block_rows(bodies: DataFrame, key: str = "request_id", body_col: str = "body") -> DataFrame:
+    """``(key, turn, role, block_idx, type, text, tool_id, tool_name, file_path)`` of every content block of the accepted
+    bodies; a message whose content is a string has one text block.  ``tool_id`` is the use's id, on uses and results."""
+    get = lambda path, kind="string": F.try_variant_get("b", path, kind)
+    content = F.col("content")
+    plain = F.schema_of_variant(content) == "STRING"
+    listed = F.when(plain, F.array(content)).otherwise(F.try_variant_get(content, "$", "array<variant>"))
+    found = message_rows(bodies, key, body_col).select(
+        key, "turn", "role", plain.alias("_plain"), F.posexplode(listed).alias("block_idx", "b"))
+    kind = F.when(F.col("_plain"), F.lit("text")).otherwise(get("$.type"))
+    return found.select(F.inline(F.array(F.struct(
+        F.col(key), F.col("turn"), F.col("role"), F.col("block_idx"), kind.alias("type"),
+        F.when(F.col("_plain"), get("$")).otherwise(get("$.text")).alias("text"),
+        F.when(kind == "tool_use", get("$.id")).when(kind == "tool_result", get("$.tool_use_id")).alias("tool_id"),
+        F.when(kind == "tool_use", get("$.name")).alias("tool_name"),
+        F.when(kind == "tool_use", get("$.input.file_path")).alias("file_path")))))
+
+
+def message_texts(blocks: DataFrame, key: str = "request_id") -> DataFrame:
+    """``(key, turn, role, text)`` from blocks: a message's text blocks in order, joined by a blank (none: empty)."""
+    text = F.when(F.col("type") == "text", F.struct("block_idx", F.coalesce("text", F.lit("")).alias("t")))
+    return (blocks.groupBy(key, "turn").agg(F.first("role").alias("role"), F.array_sort(F.collect_list(text)).alias("_t"))
+            .select(key, "turn", "role", F.array_join(F.transform("_t", lambda x: x["t"]), " ").alias("text")))
 
 
 def role_counts(messages: DataFrame, key: str = "conv_id") -> DataFrame:

@@ -21,19 +21,20 @@ from gatemeter.functions.text import pystrip
 TITLE_LINE_SCHEMA = "type string, aiTitle string, customTitle string"
 
 
-def read_transcripts(spark: SparkSession, projects_dir: str) -> DataFrame:
-    """SRC-3: ``(file, session_id, line_no, line)`` for every ``*.jsonl`` below.
+def read_transcripts(spark: SparkSession, projects_dir: str, name: str = "*.jsonl",
+                     session: str = r"([^/]+)\.jsonl$") -> DataFrame:
+    """SRC-3: ``(file, session_id, line_no, line)`` for every transcript below ``projects_dir``.
 
-    Each file is read whole (a transcript is one conversation) so line order
-    is exact; lines are then numbered with ``posexplode``.
+    Large files are split like any text file: lines stand in order by the start
+    of their block, then by their place in the task that reads it, which is what
+    ``line_no`` holds.  ``name`` selects the files and the first group of
+    ``session``, a pattern on the path, is the session's id.
     """
-    files = (spark.read.option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", "*.jsonl").option("wholetext", "true")
-             .text(projects_dir)
-             .select(F.col("_metadata.file_path").alias("file"), "value"))
-    lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    session = F.regexp_extract(F.col("file"), r"([^/]+)\.jsonl$", 1)
-    return lines.select("file", session.alias("session_id"), "line_no", "line")
+    lines = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(projects_dir)
+             .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
+                     F.monotonically_increasing_id().alias("_place"), F.col("value").alias("line")))
+    return lines.select("file", F.regexp_extract("file", session, 1).alias("session_id"),
+                        F.struct(F.col("_block").alias("block"), F.col("_place").alias("place")).alias("line_no"), "line")
 
 
 def session_titles(lines: DataFrame, file_col: str | None = "file") -> DataFrame:

@@ -462,7 +462,7 @@ calls AS (
   SELECT conv_id,
     string_agg(concat('tu_', CAST(conv_id AS VARCHAR), '_', CAST(turn AS VARCHAR)), ',' ORDER BY turn) AS ids,
     string_agg(CASE WHEN (conv_id + turn) % 3 = 0
-                    THEN concat('{"file_path":"/src/f', CAST(conv_id % 7 AS VARCHAR), '.py"}')
+                    THEN concat('{"file_path": "/src/f', CAST(conv_id % 7 AS VARCHAR), '.py"}')
                     ELSE '{}' END, '|' ORDER BY turn) AS args,
     count(*) AS n
   FROM conversations WHERE role = 'assistant' AND conv_id % 2 = 0 GROUP BY 1),
@@ -804,3 +804,142 @@ FROM u
 """
 
 ORACLES["sql_cost_by_model"] = ORACLES["cost_by_model"]
+
+
+# --- bodies and their texts ------------------------------------------------------------
+ORACLES["transcript_titles"] = f"""WITH {_TITLES}
+SELECT session_id, session_name FROM titles WHERE CAST(substr(session_id, 2) AS BIGINT) % 4 <> 1
+UNION ALL SELECT DISTINCT concat('c', CAST(conv_id AS VARCHAR)), concat('other ', CAST(conv_id AS VARCHAR))
+FROM conversations WHERE conv_id % 4 = 1
+"""
+
+_REQUESTS = """
+r AS (SELECT concat('req_', CAST(event_id AS VARCHAR)) AS request_id, event_id AS n,
+        event_id % (SELECT max(conv_id) + 1 FROM conversations) AS conv_id
+      FROM events WHERE event_id % 251 <> 7)"""
+
+ORACLES["body_role_counts"] = f"""WITH {_REQUESTS}
+SELECT request_id, coalesce(role, '?') AS role, count(*) AS n FROM r JOIN conversations USING (conv_id) GROUP BY 1, 2
+"""
+
+ORACLES["body_last_user_message"] = ORACLES["last_user_message"].replace("arg_max(text, turn)", "arg_max(coalesce(text, ''), turn)")
+ORACLES["body_tool_pairs"] = ORACLES["tool_pairing"]
+ORACLES["body_tool_uses"] = with_blocks("""
+, c AS (SELECT conv_id, coalesce(tool_name, '?') AS tool_name, count(*) AS uses
+        FROM blocks WHERE type = 'tool_use' GROUP BY 1, 2),
+u AS (SELECT conv_id, string_agg(concat(tool_name, '(', CAST(uses AS VARCHAR), ')'), ' ' ORDER BY tool_name) AS tool_uses
+      FROM c GROUP BY 1),
+p AS (SELECT conv_id, string_agg(file_path, chr(10) ORDER BY turn, block_idx) AS read_paths
+      FROM blocks WHERE type = 'tool_use' AND tool_name = 'Read' AND file_path <> '' GROUP BY 1)
+SELECT conv_id, tool_uses, read_paths FROM u LEFT JOIN p USING (conv_id)
+""".replace("\n, ", ", ", 1))
+
+
+def _py(x: str) -> str:
+    """A string as Python's serialiser writes it: everything but printable ASCII is escaped."""
+    return f"""('"' || coalesce(array_to_string(list_transform(regexp_extract_all({x}, '(?s).'), lambda c: CASE
+      WHEN c = '"' THEN chr(92) || '"' WHEN c = chr(92) THEN chr(92) || chr(92) WHEN c = chr(10) THEN chr(92) || 'n'
+      WHEN c = chr(13) THEN chr(92) || 'r' WHEN c = chr(9) THEN chr(92) || 't' WHEN c = chr(8) THEN chr(92) || 'b'
+      WHEN c = chr(12) THEN chr(92) || 'f' WHEN unicode(c) BETWEEN 32 AND 126 THEN c
+      WHEN unicode(c) < 65536 THEN chr(92) || printf('u%04x', unicode(c))
+      ELSE chr(92) || printf('u%04x', 55296 + (unicode(c) - 65536) // 1024)
+           || chr(92) || printf('u%04x', 56320 + (unicode(c) - 65536) % 1024) END), ''), '') || '"')"""
+
+
+def _compact(x: str) -> str:
+    return f"CAST(to_json({x}) AS VARCHAR)"
+
+
+def _spaced(text: str, wide: bool) -> str:
+    """A JSON template with Python's blanks, or without any."""
+    return text if wide else text.replace(": ", ":").replace(", ", ",")
+
+
+def _messages_sql(string, wide: bool) -> str:
+    """Conversations as message lists."""
+    sep, head, mid = (_spaced(x, wide) for x in (", ", '{"role": ', ', "content": '))
+    return f"""SELECT conv_id, string_agg('{head}' || {string('role')}
+        || CASE WHEN text IS NULL THEN '' ELSE '{mid}' || {string('text')} END || '}}', '{sep}' ORDER BY turn) AS messages
+      FROM conversations GROUP BY 1"""
+
+
+def _field(name: str, value: str, wide: bool) -> str:
+    return f"""coalesce('{_spaced(f', "{name}": ', wide)}' || {value}, '')"""
+
+
+def _b2_body(wide: bool) -> str:
+    """The body of a B2 request: as it was landed, or as it is forwarded."""
+    string = _py if wide else _compact
+    fixed = lambda text: "'" + _spaced(text, wide) + "'"
+    sys_list = (fixed('[{"cache_control": {"type": "ephemeral"}, "text": "sys ')
+                + " || CAST(n % 1000 AS VARCHAR) || " + fixed('", "type": "text"}]'))
+    fields = [
+        ("messages", "'[' || coalesce(messages, '') || ']'"), ("max_tokens", "CAST(1024 * (1 + n % 8) AS VARCHAR)"),
+        ("system", f"CASE WHEN n % 9 = 0 THEN {sys_list} WHEN n % 2 = 0 THEN '\"You are agent ' || CAST(n % 1000 AS VARCHAR) || '.\"' END"),
+        ("tools", "CASE WHEN n % 17 = 0 THEN " + fixed('[{"max_uses": 5, "name": "web_search", "type": "web_search_20250305"}]')
+         + " WHEN n % 3 = 1 THEN " + fixed(
+             '[{"description": "read a file", "input_schema": {"type": "object"}, "name": "Read"}, '
+             '{"description": "run a command", "input_schema": {"type": "object"}, "name": "Bash"}]') + " END"),
+        ("thinking", "CASE n % 8 WHEN 1 THEN " + fixed('{"budget_tokens": 1024, "type": "enabled"}')
+         + " WHEN 5 THEN " + fixed('{"type": "disabled"}') + " END"),
+        ("temperature", "CASE WHEN n % 7 = 0 THEN '0.5' END"), ("top_p", "CASE WHEN n % 11 = 0 THEN '0.9' END"),
+        ("top_k", "CASE WHEN n % 13 = 0 THEN '40' END"),
+        ("metadata", "CASE WHEN user_id_raw IS NOT NULL THEN " + fixed('{"user_id": ') + f" || {string('user_id_raw')} || '}}' END"),
+        ("stream", "CAST(stream AS VARCHAR)"),
+    ]
+    head = _spaced('{"model": ', wide)
+    return f"'{head}' || {string('model')} || " + " || ".join(_field(k, v, wide) for k, v in fields) + " || '}'"
+
+
+_UNCHANGED = "n % 10 = 8 AND n % 6 <> 0 AND n % 9 <> 0"
+ORACLES["forwarded_bodies"] = with_raw(f"""
+, r AS (SELECT *, CAST(substr(request_id, 5) AS BIGINT) AS n, {map_model_sql('requested_model')} AS model FROM usage_raw),
+c AS (SELECT *, n % (SELECT max(conv_id) + 1 FROM conversations) AS conv_id FROM r WHERE n % 251 <> 7),
+w AS (SELECT c.*, messages FROM c LEFT JOIN ({_messages_sql(_py, True)}) m USING (conv_id) WHERE NOT ({_UNCHANGED})),
+k AS (SELECT c.*, messages FROM c LEFT JOIN ({_messages_sql(_compact, False)}) m USING (conv_id) WHERE {_UNCHANGED})
+SELECT request_id, {_b2_body(True)} AS body FROM w
+UNION ALL SELECT request_id, {_b2_body(False)} AS body FROM k
+""".replace("\n, ", ", ", 1))
+
+_CHAT_FIELDS = " || ".join(_field(k, v, True) for k, v in [
+    ("temperature", "CASE WHEN n % 7 = 0 THEN '0.5' END"), ("top_p", "CASE WHEN n % 11 = 0 THEN '0.9' END"),
+    ("stream", "CASE WHEN stream THEN 'true' END"),
+    ("stream_options", """CASE WHEN stream THEN '{"include_usage": true}' END"""),
+    ("tools", """CASE WHEN n % 17 = 0 THEN '[{"type": "function", "function": {"name": "web_search", "description": "", "parameters": {}}}]'
+      WHEN n % 3 = 1 THEN '[{"type": "function", "function": {"name": "Read", "description": "read a file", "parameters": {"type": "object"}}}, {"type": "function", "function": {"name": "Bash", "description": "run a command", "parameters": {"type": "object"}}}]' END"""),
+])
+ORACLES["chat_bodies"] = with_raw(f"""
+, r AS (SELECT *, CAST(substr(request_id, 5) AS BIGINT) AS n, {map_model_sql('requested_model')} AS model FROM usage_raw),
+c AS (SELECT *, n % (SELECT max(conv_id) + 1 FROM conversations) AS conv_id,
+        CASE WHEN n % 9 = 0 THEN concat('sys ', CAST(n % 1000 AS VARCHAR))
+             WHEN n % 2 = 0 THEN concat('You are agent ', CAST(n % 1000 AS VARCHAR), '.') END AS system
+      FROM r WHERE n % 251 <> 7),
+w AS (SELECT c.*, messages FROM c LEFT JOIN ({_messages_sql(_py, True)}) m USING (conv_id))
+SELECT request_id, '{{"model": ' || {_py('model')} || ', "messages": [' || concat_ws(', ',
+    '{{"role": "system", "content": ' || CASE WHEN system IS NOT NULL THEN {_py('system')} END || '}}', messages)
+  || '], "max_tokens": ' || CAST(1024 * (1 + n % 8) AS VARCHAR) || {_CHAT_FIELDS} || '}}' AS chat_body FROM w
+""".replace("\n, ", ", ", 1))
+
+ORACLES["tool_arguments"] = f"""
+SELECT conv_id, turn, 'Edit,Bash' AS names,
+  '{{"z": ' || CAST(turn AS VARCHAR) || ', "a": {{"k' || CAST(conv_id % 10 AS VARCHAR)
+    || '": [1.5, 2000.0, null, true], "b": {{}}}}, "text": ' || {_py("coalesce(text, '')")} || '}}' AS first_arguments,
+  '{{"cmd": "ls", "args": []}}' AS second_arguments
+FROM conversations WHERE role = 'assistant'
+"""
+
+ORACLES["message_bodies"] = f"""
+SELECT conv_id, turn, '{{"id": "' || CASE WHEN turn % 6 = 5 THEN 'msg_proxy'
+       ELSE concat('chatcmpl-', CAST(conv_id AS VARCHAR), '-', CAST(turn AS VARCHAR)) END
+  || '", "type": "message", "role": "assistant", "model": "gpt-5-mini", "content": [' || concat_ws(', ',
+    CASE WHEN coalesce(text, '') <> '' THEN '{{"type": "text", "text": ' || {_py('text')} || '}}' END,
+    CASE WHEN conv_id % 2 = 0 THEN concat('{{"type": "tool_use", "id": "call_', CAST(conv_id AS VARCHAR), '_', CAST(turn AS VARCHAR),
+      '", "name": "', CASE (conv_id + turn) % 3 WHEN 0 THEN 'Read' WHEN 1 THEN 'Bash' ELSE 'Grep' END, '", "input": ',
+      CASE WHEN (conv_id + turn) % 3 = 0 THEN concat('{{"file_path": "/src/f', CAST(conv_id % 7 AS VARCHAR), '.py"}}') ELSE '{{}}' END,
+      '}}') END)
+  || '], "stop_reason": "' || CASE turn % 5 WHEN 1 THEN 'max_tokens' WHEN 2 THEN 'tool_use' ELSE 'end_turn' END
+  || '", "stop_sequence": null, "usage": {{"input_tokens": '
+  || CAST(CASE WHEN turn % 7 = 3 THEN 0 ELSE conv_id * 10 + turn END AS VARCHAR) || ', "output_tokens": '
+  || CAST(CASE WHEN turn % 7 = 3 THEN 0 ELSE length(coalesce(text, '')) END AS VARCHAR) || '}}}}' AS message
+FROM conversations WHERE role = 'assistant'
+"""

@@ -189,6 +189,30 @@ def q_tool_pairing_summary(spark, d):
     return messages.tool_pair_summary(content_blocks(spark, d))
 
 
+# --- the same from request bodies: message and block tables of real payloads -----
+@query("body_role_counts")
+def q_body_role_counts(spark, d):
+    return messages.role_counts(messages.message_rows(request_bodies(spark, d)), "request_id")
+
+
+@query("body_last_user_message")
+def q_body_last_user_message(spark, d):
+    """W-5 and P-25 over block content: the text blocks of the last user message, joined by a blank."""
+    blocks = messages.block_rows(bridges.block_bodies(conversations(spark, d)), "conv_id")
+    return messages.last_user_message(messages.message_texts(blocks, "conv_id"))
+
+
+@query("body_tool_uses")
+def q_body_tool_uses(spark, d):
+    blocks = messages.block_rows(bridges.block_bodies(conversations(spark, d)), "conv_id")
+    return messages.tool_use_summary(blocks).join(messages.read_paths(blocks), "conv_id", "left")
+
+
+@query("body_tool_pairs")
+def q_body_tool_pairs(spark, d):
+    return messages.tool_pairs(messages.block_rows(bridges.block_bodies(conversations(spark, d)), "conv_id"))
+
+
 # --- SSE captures (SRC-4, A-11..A-16) -------------------------------------------
 @query("sse_facts")
 def q_sse_facts(spark, d):
@@ -213,6 +237,16 @@ def q_requests_with_titles(spark, d):
     return sessions.attach_titles(calls, titles)
 
 
+@query("transcript_titles")
+def q_transcript_titles(spark, d):
+    """SRC-3: titles read from transcript files of two projects; the first project with a title wins."""
+    path = sinks.new_table_path(spark, "transcripts")
+    (bridges.transcript_files(conversations(spark, d)).repartition("project", "session_id")
+     .sortWithinPartitions("project", "session_id", "line_no").select("project", "session_id", "value")
+     .write.partitionBy("project", "session_id").text(path))
+    return sessions.session_titles(sessions.read_transcripts(spark, path, "*.txt", r"/session_id=([^/]+)/"))
+
+
 # --- request bodies (SRC-5, SRC-8, P-5..P-8, P-11, P-12, P-20, P-21) -------------
 def request_bodies(spark, d):
     return bridges.request_bodies(read_table(spark, d, "events"), conversations(spark, d))
@@ -249,6 +283,12 @@ def q_normalise_bodies(spark, d):
     return n.select("request_id", "original_model", "model", "modified")
 
 
+@query("forwarded_bodies")
+def q_forwarded_bodies(spark, d):
+    """P-7: the text of every forwarded body."""
+    return bodies.normalise_bodies(request_bodies(spark, d)).select("request_id", "body")
+
+
 @query("shape_by_model")
 def q_shape_by_model(spark, d):
     """The fact table with request-shape columns filled from the bodies."""
@@ -286,6 +326,29 @@ def q_chat_requests(spark, d):
                    F.lit("")).alias("chat_tools"))
 
 
+@query("chat_bodies")
+def q_chat_bodies(spark, d):
+    """C-1: the text of every converted request body."""
+    return convert.to_chat_request(request_bodies(spark, d)).select("request_id", "chat_body")
+
+
+@query("tool_arguments")
+def q_tool_arguments(spark, d):
+    """C-1: arguments keep the client's key order, in the gateway's serialisation."""
+    c = convert.to_chat_request(bridges.ordered_tool_bodies(conversations(spark, d)), key=["conv_id", "turn"])
+    calls = F.element_at("chat_messages", -1)["tool_calls"]
+    return c.select("conv_id", "turn", F.array_join(F.transform(calls, lambda t: t["function"]["name"]), ",").alias("names"),
+                    calls[0]["function"]["arguments"].alias("first_arguments"),
+                    calls[1]["function"]["arguments"].alias("second_arguments"))
+
+
+@query("message_bodies")
+def q_message_bodies(spark, d):
+    """C-2: the text of every converted response."""
+    return convert.from_chat_response(bridges.chat_responses(conversations(spark, d)), key=["conv_id", "turn"]).select(
+        "conv_id", "turn", "message")
+
+
 @query("chat_from_blocks")
 def q_chat_from_blocks(spark, d):
     """C-1 over block-content bodies: tool results before user text, tool calls."""

@@ -335,6 +335,36 @@ def block_bodies(conversations: DataFrame) -> DataFrame:
     return per_conv.select("conv_id", body.alias("body"))
 
 
+def ordered_tool_bodies(conversations: DataFrame) -> DataFrame:
+    """Request bodies ``(conv_id, turn, body)`` of assistant turns with two tool calls whose inputs must stay as they are:
+    keys out of order, a key of ``conv_id``, nested values, numbers with a spelling, and the turn's text."""
+    c = conversations.where(F.col("role") == "assistant")
+    text = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("t")))
+    text = F.substr(text, F.lit(6), F.char_length(text) - 6)
+    first = F.concat(F.lit('{"z":'), _s(F.col("turn")), F.lit(',"a":{"k'), _s(F.col("conv_id") % 10),
+                     F.lit('":[1.50,2e3,null,true],"b":{}},"text":'), text, F.lit("}"))
+    use = lambda i, name, value: F.concat(F.lit('{"type":"tool_use","id":"u' + i + '","name":"' + name + '","input":'), value,
+                                          F.lit("}"))
+    body = F.concat(F.lit('{"model":"gpt-5-mini","messages":[{"role":"user","content":"go"},{"role":"assistant","content":['
+                          '{"type":"text","text":"calling"},'), use("1", "Edit", first), F.lit(","),
+                    use("2", "Bash", F.lit('{"cmd":"ls","args":[]}')), F.lit("]}]}"))
+    return c.select("conv_id", "turn", body.alias("body"))
+
+
+def transcript_files(conversations: DataFrame) -> DataFrame:
+    """B7 as transcript lines of projects ``(project, session_id, line_no, value)``: project ``p1`` holds every session;
+    ``p0`` holds those with ``conv_id % 4 = 0``, without a title, and those with ``conv_id % 4 = 1``, under another."""
+    own = title_jsonl_lines(conversations).select(F.lit("p1").alias("project"), "session_id", "line_no",
+                                                  F.col("line").alias("value"))
+    ids = conversations.select("conv_id").distinct()
+    title = F.when(F.col("conv_id") % 4 == 1, F.concat(F.lit("other "), _s(F.col("conv_id")))).otherwise(F.lit(" "))
+    copies = ids.where(F.col("conv_id") % 4 < 2).select(
+        F.lit("p0").alias("project"), F.concat(F.lit("c"), _s(F.col("conv_id"))).alias("session_id"),
+        F.lit(0).cast("long").alias("line_no"),
+        F.to_json(F.struct(F.lit("ai-title").alias("type"), title.alias("aiTitle"))).alias("value"))
+    return own.withColumn("line_no", F.col("line_no").cast("long")).unionByName(copies)
+
+
 # --- FIXED VALUES: chat finish reasons cycled by turn % 5 --------------------
 FINISH_REASON_CYCLE: tuple = ("stop", "length", "tool_calls", "content_filter", None)
 # ---------------------------------------------------------------------------
