@@ -22,6 +22,26 @@ def json_text(value: Column) -> Column:
     return F.substr(listed, F.lit(2), F.char_length(listed) - 2)
 
 
+def python_string(value: Column) -> Column:
+    """A string as Python's serialiser writes it, without leaving the JVM; ``null`` for null.
+
+    Most strings need nothing; in the others every character but printable ASCII is escaped one by one.
+    """
+    named = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+    def escaped(c: Column) -> Column:
+        units = F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1")
+        out = F.when(c.rlike('^[ !#-\\[\\]-~]\\z'), c)
+        for char, text in named.items():
+            out = out.when(c == char, F.lit(text))
+        return out.otherwise(units)
+
+    plain = value.rlike('^[ !#-\\[\\]-~]*\\z')
+    chars = F.regexp_extract_all(value, F.lit("(?s)."), 0)
+    text = F.when(plain, value).otherwise(F.array_join(F.transform(chars, escaped), ""))
+    return F.when(value.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
+
+
 def json_object(**fields: Column) -> Column:
     """An object of raw JSON texts; a field whose text is null is left out."""
     parts = [F.concat(F.lit(f'"{k}":'), v) for k, v in fields.items()]

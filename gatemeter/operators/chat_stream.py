@@ -1,11 +1,13 @@
 """C-3 / A-19: a collected chat-completions stream -> message event stream.
 
 A collected stream is one row, so the conversion is a per-row projection (no
-shuffle).  The gateway's loop carries two pieces of state from chunk to chunk
-(has a text block started; how many tool calls have been opened) and a
-reasoning buffer.  Here an ``aggregate`` fold over the ordered chunks records
-the state *before* each chunk, and a ``transform`` turns each chunk into its
-events from that state, so every block index is exactly the gateway's:
+shuffle).  What the gateway's loop carries from chunk to chunk (has a text block
+started; how many tool calls have been opened; was reasoning buffered) is read
+off positions here: the first chunk with content, with reasoning, with a tool
+id, the chunk of the fallback, and the sorted chunk numbers of all tool ids, in
+which a binary search counts those before a chunk.  A ``transform`` turns each
+chunk into its events from that, so every block index is exactly the gateway's
+and the work is linear in the chunks (times the search's steps):
 
 * the text block is index 0 and is opened by the first non-empty ``content``;
 * tool block ``k`` (0-based, counted by ids) has index ``k + 1`` if text had
@@ -16,7 +18,8 @@ events from that state, so every block index is exactly the gateway's:
 * usage comes from the last chunk that has one; the id from the first chunk;
 * lines after ``data: [DONE]`` and malformed chunks are ignored.
 
-The fold keeps a small per-chunk state array; a row is one response.
+Event texts are the gateway's, byte for byte: its key order, blanks, escapes and
+explicit nulls.  A row is one response.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 
 from gatemeter.functions.requests import chat_stream_stop_reason
 from gatemeter.functions.sse import format_sse
+from gatemeter.functions.pyjson import python_string
 from gatemeter.functions.text import pystrip
 
 _TC = "array<struct<id:string,name:string,arguments:string>>"
@@ -39,26 +43,21 @@ def _nonempty(s: Column) -> Column:
     return F.coalesce(s, F.lit("")) != ""
 
 
-def _ev(name: str, payload: Column) -> Column:
-    return format_sse(F.lit(name), F.to_json(payload))
+def _event(name: str, fields: str, *values: Column) -> Column:
+    """An event whose data is ``{"type": <name>, <fields>}``; every ``%s`` of ``fields`` is a JSON text."""
+    return format_sse(F.lit(name), F.format_string(f'{{"type": "{name}"{", " if fields else ""}{fields}}}', *values))
 
 
-def _block_start(index: Column, block: Column) -> Column:
-    return _ev("content_block_start", F.struct(F.lit("content_block_start").alias("type"),
-                                                index.alias("index"), block.alias("content_block")))
+def _text_start() -> Column:
+    return _event("content_block_start", '"index": 0, "content_block": {"type": "text", "text": ""}')
 
 
-def _block_delta(index: Column, delta: Column) -> Column:
-    return _ev("content_block_delta", F.struct(F.lit("content_block_delta").alias("type"),
-                                                index.alias("index"), delta.alias("delta")))
-
-
-def _text_block() -> Column:
-    return F.struct(F.lit("text").alias("type"), F.lit("").alias("text"))
+def _text_delta(text: Column) -> Column:
+    return _event("content_block_delta", '"index": 0, "delta": {"type": "text_delta", "text": %s}', python_string(text))
 
 
-def _text_delta(text: Column) -> Column:
-    return F.struct(F.lit("text_delta").alias("type"), text.alias("text"))
+def _int(c: Column) -> Column:
+    return c.cast("string")
 
 
 def chat_chunks(raw: Column) -> Column:
@@ -101,77 +100,66 @@ def _stage(df: DataFrame, cols: list[Column]) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*cols))))
 
 
-def _chat_states(cks: Column) -> Column:
-    """The fold: state before each chunk ``(cs, ti, rs)``."""
-    state0 = F.struct(F.lit(False).alias("cs"), F.lit(-1).alias("ti"), F.lit(False).alias("rs"),
-                      F.array().cast("array<struct<cs:boolean,ti:int,rs:boolean>>").alias("before"))
+# a binary search's steps: arrays of up to 2^21 entries
+_STEPS = [1 << k for k in range(20, -1, -1)]
 
-    def step(acc, c):
-        cs1 = acc["cs"] | _nonempty(c["content"])
-        ti1 = acc["ti"] + _n_ids(c)
-        rs1 = acc["rs"] | _buffers(c)
-        fallback = _nonempty(c["finish"]) & rs1 & ~cs1 & (ti1 < 0)
-        return F.struct((cs1 | fallback).alias("cs"), ti1.cast("int").alias("ti"), rs1.alias("rs"),
-                        F.concat(acc["before"], F.array(F.struct(
-                            acc["cs"].alias("cs"), acc["ti"].alias("ti"), acc["rs"].alias("rs"))))
-                        .alias("before"))
 
-    return F.aggregate(cks, state0, step)["before"]
+def count_below(places: Column, i: Column) -> Column:
+    """How many entries of the sorted array ``places`` are smaller than ``i``."""
+    return F.aggregate(F.array(*[F.lit(s) for s in _STEPS]), F.lit(0), lambda low, s: F.when(
+        F.get(places, low + s - 1) < i, low + s).otherwise(low))
 
 
-def _chat_events(cks: Column, states: Column, in_tok: Column, out_tok: Column,
-                 first_id: Column, model: Column) -> Column:
-    """Events of every chunk from the staged chunks and states (C-3)."""
+def _first(cks: Column, test) -> Column:
+    """Number of the first chunk that passes (from 0), or one beyond the last."""
+    at = F.array_position(F.transform(cks, lambda c: F.coalesce(test(c), F.lit(False))), F.lit(True))
+    return F.when(at > 0, at - 1).otherwise(F.size(cks)).cast("int")
+
+
+def _chat_events(p: dict[str, Column]) -> Column:
+    """Events of every chunk from the staged chunks and places (C-3)."""
+    cks = p["cks"]
+    none = F.array().cast("array<string>")
 
     def chunk_events(c, i):
-        s = F.element_at(states, i + 1)
         has_text = _nonempty(c["content"])
-        cs1 = s["cs"] | has_text
-        ti1 = s["ti"] + _n_ids(c)
-        rs1 = s["rs"] | _buffers(c)
-        finish = _nonempty(c["finish"])
-        fallback = finish & rs1 & ~cs1 & (ti1 < 0)
-        cs2 = cs1 | fallback
-        off = F.when(cs1, 1).otherwise(0)
-        none = F.array().cast("array<string>")
+        fallback = i == p["fallback"]
+        # text has started by this chunk's tool calls, and by its end
+        text_by = i >= p["content"]
+        text_by = text_by | (i > p["fallback"])
+        before = count_below(p["ids"], i)
+        off = F.when(text_by, 1).otherwise(0)
+        opened = has_text & (i == p["content"]) & (i <= p["fallback"])
         text_ev = F.when(has_text, F.concat(
-            F.when(~s["cs"], F.array(_block_start(F.lit(0), _text_block()))).otherwise(none),
-            F.array(_block_delta(F.lit(0), _text_delta(c["content"]))))).otherwise(none)
+            F.when(opened, F.array(_text_start())).otherwise(none), F.array(_text_delta(c["content"])))).otherwise(none)
         tc = c["tool_calls"]
-        tool_ev = F.flatten(F.transform(tc, lambda t, j: F.concat(
-            F.when(_nonempty(t["id"]), F.array(_block_start(
-                off + s["ti"] + F.size(F.filter(F.slice(tc, 1, j + 1), lambda x: _nonempty(x["id"]))),
-                F.struct(F.lit("tool_use").alias("type"), t["id"].alias("id"), t["name"].alias("name"),
-                         F.parse_json(F.lit("{}")).alias("input"))))).otherwise(none),
-            F.when(_nonempty(t["arguments"]), F.array(_block_delta(
-                off + s["ti"] + F.size(F.filter(F.slice(tc, 1, j + 1), lambda x: _nonempty(x["id"]))),
-                F.struct(F.lit("input_json_delta").alias("type"),
-                         t["arguments"].alias("partial_json"))))).otherwise(none))))
+
+        def tool_events(t, j):
+            index = _int(off + before - 1 + F.size(F.filter(F.slice(tc, 1, j + 1), lambda x: _nonempty(x["id"]))))
+            begin = _event("content_block_start", '"index": %s, "content_block": {"type": "tool_use", "id": %s, "name": %s, '
+                           '"input": {}}', index, python_string(t["id"]), python_string(t["name"]))
+            more = _event("content_block_delta", '"index": %s, "delta": {"type": "input_json_delta", "partial_json": %s}',
+                          index, python_string(t["arguments"]))
+            return F.concat(F.when(_nonempty(t["id"]), F.array(begin)).otherwise(none),
+                            F.when(_nonempty(t["arguments"]), F.array(more)).otherwise(none))
+
+        tool_ev = F.when(F.size(tc) > 0, F.flatten(F.transform(tc, tool_events))).otherwise(none)
         reasoning = F.array_join(F.transform(
             F.filter(F.slice(cks, 1, i + 1), _buffers), lambda x: x["reasoning"]), "")
-        n_blocks = F.when(cs2, 1).otherwise(0) + F.greatest(F.lit(0), ti1 + 1)
-        stops = F.when(n_blocks > 0, F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda k: _ev(
-            "content_block_stop", F.struct(F.lit("content_block_stop").alias("type"), k.alias("index"))))
-        ).otherwise(none)
-        finish_ev = F.when(finish, F.concat(
-            F.when(fallback, F.array(_block_start(F.lit(0), _text_block()),
-                                     _block_delta(F.lit(0), _text_delta(reasoning)))).otherwise(none),
-            stops,
-            F.array(_ev("message_delta", F.struct(
-                F.lit("message_delta").alias("type"),
-                F.struct(chat_stream_stop_reason(c["finish"]).alias("stop_reason")).alias("delta"),
-                F.struct(out_tok.alias("output_tokens")).alias("usage")))))).otherwise(none)
+        n_blocks = F.when(text_by | fallback, 1).otherwise(0) + before + _n_ids(c)
+        stops = F.when(n_blocks > 0, F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda k: _event(
+            "content_block_stop", '"index": %s', _int(k)))).otherwise(none)
+        finish_ev = F.when(_nonempty(c["finish"]), F.concat(
+            F.when(fallback, F.array(_text_start(), _text_delta(reasoning))).otherwise(none), stops,
+            F.array(_event("message_delta", '"delta": {"stop_reason": %s, "stop_sequence": null}, "usage": {"output_tokens": %s}',
+                           python_string(chat_stream_stop_reason(c["finish"])), _int(p["out"]))))).otherwise(none)
         return F.concat(text_ev, tool_ev, finish_ev)
 
-    start = _ev("message_start", F.struct(
-        F.lit("message_start").alias("type"),
-        F.struct(first_id.alias("id"), F.lit("message").alias("type"), F.lit("assistant").alias("role"),
-                 model.alias("model"), F.array().cast("array<string>").alias("content"),
-                 F.struct(in_tok.alias("input_tokens"), F.lit(0).alias("output_tokens")).alias("usage"))
-        .alias("message")))
+    start = _event("message_start", '"message": {"id": %s, "type": "message", "role": "assistant", "model": %s, "content": [], '
+                   '"stop_reason": null, "stop_sequence": null, "usage": {"input_tokens": %s, "output_tokens": 0}}',
+                   python_string(p["id"]), python_string(p["model"]), _int(p["in"]))
     body = F.array_join(F.flatten(F.transform(cks, chunk_events)), "")
-    stop = _ev("message_stop", F.struct(F.lit("message_stop").alias("type")))
-    return F.when(F.size(cks) > 0, F.concat(start, body, stop)).otherwise(F.lit(""))
+    return F.when(F.size(cks) > 0, F.concat(start, body, _event("message_stop", ""))).otherwise(F.lit(""))
 
 
 def convert_chat_streams(streams: DataFrame, keys: list[str], raw_col: str = "raw",
@@ -179,19 +167,28 @@ def convert_chat_streams(streams: DataFrame, keys: list[str], raw_col: str = "ra
     """C-3 for a table of collected streams: ``(*keys, events)``, the message
     event stream as SSE text (``''`` when a stream has no valid chunk).
 
-    Three narrow stages: parse the chunks once, fold the block state once,
-    then emit every chunk's events from the staged columns.
+    Four narrow stages: parse the chunks once, find the places once, the
+    fallback's place from them, then emit every chunk's events.
     """
     k = [F.col(c) for c in keys]
     a = _stage(streams, [*k, chat_chunks(F.col(raw_col)).alias("_cks")])
     cks = F.col("_cks")
     last_usage = F.try_element_at(F.filter(cks, lambda c: c["has_usage"]), F.lit(-1))
-    b = _stage(a, [*k, cks, _chat_states(cks).alias("_st"),
+    b = _stage(a, [*k, cks, _first(cks, lambda c: _nonempty(c["content"])).alias("_content"),
+                   _first(cks, _buffers).alias("_reasoning"), _first(cks, lambda c: _n_ids(c) > 0).alias("_tool"),
+                   F.flatten(F.transform(cks, lambda c, i: F.array_repeat(i, _n_ids(c)))).alias("_ids"),
                    F.coalesce(last_usage["prompt_tokens"], F.lit(0)).alias("_in"),
                    F.coalesce(last_usage["completion_tokens"], F.lit(0)).alias("_out"),
                    F.coalesce(F.try_element_at(cks, F.lit(1))["id"], F.lit("msg_proxy")).alias("_id")])
-    return b.select(*keys, _chat_events(cks, F.col("_st"), F.col("_in"), F.col("_out"), F.col("_id"),
-                                        F.lit(model)).alias("events"))
+    # the first finish after some reasoning and before any content or tool call, itself included
+    ends = F.filter(F.transform(cks, lambda c, i: F.when(
+        _nonempty(c["finish"]) & (i >= F.col("_reasoning")) & (i < F.col("_content")) & (i < F.col("_tool")), i)),
+        lambda i: i.isNotNull())
+    names = ["content", "ids", "in", "out", "id"]
+    c = _stage(b, [*k, cks, *[F.col(f"_{n}") for n in names],
+                   F.coalesce(F.try_element_at(ends, F.lit(1)), F.size(cks)).alias("_fallback")])
+    places = {n: F.col(f"_{n}") for n in [*names, "fallback", "cks"]} | {"model": F.lit(model)}
+    return c.select(*keys, _chat_events(places).alias("events"))
 
 
 # --- C-4: Responses-API stream -> chat-completions chunks ----------------------------

@@ -557,7 +557,7 @@ def q_chat_sse_to_events(spark, d):
     """C-3 over collected chat streams, read back through the SSE reader."""
     keys = ["conv_id", "turn"]
     ev = chat_stream.convert_chat_streams(bridges.chat_sse_raw(conversations(spark, d)), keys)
-    idx = F.regexp_extract("events", r'"index":([0-9]+),"content_block":\{"type":"tool_use"', 1)
+    idx = F.regexp_extract("events", r'"index": ([0-9]+), "content_block": \{"type": "tool_use"', 1)
     ev = ev.select(*keys, "events",
                    F.when(idx != "", idx.cast("long")).alias("tool_block_index"))
     f = sse.facts_from_raw(ev, [*keys, "tool_block_index"], raw_col="events")
@@ -611,7 +611,7 @@ def q_responses_to_chat(spark, d):
     chunks = chat_stream.convert_responses_streams(
         bridges.responses_sse_raw(conversations(spark, d)), keys, chat_id, created)
     ev = chat_stream.convert_chat_streams(chunks, keys, raw_col="chunks")
-    idx = F.regexp_extract("events", r'"index":([0-9]+),"content_block":\{"type":"tool_use"', 1)
+    idx = F.regexp_extract("events", r'"index": ([0-9]+), "content_block": \{"type": "tool_use"', 1)
     ev = ev.select(*keys, "events", F.when(idx != "", idx.cast("long")).alias("tool_block_index"))
     f = sse.facts_from_raw(ev, [*keys, "tool_block_index"], raw_col="events")
     return f.select(*keys, "text", "message_id", "stop_reason", "input_tokens", "output_tokens",

@@ -65,6 +65,83 @@ def test_reasoning_fallback_and_empty(spark):
     assert _events(spark, "data: [DONE]\n\n") == []
 
 
+def test_event_text_is_the_serialisers(spark):
+    odd = 'é "q" \\ \n\t\x1f\x7f 😀\n'
+    raw = (_d({"id": "x", "choices": [{"delta": {"content": odd}}]})
+           + _d({"choices": [{"delta": {"tool_calls": [{"id": odd, "function": {"name": "N", "arguments": odd}}]}}]})
+           + _d({"choices": [{"delta": {}, "finish_reason": "stop"}]}))
+    out = convert_chat_streams(spark.createDataFrame([(raw,)], "raw string"), [], model="m").collect()[0].events
+    data = [line[len("data: "):] for line in out.split("\n") if line.startswith("data: ")]
+    assert data == [json.dumps(json.loads(x)) for x in data]
+    assert json.loads(data[0])["message"] == {
+        "id": "x", "type": "message", "role": "assistant", "model": "m", "content": [], "stop_reason": None,
+        "stop_sequence": None, "usage": {"input_tokens": 0, "output_tokens": 0}}
+    assert [json.loads(x)["delta"] for x in data if '"delta"' in x] == [
+        {"type": "text_delta", "text": odd}, {"type": "input_json_delta", "partial_json": odd},
+        {"stop_reason": "end_turn", "stop_sequence": None}]
+
+
+def test_block_indices_of_random_streams(spark):
+    """Indices by counting ids and looking for text in what came before each chunk."""
+    import random
+
+    rng = random.Random(6)
+    streams, want = [], []
+    for s in range(60):
+        chunks = []
+        for _ in range(rng.randint(1, 9)):
+            delta = {}
+            if rng.random() < 0.25:
+                delta["content"] = rng.choice(["", "t"])
+            if rng.random() < 0.35:
+                delta["reasoning"] = "r"
+            if rng.random() < 0.35:
+                delta["tool_calls"] = [{"id": rng.choice(["", "i"]), "function": {"name": "n", "arguments": rng.choice(["", "a"])}}
+                                       for _ in range(rng.randint(1, 3))]
+            chunks.append((delta, rng.choice([None, None, "stop"])))
+        streams.append((s, "".join(_d({"choices": [{"delta": d, "finish_reason": f}]}) for d, f in chunks)))
+        text = False
+        for n, (d, f) in enumerate(chunks):
+            earlier = [t for x, _ in chunks[:n] for t in x.get("tool_calls", ())]
+            fresh = bool(d.get("content")) and not text
+            text = text or bool(d.get("content"))
+            if d.get("content"):
+                want += [(s, "start", 0)] * fresh + [(s, "delta", 0)]
+            for j, t in enumerate(d.get("tool_calls", ())):
+                k = sum(bool(x["id"]) for x in earlier + d["tool_calls"][:j + 1]) - 1 + text
+                want += [(s, "start", k)] * bool(t["id"]) + [(s, "delta", k)] * bool(t["function"]["arguments"])
+            tools = sum(bool(x["id"]) for x in earlier + d.get("tool_calls", []))
+            if f:
+                thought = any(x.get("reasoning") and not x.get("content") for x, _ in chunks[:n + 1])
+                if thought and not text and not tools:
+                    want += [(s, "start", 0), (s, "delta", 0)]
+                    text = True
+                want += [(s, "stop", i) for i in range(text + tools)]
+    got = []
+    rows = convert_chat_streams(spark.createDataFrame(streams, "s int, raw string"), ["s"], model="m").orderBy("s").collect()
+    for r in rows:
+        for line in r.events.split("\n"):
+            if line.startswith("data: ") and "content_block_" in line:
+                e = json.loads(line[len("data: "):])
+                got.append((r.s, e["type"].removeprefix("content_block_"), e["index"]))
+    assert got == want
+
+
+def test_time_grows_with_the_chunks(spark):
+    import time
+
+    def seconds(n):
+        raw = "".join(_d({"choices": [{"delta": {"content": f"w{i}"} if i % 3 else {"tool_calls": [
+            {"id": f"c{i}", "function": {"name": "n", "arguments": "{}"}}]}}]}) for i in range(n))
+        streams = spark.createDataFrame([(raw,)], "raw string")
+        began = time.perf_counter()
+        convert_chat_streams(streams, [], model="m").write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(24_000) < 6 * max(seconds(6_000), 0.5)
+
+
 def _r(name: str, obj, space: bool = True) -> str:
     return f"event: {name}\ndata:{' ' if space else ''}{json.dumps(obj)}\n\n"
 
