@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatemeter.session import checkpoint_dir
 
+T = TypeVar("T")
+
 # ASCII white space only: the other Unicode spaces belong to words.
 SPACE_CLASS = r"\x20\x09-\x0D"
 WORD_RE = f"[^{SPACE_CLASS}]+"
@@ -49,6 +53,17 @@ def integer_vectors(vectors: DataFrame, scale: int, column: str = "embedding") -
         "v", F.transform(x, lambda c: F.floor(scale * c.cast("double")).cast("long")))
 
 
+_MEMO: dict[object, object] = {}
+
+
+def worker_memo(key: object, make: Callable[[], T]) -> T:
+    """The memo of a Python worker.  Workers are reused by later stages, so another key drops the memo before."""
+    if key not in _MEMO:
+        _MEMO.clear()
+        _MEMO[key] = make()
+    return _MEMO[key]
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession

@@ -40,14 +40,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatemeter.llm.common import components, discard, written
+from gatemeter.llm.common import components, discard, worker_memo, written
 
 SHINGLE = 4
 PERCENT = 80
 BANDS, ROWS = 24, 4
 PERMUTATIONS = BANDS * ROWS // 2
 BLOCK = 256
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 200_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BATCH_SHINGLES = 1_000_000
 
@@ -70,9 +70,6 @@ class _Words(dict):
         return h
 
 
-_MEMO = _Words()
-
-
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of one text."""
     if not text:
@@ -80,7 +77,7 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()  # splits at 0x20, 0x09-0x0D only
     if not words:
         return np.zeros(0, np.uint64)
-    w = np.array(list(map(_MEMO.__getitem__, words)), dtype=np.uint64)
+    w = np.array(list(map(worker_memo("minhash", _Words).__getitem__, words)), dtype=np.uint64)
     k = min(shingle, len(w))
     h = w[:len(w) - k + 1].copy()
     for i in range(1, k):

@@ -31,13 +31,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatemeter.llm.common import staged, written
+from gatemeter.llm.common import staged, worker_memo, written
 
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 END_ID = 0
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 300_000
 
 
 class _CutHere(Exception):
@@ -121,14 +121,9 @@ class Encoder:
                 [encode(" " + p) if any(c.isspace() for c in p) else self.words[p] for p in rest])
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
 def encoder(tokenizer: str | None = None, ranks: str | None = None) -> Encoder:
     """One encoder per Python worker."""
-    if (tokenizer, ranks) not in _ENCODERS:
-        _ENCODERS[tokenizer, ranks] = Encoder(tokenizer, ranks)
-    return _ENCODERS[tokenizer, ranks]
+    return worker_memo(("packing", tokenizer, ranks), lambda: Encoder(tokenizer, ranks))
 
 
 def tokenised(text: Column, capacity: int = CAPACITY, tokenizer: str | None = None, ranks: str | None = None,

@@ -32,6 +32,7 @@ table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,6 +43,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatemeter.llm.common import worker_memo
 from gatemeter.llm.labelled import fold, logistic, training_rows
 
 PER_CLASS = 1500
@@ -52,17 +54,26 @@ STEP = 10
 SYMBOLS = 64
 START, END = "^", "$"
 FLOOR = -3.0
-MEMO_CHARS = 3_000_000
+MEMO_CHARS = 2_000_000
 CHUNK_CHARS = 1_000_000
 ENDS = tuple(".!?;:")
+SHORT_WORDS = re.compile(r"(?<!\S)\S{1,3}(?!\S)(?:\s+\S{1,3}(?!\S))+")
 SPELLED = str.maketrans("013457@$!", "oieastasi")
 AROUND = "!?.,;:'\"()[]{}<>|*%&#-_…"
 CODES = {c: i + 2 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")} | {START: 0, END: 1}
 
 
-def _code(c: str) -> int:
-    got = CODES.get(c)
-    return 28 + ord(c) % (SYMBOLS - 28) if got is None else got
+def _code(c: int) -> int:
+    return CODES.get(chr(c), 28 + c % (SYMBOLS - 28))
+
+
+ASCII_CODES = np.array([_code(c) for c in range(128)], dtype=np.int32)
+
+
+def symbols(strings: list[str]) -> np.ndarray:
+    """The symbols of strings of one length, a row each."""
+    c = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(strings), -1)
+    return np.where(c < 128, ASCII_CODES[np.minimum(c, 127)], 28 + c % (SYMBOLS - 28)).astype(np.int32)
 
 
 def unit(word: str) -> str:
@@ -73,33 +84,38 @@ def unit(word: str) -> str:
 
 def units(text: str | None) -> list[str]:
     """Words of a text; runs of single letters, and of words of one or two, are joined into one more each."""
-    words = text.split() if text else []
-    if not any(len(w) <= 2 for w in words):
-        return words
+    if not text:
+        return []
+    return text.split() + [u for run in SHORT_WORDS.finditer(text) for u in joined(run.group().split())]
+
+
+def joined(words: list[str]) -> list[str]:
+    """What a run of short words spells: its single letters, and its pieces of one or two letters within a sentence."""
     out, letters, pieces = [], [], []
 
     def close(run: list[str], least: int) -> None:
-        joined = "".join(run)
-        if len(run) >= 2 and len(joined) >= least:
-            out.append(joined)
+        if len(run) >= 2 and len(u := "".join(run)) >= least:
+            out.append(u)
         run.clear()
 
+    def close_pieces() -> None:
+        # single letters alone are the other kind of run
+        if any(len(x) > 1 for x in pieces):
+            close(pieces, 4)
+        pieces.clear()
+
     for w in words:
-        short = unit(w) if len(w) <= 3 else ""
-        single = len(w) <= 2 and len(short) == 1
-        if single:
+        short = unit(w)
+        if len(w) <= 2 and len(short) == 1:
             letters.append(short)
         else:
             close(letters, 3)
-            out.append(w)
         if 1 <= len(short) <= 2:
-            # a run of single letters only is the other kind
             pieces.append(short)
         if not 1 <= len(short) <= 2 or w.endswith(ENDS):
-            close(pieces if any(len(x) > 1 for x in pieces) else [], 4)
-            pieces.clear()
+            close_pieces()
     close(letters, 3)
-    close(pieces if any(len(x) > 1 for x in pieces) else [], 4)
+    close_pieces()
     return out
 
 
@@ -128,8 +144,8 @@ def by_length(strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
     for n in np.unique(lengths[lengths >= 3]):
         at = np.flatnonzero(lengths == n)
         t, decay = triples(int(n))
-        for some in np.array_split(at, -(-len(at) * len(decay) // 1_000_000)):
-            c = np.array([list(map(_code, strings[i])) for i in some], dtype=np.int32)
+        for some in np.array_split(at, -(-len(at) * len(decay) // 300_000)):
+            c = symbols([strings[i] for i in some])
             codes = (c[:, t[:, 0]] * SYMBOLS + c[:, t[:, 1]]) * SYMBOLS + c[:, t[:, 2]]
             # norm: equal triples of one string add up before they are squared
             order = np.argsort(codes, axis=1, kind="stable")
@@ -177,16 +193,10 @@ class Memo(dict):
         return new
 
 
-# one memo per worker, for the machine it serves
-_MEMOS: dict[bytes, Memo] = {}
-
-
 def _memo(machine: "Machine") -> Memo:
-    key = hashlib.blake2b(machine.weights.tobytes() + np.float64(machine.offset).tobytes()).digest()
-    if key not in _MEMOS:
-        _MEMOS.clear()
-        _MEMOS[key] = Memo()
-    return _MEMOS[key]
+    """One memo per worker, for the machine it serves."""
+    mark = hashlib.blake2b(machine.weights.tobytes() + np.float64(machine.offset).tobytes()).digest()
+    return worker_memo(("toxicity", mark), Memo)
 
 
 def chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -220,8 +230,12 @@ class Machine:
         """The largest margin of each word's windows."""
         parts = [windows(unit(w)) for w in words]
         got = self.margins([p for ps in parts for p in ps])
-        ends = np.cumsum([len(ps) for ps in parts])
-        return [float(got[e - len(ps):e].max()) if ps else FLOOR for e, ps in zip(ends, parts)]
+        sizes = np.array([len(ps) for ps in parts], dtype=np.int64)
+        best = np.full(len(parts), FLOOR)
+        some = sizes > 0
+        if some.any():
+            best[some] = np.maximum.reduceat(got, (np.cumsum(sizes) - sizes)[some])
+        return best.tolist()
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """Per text: the largest, second and third margin of its distinct units, positive ones, and their share."""

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_ORACLE
-from gatemeter.llm import lm_score, quality_crf, toxicity, url_filter
+from gatemeter.llm import common, lm_score, quality_crf, toxicity, url_filter
 from gatemeter.llm.common import table
 from helpers import EDGE_DOCS, LINE, doc, edge_docs, labels
 
@@ -75,9 +75,9 @@ def test_whole_long_units_and_insults_across_blanks(monkeypatch):
     # chunks and an emptied memo change nothing
     monkeypatch.setattr(toxicity, "CHUNK_CHARS", 300)
     monkeypatch.setattr(toxicity, "MEMO_CHARS", 500)
-    toxicity._MEMOS.clear()
+    common._MEMO.clear()
     assert np.allclose(m.scores(cases + texts), np.concatenate([s, m.scores(texts)]))
-    assert toxicity.units("go to it. id io t") == ["go", "to", "it.", "gotoit", "id", "io", "idiot"]
+    assert toxicity.units("go to it. id io t") == ["go", "to", "it.", "id", "io", "t", "gotoit", "idiot"]
 
 
 @pytest.fixture(scope="module")
