@@ -25,12 +25,19 @@ def daily_search_spend(requests: DataFrame) -> DataFrame:
                  (F.sum("cost_micro").cast("double") / 1e6).alias("spend_usd")))
 
 
+def running_micro(requests: DataFrame, num_partitions: int | None = None) -> DataFrame:
+    """Paid searches with ``_run``, the day's spend so far in micro-dollars by (ts, request_id)."""
+    return running_sum(_search_calls(requests), ["day"], ["ts", "request_id"], "cost_micro", "_run",
+                       num_partitions=num_partitions)
+
+
+def as_spent() -> list:
+    """The logged columns of :func:`running_micro`."""
+    return [F.col("request_id"), F.col("ts"), (F.col("cost_micro").cast("double") / 1e6).alias("cost_usd"),
+            (F.col("_run").cast("double") / 1e6).alias("spend_today_usd")]
+
+
 def running_search_spend(requests: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """W-1: each paid search with the day's spend so far (``spend_today_usd``),
     ordered by (ts, request_id) within the day, rounded to 4 decimals as logged."""
-    calls = _search_calls(requests)
-    out = running_sum(calls, ["day"], ["ts", "request_id"], "cost_micro", "_run",
-                      num_partitions=num_partitions)
-    return out.select("request_id", "ts", "day",
-                      (F.col("cost_micro").cast("double") / 1e6).alias("cost_usd"),
-                      (F.col("_run").cast("double") / 1e6).alias("spend_today_usd"))
+    return running_micro(requests, num_partitions).select(*as_spent(), "day")

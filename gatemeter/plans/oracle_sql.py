@@ -943,3 +943,18 @@ SELECT conv_id, turn, '{{"id": "' || CASE WHEN turn % 6 = 5 THEN 'msg_proxy'
   || CAST(CASE WHEN turn % 7 = 3 THEN 0 ELSE length(coalesce(text, '')) END AS VARCHAR) || '}}}}' AS message
 FROM conversations WHERE role = 'assistant'
 """
+
+ORACLES["stream_ingest_bounded"] = ORACLES["stream_ingest"]
+ORACLES["stream_running_spend"] = ORACLES["search_spend_running"]
+ORACLES["stream_rejects"] = """
+SELECT concat('req_', CAST(event_id AS VARCHAR)) AS request_id,
+  CASE WHEN event_id % 1000 = 3 THEN 'no_request_id' WHEN event_id % 4999 = 17 THEN 'bad_value' END AS reason
+FROM events
+"""
+ORACLES["stored_facts"] = with_fact(f""", {_B2_FEATURES}
+SELECT CAST(ts AS DATE) AS day, f.upstream_model, count(*) AS calls,
+  CAST(sum(coalesce(b.n_messages, f.n_messages)) AS BIGINT) AS messages,
+  CAST(sum(coalesce(b.tool_count, 0)) AS BIGINT) AS tools, CAST(sum(f.total_tokens) AS BIGINT) AS tokens
+FROM (SELECT *, NULL AS n_messages FROM fact) f LEFT JOIN b2 b USING (request_id)
+WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-05' GROUP BY 1, 2
+""".replace("\n, ", ", ", 1))

@@ -17,9 +17,9 @@ from gatemeter import fixed
 from gatemeter.functions.requests import beta_forwarded, beta_stripped, derive_route, parse_user_id
 from gatemeter.operators import (bodies, catalog, chat_stream, convert, messages, responses, search, sessions, spend,
                                  sse, summaries)
-from gatemeter.operators.telemetry import build_telemetry, telemetry_from_events
+from gatemeter.operators.telemetry import attach_body_features, build_telemetry, telemetry_from_events
 from gatemeter.plans import reports
-from gatemeter.sources import bridges
+from gatemeter.sources import bridges, fact_store
 from gatemeter.sources import request_log as request_log_mod
 from gatemeter.sources import sinks
 from gatemeter.streaming import assembly, ingest
@@ -502,6 +502,77 @@ def q_stream_daily_spend(spark, d):
     return ingest.daily_spend(spark, table)
 
 
+def _land_in_time_order(spark, rows, name, slices):
+    """Land rows as one file per slice of their time, in that order."""
+    path = sinks.new_table_path(spark, f"{name}-landing")
+    first, last = rows.agg(F.unix_micros(F.min(F.col("ts").cast("timestamp"))),
+                           F.unix_micros(F.max(F.col("ts").cast("timestamp")))).first()
+    width = ((last or 0) - (first or 0)) // slices + 1
+    part = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(first or 0)) / width)
+    for i in range(slices):
+        yield path, rows.where(part == i), rows.where(part == i - 1)
+
+
+@query("stream_ingest_bounded")
+def q_stream_ingest_bounded(spark, d):
+    """ST-2 with bounded state: every slice of five days comes with the one before once more."""
+    raw = bridges.calls_from_usage_raw(usage_raw(spark, d))
+    for landing, now, again in _land_in_time_order(spark, raw, "stream_ingest_bounded", 6):
+        now.unionByName(again).coalesce(1).write.mode("append").parquet(landing)
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", "1").parquet(landing)
+    place = sinks.new_table_path(spark, "stream_ingest_bounded")
+    ingest.run_to_end(ingest.ingest_within_watermark(stream, f"{place}/facts", f"{place}/ckpt", "11 days"))
+    return spark.read.parquet(f"{place}/facts").select(
+        "request_id", "route", "status", "upstream_model", "input_tokens", "output_tokens",
+        "total_tokens", "est_cost_micro_usd")
+
+
+@query("stream_running_spend")
+def q_stream_running_spend(spark, d):
+    """ST-7: the day's spend so far on every paid search as it arrives, over seven micro-batches that cut days."""
+    fact = fact_table(spark, d).select("request_id", "ts", "route", "tavily_cost_usd")
+    for landing, now, _ in _land_in_time_order(spark, fact, "stream_running_spend", 7):
+        now.coalesce(1).write.mode("append").parquet(landing)
+    stream = spark.readStream.schema(fact.schema).option("maxFilesPerTrigger", "1").parquet(landing)
+    place = sinks.new_table_path(spark, "stream_running_spend")
+    ingest.run_to_end(ingest.running_spend(stream, f"{place}/totals", f"{place}/rows", f"{place}/ckpt"))
+    return spark.read.parquet(f"{place}/rows").select("request_id", "ts", "day", "cost_usd", "spend_today_usd")
+
+
+@query("stream_rejects")
+def q_stream_rejects(spark, d):
+    """ST-3: calls that cannot be stored, by reason: no key, or token counts beyond the table's type."""
+    raw = bridges.calls_from_usage_raw(usage_raw(spark, d))
+    n = F.substring("request_id", 5, 1 << 20).cast("long")
+    raw = raw.withColumn("output_tokens", F.when(n % 4999 == 17, F.lit(1 << 40)).otherwise(F.col("output_tokens")))
+    raw = raw.withColumn("call", F.col("request_id")).withColumn(
+        "request_id", F.when(n % 1000 != 3, F.col("request_id")))
+    place = sinks.new_table_path(spark, "stream_rejects")
+    raw.repartition(2).write.parquet(f"{place}/landing")
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", "1").parquet(f"{place}/landing")
+    ingest.run_to_end(ingest.ingest_calls(stream, f"{place}/facts", f"{place}/ckpt", rejects_path=f"{place}/rejects"))
+    rejects = spark.read.option("recursiveFileLookup", "true").parquet(f"{place}/rejects")
+    stored = spark.read.parquet(f"{place}/facts").select("request_id", F.lit(None).cast("string").alias("reason"))
+    reason = F.when(F.col("reject_reason") == "no_request_id", F.col("reject_reason")).otherwise(F.lit("bad_value"))
+    return stored.unionByName(rejects.select(F.col("call").alias("request_id"), reason.alias("reason")))
+
+
+@query("stored_facts")
+def q_stored_facts(spark, d):
+    """SRC-2: the stored fact table joined to stored body features by bucket, read for three days."""
+    place = sinks.new_table_path(spark, "stored_facts")
+    suffix = place.rsplit("-", 1)[1]
+    fact_store.write_bucketed(fact_table(spark, d), f"facts_{suffix}", f"{place}/facts")
+    features = fact_store.write_bucketed(bodies.body_features(request_bodies(spark, d)), f"features_{suffix}",
+                                         f"{place}/features", day=False)
+    facts = spark.table(f"facts_{suffix}").where("day BETWEEN DATE'2024-01-03' AND DATE'2024-01-05'")
+    joined = attach_body_features(facts, features)
+    return (joined.groupBy(F.to_date("ts").alias("day"), "upstream_model")
+            .agg(F.count(F.lit(1)).alias("calls"), F.sum(F.col("n_messages").cast("long")).alias("messages"),
+                 F.sum(F.col("tool_count").cast("long")).alias("tools"),
+                 F.sum(F.col("total_tokens").cast("long")).alias("tokens")))
+
+
 # --- SSE reads (ST-8 batch, W-3, P-18) -------------------------------------------------
 @query("sse_chunk_facts")
 def q_sse_chunk_facts(spark, d):

@@ -125,3 +125,69 @@ def test_a_hot_folder_is_written_by_several_tasks(spark, tmp_dir):
         spark.conf.set(size, before)
     assert len(glob.glob(f"{tmp_dir}/hot/day=2026-01-01/*.parquet")) > 1
     assert spark.read.parquet(f"{tmp_dir}/hot").select("id").distinct().count() == 60_000
+
+
+def test_bad_rows_are_found_by_halving(spark, tmp_dir):
+    """One row among ten thousand that cannot be stored is rejected alone; other errors are raised."""
+    import pytest
+
+    rows = spark.range(10_000).selectExpr("id", "CASE WHEN id = 4711 THEN 0 ELSE 1 END AS d").repartition(4)
+    stored = os.path.join(tmp_dir, "stored")
+    derive = lambda df: df.selectExpr("id", "id div d AS q")
+    ingest.append_bisecting(rows, derive, lambda f: f.write.mode("append").parquet(stored), os.path.join(tmp_dir, "rejects"))
+    bad = spark.read.option("recursiveFileLookup", "true").parquet(os.path.join(tmp_dir, "rejects")).collect()
+    assert [r.id for r in bad] == [4711] and "DIVIDE_BY_ZERO" in bad[0].reject_reason
+    assert spark.read.parquet(stored).count() == 9_999
+    twins = spark.range(6).selectExpr("id div 3 AS id", "CASE WHEN id < 3 THEN 0 ELSE 1 END AS d")
+    assert len(ingest.bad_parts(twins, F.xxhash64("id", "d"), derive)) == 1
+
+    def broken(_):
+        raise OSError("disk full")
+
+    with pytest.raises(OSError):
+        ingest.append_bisecting(rows, derive, broken, os.path.join(tmp_dir, "none"))
+
+
+def test_stored_facts_join_without_exchange_and_read_one_day(spark, tmp_dir):
+    from gatemeter import fixed
+    from gatemeter.operators.telemetry import attach_body_features, telemetry_from_events
+    from gatemeter.operators.bodies import body_features
+    from gatemeter.sources import fact_store
+
+    events = read_table(spark, SF_SMALL, "events")
+    bodies = bridges.request_bodies(events, read_table(spark, SF_SMALL, "conversations"))
+    path = os.path.join(tmp_dir, "facts")
+    facts = fact_store.write_bucketed(telemetry_from_events(events), "facts_bucketed", path, buckets=4)
+    features = fact_store.write_bucketed(body_features(bodies), "features_bucketed", os.path.join(tmp_dir, "f"), 4, day=False)
+    size = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "-1")
+    try:
+        plan = attach_body_features(facts, features)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(size, before)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    day = str(facts.agg(F.min("day")).first()[0])
+    one = fact_store.read_facts(spark, path, (day, day))
+    assert "PartitionFilters: [isnotnull(day" in one._jdf.queryExecution().executedPlan().toString()
+    assert one.select("day").distinct().count() == 1 and one.count() == facts.where(F.col("day") == day).count() > 0
+    assert one.columns[:49] == fixed.TELEMETRY_SCHEMA.fieldNames()
+    assert [f.dataType for f in one.schema.fields[:49]] == [f.dataType for f in fixed.TELEMETRY_SCHEMA.fields]
+
+
+def test_running_spend_repeats_a_batch(spark, tmp_dir):
+    """The totals of a version come from the one before, so a repeated micro-batch changes nothing."""
+    rows = spark.sql("""SELECT concat('r', id) AS request_id, timestamp'2024-01-01 20:00:00' + make_interval(0,0,0,0,id) AS ts,
+                        'tavily' AS route, 0.008D AS tavily_cost_usd FROM range(9)""").withColumn("ts", F.col("ts").cast("timestamp"))
+    for i in range(3):
+        rows.where(F.col("request_id").substr(2, 1).cast("int").between(3 * i, 3 * i + 2)).coalesce(1).write.mode(
+            "append").parquet(f"{tmp_dir}/landing")
+
+    def run(ckpt):
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "1").parquet(f"{tmp_dir}/landing")
+        ingest.run_to_end(ingest.running_spend(stream, f"{tmp_dir}/totals", f"{tmp_dir}/out", f"{tmp_dir}/{ckpt}"))
+        return sorted((r.request_id, str(r.day), r.spend_today_usd) for r in spark.read.parquet(f"{tmp_dir}/out").collect())
+
+    first = run("a")
+    assert first == run("b")
+    assert [x[2] for x in first] == [0.008, 0.016, 0.024, 0.032, 0.008, 0.016, 0.024, 0.032, 0.04]
