@@ -20,30 +20,35 @@ Corpus work (all documents, growing with them):
    weighted by its tokens; a grouped sum averages them for the next round.  All
    rows are trained on once.  Only word and parameter tables of fixed size reach
    the driver.
-Scoring takes the rows in chunks: the words without an id of their own are looked
-up once per chunk by a join, and meet its texts in a cogroup.
+   Rows travel to their replica as ids, two bytes a token.
+Scoring takes the rows in chunks of bounded size: the words without an id of
+their own are looked up once per chunk by a join, and meet its texts in a
+cogroup.  The rows are stored by buckets of chunks, so the texts don't move.
 
 Edge cases: null, empty and blank texts have 0 tokens, log_prob 0 and a null
 mean; a text of one word is predicted from the edges alone; repeated rows score
-alike; an empty table gives an empty result; extra columns are kept by
-:func:`score`.
+alike; very long texts are read whole (a chunk of their own); an empty table
+gives an empty result; extra columns are kept by :func:`score`.
 """
 
 from __future__ import annotations
 
-import gc
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from gatemeter.llm.common import discard, written
+from gatemeter.session import checkpoint_dir
 
 CLASSES = 32
 PER_CLASS = 32
@@ -54,12 +59,18 @@ WIDTH = 16
 SIDES = (-2, -1, 1, 2)
 BATCH = 8192
 RATE = 0.05
-MEMO_ENTRIES = 300_000
 COUNTER_ENTRIES = 200_000
 ROUNDS = 4
 REPLICA_TOKENS = 500_000
 UNSEEN = 0.5
 CHUNK_ROWS = 4096
+CHUNK_BYTES = 16 << 20
+TRAIN_TOKENS = 200_000
+# buckets of the rows to score: about so many tokens each
+BUCKET_TOKENS = 2_000_000
+MOST_BUCKETS = 20_000
+# logits beyond this say nothing more in single precision
+LIMIT = 30.0
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -77,19 +88,17 @@ class Tail:
 
 
 class Vocabulary(dict):
-    """word -> id; words outside the table are hashed on first sight (bounded memo).  Workers get no ``tail``."""
+    """word -> id of the words with an id of their own; all others are hashed.  Workers get no ``tail``."""
 
     def __init__(self, words: list[bytes], tail: Tail | None = None) -> None:
         super().__init__({w: i for i, w in enumerate(words)})
-        self.words, self.known, self.tail = words, len(words), tail
+        self.words, self.tail = words, tail
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) >= self.known + MEMO_ENTRIES:
-            self.clear()
-            self.update({x: i for i, x in enumerate(self.words)})
-        i = WORDS + zlib.crc32(w) % HASHED
-        self[w] = i
-        return i
+        return WORDS + zlib.crc32(w) % HASHED
+
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
     def __reduce__(self):
         return Vocabulary, (self.words,)
@@ -108,21 +117,25 @@ class Shares(dict):
         return float(self.unseen[zlib.crc32(w) % HASHED])
 
 
-def encode(texts: list[str | None], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """All ids in a row, two edges between texts and around all, and the tokens of each text."""
-    return encode_words([split_bytes(t) for t in texts], vocabulary)
+def coded(split: list[list[bytes]]) -> tuple[np.ndarray, list[bytes]]:
+    """All words in a row, as places in the list of the distinct ones."""
+    flat = pa.array(chain.from_iterable(split), pa.binary()).dictionary_encode()
+    return flat.indices.to_numpy(zero_copy_only=False), flat.dictionary.to_pylist()
+
 
+def between_edges(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Ids of texts in a row, with two edges between texts and around all."""
+    out = np.full(len(ids) + 2 * len(sizes) + 2, EDGE, dtype=np.int64)
+    out[places(sizes)[0]] = ids
+    return out
 
-def encode_words(split: list[list[bytes]], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    ids: list[int] = [EDGE, EDGE]
-    sizes = np.zeros(len(split), np.int64)
-    get = vocabulary.__getitem__
-    for i, ws in enumerate(split):
-        before = len(ids)
-        ids.extend(map(get, ws))
-        sizes[i] = len(ids) - before
-        ids += (EDGE, EDGE)
-    return np.array(ids, dtype=np.int64), sizes
+
+def encode(texts: list[str | None], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """All ids in a row, two edges between texts and around all, and the tokens of each text."""
+    split = [split_bytes(t) for t in texts]
+    sizes = np.array([len(ws) for ws in split], dtype=np.int64)
+    codes, words = coded(split)
+    return between_edges(vocabulary.ids(words)[codes], sizes), sizes
 
 
 @dataclass
@@ -174,9 +187,9 @@ class WindowNetwork:
 
     @staticmethod
     def _softmax(x: np.ndarray) -> np.ndarray:
-        x -= x.max(1, keepdims=True)
+        np.clip(x, -LIMIT, LIMIT, out=x)
         np.exp(x, out=x)
-        x /= x.sum(1, keepdims=True)
+        x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
         return x
 
     def token_log_probs(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -283,12 +296,6 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             .groupBy("word").agg(F.sum("n").alias("n")))
 
 
-def drop_shuffles(spark: SparkSession) -> None:
-    """Shuffle files of finished jobs go when the driver collects its garbage, which it seldom does by itself."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def vocabulary(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, np.ndarray]:
     """The most frequent words (ties by bytes) with the table of all others, and the corpus counts of every id."""
     spark = docs.sparkSession
@@ -304,24 +311,36 @@ def vocabulary(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, np.ndar
     whole = seen + UNSEEN * (kinds + 1)
     table = written(rest.select("word", "n"))
     discard(counts)
-    drop_shuffles(spark)
     ids = np.zeros(CLASSES * PER_CLASS)
     ids[:len(top)] = [r["n"] for r in top]
     ids[WORDS:EDGE] = seen
     return Vocabulary(words, Tail(table, whole, int(ids.sum()))), ids
 
 
-def by_replica(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str | None]]:
-    """The texts of one replica after another from rows (replica, text) in order of replicas."""
-    held: list[str | None] = []
+def by_replica(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The texts (ids) of one replica after another from rows (replica, ids) in order of replicas."""
+    held: list[np.ndarray] = []
     last = None
     for batch in batches:
-        for replica, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for replica, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if replica != last and held:
                 yield held
                 held = []
             last = replica
-            held.append(t)
+            held.append(np.frombuffer(ids, dtype="<u2"))
+    if held:
+        yield held
+
+
+def in_steps(texts: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Neighbouring texts of together about ``TRAIN_TOKENS`` tokens."""
+    held, total = [], 0
+    for ids in texts:
+        held.append(ids)
+        total += len(ids)
+        if total >= TRAIN_TOKENS:
+            yield held
+            held, total = [], 0
     if held:
         yield held
 
@@ -337,17 +356,33 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS,
              .withColumn("slot", F.pmod("mark", F.lit(rounds * replicas)))
              .select("text", "mark", (F.col("slot") % rounds).alias("round"),
                      F.floor(F.col("slot") / rounds).alias("replica")))
+    def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            replica, mark = batch.column("replica"), batch.column("mark")
+            at = 0
+            for some in chunks(batch.column("text").to_pylist()):
+                split = [split_bytes(t) for t in some]
+                codes, distinct = coded(split)
+                ids = known.ids(distinct).astype("<u2")[codes].tobytes()
+                ends = 2 * np.cumsum([len(ws) for ws in split])
+                yield pa.RecordBatch.from_arrays(
+                    [replica.slice(at, len(some)), mark.slice(at, len(some)),
+                     pa.array([ids[e - 2 * len(ws):e] for e, ws in zip(ends, split)], pa.binary())],
+                    names=["replica", "mark", "ids"])
+                at += len(some)
+
+    known = Vocabulary(words.words)
     for round_ in range(rounds):
-        begin = docs.sparkSession.sparkContext.broadcast((words, net.flat()))  # about 0.4 MB
+        begin = docs.sparkSession.sparkContext.broadcast(net.flat())  # about 0.3 MB
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, flat = begin.value
+            flat = begin.value
             total, tokens = np.zeros(len(flat)), 0
             for texts in by_replica(batches):
                 own, n = WindowNetwork.of_flat(flat), 0
-                for some in chunks(texts):
-                    ids, sizes = encode(some, known)
-                    own.train(ids, places(sizes)[0])
+                for some in in_steps(texts):
+                    sizes = np.array([len(ids) for ids in some], dtype=np.int64)
+                    own.train(between_edges(np.concatenate(some), sizes), places(sizes)[0])
                     n += int(sizes.sum())
                 total += own.flat().astype(np.float64) * n
                 tokens += n
@@ -356,11 +391,11 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS,
                     [pa.array(np.arange(len(total)), pa.int32()), pa.array(total),
                      pa.array(np.full(len(total), tokens), pa.int64())], names=["i", "v", "n"])
 
-        sums = (dealt.where(F.col("round") == round_).repartition("replica")
-                .sortWithinPartitions("replica", "mark", "text").select("replica", "text")
+        encoded = (dealt.where(F.col("round") == round_).select("replica", "mark", "text")
+                   .mapInArrow(ids_of, "replica long, mark long, ids binary"))
+        sums = (encoded.repartition("replica").sortWithinPartitions("replica", "mark", "ids").select("replica", "ids")
                 .mapInArrow(run, "i int, v double, n long").groupBy("i")
                 .agg((F.sum("v") / F.sum("n")).alias("v")).toPandas())  # one row per parameter
-        drop_shuffles(docs.sparkSession)
         if len(sums):
             flat = np.zeros(len(sums))
             flat[sums["i"].to_numpy()] = sums["v"].to_numpy()
@@ -373,12 +408,13 @@ def log_probs(texts: list[str | None], words: Vocabulary, net: WindowNetwork, sh
     tokens, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
     for some in chunks(texts):
         split = [split_bytes(t) for t in some]
-        ids, sizes = encode_words(split, words)
+        sizes = np.array([len(ws) for ws in split], dtype=np.int64)
+        codes, distinct = coded(split)
         at, first = places(sizes)
-        lp = np.concatenate([net.token_log_probs(ids, at).astype(np.float64), [0.0]])
-        within = np.array([sum(map(shares.__getitem__, ws)) for ws in split], dtype=float)
+        lp = net.token_log_probs(between_edges(words.ids(distinct)[codes], sizes), at).astype(np.float64)
+        lp += np.fromiter(map(shares.__getitem__, distinct), dtype=float, count=len(distinct))[codes]
         tokens.append(sizes)
-        sums.append(np.where(sizes > 0, np.add.reduceat(lp, np.minimum(first, len(at))) + within, 0.0))
+        sums.append(np.where(sizes > 0, np.add.reduceat(np.append(lp, 0.0), np.minimum(first, len(at))), 0.0))
     return np.concatenate(tokens), np.concatenate(sums)
 
 
@@ -409,11 +445,37 @@ def tail_words(rows: DataFrame, words: Vocabulary) -> DataFrame:
     return rows.mapInArrow(run, "chunk long, word binary")
 
 
+def in_chunks(docs: DataFrame, text: str) -> DataFrame:
+    """(chunk, row): neighbouring rows of together at most ``CHUNK_ROWS`` and ``CHUNK_BYTES`` of text, or one row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, rows, size = TaskContext.get().partitionId() << 32, 0, 0
+        for batch in batches:
+            marks = np.empty(batch.num_rows, dtype=np.int64)
+            for i, n in enumerate(batch.column("size").to_pylist()):
+                if rows and (rows >= CHUNK_ROWS or size + n > CHUNK_BYTES):
+                    chunk, rows, size = chunk + 1, 0, 0
+                rows, size = rows + 1, size + n
+                marks[i] = chunk
+            yield pa.RecordBatch.from_arrays([pa.array(marks), batch.column("row")], names=["chunk", "row"])
+
+    rows = docs.select(F.coalesce(F.octet_length(F.col(text)), F.lit(0)).alias("size"), F.struct(*docs.columns).alias("row"))
+    return rows.mapInArrow(run, StructType([StructField("chunk", LongType()), StructField("row", docs.schema)]))
+
+
+def by_bucket(rows: DataFrame, key: str, buckets: int) -> DataFrame:
+    """A table in the shared folder, in hash buckets of ``key``: joins on it leave the rows where they are."""
+    spark = rows.sparkSession
+    name = f"gatemeter_{uuid.uuid4().hex}"
+    (rows.write.format("parquet").option("path", f"{checkpoint_dir(spark).rstrip('/')}/{name}")
+     .bucketBy(buckets, key).sortBy(key).saveAsTable(name))
+    return spark.table(name)
+
+
 def score(docs: DataFrame, words: Vocabulary, net: WindowNetwork, text: str = "text") -> DataFrame:
     """``docs`` with n_tokens, log_prob and mean_log_prob, replacing columns of these names."""
     d = docs.drop("n_tokens", "log_prob", "mean_log_prob")
-    chunked = written(d.select(F.shiftright(F.monotonically_increasing_id(), CHUNK_ROWS.bit_length() - 1).alias("chunk"),
-                               F.struct(*d.columns).alias("row")))
+    buckets = max(1, min(MOST_BUCKETS, -(-words.tail.tokens // BUCKET_TOKENS)))
+    chunked = by_bucket(in_chunks(d, text), "chunk", buckets)
     looked_up = (tail_words(chunked.select("chunk", F.col("row")[text].alias("text")), words)
                  .join(words.tail.table, "word"))
     begin = docs.sparkSession.sparkContext.broadcast((words, net.flat(), words.tail.whole))
