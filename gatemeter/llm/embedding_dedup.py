@@ -11,7 +11,8 @@ Vectors meet where they share a filter, and every met pair is verified by its
 cosine in double precision.  The threshold rises with the number of vectors so
 that a filter holds about ``FILTER_ROWS`` unrelated ones, and the number of
 directions is set so that two vectors at the wanted cosine share ``SHARED`` on
-average.
+average; both use the exact caps of the sphere in the vectors' dimension, whose
+tails are thinner than a normal distribution's.
 
 A filter with many vectors (a large group of near copies) is dealt into blocks;
 each pair of blocks is one group, multiplied as matrices.  A linked pair is
@@ -29,7 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import erfc, exp, pi, sqrt
+from math import sqrt
 
 import numpy as np
 import pandas as pd
@@ -41,51 +42,81 @@ from gatemeter.llm.common import components, written
 
 COSINE = 0.9
 FILTER_ROWS = 64
-SHARED = 24.0
+SHARED = 16.0
 LEAST_FILTERS = 24
-LEAST_THRESHOLD = 2.5
+COPIES = 8
+LARGEST_CAP = 0.006
+LEAST_DIM = 8
 BLOCK = 256
 SEED = 20
 
 
-def upper_tail(t: float) -> float:
-    return erfc(t / sqrt(2)) / 2
+POINTS = 4001
 
 
-def both_tails(t: float, rho: float) -> float:
-    """P(x > t and y > t) of standard normals with correlation rho."""
-    x = np.linspace(t, t + 8, 2001)
-    density = np.exp(-x * x / 2) / sqrt(2 * pi)
-    other = np.array([upper_tail((t - rho * v) / sqrt(1 - rho * rho)) for v in x])
-    y = density * other
-    return float(((y[1:] + y[:-1]) / 2).sum() * (x[1] - x[0]))
+def _integral(y: np.ndarray, x: np.ndarray) -> float:
+    return float(((y[1:] + y[:-1]) / 2 * np.diff(x)).sum())
+
+
+def _angles(bar: float) -> np.ndarray:
+    return np.linspace(0.0, np.arccos(np.clip(bar, -1.0, 1.0)), POINTS)
+
+
+def cap(bar: float, dim: int) -> float:
+    """Share of the unit sphere in ``dim`` dimensions that lies in a cap: P(<x, w> >= bar) for a random direction w."""
+    whole = np.linspace(0.0, np.pi, POINTS)
+    angles = _angles(bar)
+    return _integral(np.sin(angles) ** (dim - 2), angles) / _integral(np.sin(whole) ** (dim - 2), whole)
+
+
+def both_caps(bar: float, cosine: float, dim: int) -> float:
+    """P(<x, w> >= bar and <y, w> >= bar) for unit vectors x and y at this cosine."""
+    whole = np.linspace(0.0, np.pi, POINTS)
+    angles = _angles(bar)
+    # given <x, w>, the rest of w is a random direction in one dimension less
+    needed = (bar - cosine * np.cos(angles)) / (sqrt(1 - cosine * cosine) * np.maximum(np.sin(angles), 1e-12))
+    bars = np.linspace(-1.0, 1.0, 801)
+    caps = np.array([cap(b, dim - 1) for b in bars])
+    other = np.interp(needed, bars, caps)
+    return _integral(np.sin(angles) ** (dim - 2) * other, angles) / _integral(np.sin(whole) ** (dim - 2), whole)
 
 
 @dataclass(frozen=True)
 class Code:
-    """Parts, words per part and threshold (in standard deviations of a random direction)."""
+    """Parts, words per part and threshold (in standard deviations of a random direction) of ``copies`` codes.
+
+    The directions of one product code depend on each other: a pair whose
+    difference lies in few parts shares many or none.  Codes over independent
+    rotations don't.
+    """
 
     parts: int
     words: int
     threshold: float
+    copies: int = 1
     seed: int = SEED
 
     @classmethod
-    def for_rows(cls, n: int, cosine: float = COSINE, shared: float = SHARED) -> "Code":
-        lo, hi = 0.0, 12.0
-        while hi - lo > 1e-6:
+    def for_rows(cls, n: int, dim: int, cosine: float = COSINE, shared: float = SHARED) -> "Code":
+        """For n vectors of ``dim`` components (few components: as for ``LEAST_DIM``)."""
+        dim = max(dim, LEAST_DIM)
+        share = min(FILTER_ROWS / max(n, 1), LARGEST_CAP)
+        lo, hi = 0.0, 1.0
+        while hi - lo > 1e-9:
             mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if upper_tail(mid) * max(n, 1) > FILTER_ROWS else (lo, mid)
-        t = max(hi, LEAST_THRESHOLD)
-        wanted = shared / both_tails(t, cosine)
+            lo, hi = (mid, hi) if cap(mid, dim) > share else (lo, mid)
+        wanted = shared / COPIES / both_caps(hi, cosine, dim)
         parts = 2
         while wanted ** (1 / parts) > 400:
             parts += 1
-        return cls(parts, int(wanted ** (1 / parts)) + 1, t)
+        return cls(parts, int(wanted ** (1 / parts)) + 1, hi * sqrt(dim), COPIES)
 
-    def tables(self, dim: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Per part: the rotated coordinates' rows, and the code words, of one vector length."""
-        rng = np.random.default_rng([self.seed, dim])
+    def tables(self, dim: int) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+        """Per code and part: the rotated coordinates' rows, and the code words, of one vector length."""
+        return [self._table(dim, copy) for copy in range(self.copies)]
+
+    def _table(self, dim: int, copy: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        rng = np.random.default_rng([self.seed, dim, copy])
         rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
         parts = min(self.parts, dim)
         words = int(round(self.words ** (self.parts / parts)))
@@ -97,11 +128,18 @@ class Code:
             out.append((rotation[rows], w * sqrt(len(rows) / dim)))
         return out
 
-    def decode(self, unit: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    def decode(self, unit: np.ndarray, tables: list[list[tuple[np.ndarray, np.ndarray]]]) -> list[np.ndarray]:
         """For each unit vector all filter numbers above the threshold, ascending.
 
-        A vector with fewer than ``LEAST_FILTERS`` lowers its own threshold.
+        A vector with fewer than its share of ``LEAST_FILTERS`` in a code lowers its own threshold there.
         """
+        found, first = [], 0
+        for table in tables:
+            found.append([first + f for f in self._decode(unit, table)])
+            first += table[0][1].shape[0] ** len(table)
+        return [np.concatenate(f) for f in zip(*found)]
+
+    def _decode(self, unit: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
         dim = unit.shape[1]
         scores = [unit @ r.T @ w.T for r, w in tables]
         words = scores[0].shape[1]
@@ -122,7 +160,7 @@ class Code:
                     total, number = total[keep], number[keep]
                     if not len(number):
                         break
-                if len(number) >= min(LEAST_FILTERS, most):
+                if len(number) >= min(-(-LEAST_FILTERS // self.copies), most):
                     break
                 bar -= 0.25 / sqrt(dim)
             out.append(np.sort(number))
@@ -213,7 +251,8 @@ def groups(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     v = v.withColumn("ok", F.coalesce(usable(F.col("vector")), F.lit(False)))
     classes = written(v.where("ok").groupBy("vector").agg(F.count("*").alias("weight"), F.min("vec_id").alias("rep"))
                       .withColumn("node", F.monotonically_increasing_id()))
-    code = Code.for_rows(classes.count(), cosine)
+    n, dim = classes.agg(F.count("*"), F.mode(F.size("vector"))).first()
+    code = Code.for_rows(n, dim or 1, cosine)
     found = written(filter_rows(classes, code))
     hot = (found.select(F.size("vector").alias("dim"), F.explode("filters").alias("filter"))
            .groupBy("dim", "filter").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK)

@@ -204,16 +204,44 @@ def test_unusable_vectors_link_with_nothing(spark):
 
 def test_decoding_lists_every_direction_above_the_threshold():
     rng = np.random.default_rng(4)
-    code = embedding_dedup.Code(parts=3, words=9, threshold=1.4)
-    tables = code.tables(12)
+    code = embedding_dedup.Code(parts=3, words=9, threshold=1.4, copies=2)
+    both = code.tables(12)
+    tables = both[0]
     x = rng.normal(size=(40, 12))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    got = code.decode(x, tables)
+    got = [f[f < 9 ** 3] for f in code.decode(x, both)]
+    assert all((f[1:] > f[:-1]).all() for f in code.decode(x, both))
     one = [x @ r.T @ w.T for r, w in tables]
     total = (one[0][:, :, None, None] + one[1][:, None, :, None] + one[2][:, None, None, :]).reshape(40, -1)
     full = code.threshold / np.sqrt(12)
     for i in range(40):
         bar = full
-        while (total[i] >= bar).sum() < embedding_dedup.LEAST_FILTERS:
+        while (total[i] >= bar).sum() < embedding_dedup.LEAST_FILTERS // 2:
             bar -= 0.25 / np.sqrt(12)
         assert got[i].tolist() == np.flatnonzero(total[i] >= bar).tolist()
+
+
+def test_caps_are_those_of_the_sphere():
+    rng = np.random.default_rng(7)
+    dim = 12
+    w = rng.normal(size=(400_000, dim))
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    x, y = np.eye(dim)[0], 0.9 * np.eye(dim)[0] + np.sqrt(1 - 0.81) * np.eye(dim)[1]
+    for bar in (0.3, 0.6):
+        assert np.isclose(embedding_dedup.cap(bar, dim), (w @ x >= bar).mean(), rtol=0.05)
+        assert np.isclose(embedding_dedup.both_caps(bar, 0.9, dim), ((w @ x >= bar) & (w @ y >= bar)).mean(), rtol=0.06)
+
+
+@pytest.mark.parametrize("rows", [10_000, 1_000_000, 100_000_000])
+def test_pairs_at_the_limit_share_a_filter_at_every_size(rows):
+    """The threshold rises with the number of vectors; pairs at cosine 0.9 must meet all the same."""
+    rng = np.random.default_rng(rows)
+    x, z = rng.normal(size=(2, 500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    code = embedding_dedup.Code.for_rows(rows, 64)
+    tables = code.tables(64)
+    met = [len(np.intersect1d(a, b)) > 0 for a, b in
+           zip(code.decode(x, tables), code.decode(0.9 * x + np.sqrt(1 - 0.81) * z, tables))]
+    assert np.mean(met) >= 0.995
