@@ -29,6 +29,7 @@ class ModelPolicy:
     family_map: dict = field(default_factory=lambda: dict(fixed.MODEL_FAMILY_MAP_DEFAULT))
     static_map: dict = field(default_factory=lambda: dict(fixed.MODEL_STATIC_MAP))
     upstream_base_url: str | None = None  # set => every call takes the translated route
+    upstream_model: str | None = None  # set => the model of every call but searches
 
     def resolved_opus(self) -> str:
         return self.no_opus_target if self.no_opus else self.opus_model

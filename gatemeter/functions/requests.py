@@ -80,10 +80,13 @@ def http_error_type(status: Column) -> Column:
     return F.when(status != 200, F.concat(F.lit("http_"), status.cast("string")))
 
 
-def error_type(route: Column, status: Column) -> Column:
-    """P-19: a search call fails as an empty query (400) or at the provider; any
-    other call as ``http_<status>``."""
+def error_type(route: Column, status: Column, has_auth: Column | None = None) -> Column:
+    """P-19: a search call fails as an empty query (400) or at the provider; a
+    translated call without credentials as such (503); any other call as
+    ``http_<status>``."""
+    no_auth = F.lit(False) if has_auth is None else ~F.coalesce(has_auth, F.lit(True))
     return (F.when(status == 200, F.lit(None).cast("string"))
+            .when((route == "openai") & (status == 503) & no_auth, F.lit(fixed.ERROR_NO_AUTH))
             .when((route == "tavily") & (status == 400), F.lit(fixed.ERROR_EMPTY_SEARCH_QUERY))
             .when((route == "tavily") & status.isNotNull(), F.lit(fixed.ERROR_SEARCH_FAILED))
             .otherwise(http_error_type(status)))
@@ -124,11 +127,10 @@ def search_only(tool_types: Column) -> Column:
     return F.coalesce((F.size(tool_types) > 0) & ok, F.lit(False))
 
 
-def derive_route(upstream_model_override: str | None, policy: ModelPolicy,
-                 search_key_set: bool, is_search_only: Column) -> Column:
+def derive_route(policy: ModelPolicy, search_key_set: bool, is_search_only: Column) -> Column:
     """P-29: ``tavily`` / ``openai`` / ``native`` from the policy and the body."""
     use_openai = bool(policy.upstream_base_url) or (
-        upstream_model_override is not None and not upstream_model_override.startswith("claude-"))
+        policy.upstream_model is not None and not policy.upstream_model.startswith("claude-"))
     base = F.lit("openai" if use_openai else "native")
     if search_key_set:
         return F.when(is_search_only, F.lit("tavily")).otherwise(base)
@@ -150,5 +152,5 @@ __all__ = [
     "parse_user_id", "beta_stripped", "beta_forwarded", "http_error_type", "error_type",
     "error_message", "chat_stop_reason", "chat_stream_stop_reason",
     "responses_incomplete_finish", "search_only",
-    "derive_route", "is_responses_body", "unknown_fields", "is_claude_model",
+    "derive_route", "is_responses_body", "unknown_fields",
 ]

@@ -50,9 +50,10 @@ def parse_bodies(bodies: DataFrame, body_col: str = "body",
     return bodies.select(F.inline(F.array(row)))
 
 
-def body_rejects(bodies: DataFrame, key: str = "request_id", body_col: str = "body") -> DataFrame:
+def body_rejects(bodies: DataFrame, key: str = "request_id", body_col: str = "body",
+                 max_bytes: int = fixed.MAX_BODY_BYTES) -> DataFrame:
     """Bodies the gateway would refuse (HTTP 400 / 413): ``(key, req_bytes, reason)``."""
-    p = parse_bodies(bodies.select(key, body_col), body_col)
+    p = parse_bodies(bodies.select(key, body_col), body_col, max_bytes)
     return p.where(F.col("reject_reason").isNotNull()).select(key, "req_bytes", "reject_reason")
 
 

@@ -180,7 +180,7 @@ def _truthy_bool(v: Column) -> Column:
 
 
 def to_chat_request(bodies: DataFrame, key: str | list[str] = "request_id", body_col: str = "body",
-                    policy: ModelPolicy | None = None) -> DataFrame:
+                    policy: ModelPolicy | None = None, max_bytes: int = fixed.MAX_BODY_BYTES) -> DataFrame:
     """C-1: message-API request bodies -> chat-completions request bodies.
 
     Returns ``(key, model, chat_messages, chat_body)``.  ``chat_messages`` is
@@ -194,7 +194,7 @@ def to_chat_request(bodies: DataFrame, key: str | list[str] = "request_id", body
     v = F.col("_v")
     keys = _keys(key)
     # the arguments come from Python workers and are read inside lambdas: both sides are staged
-    p = _staged(_parsed(bodies, keys, body_col).withColumn("_args", tool_arguments(F.col("_body"))))
+    p = _staged(_parsed(bodies, keys, body_col, max_bytes).withColumn("_args", tool_arguments(F.col("_body"))))
     msgs = F.coalesce(_get(v, "$.messages", "array<variant>"),
                       F.array().cast("array<variant>"))
     chat = F.concat(system_messages_of(_get(v, "$.system", "variant")),

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatemeter import fixed
+from gatemeter.functions.requests import is_responses_body
 from gatemeter.functions.text import cut, fmt_size, preview, token_estimate
 from gatemeter.operators.bodies import parse_bodies
 
@@ -50,7 +51,8 @@ def request_summaries(bodies: DataFrame, key: str = "request_id", body_col: str
     """
     p = parse_bodies(bodies.select(key, body_col), body_col).where(F.col("reject_reason").isNull())
     msgs = F.coalesce(_get("$.messages", "array<variant>"), F.array().cast("array<variant>"))
-    p = p.select(key, _V, msgs.alias("_m"), last_user_text(msgs).alias("_last"))
+    p = p.select(key, _V, msgs.alias("_m"), last_user_text(msgs).alias("_last"),
+                 F.array_contains(F.json_object_keys(body_col), "input").alias("_has_input"))
     model = F.coalesce(_get("$.model"), F.lit("?"))
     stream = F.coalesce(_get("$.stream", "boolean"), F.lit(False))
     n_msgs = F.size("_m")
@@ -69,9 +71,8 @@ def request_summaries(bodies: DataFrame, key: str = "request_id", body_col: str
         (F.when(F.size(F.filter("_m", lambda m: F.try_variant_get(m, "$.role", "string") == "user")) > 0,
                 cut(F.col("_last"), fixed.LOG_TEXT_CHARS)) if log_content
          else F.lit(None).cast("string")).alias("last_user_message"))
-    inp = _get("$.input", "variant")
-    inp_kind = F.schema_of_variant(inp)
-    is_responses = (n_msgs == 0) & inp.isNotNull()
+    inp_kind = F.schema_of_variant(_get("$.input", "variant"))
+    is_responses = is_responses_body(n_msgs, F.col("_has_input"))
     n_input = (F.when(inp_kind.startswith("ARRAY"), F.size(_get("$.input", "array<variant>")))
                .when(inp_kind == "STRING", F.lit(1)).otherwise(F.lit(0)))
     return p.select(key, summary.alias("summary"), entry.alias("log_entry"),
@@ -79,10 +80,24 @@ def request_summaries(bodies: DataFrame, key: str = "request_id", body_col: str
                     token_estimate(F.col("_last")).alias("est_tokens"))
 
 
+def quoted_start(text: Column) -> Column:
+    """P-26: the start of a response's text as the console shows it, always with dots."""
+    start = F.replace(F.substring(F.coalesce(text, F.lit("")), 1, fixed.PREVIEW_CHARS), F.lit("\n"), F.lit(" "))
+    return F.concat(F.lit(' "'), start, F.lit('..."'))
+
+
 def response_summary(status: Column, streamed: Column, input_tokens: Column, output_tokens: Column,
-                     cache_read: Column, stop_reason: Column, error_text: Column) -> Column:
+                     cache_read: Column, stop_reason: Column, error_text: Column,
+                     text: Column | None = None, has_body: Column | None = None) -> Column:
     """P-30: ``HTTP <status>: <message[:100]>`` for errors, ``OK [streamed]``
-    for streams, else ``OK in=.. out=..[, cached=..] stop=..``."""
+    for streams, else ``OK in=.. out=..[, cached=..] stop=..``; ``HTTP 200`` when
+    a response that is no stream has no body that could be read (``has_body``).
+
+    ``text`` (the stream's text, or the first text block's) is passed only where
+    content may be logged (P-26): its start then follows.
+    """
+    end = F.lit("") if text is None else quoted_start(text)
+    readable = F.lit(True) if has_body is None else F.coalesce(has_body, F.lit(False))
     ok = F.concat(F.lit("OK in="), F.coalesce(input_tokens, F.lit(0)).cast("string"),
                   F.lit(" out="), F.coalesce(output_tokens, F.lit(0)).cast("string"),
                   F.when(F.coalesce(cache_read, F.lit(0)) != 0,
@@ -90,8 +105,9 @@ def response_summary(status: Column, streamed: Column, input_tokens: Column, out
                   F.lit(" stop="), F.coalesce(stop_reason, F.lit("?")))
     return (F.when(status != 200, F.concat(F.lit("HTTP "), status.cast("string"), F.lit(": "),
                                            F.coalesce(F.substring(error_text, 1, 100), F.lit(""))))
-            .when(streamed, F.lit("OK [streamed]"))
-            .otherwise(ok))
+            .when(streamed, F.concat(F.lit("OK [streamed]"), end))
+            .when(~readable, F.concat(F.lit("HTTP "), status.cast("string")))
+            .otherwise(F.concat(ok, end)))
 
 
 def call_lines(telemetry: DataFrame) -> DataFrame:

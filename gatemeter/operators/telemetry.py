@@ -8,6 +8,7 @@ Input is a *call record* DataFrame (what the gateway knows when a call ends):
   web_search_requests], stream, status, elapsed_ms, ttft_ms,
   [stop_reason, completed, response_message_id, response_tool_names,
    resp_bytes, req_bytes, error_message, search_depth, retry_count,
+   has_auth (false: no credentials for the translated route),
    upstream_model (when known, else mapped from requested_model)]
 
 Optional request-body features (see :mod:`gatemeter.operators.bodies`) are
@@ -75,7 +76,8 @@ def build_telemetry(calls: DataFrame, policy: ModelPolicy | None = None,
     # search calls keep the client's model name (T9); others are canonicalised
     upstream = F.coalesce(_opt(calls, "upstream_model", _typed_null(T.StringType())),
                           F.when(route == "tavily", req_model).otherwise(
-        map_model_from_parts(req_model, F.col("_m_bare"), F.col("_m_stripped"), policy)))
+        F.lit(policy.upstream_model) if policy.upstream_model
+        else map_model_from_parts(req_model, F.col("_m_bare"), F.col("_m_stripped"), policy)))
     host = (F.when(route == "tavily", F.lit(fixed.SEARCH_UPSTREAM_HOST))
             .when((route == "openai") & F.lit(bool(policy.upstream_base_url)), F.lit(policy.upstream_base_url))
             .otherwise(F.lit(fixed.NATIVE_UPSTREAM_HOST)))
@@ -116,7 +118,7 @@ def build_telemetry(calls: DataFrame, policy: ModelPolicy | None = None,
         _opt(calls, "resp_bytes", _typed_null(T.IntegerType())).cast("int").alias("resp_bytes"),
         _opt(calls, "response_message_id", _typed_null(T.StringType())).alias("response_message_id"),
         _opt(calls, "response_tool_names", F.array().cast("array<string>")).alias("response_tool_names"),
-        error_type(route, status).alias("error_type"),
+        error_type(route, status, _opt(calls, "has_auth", F.lit(True))).alias("error_type"),
         error_message(_opt(calls, "error_message", _typed_null(T.StringType()))).alias("error_message"),
         _opt(calls, "search_depth", F.lit(search_depth)).alias("_depth"),
         # request shape, when the call record already carries it (log rebuild)

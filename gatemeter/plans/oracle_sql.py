@@ -958,3 +958,41 @@ SELECT CAST(ts AS DATE) AS day, f.upstream_model, count(*) AS calls,
 FROM (SELECT *, NULL AS n_messages FROM fact) f LEFT JOIN b2 b USING (request_id)
 WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-05' GROUP BY 1, 2
 """.replace("\n, ", ", ", 1))
+
+ORACLES["log_files"] = ORACLES["rebuild_from_log"]
+ORACLES["catalog_files"] = ORACLES["latest_model_per_tier"]
+
+ORACLES["forced_model_facts"] = with_fact("""
+SELECT request_id, requested_model, CASE WHEN route = 'tavily' THEN requested_model ELSE 'claude-haiku-4.5' END AS upstream_model,
+  route <> 'tavily' AND input_tokens + output_tokens + cache_read_tokens + cache_creation_tokens > 0 AS priced FROM fact
+""")
+
+ORACLES["error_codes"] = with_raw("""
+, r AS (SELECT *, route = 'openai' AND CAST(substr(request_id, 5) AS BIGINT) % 3 = 0 AS bare FROM usage_raw)
+SELECT request_id, CAST(CASE WHEN bare THEN 503 ELSE status END AS INTEGER) AS status,
+  CASE WHEN bare THEN 'no_copilot_auth' WHEN status = 200 THEN NULL WHEN route = 'tavily' THEN 'tavily_error'
+       ELSE concat('http_', CAST(status AS VARCHAR)) END AS error_type FROM r
+""".replace("\n, ", ", ", 1))
+
+ORACLES["responses_bodies"] = """
+SELECT concat('req_', CAST(event_id AS VARCHAR)) AS request_id, event_id % 5 < 3 AS is_responses,
+  event_id % 5 < 3 AS is_responses_body, CAST(CASE event_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 0 END AS INTEGER) AS n_input
+FROM events
+"""
+
+ORACLES["response_previews"] = """
+WITH a AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, CASE
+    WHEN turn % 5 = 4 THEN 'HTTP 500: ' || substr(t, 1, 100)
+    WHEN conv_id % 2 = 0 THEN 'OK [streamed] "' || replace(substr(t, 1, 80), chr(10), ' ') || '..."'
+    WHEN turn % 4 = 3 THEN 'HTTP 200'
+    ELSE concat('OK in=', CAST(conv_id * 10 + turn AS VARCHAR), ' out=', CAST(length(t) AS VARCHAR), ' stop=end_turn "',
+                replace(substr(t, 1, 80), chr(10), ' '), '..."') END AS summary
+FROM a
+"""
+
+ORACLES["oversized_bodies"] = """
+SELECT concat('req_', CAST(event_id AS VARCHAR)) AS request_id, CAST(45 + event_id % 3000 AS INTEGER) AS req_bytes,
+  CASE WHEN 45 + event_id % 3000 > 2000 THEN 'too_large' ELSE 'converted' END AS outcome
+FROM events
+"""

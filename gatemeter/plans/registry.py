@@ -391,7 +391,11 @@ def request_log(spark, d):
 @query("rebuild_from_log")
 def q_rebuild_from_log(spark, d):
     """SNK-4: the telemetry columns the log can give back, rebuilt from it."""
-    f = request_log_mod.rebuild_telemetry(request_log(spark, d))
+    return _rebuilt(request_log(spark, d))
+
+
+def _rebuilt(parsed):
+    f = request_log_mod.rebuild_telemetry(parsed)
     return f.select("ts", "session_id", "account_id", "upstream_model", "route", "n_messages",
                     "max_tokens", "stream", "tool_count",
                     F.array_join("tool_names", ",").alias("tool_names"),
@@ -644,12 +648,84 @@ def q_route_derivation(spark, d):
     non-Claude upstream model; no search key."""
     f = bodies.body_features(request_bodies(spark, d))
     so = F.col("search_only")
-    forced = ModelPolicy()
+    default, forced = ModelPolicy(), ModelPolicy(upstream_model="gpt-5-mini")
     return f.select(
         "request_id",
-        derive_route(None, forced, True, so).alias("route_default"),
-        derive_route("gpt-5-mini", forced, True, so).alias("route_forced_model"),
-        derive_route(None, forced, False, so).alias("route_no_search_key"))
+        derive_route(default, True, so).alias("route_default"),
+        derive_route(forced, True, so).alias("route_forced_model"),
+        derive_route(default, False, so).alias("route_no_search_key"))
+
+
+@query("forced_model_facts")
+def q_forced_model_facts(spark, d):
+    """P-29: a forced upstream model stands in the fact row of every call but searches, and prices it."""
+    return fact_table(spark, d, ModelPolicy(upstream_model="claude-haiku-4.5")).select(
+        "request_id", "requested_model", "upstream_model", (F.col("est_cost_micro_usd") > 0).alias("priced"))
+
+
+@query("error_codes")
+def q_error_codes(spark, d):
+    """P-19: all three codes; every third translated call had no credentials."""
+    calls = bridges.calls_from_usage_raw(usage_raw(spark, d))
+    has_auth = ~((F.col("route") == "openai") & (F.substring("request_id", 5, 1 << 20).cast("long") % 3 == 0))
+    calls = calls.withColumn("has_auth", has_auth).withColumn("status", F.when(has_auth, F.col("status")).otherwise(503))
+    return build_telemetry(calls).select("request_id", "status", "error_type")
+
+
+@query("responses_bodies")
+def q_responses_bodies(spark, d):
+    """P-28: bodies of the Responses kind among others (an input that is null counts, messages decide first)."""
+    n = F.col("event_id")
+    body = (F.when(n % 5 == 0, F.lit('{"model":"m","input":"text"}')).when(n % 5 == 1, F.lit('{"input":[{"a":1},{}]}'))
+            .when(n % 5 == 2, F.lit('{"input":null}')).when(n % 5 == 3, F.lit('{"messages":[{"role":"user"}],"input":"x"}'))
+            .otherwise(F.lit('{"messages":[]}')))
+    landed = read_table(spark, d, "events").select(F.concat(F.lit("req_"), n.cast("string")).alias("request_id"), body.alias("body"))
+    features = bodies.body_features(landed).select("request_id", "is_responses_body")
+    return (summaries.request_summaries(landed).join(features, "request_id")
+            .select("request_id", "is_responses", "is_responses_body", "n_input"))
+
+
+@query("response_previews")
+def q_response_previews(spark, d):
+    """P-26 and P-30 with content logging on: streams, bodies, and every fourth body that could not be read."""
+    f = sse.facts_from_raw(bridges.sse_raw(conversations(spark, d)), ["conv_id", "turn"])
+    status = F.when(F.col("turn") % 5 == 4, 500).otherwise(200)
+    return f.select("conv_id", "turn", summaries.response_summary(
+        status, F.col("conv_id") % 2 == 0, F.col("input_tokens"), F.col("output_tokens"),
+        F.col("cache_read_input_tokens"), F.col("stop_reason"), F.col("text"), F.col("text"),
+        F.col("turn") % 4 != 3).alias("summary"))
+
+
+@query("oversized_bodies")
+def q_oversized_bodies(spark, d):
+    """SRC-8: bodies over the limit are refused unread, before every parser."""
+    n = F.col("event_id")
+    body = F.concat(F.lit('{"model":"gpt-5-mini","messages":[],"pad":"'), F.repeat(F.lit("x"), (n % 3000).cast("int")), F.lit('"}'))
+    landed = read_table(spark, d, "events").select(F.concat(F.lit("req_"), n.cast("string")).alias("request_id"), body.alias("body"))
+    refused = bodies.body_rejects(landed, max_bytes=2000).select("request_id", "req_bytes", F.col("reject_reason").alias("outcome"))
+    converted = convert.to_chat_request(landed, max_bytes=2000).join(landed, "request_id").select(
+        "request_id", F.octet_length("body").alias("req_bytes"), F.lit("converted").alias("outcome"))
+    return refused.unionByName(converted)
+
+
+@query("catalog_files")
+def q_catalog_files(spark, d):
+    """SRC-6: the observed models as a landed catalog payload, read back from its file; newest per tier."""
+    seen = catalog.observed_catalog(fact_table(spark, d))
+    path = sinks.new_table_path(spark, "catalog")
+    listed = seen.agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("m"))  # one entry per model name
+    listed.select(F.to_json(F.struct(F.transform("m", lambda x: F.struct(x["id"].alias("id"))).alias("data"))).alias("value")) \
+        .write.text(path)
+    return catalog.latest_per_tier(catalog.catalog_from_json(spark.read.option("wholetext", "true").text(path)))
+
+
+@query("log_files")
+def q_log_files(spark, d):
+    """SNK-3, SRC-1: the log written to files and read back, rebuilt."""
+    path = sinks.new_table_path(spark, "log")
+    lines = bridges.request_log_lines(read_table(spark, d, "events"))
+    request_log_mod.write_request_log(lines, path, "value")
+    return _rebuilt(request_log_mod.read_request_log(spark, path))
 
 
 @query("stream_ingest_titles")
