@@ -25,6 +25,15 @@ BASE_CONF: dict[str, str] = {
 }
 
 
+# Rows that hold whole texts make Arrow batches of the default row count large in every Python worker.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hand rows to Python workers in batches of at most ``BATCH_BYTES``."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "gatemeter", extra: dict[str, str] | None = None
               ) -> SparkSession:
