@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatemeter.llm.common import SPACES, split_words
+from gatemeter.llm.common import SPACES, split_words, worker_memo
 from gatemeter.llm.labelled import fold, logistic_1d, training_rows
 
 PER_CLASS = 1500
@@ -218,6 +218,7 @@ def quality(text: Column, field: LineField) -> Column:
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        worker_memo("quality_crf", dict)  # none of its own: drops the one of a stage before
         for s in batches:
             yield pd.Series(field.scores(s.tolist()), dtype="float64")
 

@@ -54,7 +54,7 @@ STEP = 10
 SYMBOLS = 64
 START, END = "^", "$"
 FLOOR = -3.0
-MEMO_CHARS = 2_000_000
+MEMO_CHARS = 1_500_000
 CHUNK_CHARS = 1_000_000
 ENDS = tuple(".!?;:")
 SHORT_WORDS = re.compile(r"(?<!\S)\S{1,3}(?!\S)(?:\s+\S{1,3}(?!\S))+")
