@@ -64,17 +64,19 @@ def python_json_size(js: pd.Series) -> pd.Series:
     return js.map(lambda s: None if s is None else len(json.dumps(json.loads(s)).encode()))
 
 
-def content_size(value: Column, text: Column) -> Column:
-    """P-8: bytes of a string value, or of the re-serialised JSON of a list/object;
-    0 when the value is missing or empty (falsy).  ``text`` is the value's own
-    JSON text: numbers keep the spelling that the parsed value has lost."""
+def structured_text(value: Column, text: Column) -> Column:
+    """``text``, the JSON text of ``value``, where that is a list or an object with something in it."""
+    as_list = F.try_variant_get(value, "$", "array<variant>")
+    as_obj = F.try_variant_get(value, "$", "map<string,variant>")
+    return F.when((as_list.isNotNull() & (F.size(as_list) > 0)) | (as_obj.isNotNull() & (F.size(as_obj) > 0)), text)
+
+
+def plain_size(value: Column) -> Column:
+    """P-8 for all but :func:`structured_text`: bytes of a string; 0 when the value is missing, empty or no string."""
     as_list = F.try_variant_get(value, "$", "array<variant>")
     as_obj = F.try_variant_get(value, "$", "map<string,variant>")
     as_str = F.try_variant_get(value, "$", "string")
-    structured = (as_list.isNotNull() & (F.size(as_list) > 0)) | (as_obj.isNotNull() & (F.size(as_obj) > 0))
-    return (F.when(value.isNull(), F.lit(0).cast("long"))
-            .when(structured, python_json_size(F.when(structured, text)))
-            .when(as_list.isNotNull() | as_obj.isNotNull(), F.lit(0).cast("long"))
+    return (F.when(as_list.isNotNull() | as_obj.isNotNull(), F.lit(0).cast("long"))
             .when(as_str.isNotNull() & (as_str != ""), F.octet_length(as_str).cast("long"))
             .otherwise(F.lit(0).cast("long")))
 
@@ -93,11 +95,14 @@ def body_features(bodies: DataFrame, key: str = "request_id", body_col: str = "b
     tools = F.coalesce(F.col("_tools"), F.array().cast("array<variant>"))
     tool_objs = F.filter(tools, lambda t: F.try_variant_get(t, "$", "map<string,variant>").isNotNull())
     tool_types = F.transform(tools, lambda t: F.try_variant_get(t, "$.type", "string"))
-    return p.select(
-        key,
+    # the features are finished before the Python helper is asked: the rows that wait for its
+    # answer, up to a batch at a time, hold no bodies
+    features = F.struct(
+        F.col(key),
         _get("$.model").alias("model"),
         F.coalesce(F.size(F.col("_msgs")), F.lit(0)).cast("int").alias("n_messages"),
-        content_size(F.col("_sys"), F.col("_sys_text")).cast("int").alias("system_bytes"),
+        structured_text(F.col("_sys"), F.col("_sys_text")).alias("_structured"),
+        plain_size(F.col("_sys")).alias("_plain"),
         F.size(tools).cast("int").alias("tool_count"),
         F.transform(tool_objs, lambda t: F.coalesce(F.try_variant_get(t, "$.name", "string"),
                                                    F.lit(""))).alias("tool_names"),
@@ -113,6 +118,11 @@ def body_features(bodies: DataFrame, key: str = "request_id", body_col: str = "b
         is_responses_body(F.size("_msgs"), F.col("_has_input")).alias("is_responses_body"),
         F.col("req_bytes").cast("int").alias("req_bytes"),
     )
+    f = p.select(F.inline(F.array(features)))
+    # P-8: the value's own JSON text is measured, where numbers keep the spelling that the parsed value has lost
+    system_bytes = F.coalesce(python_json_size(F.col("_structured")), F.col("_plain")).cast("int")
+    return f.select(*[system_bytes.alias("system_bytes") if c == "_structured" else F.col(c)
+                      for c in f.columns if c != "_plain"])
 
 
 def unknown_body_fields(bodies: DataFrame, key: str = "request_id", body_col: str = "body") -> DataFrame:

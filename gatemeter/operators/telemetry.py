@@ -185,13 +185,14 @@ def attach_body_features(fact: DataFrame, features: DataFrame) -> DataFrame:
     """Fill the request-shape columns from parsed bodies (left join on request_id).
 
     Both sides are keyed on ``request_id``; at scale land both tables bucketed
-    by it so this join needs no exchange.
+    by it so this join needs no exchange.  Both grow with the calls: the merge
+    join keeps the planner from broadcasting one whose size it guesses too small.
     """
     feats = features.select("request_id", *[F.col(c).alias(f"_b_{c}") for c in BODY_FEATURES
                                             if c in features.columns],
                             *([F.col("req_bytes").alias("_b_req_bytes")]
                               if "req_bytes" in features.columns else []))
-    joined = fact.join(feats, "request_id", "left")
+    joined = fact.join(feats.hint("merge"), "request_id", "left")
     cols = []
     for name in TELEMETRY_COLUMNS + EXTRA_COLUMNS:
         b = f"_b_{name}"
