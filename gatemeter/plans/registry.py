@@ -681,7 +681,8 @@ def q_responses_bodies(spark, d):
             .otherwise(F.lit('{"messages":[]}')))
     landed = read_table(spark, d, "events").select(F.concat(F.lit("req_"), n.cast("string")).alias("request_id"), body.alias("body"))
     features = bodies.body_features(landed).select("request_id", "is_responses_body")
-    return (summaries.request_summaries(landed).join(features, "request_id")
+    # both sides grow with the calls: neither is broadcast, however small the planner guesses it
+    return (summaries.request_summaries(landed).join(features.hint("merge"), "request_id")
             .select("request_id", "is_responses", "is_responses_body", "n_input"))
 
 

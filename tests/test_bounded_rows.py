@@ -38,3 +38,10 @@ def test_body_features_are_not_broadcast(spark):
     fact = attach_body_features(build_telemetry(calls), bodies.body_features(_bodies(spark)))
     assert "SortMergeJoin" in _plan(fact) and "BroadcastHashJoin" not in _plan(fact)
     assert [r.n_messages for r in fact.collect()] == [1]
+
+
+def test_responses_bodies_are_not_broadcast(spark):
+    from conftest import SF_SMALL
+    from gatemeter.plans.registry import QUERIES
+
+    assert "Broadcast" not in _plan(QUERIES["responses_bodies"](spark, SF_SMALL))
