@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,8 +69,15 @@ def python_json(text: pd.Series) -> pd.Series:
     return text.map(_dumps)
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-def python_json_lists(texts: pd.Series) -> pd.Series:
-    """:func:`python_json` of every text of a list of lists."""
-    return texts.map(lambda lists: None if lists is None else [
-        None if inner is None else [_dumps(t) for t in inner] for inner in lists])
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def python_json_lists(texts: pa.Array, row: pa.Array) -> pa.Array:
+    """:func:`python_json` of every text of a list of lists.
+
+    ``row`` is the text that the lists were cut from.  It is not read: with it a
+    batch, bounded by its bytes, weighs what the rows do that wait for the answer.
+    """
+    kind = pa.list_(pa.list_(pa.string()))
+    if texts.null_count == len(texts):
+        return pa.nulls(len(texts), kind)
+    return pa.array([None if lists is None else [
+        None if inner is None else [_dumps(t) for t in inner] for inner in lists] for lists in texts.to_pylist()], kind)

@@ -78,7 +78,7 @@ def tool_arguments(body: Column) -> Column:
     """Per message the raw ``input`` of its ``tool_use`` blocks, in order, as Python writes it."""
     raw = F.from_json(F.when(body.contains('"tool_use"'), body), RAW_REQUEST)["messages"]
     return python_json_lists(F.transform(raw, lambda m: F.transform(
-        F.filter(F.from_json(m["content"], RAW_BLOCKS), lambda b: b["type"] == "tool_use"), lambda b: b["input"])))
+        F.filter(F.from_json(m["content"], RAW_BLOCKS), lambda b: b["type"] == "tool_use"), lambda b: b["input"])), body)
 
 
 def _kind(v: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from gatemeter.operators import bodies
+from gatemeter.operators import bodies, convert
 from gatemeter.operators.telemetry import attach_body_features, build_telemetry
 
 
@@ -22,6 +22,14 @@ def _bodies(spark):
     return spark.createDataFrame(rows, "request_id string, body string")
 
 
+def test_batches_of_tool_arguments_weigh_what_their_bodies_do(spark):
+    chat = convert.to_chat_request(_bodies(spark)).select("request_id", "chat_body", "chat_messages")
+    assert re.search(r"python_json_lists\(.*, _body#\d+\)", _plan(chat))
+    got = {r.request_id: r for r in chat.collect()}
+    assert sorted(got) == ["r1", "r2", "r3", "r4"]
+    assert got["r2"].chat_messages[1].tool_calls[0].function.arguments == '{"b": 1.5, "a": []}'
+
+
 def test_features_hold_no_bodies_while_python_measures(spark):
     features = bodies.body_features(_bodies(spark))
     held = re.search(r"ArrowEvalPython \[python_json_size\((.*)\)#\d+.*\], \[(.*)\], \d+", _plan(features))
