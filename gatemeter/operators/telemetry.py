@@ -181,6 +181,26 @@ def build_telemetry(calls: DataFrame, policy: ModelPolicy | None = None,
     return fact
 
 
+def misfit(calls: DataFrame) -> Column:
+    """Why :func:`build_telemetry` could not store a call: the first number that the table's type does not hold; else null.
+
+    The counts and columns are those that the projection above casts to ``int``.
+    """
+    counts = ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens",
+              "cache_creation_5m", "cache_creation_1h", "web_search_requests", "status", "elapsed_ms", "retry_count",
+              "req_bytes", "resp_bytes", "n_messages", "max_tokens")
+    values = {c: F.col(c) for c in counts if c in calls.columns}
+    native_stream = (F.col("route") == "native") & F.coalesce(F.col("stream"), F.lit(False))
+    values["ttft_ms"] = F.when(native_stream, F.col("ttft_ms"))
+    total = F.lit(0).cast("decimal(21,0)")
+    for c in counts[:4]:
+        total = total + F.coalesce(F.col(c).try_cast("decimal(20,0)"), F.lit(0))
+    values["total_tokens"] = total
+    return F.coalesce(*[F.when(v.isNotNull() & v.try_cast("int").isNull(),
+                               F.concat(F.lit(f"bad_value: {c} = "), v.cast("string"), F.lit(" is no INT")))
+                        for c, v in values.items()])
+
+
 def attach_body_features(fact: DataFrame, features: DataFrame) -> DataFrame:
     """Fill the request-shape columns from parsed bodies (left join on request_id).
 

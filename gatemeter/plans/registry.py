@@ -462,6 +462,7 @@ def q_evolve_schema(spark, d):
 
 # --- streaming (ST-1, ST-2, ST-3, ST-5, ST-7) ---------------------------------------
 MICRO_BATCHES = 3
+REJECT_FILES = 16
 
 
 def _land_calls(spark, d, name):
@@ -552,8 +553,10 @@ def q_stream_rejects(spark, d):
     raw = raw.withColumn("call", F.col("request_id")).withColumn(
         "request_id", F.when(n % 1000 != 3, F.col("request_id")))
     place = sinks.new_table_path(spark, "stream_rejects")
-    raw.repartition(2).write.parquet(f"{place}/landing")
-    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", "1").parquet(f"{place}/landing")
+    # two micro-batches of as many files as tasks may write and read at once
+    raw.repartition(2 * REJECT_FILES, F.xxhash64("call")).write.parquet(f"{place}/landing")
+    stream = (spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", str(REJECT_FILES))
+              .parquet(f"{place}/landing"))
     ingest.run_to_end(ingest.ingest_calls(stream, f"{place}/facts", f"{place}/ckpt", rejects_path=f"{place}/rejects"))
     rejects = spark.read.option("recursiveFileLookup", "true").parquet(f"{place}/rejects")
     stored = spark.read.parquet(f"{place}/facts").select("request_id", F.lit(None).cast("string").alias("reason"))

@@ -15,7 +15,8 @@ unavailable.  Here the same contract is a file stream:
   without a key or a time cannot be stored; they go to a reject table with the
   reason instead of failing the stream.
 
-* ST-3: when a micro-batch cannot be evaluated because of its data, it is halved
+* ST-3: numbers beyond the table's types go to the reject table in the same pass;
+  when a micro-batch still cannot be evaluated because of its data, it is halved
   until the rows that fail are alone; they go to the reject table with the error,
   all others are stored;
 * ST-2 without reading the table: :func:`ingest_within_watermark` keeps the keys of
@@ -41,7 +42,7 @@ from pyspark.sql.streaming import StreamingQuery
 from gatemeter import fixed
 from gatemeter.functions.models import ModelPolicy
 from gatemeter.operators.spend import as_spent, running_micro
-from gatemeter.operators.telemetry import build_telemetry
+from gatemeter.operators.telemetry import build_telemetry, misfit
 from gatemeter.sources import sinks
 
 
@@ -96,7 +97,8 @@ def ingest_calls(calls: DataFrame, table_path: str, checkpoint: str,
     (default ``session_id``); a row keeps the title it had when written.
     Records without ``request_id`` or ``ts`` are never stored; with
     ``rejects_path`` they are appended there, in a folder per micro-batch that a
-    retry overwrites, with a ``reject_reason`` (ST-3).  Returns the started query.
+    retry overwrites, with a ``reject_reason`` (ST-3), together with those whose
+    numbers the table's types do not hold.  Returns the started query.
     """
     from gatemeter.operators.sessions import attach_titles
 
@@ -106,6 +108,7 @@ def ingest_calls(calls: DataFrame, table_path: str, checkpoint: str,
         reason = (F.when(F.col("request_id").isNull(), F.lit("no_request_id"))
                   .when(F.col("ts").isNull(), F.lit("no_ts")))
         if rejects_path:
+            reason = F.coalesce(reason, misfit(batch))
             (batch.withColumn("reject_reason", reason).where(F.col("reject_reason").isNotNull())
              .write.mode("overwrite").parquet(os.path.join(rejects_path, f"batch={batch_id}")))
         named = titles.get() if titles is not None else None

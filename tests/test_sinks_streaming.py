@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from gatemeter.sources import bridges, request_log, sinks
@@ -191,3 +193,23 @@ def test_running_spend_repeats_a_batch(spark, tmp_dir):
     first = run("a")
     assert first == run("b")
     assert [x[2] for x in first] == [0.008, 0.016, 0.024, 0.032, 0.008, 0.016, 0.024, 0.032, 0.04]
+
+
+def test_many_bad_numbers_are_rejected_in_one_pass(spark, tmp_dir, monkeypatch):
+    """Numbers beyond the table's types need no halving, however many there are; all others are stored."""
+    raw = bridges.calls_from_usage_raw(bridges.usage_raw(read_table(spark, SF_SMALL, "events").where("event_id < 400")))
+    n = F.substring("request_id", 5, 20).cast("long")
+    raw = raw.withColumn("output_tokens", F.when(n % 4 == 1, F.lit(1 << 40)).when(n % 4 == 2, F.lit((1 << 31) - 1))
+                         .otherwise(F.lit(0))).withColumn("input_tokens", F.when(n % 8 == 2, F.lit(1)).otherwise(F.lit(0)))
+    raw = raw.withColumn("cache_read_input_tokens", F.lit(0)).withColumn("cache_creation_input_tokens", F.lit(None).cast("long"))
+    raw = raw.withColumn("ttft_ms", F.when(n % 8 == 3, F.lit(1 << 33)).otherwise(F.lit(5)))
+    raw = raw.withColumn("stream", n % 16 == 3).withColumn("route", F.lit("native"))
+    raw.write.parquet(f"{tmp_dir}/landing")
+    monkeypatch.setattr(ingest, "bad_parts", lambda *a: pytest.fail("halved"))
+    stream = spark.readStream.schema(raw.schema).parquet(f"{tmp_dir}/landing")
+    ingest.run_to_end(ingest.ingest_calls(stream, f"{tmp_dir}/facts", f"{tmp_dir}/ckpt", rejects_path=f"{tmp_dir}/rejects"), 300)
+    ids = lambda rows: {int(r.request_id[4:]) for r in rows}
+    bad = spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_dir}/rejects").collect()
+    wrong = {i for i in range(400) if i % 4 == 1 or i % 8 == 2 or i % 16 == 3}
+    assert ids(bad) == wrong and all(r.reject_reason.startswith("bad_value") for r in bad)
+    assert ids(spark.read.parquet(f"{tmp_dir}/facts").collect()) == set(range(400)) - wrong
