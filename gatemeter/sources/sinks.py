@@ -21,6 +21,7 @@ after a failure appends nothing the first run already committed.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -50,14 +51,17 @@ def read_if_exists(spark: SparkSession, path: str, merge_schema: bool = True) ->
 
 
 def dedupe_append(batch: DataFrame, path: str, key: str | list[str], order: list[str],
-                  partition_col: str | None = None, index: KeyIndex | None = None) -> None:
+                  partition_col: str | None = None, index: KeyIndex | None = None,
+                  derive: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """SNK-1: append the batch's new keys to the parquet table at ``path``.
 
     Within the batch the first row per key by ``order`` wins; a key already
     stored keeps its stored row.  ``partition_col`` (e.g. the day) names the
     table's folders.  Every batch column, the ``order`` columns included, is
     written.  The batch is evaluated once.  ``index`` sets other limits than the
-    default ones for the table's key index.
+    default ones for the table's key index.  With ``derive``, which gives one row
+    for each it gets, the table holds ``derive``'s rows: it is applied to new keys
+    only, after the others have gone.
     """
     keys = [key] if isinstance(key, str) else list(key)
     index = index or KeyIndex(batch.sparkSession, path, T.StructType([batch.schema[k] for k in keys]))
@@ -68,6 +72,8 @@ def dedupe_append(batch: DataFrame, path: str, key: str | list[str], order: list
         if have is not None:
             have = have.select(*[F.col(k).alias(f"_stored_{k}") for k in keys])
             new = firsts.join(have, [F.col(k).eqNullSafe(F.col(f"_stored_{k}")) for k in keys], "left_anti")
+        if derive is not None:
+            new = derive(new)
         if partition_col:
             # small folders share a task and get one file a batch; a folder with much of the batch is split over several
             new.hint("rebalance", F.col(partition_col)).write.mode("append").partitionBy(partition_col).parquet(path)

@@ -126,6 +126,9 @@ def ingest_calls(calls: DataFrame, table_path: str, checkpoint: str,
         good = batch.where(reason.isNull())
         if rejects_path:
             append_bisecting(good, derive, append, os.path.join(rejects_path, f"batch={batch_id}"))
+        elif set(order) <= set(good.columns):
+            # the copies that go are told by the call record itself: the wide row is derived for new calls only
+            sinks.dedupe_append(good, table_path, "request_id", order, partition_col="day", derive=derive)
         else:
             append(derive(good))
 

@@ -213,3 +213,20 @@ def test_many_bad_numbers_are_rejected_in_one_pass(spark, tmp_dir, monkeypatch):
     wrong = {i for i in range(400) if i % 4 == 1 or i % 8 == 2 or i % 16 == 3}
     assert ids(bad) == wrong and all(r.reject_reason.startswith("bad_value") for r in bad)
     assert ids(spark.read.parquet(f"{tmp_dir}/facts").collect()) == set(range(400)) - wrong
+
+
+def test_only_new_calls_are_derived(spark, tmp_dir):
+    """A replayed batch derives no row, and the table holds what ``derive`` makes of the first copies."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(v):
+        seen.add(1)
+        return v
+
+    mark = F.udf(count, "long")
+    derive = lambda rows: rows.withColumn("w", mark(F.col("v"))).withColumn("day", F.lit("d"))
+    batch = spark.createDataFrame([("a", 2, 20), ("a", 1, 10), ("b", 1, 30), (None, 1, 40)], "k string, at int, v long")
+    for _ in range(2):
+        sinks.dedupe_append(batch, f"{tmp_dir}/t", "k", ["at"], partition_col="day", derive=derive)
+    assert seen.value == 3
+    assert {(r.k, r.w) for r in spark.read.parquet(f"{tmp_dir}/t").collect()} == {("a", 10), ("b", 30), (None, 40)}
