@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,11 +62,22 @@ _MEMO: dict[object, object] = {}
 def worker_memo(key: object, make: Callable[[], T]) -> T:
     """The memo of a Python worker.  Workers are reused by later stages, so another key drops the memo before."""
     if key not in _MEMO:
-        _MEMO.clear()
+        if _MEMO:
+            _MEMO.clear()
+            give_back()
         _MEMO[key] = make()
     return _MEMO[key]
 
 
+def give_back() -> None:
+    """Hand freed memory back to the machine: what the allocators keep would count beside the next memo."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's only
+    if trim is not None:
+        trim(0)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession

@@ -67,3 +67,31 @@ def test_stages_on_awkward_documents(spark):
         assert got.count() >= 0
         if name != "best-fit packing":
             assert got.columns == docs.columns
+
+
+def test_another_memo_gives_back_the_memory_of_the_one_before():
+    """Resident size of a worker falls when its next operator drops a large memo of small texts and numbers."""
+    import os
+    import subprocess
+    import sys
+
+    import gatemeter
+
+    code = """
+from gatemeter.llm.common import worker_memo
+def resident():
+    return int(open("/proc/self/statm").read().split()[1]) * 4096 / 1e6
+def make():
+    kept = {}
+    for i in range(60_000):
+        kept[str(i)] = bytes(1500)
+    return kept
+before = resident()
+worker_memo("a", make)
+full = resident()
+keep = [bytes(600) for _ in range(50)]  # at the top of the heap, so that it cannot shrink by itself
+worker_memo("b", dict)
+assert full - before > 60 and resident() - before < 30, (before, full, resident())
+"""
+    root = os.path.dirname(os.path.dirname(gatemeter.__file__))
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, timeout=60)
