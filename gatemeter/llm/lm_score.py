@@ -14,16 +14,20 @@ word more than it has seen ones.
 
 Corpus work (all documents, growing with them):
 1. word counts, pre-aggregated in the workers, then by word, kept as a table;
-2. training in rounds: rows are dealt by a hash of their columns to the replicas
+2. coding: every text is cut into words once more and stored as ids, two bytes a
+   token.  Rows come in chunks of bounded size; the words without an id of their
+   own are numbered per chunk, and a row holds the numbers of its tokens and the
+   words that it is the first of its chunk to have.  Training and scoring read
+   these rows, not the texts;
+3. training in rounds: rows are dealt by a hash of their columns to the replicas
    of a round, about ``REPLICA_TOKENS`` tokens each however the input is split.
    Every replica trains from the round's start and returns its parameters
    weighted by its tokens; a grouped sum averages them for the next round.  All
    rows are trained on once.  Only word and parameter tables of fixed size reach
    the driver.
-   Rows travel to their replica as ids, two bytes a token.
-Scoring takes the rows in chunks of bounded size: the words without an id of
-their own are looked up once per chunk by a join, and meet its texts in a
-cogroup.  The rows are stored by buckets of chunks, so the texts don't move.
+Scoring looks the words of each chunk up once by a join, which gives back their
+numbers and counts to meet the chunk's rows in a cogroup.  The rows are stored by
+buckets of chunks, so they don't move.
 
 Edge cases: null, empty and blank texts have 0 tokens, log_prob 0 and a null
 mean; a text of one word is predicted from the edges alone; repeated rows score
@@ -35,17 +39,16 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from gatemeter.llm.common import discard, written
 from gatemeter.session import checkpoint_dir
@@ -59,7 +62,6 @@ WIDTH = 16
 SIDES = (-2, -1, 1, 2)
 BATCH = 8192
 RATE = 0.05
-COUNTER_ENTRIES = 200_000
 ROUNDS = 4
 REPLICA_TOKENS = 500_000
 UNSEEN = 0.5
@@ -71,11 +73,17 @@ BUCKET_TOKENS = 2_000_000
 MOST_BUCKETS = 20_000
 # logits beyond this say nothing more in single precision
 LIMIT = 30.0
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def split_bytes(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Tokens of each text, all of them in a row as places in the list of the distinct ones, and that list (in order)."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    flat, ends = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+    whole = pc.binary_length(flat).to_numpy() > 0  # blanks at the ends of a text cut off empty words
+    if not whole.all():
+        flat, ends = flat.filter(pa.array(whole)), np.concatenate([[0], np.cumsum(whole)])[ends]
+    coded = flat.dictionary_encode()
+    return np.diff(ends), coded.indices.to_numpy(), coded.dictionary.cast(pa.binary())
 
 
 @dataclass
@@ -105,7 +113,10 @@ class Vocabulary(dict):
 
 
 class Shares(dict):
-    """word -> log of its share of its hashed id, from one chunk's counts; 0 for words with an id of their own."""
+    """word -> log of its share of its hashed id, from words and their counts; 0 for words with an id of their own.
+
+    What :func:`log_probs` takes a chunk's words from, one word at a time.
+    """
 
     def __init__(self, words: list[bytes], counts: np.ndarray, vocabulary: Vocabulary, whole: np.ndarray) -> None:
         at = np.array([zlib.crc32(w) % HASHED for w in words], dtype=np.int64)
@@ -117,12 +128,6 @@ class Shares(dict):
         return float(self.unseen[zlib.crc32(w) % HASHED])
 
 
-def coded(split: list[list[bytes]]) -> tuple[np.ndarray, list[bytes]]:
-    """All words in a row, as places in the list of the distinct ones."""
-    flat = pa.array(chain.from_iterable(split), pa.binary()).dictionary_encode()
-    return flat.indices.to_numpy(zero_copy_only=False), flat.dictionary.to_pylist()
-
-
 def between_edges(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Ids of texts in a row, with two edges between texts and around all."""
     out = np.full(len(ids) + 2 * len(sizes) + 2, EDGE, dtype=np.int64)
@@ -132,10 +137,8 @@ def between_edges(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def encode(texts: list[str | None], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """All ids in a row, two edges between texts and around all, and the tokens of each text."""
-    split = [split_bytes(t) for t in texts]
-    sizes = np.array([len(ws) for ws in split], dtype=np.int64)
-    codes, words = coded(split)
-    return between_edges(vocabulary.ids(words)[codes], sizes), sizes
+    sizes, codes, distinct = tokens(pa.array(texts, pa.string()))
+    return between_edges(vocabulary.ids(distinct.to_pylist())[codes], sizes), sizes
 
 
 @dataclass
@@ -176,9 +179,9 @@ class WindowNetwork:
         return cls(*out)
 
     def states(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        z = self.sides[0][ids[at + SIDES[0]]]
+        z = self.sides[0].take(ids[at + SIDES[0]], axis=0)
         for k in range(1, len(SIDES)):
-            z += self.sides[k][ids[at + SIDES[k]]]
+            z += self.sides[k].take(ids[at + SIDES[k]], axis=0)
         z += self.hidden
         h = np.empty((len(at), WIDTH + 1), np.float32)
         np.maximum(z, 0.1 * z, out=h[:, :-1])
@@ -186,11 +189,22 @@ class WindowNetwork:
         return z, h
 
     @staticmethod
-    def _softmax(x: np.ndarray) -> np.ndarray:
+    def _exp(x: np.ndarray) -> np.ndarray:
+        """Numerators of the rows' softmax, in place."""
         np.clip(x, -LIMIT, LIMIT, out=x)
-        np.exp(x, out=x)
-        x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
-        return x
+        return np.exp(x, out=x)
+
+    def _in_class(self, h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numerators and denominators within the class, of rows in order of it: class ``c`` up to ``ends[c + 1]``."""
+        x, whole = np.empty((len(h), PER_CLASS), np.float32), np.empty(len(h), np.float32)
+        some = [(c, slice(ends[c], ends[c + 1])) for c in range(CLASSES) if ends[c] < ends[c + 1]]
+        for c, k in some:
+            np.matmul(h[k], self.to_word[c], out=x[k])
+        self._exp(x)
+        ones = np.ones(PER_CLASS, np.float32)
+        for _, k in some:
+            np.matmul(x[k], ones, out=whole[k])
+        return x, whole
 
     def token_log_probs(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log P(token | its neighbours) at the given places."""
@@ -201,14 +215,11 @@ class WindowNetwork:
             target = ids[some]
             group = target // PER_CLASS
             rows = np.arange(len(some))
-            lp = np.log(self._softmax(h @ self.to_class)[rows, group])
+            x = self._exp(h @ self.to_class)
+            lp = np.log(x[rows, group] / (x @ np.ones(CLASSES, np.float32)))
             order = np.argsort(group.astype(np.uint8), kind="stable")
-            ends = np.searchsorted(group[order], np.arange(CLASSES + 1))
-            for c in range(CLASSES):
-                k = order[ends[c]:ends[c + 1]]
-                if len(k):
-                    p = self._softmax(h[k] @ self.to_word[c])
-                    lp[k] += np.log(p[np.arange(len(k)), target[k] % PER_CLASS])
+            x, whole = self._in_class(h.take(order, axis=0), np.searchsorted(group[order], np.arange(CLASSES + 1)))
+            lp[order] += np.log(x[rows, target[order] % PER_CLASS] / whole)
             out[i:i + BATCH] = lp
         return out
 
@@ -226,21 +237,27 @@ class WindowNetwork:
             z, h = self.states(ids, some)
             target = ids[some]
             group = target // PER_CLASS
-            g = self._softmax(h @ self.to_class)
-            g[np.arange(len(some)), group] -= 1
+            rows = np.arange(len(some))
+            g = self._exp(h @ self.to_class)
+            g /= (g @ np.ones(CLASSES, np.float32))[:, None]
+            g[rows, group] -= 1
             dh = g @ self.to_class[:-1].T
             d_class = h.T @ g
             d_word = np.zeros_like(self.to_word)
             order = np.argsort(group.astype(np.uint8), kind="stable")
             ends = np.searchsorted(group[order], np.arange(CLASSES + 1))
+            sorted_h = h.take(order, axis=0)
+            p, whole = self._in_class(sorted_h, ends)
+            p /= whole[:, None]
+            p[rows, target[order] % PER_CLASS] -= 1
+            back = np.empty_like(dh)
             for c in range(CLASSES):
-                k = order[ends[c]:ends[c + 1]]
-                if len(k):
-                    p = self._softmax(h[k] @ self.to_word[c])
-                    p[np.arange(len(k)), target[k] % PER_CLASS] -= 1
-                    d_word[c] = h[k].T @ p
-                    dh[k] += p @ self.to_word[c][:-1].T
-            dh[z < 0] *= 0.1
+                k = slice(ends[c], ends[c + 1])
+                if ends[c] < ends[c + 1]:
+                    d_word[c] = sorted_h[k].T @ p[k]
+                    np.matmul(p[k], self.to_word[c][:-1].T, out=back[k])
+            dh[order] += back
+            dh *= np.where(z < 0, np.float32(0.1), np.float32(1))
             n = np.float32(1.0 / len(some))
             for s, shift in enumerate(SIDES):
                 near = ids[some + shift]
@@ -248,7 +265,7 @@ class WindowNetwork:
                 sorted_ids = near[by]
                 first = np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]]))
                 grad = np.zeros_like(self.sides[s])
-                grad[sorted_ids[first]] = np.add.reduceat(dh[by], first, axis=0) * n
+                grad[sorted_ids[first]] = np.add.reduceat(dh.take(by, axis=0), first, axis=0) * n
                 self._step(f"side{s}", self.sides[s], grad, rate)
             self._step("hidden", self.hidden, dh.sum(0) * n, rate)
             self._step("class", self.to_class, d_class * n, rate)
@@ -263,34 +280,26 @@ def places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, first
 
 
-def chunks(texts: list[str | None], chars: int = 1_000_000) -> Iterator[list[str | None]]:
-    held, total = [], 0
-    for t in texts:
-        held.append(t)
-        total += len(t or "")
-        if total >= chars:
-            yield held
-            held, total = [], 0
-    if held:
-        yield held
+def pieces(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows of together at most ``CHUNK_ROWS`` and ``CHUNK_BYTES`` of text, or one row."""
+    ends = np.cumsum(pc.binary_length(batch.column(text)).fill_null(0).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(ends):
+        most = CHUNK_BYTES + (ends[at - 1] if at else 0)
+        end = max(at + 1, min(at + CHUNK_ROWS, int(np.searchsorted(ends, most, side="right"))))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, n) over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())],
-                                              names=["word", "n"])
-
-        held: Counter = Counter()
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                held.update(split_bytes(t))
-                if len(held) >= COUNTER_ENTRIES:
-                    yield out()
-                    held.clear()
-        yield out()
+            for some in pieces(batch, text):
+                _, codes, distinct = tokens(some.column(text))
+                yield pa.RecordBatch.from_arrays([distinct, pa.array(np.bincount(codes, minlength=len(distinct)), pa.int64())],
+                                                 names=["word", "n"])
 
     return (docs.select(text).mapInArrow(run, "word binary, n long")
             .groupBy("word").agg(F.sum("n").alias("n")))
@@ -345,35 +354,85 @@ def in_steps(texts: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
         yield held
 
 
+def binaries(sizes: np.ndarray, data: np.ndarray) -> pa.Array:
+    """Binary values of ``sizes`` elements of ``data`` each."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]) * data.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data.tobytes())])
+
+
+def elements(column: pa.ChunkedArray, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """What :func:`binaries` was made of: the elements of each value, and all of them in a row."""
+    whole = pa.concat_arrays(column.cast(pa.binary()).chunks)
+    _, ends, data = whole.buffers()
+    ends = np.frombuffer(ends, np.int32)[whole.offset:whole.offset + len(whole) + 1]
+    kind = np.dtype(dtype)
+    some = np.frombuffer(data, np.uint8)[ends[0]:ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    return np.diff(ends) // kind.itemsize, some.view(kind)
+
+
+def coded(docs: DataFrame, words: Vocabulary, text: str, columns: Sequence[str]) -> DataFrame:
+    """``docs`` as (chunk, mark, row, ids, tail, base, fresh): ``row`` has ``columns``, ``ids`` the ids of the text's tokens.
+
+    ``tail`` has the numbers of the tokens without an id of their own among such words of the chunk; ``fresh`` are those
+    words whose first token in the chunk stands in this row, numbered from ``base``.
+    """
+    known = words.words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_words = pa.array(known, pa.binary())
+        chunk = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for some in pieces(batch, "text"):
+                sizes, codes, distinct = tokens(some.column("text"))
+                own = pc.index_in(distinct, value_set=own_words)
+                rest = distinct.filter(own.is_null())
+                is_rest = own.is_null().to_numpy(zero_copy_only=False)
+                ids = own.fill_null(0).to_numpy().astype("<u2")
+                ids[is_rest] = [WORDS + zlib.crc32(w) % HASHED for w in rest.to_pylist()]
+                number = np.cumsum(is_rest) - 1
+                in_rest = is_rest[codes]
+                ends = np.cumsum(sizes)
+                before = np.concatenate([[0], np.cumsum(in_rest)])
+                # words are listed by their first token: the highest place so far tells how many a row has reached
+                reached = np.concatenate([[-1], np.maximum.accumulate(codes)])[np.concatenate([[0], ends])] if len(codes) else \
+                    np.full(len(sizes) + 1, -1)
+                fresh = np.concatenate([[0], number + 1])[reached + 1].astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(sizes), chunk)), some.column("mark"), some.column("row"), binaries(sizes, ids[codes]),
+                     binaries(np.diff(before[np.concatenate([[0], ends])]), number[codes[in_rest]].astype("<u4")),
+                     pa.array(fresh[:-1]), pa.ListArray.from_arrays(pa.array(fresh), rest)],
+                    names=["chunk", "mark", "row", "ids", "tail", "base", "fresh"])
+                chunk += 1
+
+    mark = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    rows = docs.select(F.col(text).alias("text"), mark.alias("mark"),
+                       F.struct(*(columns or [F.lit(True).alias("row")])).alias("row"))
+    return rows.mapInArrow(run, StructType([
+        StructField("chunk", LongType()), StructField("mark", LongType()), rows.schema["row"],
+        StructField("ids", BinaryType()), StructField("tail", BinaryType()), StructField("base", IntegerType()),
+        StructField("fresh", ArrayType(BinaryType()))]))
+
+
 def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS,
           replica_tokens: int = REPLICA_TOKENS) -> tuple[Vocabulary, WindowNetwork]:
     """Replicas of ``replica_tokens`` tokens, averaged by their tokens after each round."""
     words, counts = vocabulary(docs, text)
+    rows = written(coded(docs, words, text, []).select("mark", "ids"))
+    net = fit(rows, words, counts, rounds, replica_tokens)
+    discard(rows)
+    return words, net
+
+
+def fit(rows: DataFrame, words: Vocabulary, counts: np.ndarray, rounds: int = ROUNDS,
+        replica_tokens: int = REPLICA_TOKENS) -> WindowNetwork:
+    """The network of stored coded rows, of which ``mark`` and ``ids`` are read."""
     net = WindowNetwork.start(counts)
     replicas = max(1, -(-words.tail.tokens // (rounds * replica_tokens)))
-    mark = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
-    dealt = (docs.select(F.col(text).alias("text"), mark.alias("mark"))
-             .withColumn("slot", F.pmod("mark", F.lit(rounds * replicas)))
-             .select("text", "mark", (F.col("slot") % rounds).alias("round"),
+    dealt = (rows.select("mark", "ids").withColumn("slot", F.pmod("mark", F.lit(rounds * replicas)))
+             .select("mark", "ids", (F.col("slot") % rounds).alias("round"),
                      F.floor(F.col("slot") / rounds).alias("replica")))
-    def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            replica, mark = batch.column("replica"), batch.column("mark")
-            at = 0
-            for some in chunks(batch.column("text").to_pylist()):
-                split = [split_bytes(t) for t in some]
-                codes, distinct = coded(split)
-                ids = known.ids(distinct).astype("<u2")[codes].tobytes()
-                ends = 2 * np.cumsum([len(ws) for ws in split])
-                yield pa.RecordBatch.from_arrays(
-                    [replica.slice(at, len(some)), mark.slice(at, len(some)),
-                     pa.array([ids[e - 2 * len(ws):e] for e, ws in zip(ends, split)], pa.binary())],
-                    names=["replica", "mark", "ids"])
-                at += len(some)
-
-    known = Vocabulary(words.words)
     for round_ in range(rounds):
-        begin = docs.sparkSession.sparkContext.broadcast(net.flat())  # about 0.3 MB
+        begin = rows.sparkSession.sparkContext.broadcast(net.flat())  # about 0.3 MB
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = begin.value
@@ -391,82 +450,37 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS,
                     [pa.array(np.arange(len(total)), pa.int32()), pa.array(total),
                      pa.array(np.full(len(total), tokens), pa.int64())], names=["i", "v", "n"])
 
-        encoded = (dealt.where(F.col("round") == round_).select("replica", "mark", "text")
-                   .mapInArrow(ids_of, "replica long, mark long, ids binary"))
-        sums = (encoded.repartition("replica").sortWithinPartitions("replica", "mark", "ids").select("replica", "ids")
+        sums = (dealt.where(F.col("round") == round_).select("replica", "mark", "ids")
+                .repartition("replica").sortWithinPartitions("replica", "mark", "ids").select("replica", "ids")
                 .mapInArrow(run, "i int, v double, n long").groupBy("i")
                 .agg((F.sum("v") / F.sum("n")).alias("v")).toPandas())  # one row per parameter
         if len(sums):
             flat = np.zeros(len(sums))
             flat[sums["i"].to_numpy()] = sums["v"].to_numpy()
             net = WindowNetwork.of_flat(flat)
-    return words, net
+    return net
 
 
-def log_probs(texts: list[str | None], words: Vocabulary, net: WindowNetwork, shares: Shares) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and sum of log-probabilities of every text."""
-    tokens, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
-    for some in chunks(texts):
-        split = [split_bytes(t) for t in some]
-        sizes = np.array([len(ws) for ws in split], dtype=np.int64)
-        codes, distinct = coded(split)
-        at, first = places(sizes)
-        lp = net.token_log_probs(between_edges(words.ids(distinct)[codes], sizes), at).astype(np.float64)
-        lp += np.fromiter(map(shares.__getitem__, distinct), dtype=float, count=len(distinct))[codes]
-        tokens.append(sizes)
-        sums.append(np.where(sizes > 0, np.add.reduceat(np.append(lp, 0.0), np.minimum(first, len(at))), 0.0))
-    return np.concatenate(tokens), np.concatenate(sums)
-
-
-def tail_words(rows: DataFrame, words: Vocabulary) -> DataFrame:
-    """(chunk, word): the words of each chunk (chunk, text) that have no id of their own."""
-    top = words.words
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = frozenset(top)
-
-        def out() -> pa.RecordBatch:
-            found = list(held - known)
-            return pa.RecordBatch.from_arrays([pa.array([last] * len(found), pa.int64()), pa.array(found, pa.binary())],
-                                              names=["chunk", "word"])
-
-        held: set[bytes] = set()
-        last = None
-        for batch in batches:
-            for chunk, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if held and (chunk != last or len(held) >= COUNTER_ENTRIES):
-                    yield out()
-                    held.clear()
-                last = chunk
-                held.update(split_bytes(t))
-        if held:
-            yield out()
-
-    return rows.mapInArrow(run, "chunk long, word binary")
-
-
-def in_chunks(docs: DataFrame, text: str) -> DataFrame:
-    """(chunk, row): neighbouring rows of together at most ``CHUNK_ROWS`` and ``CHUNK_BYTES`` of text, or one row."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, rows, size = TaskContext.get().partitionId() << 32, 0, 0
-        for batch in batches:
-            marks = np.empty(batch.num_rows, dtype=np.int64)
-            for i, n in enumerate(batch.column("size").to_pylist()):
-                if rows and (rows >= CHUNK_ROWS or size + n > CHUNK_BYTES):
-                    chunk, rows, size = chunk + 1, 0, 0
-                rows, size = rows + 1, size + n
-                marks[i] = chunk
-            yield pa.RecordBatch.from_arrays([pa.array(marks), batch.column("row")], names=["chunk", "row"])
-
-    rows = docs.select(F.coalesce(F.octet_length(F.col(text)), F.lit(0)).alias("size"), F.struct(*docs.columns).alias("row"))
-    return rows.mapInArrow(run, StructType([StructField("chunk", LongType()), StructField("row", docs.schema)]))
+def log_probs(rows: pa.Table, found: pa.Table, net: WindowNetwork, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and sum of log-probabilities of every coded text of a chunk, with the counts found of its words."""
+    sizes, ids = elements(rows.column("ids"), "<u2")
+    _, tail = elements(rows.column("tail"), "<u4")
+    at, first = places(sizes)
+    lp = net.token_log_probs(between_edges(ids, sizes), at).astype(np.float64)
+    if len(tail):
+        in_tail = (ids >= WORDS) & (ids < EDGE)
+        n, id_of = np.full(int(tail.max()) + 1, UNSEEN), np.zeros(int(tail.max()) + 1, np.int64)
+        n[found.column("place").to_numpy()] = found.column("n").to_numpy()
+        id_of[tail] = ids[in_tail] - WORDS
+        lp[in_tail] += np.log(n / whole[id_of])[tail]
+    return sizes, np.where(sizes > 0, np.add.reduceat(np.append(lp, 0.0), np.minimum(first, len(at))), 0.0)
 
 
 def by_bucket(rows: DataFrame, key: str, buckets: int) -> DataFrame:
     """A table in the shared folder, in hash buckets of ``key``: joins on it leave the rows where they are."""
     spark = rows.sparkSession
     name = f"gatemeter_{uuid.uuid4().hex}"
-    (rows.write.format("parquet").option("path", f"{checkpoint_dir(spark).rstrip('/')}/{name}")
+    (rows.write.format("parquet").option("compression", "zstd").option("path", f"{checkpoint_dir(spark).rstrip('/')}/{name}")
      .bucketBy(buckets, key).sortBy(key).saveAsTable(name))
     return spark.table(name)
 
@@ -474,27 +488,38 @@ def by_bucket(rows: DataFrame, key: str, buckets: int) -> DataFrame:
 def score(docs: DataFrame, words: Vocabulary, net: WindowNetwork, text: str = "text") -> DataFrame:
     """``docs`` with n_tokens, log_prob and mean_log_prob, replacing columns of these names."""
     d = docs.drop("n_tokens", "log_prob", "mean_log_prob")
+    return scored(stored(d, words, text, d.columns), words, net)
+
+
+def stored(docs: DataFrame, words: Vocabulary, text: str, columns: Sequence[str]) -> DataFrame:
+    """Coded rows in buckets of chunks."""
     buckets = max(1, min(MOST_BUCKETS, -(-words.tail.tokens // BUCKET_TOKENS)))
-    chunked = by_bucket(in_chunks(d, text), "chunk", buckets)
-    looked_up = (tail_words(chunked.select("chunk", F.col("row")[text].alias("text")), words)
-                 .join(words.tail.table, "word"))
-    begin = docs.sparkSession.sparkContext.broadcast((words, net.flat(), words.tail.whole))
-
-    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
-        known, flat, bucket_sizes = begin.value
-        whole = rows.column("row").combine_chunks()
-        shares = Shares(found.column("word").to_pylist(), found.column("n").to_numpy(), known, bucket_sizes)
-        n, lp = log_probs(whole.field(text).to_pylist(), known, WindowNetwork.of_flat(flat), shares)
+    return by_bucket(coded(docs, words, text, columns), "chunk", buckets)
+
+
+def scored(rows: DataFrame, words: Vocabulary, net: WindowNetwork) -> DataFrame:
+    """The columns of each coded row with n_tokens, log_prob and mean_log_prob."""
+    looked_up = (rows.select("chunk", "base", F.posexplode("fresh").alias("at", "word"))
+                 .select(F.col("chunk").alias("of"), (F.col("base") + F.col("at")).alias("place"), "word")
+                 .join(words.tail.table, "word").select("of", "place", "n"))
+    begin = rows.sparkSession.sparkContext.broadcast((net.flat(), words.tail.whole))
+
+    def run(some: pa.Table, found: pa.Table) -> pa.Table:
+        flat, whole = begin.value
+        row = some.column("row").combine_chunks()
+        n, lp = log_probs(some, found, WindowNetwork.of_flat(flat), whole)
         mean = pa.array(lp / np.maximum(n, 1), pa.float64(), mask=n == 0)
-        return pa.Table.from_arrays([*whole.flatten(), pa.array(n, pa.int64()), pa.array(lp, pa.float64()), mean],
-                                    names=[*(f.name for f in whole.type), "n_tokens", "log_prob", "mean_log_prob"])
+        return pa.Table.from_arrays([*row.flatten(), pa.array(n, pa.int64()), pa.array(lp, pa.float64()), mean],
+                                    names=[*(f.name for f in row.type), "n_tokens", "log_prob", "mean_log_prob"])
 
-    schema = StructType([*d.schema.fields, StructField("n_tokens", LongType()), StructField("log_prob", DoubleType()),
-                         StructField("mean_log_prob", DoubleType())])
-    return chunked.groupBy("chunk").cogroup(looked_up.groupBy("chunk")).applyInArrow(run, schema)
+    schema = StructType([*rows.schema["row"].dataType.fields, StructField("n_tokens", LongType()),
+                         StructField("log_prob", DoubleType()), StructField("mean_log_prob", DoubleType())])
+    return (rows.select("chunk", "row", "ids", "tail").groupBy("chunk").cogroup(looked_up.groupBy("of"))
+            .applyInArrow(run, schema))
 
 
 def query(docs: DataFrame) -> DataFrame:
     d = docs.select("doc_id", "text")
-    words, net = train(d)
-    return score(d, words, net).drop("text")
+    words, counts = vocabulary(d)
+    rows = stored(d, words, "text", ["doc_id"])
+    return scored(rows, words, fit(rows, words, counts))

@@ -253,6 +253,33 @@ def test_unseen_words_score_below_rare_ones_and_the_tail_sums_to_one(spark):
     assert (got[None].n_tokens, got[None].log_prob, got[None].mean_log_prob) == (0, 0.0, None)
 
 
+def test_coded_rows_number_the_words_of_each_chunk(spark):
+    words = lm_score.Vocabulary([b"the", b"fox", b"w1"])
+    docs = edge_docs(spark, [*EDGE_DOCS, *[(100, "  A\x0bthe\x1ca\rW1 \x85 W2 w2\x00 ", *EDGE_DOCS[0][2:])] * 2]).repartition(3)
+    rows = lm_score.coded(docs, words, "text", ["doc_id", "text"]).collect()
+    assert len(rows) == len(EDGE_DOCS) + 2
+    chunks = {}
+    for r in rows:
+        chunks.setdefault(r.chunk, []).append(r)
+    assert len(chunks) == 3
+    for some in chunks.values():
+        listed = []
+        for r in some:
+            assert r.base == len(listed)
+            listed += map(bytes, r.fresh)
+        assert len(set(listed)) == len(listed)
+        for r in some:
+            want = (r.row.text or "").encode()
+            want = bytes(c + 32 if 65 <= c <= 90 else c for c in want).split()
+            assert np.frombuffer(r.ids, "<u2").tolist() == words.ids(want).tolist()
+            assert [listed[k] for k in np.frombuffer(r.tail, "<u4")] == [w for w in want if w not in words]
+
+
+def test_scoring_reads_coded_rows_not_texts(spark):
+    plan = lm_score.query(edge_docs(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in plan and plan.count("InArrow") == 1
+
+
 def test_training_does_not_depend_on_the_split(tables):
     docs = tables[0].select("doc_id", "text").limit(300).persist()
     _, one = lm_score.train(docs.repartition(2), rounds=2, replica_tokens=20_000)
