@@ -241,10 +241,8 @@ def q_requests_with_titles(spark, d):
 def q_transcript_titles(spark, d):
     """SRC-3: titles read from transcript files of two projects; the first project with a title wins."""
     path = sinks.new_table_path(spark, "transcripts")
-    (bridges.transcript_files(conversations(spark, d)).repartition("project", "session_id")
-     .sortWithinPartitions("project", "session_id", "line_no").select("project", "session_id", "value")
-     .write.partitionBy("project", "session_id").text(path))
-    return sessions.session_titles(sessions.read_transcripts(spark, path, "*.txt", r"/session_id=([^/]+)/"))
+    found = sinks.write_transcripts(bridges.transcript_files(conversations(spark, d)), path)
+    return sessions.session_titles(sessions.read_transcripts(spark, path, **found))
 
 
 # --- request bodies (SRC-5, SRC-8, P-5..P-8, P-11, P-12, P-20, P-21) -------------

@@ -21,8 +21,10 @@ after a failure appends nothing the first run already committed.
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,8 +118,58 @@ def append_evolving(batch: DataFrame, path: str, partition_col: str | None = Non
 
 def new_table_path(spark: SparkSession, name: str) -> str:
     """A fresh folder for a job's output under the shared checkpoint folder."""
-    import uuid
-
     from gatemeter.session import scratch_path
 
     return os.path.join(scratch_path(spark, "tables"), f"{name}-{uuid.uuid4().hex}")
+
+
+# what the file of rows without a session is called, as Spark's writer calls a folder of null
+NO_SESSION = "__HIVE_DEFAULT_PARTITION__"
+
+
+def mounted_folder(spark: SparkSession, path: str) -> str | None:
+    """``path`` as the operating system knows it, none in a store that only Spark reaches."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(jpath).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
+def write_transcripts(lines: DataFrame, path: str) -> dict[str, str]:
+    """Write lines ``(project, session_id, line_no, value)``, a file per project and session, by ``line_no``.
+
+    In a mounted folder the tasks write ``<path>/<project>/session_id=<id>.jsonl`` themselves: like the gateway's, a
+    project is one folder however many sessions it has.  Spark's writer makes a folder for every session, moves it
+    when the job commits and lists each when it is read; other stores are left to it.  A file gets its name when it is
+    whole, so a task that runs again replaces it by the same lines.  (Spark's readers skip names that begin with ``_``
+    or a dot, hence the key before the id.)  Returns the arguments with which ``read_transcripts`` finds the files.
+    """
+    spark = lines.sparkSession
+    ordered = (lines.repartition("project", "session_id").sortWithinPartitions("project", "session_id", "line_no")
+               .select("project", "session_id", "value"))
+    top = mounted_folder(spark, path)
+    if top is None:
+        ordered.write.partitionBy("project", "session_id").text(path)
+        return {"name": "*.txt", "session": r"/session_id=([^/]+)/"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, out, files = None, None, 0
+
+        def end() -> None:
+            if out is not None:
+                out.close()
+                os.replace(out.name, f"{top}/{last[0]}/session_id={last[1] or NO_SESSION}.jsonl")
+
+        for batch in batches:
+            for project, session, value in zip(*(c.to_pylist() for c in batch.columns)):
+                if (project, session) != last:
+                    end()
+                    os.makedirs(f"{top}/{project}", exist_ok=True)
+                    out = open(f"{top}/{project}/.{uuid.uuid4().hex}", "wb")
+                    last, files = (project, session), files + 1
+                out.write((value or "").encode() + b"\n")
+        end()
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], names=["files"])
+
+    os.makedirs(top, exist_ok=True)
+    ordered.mapInArrow(run, "files long").agg(F.sum("files")).collect()  # one row
+    return {"session": r"/session_id=([^/]+)\.jsonl$"}

@@ -8,6 +8,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from gatemeter.operators import sessions
 from gatemeter.sources import bridges, request_log, sinks
 from gatemeter.sources.tables import read_table
 from gatemeter.streaming import ingest
@@ -230,3 +231,50 @@ def test_only_new_calls_are_derived(spark, tmp_dir):
         sinks.dedupe_append(batch, f"{tmp_dir}/t", "k", ["at"], partition_col="day", derive=derive)
     assert seen.value == 3
     assert {(r.k, r.w) for r in spark.read.parquet(f"{tmp_dir}/t").collect()} == {("a", 10), ("b", 30), (None, 40)}
+
+
+TRANSCRIPT_LINES = [("p1", "s1", 10, '{"type": "ai-title", "aiTitle": "late é"}'), ("p1", "s1", 9, '{"type": "ai-title", "aiTitle": "early"}'),
+                    ("p0", "s1", 1, '{"type": "ai-title", "aiTitle": " "}'), ("p1", None, 1, '{"type": "ai-title", "aiTitle": "none"}'),
+                    ("p0", "s2", 1, '{"type": "ai-title", "aiTitle": "first"}'), ("p1", "s2", 1, '{"type": "custom-title", "customTitle": "own"}'),
+                    ("p1", "s3", 1, None), ("p1", "s3", 2, "x")]
+TRANSCRIPT_TITLES = {"s1": "late é", sinks.NO_SESSION: "none", "s2": "first"}
+
+
+def read_titles(spark, path, found):
+    return {r.session_id: r.session_name for r in sessions.session_titles(sessions.read_transcripts(spark, path, **found)).collect()}
+
+
+def test_transcripts_are_written_in_one_folder_per_project(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "t")
+    lines = spark.createDataFrame(TRANSCRIPT_LINES, "project string, session_id string, line_no long, value string")
+    for _ in range(2):  # again: the same files
+        assert read_titles(spark, path, sinks.write_transcripts(lines, path)) == TRANSCRIPT_TITLES
+        files = sorted(os.path.relpath(os.path.join(at, f), path) for at, _, some in os.walk(path) for f in some)
+        assert files == sorted(f"{p}/session_id={s}.jsonl" for p, s in {(p, s or sinks.NO_SESSION) for p, s, *_ in TRANSCRIPT_LINES})
+    with open(f"{path}/p1/session_id=s1.jsonl", encoding="utf-8") as f:
+        assert [line.split('"')[-2] for line in f] == ["early", "late é"]
+    with open(f"{path}/p1/session_id=s3.jsonl") as f:
+        assert f.read() == "\nx\n"
+    empty = os.path.join(tmp_dir, "none")
+    assert read_titles(spark, empty, sinks.write_transcripts(lines.limit(0), empty)) == {}
+    assert read_titles(spark, f"file://{tmp_dir}/u", sinks.write_transcripts(lines, f"file://{tmp_dir}/u")) == TRANSCRIPT_TITLES
+
+
+def test_transcripts_in_a_store_that_only_spark_reaches(spark, tmp_dir):
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.transcripts.link./in", f"file://{tmp_dir}")
+    path = "viewfs://transcripts/in/t"
+    lines = spark.createDataFrame(TRANSCRIPT_LINES, "project string, session_id string, line_no long, value string")
+    assert read_titles(spark, path, sinks.write_transcripts(lines, path)) == TRANSCRIPT_TITLES
+
+
+def test_transcript_query_makes_no_folder_per_session(spark):
+    from gatemeter.plans.registry import QUERIES
+    from gatemeter.session import scratch_path
+
+    def folders():
+        top = scratch_path(spark, "tables")
+        return {at for at, _, _ in os.walk(top) if "transcripts-" in at}
+
+    before = folders()
+    assert QUERIES["transcript_titles"](spark, SF_SMALL).count()
+    assert len(folders() - before) == 3  # the table's and one of each project
